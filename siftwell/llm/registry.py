@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, warc
+from . import ann, bpe, decontam, minhash, quality, warc
 
 QUERIES = {
+    "op4_decontaminate": decontam.op4_decontaminate,
     "op5_warc": warc.op5_warc,
     "op6_ann": ann.op6_ann,
+    "op7_quality": quality.op7_quality,
     "op8_bpe": bpe.op8_bpe,
+    "op9_minhash": minhash.op9_minhash,
 }
 
-ORACLE = {**warc.SQL, **ann.SQL}
+ORACLE = {**warc.SQL, **ann.SQL, **decontam.SQL, **minhash.SQL}
