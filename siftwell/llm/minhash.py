@@ -12,11 +12,14 @@
    more than five standard errors under the threshold; the rest is confirmed
    on full sets.
 4. Connected components of the confirmed links are found. Members that are not
-   in the component of their bucket's smallest id are then held against all
-   other members of another component: buckets are dealt into blocks of about
-   ``BLOCK`` members and pairs of blocks are compared by bit counts. So a
-   bucket of copies costs as many comparisons as it has members, and no pair
-   that shares a key and could join two components is left out.
+   in their leader's component are then held, on full sets, against all others
+   with that leader: members are dealt into blocks of ``BLOCK_SHINGLES`` and
+   pairs of blocks are compared in place; a pair of blocks gives no more links
+   than it joins components. Members so far from the leader that the triangle
+   inequality of the Jaccard distance rules out a link with those near it meet
+   the other rest alone. So a bucket of copies costs as many comparisons as it
+   has members, and no pair that shares a key and could join two components is
+   left out.
 
 A pair at the threshold shares no key with probability ``(1 - 0.85^5)^25`` =
 4e-7; a pair under the estimate's margin is lost with less.
@@ -45,7 +48,8 @@ THRESHOLD = 85
 BANDS, ROWS, BITS = 25, 5, 4
 PERMUTATIONS = BANDS * ROWS
 WORDS = (PERMUTATIONS + 63) // 64
-BLOCK = 256
+#: Shingles of the members that are held against each other at once.
+BLOCK_SHINGLES = 65_536
 #: Members that a copy of a bucket's smallest set serves in confirmation.
 SALT_ROWS = 500
 #: Bytes of text that are hashed at once.
@@ -250,37 +254,74 @@ def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
     return sets.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "part").mapInArrow(compare, "u bigint, v bigint").distinct()
 
 
-def _rest_pairs(members: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """(u, v) of different components that share a bucket, for each member u
-    outside its leader's component: ``members`` has key, doc_id, root, rest, n."""
-    members = members.join(sigs, "doc_id").withColumn("n_blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
-    members = written(members, "minhash-members")
-    item = F.struct("doc_id", "root", "sig", "rest")
-    blocks = members.groupBy("key", "n_blocks", "block").agg(F.collect_list(item).alias("items"))
-    blocks = written(blocks, "minhash-blocks")
-    left = blocks.select("key", F.expr("filter(items, x -> x.rest)").alias("a"), "block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")).filter("size(a) > 0")
-    tiles = left.join(blocks.select("key", F.col("block").alias("other"), F.col("items").alias("b")), ["key", "other"]).select("a", "b")
-    c = 2.0**-BITS
+def _tile_links(rest, others, percent: int):
+    """Links between ``rest`` (id, root, far, set) and ``others`` (id, root,
+    rest, set) that join different components, one for each join at most. A far
+    member is held against the rest alone."""
+    flat = np.concatenate([x[3] for x in others])
+    owner = np.repeat(np.arange(len(others)), [len(x[3]) for x in others])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    sizes = np.array([len(x[3]) for x in others])
+    up: dict[int, int] = {}
+
+    def top(r):
+        while up.get(r, r) != r:
+            r = up[r]
+        return r
+
+    for u, root, far, own in rest:
+        lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        same = np.bincount(owner[at], minlength=len(others))
+        for k in np.flatnonzero((same > 0) & (100 * same >= percent * (len(own) + sizes - same))):
+            v, other, is_rest, _ = others[k]
+            if v == u or (far and not is_rest):
+                continue
+            x, y = top(root), top(other)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                yield u, v
+
+
+def _rest_links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links of members outside their leader's component with others that share
+    the leader: ``members`` has leader, doc_id, root, rest, far, n_shingles."""
+    whole = members.groupBy("leader").agg(F.sum("n_shingles").alias("weight"), F.count_if("rest").alias("n_rest"), F.count_if(F.col("rest") & ~F.col("far")).alias("n_near"))
+    hard = whole.filter("n_near > 0 or n_rest > 1").select("leader", F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int").alias("n_blocks"))
+    members = members.join(hard, "leader").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
+    members = small(written(members.select("leader", "block", "n_blocks", "doc_id", "root", "rest", "far"), "minhash-members"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(members, "doc_id").select("leader", "block", "n_blocks", "doc_id", "root", "rest", "far", "text")
+    names = ["leader", "block", "n_blocks", "doc_id", "root", "rest", "far", "set"]
 
-    def columns(arr):
-        flat = arr.flatten() if isinstance(arr, pa.ChunkedArray) else arr
-        return flat.field("doc_id").to_numpy(zero_copy_only=False), flat.field("root").to_numpy(zero_copy_only=False), np.array(flat.field("sig").flatten().to_numpy(zero_copy_only=False)).reshape(len(flat), -1)
+    def to_sets(batches):
+        last, held = None, b""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                piece = batch.slice(at, 500)
+                out = []
+                for text in piece.column(7).to_pylist():
+                    if text != last:
+                        last, held = text, shingle_sets([(text or "").encode("utf-8", "surrogatepass")], width)[0].tobytes()
+                    out.append(held)
+                yield pa.RecordBatch.from_arrays([*piece.columns[:7], pa.array(out, pa.binary())], names=names)
+
+    sets = rows.mapInArrow(to_sets, "leader bigint, block int, n_blocks int, doc_id bigint, root bigint, rest boolean, far boolean, set binary")
+    blocks = sets.groupBy("leader", "block", "n_blocks").agg(F.collect_list(F.struct("doc_id", "root", "rest", "far", "set")).alias("items"))
+    blocks = written(blocks, "minhash-blocks")
+    left = blocks.select("leader", F.expr("filter(items, x -> x.rest)").alias("a"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")).filter("size(a) > 0")
+    tiles = left.join(blocks.select("leader", F.col("block").alias("other"), F.col("items").alias("b")), ["leader", "other"]).select("a", "b")
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                (ua, ra, sa), (ub, rb, sb) = (columns(batch.column(k).slice(i, 1).flatten()) for k in (0, 1))
-                us, vs = [], []
-                for d, r, s in zip(ua, ra, sa, strict=True):
-                    x = (sb ^ s).view(U).reshape(len(sb), BITS, WORDS)
-                    differs = np.bitwise_count(np.bitwise_or.reduce(x, axis=1)).sum(axis=1)
-                    hit = (((1 - differs / PERMUTATIONS) - c) / (1 - c) >= least) & (rb != r)
-                    vs.append(ub[hit])
-                    us.append(np.full(int(hit.sum()), d))
-                u, v = (np.concatenate(y).astype(np.int64) for y in (us, vs))
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+                a, b = (batch.column(k)[i].as_py() for k in (0, 1))
+                rest = [(x["doc_id"], x["root"], x["far"], np.frombuffer(x["set"], dtype=U)) for x in a]
+                found = list(_tile_links(rest, [(x["doc_id"], x["root"], x["rest"], np.frombuffer(x["set"], dtype=U)) for x in b], percent))
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], names=["u", "v"])
 
-    return tiles.mapInArrow(run, "u bigint, v bigint").distinct()
+    return tiles.mapInArrow(run, "u bigint, v bigint")
 
 
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = THRESHOLD) -> DataFrame:
@@ -293,27 +334,27 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = THRESHOLD) -> Da
     ids = base.filter("fp is not null and doc_id is not null").select("fp", "doc_id")
     first = ids.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     assigned = written(base.select("doc_id", "n_shingles", "fp").join(first, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "minhash-classes")
-    reps = written(base.filter("fp is not null").join(first.select(F.col("rep").alias("doc_id"), F.col("fp").alias("fp2")), "doc_id").filter("fp = fp2").select("doc_id", "sig", "bands"), "minhash-reps")
+    reps = written(base.filter("fp is not null").join(first.select(F.col("rep").alias("doc_id"), F.col("fp").alias("fp2")), "doc_id").filter("fp = fp2").select("doc_id", "n_shingles", "sig", "bands"), "minhash-reps")
     keyed = reps.select("doc_id", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    keyed = written(keyed.join(buckets, "key"), "minhash-buckets")
-    sigs = reps.select("doc_id", "sig")
-    star = keyed.filter("doc_id <> leader").select("doc_id", "leader").distinct()
+    star = keyed.join(buckets, "key").filter("doc_id <> leader").select("doc_id", "leader").distinct()
+    sigs = reps.select("doc_id", "n_shingles", "sig")
     star = star.join(sigs, "doc_id").join(sigs.select(F.col("doc_id").alias("leader"), F.col("sig").alias("sig2")), "leader")
-    star = written(star.filter(estimate("sig", "sig2") >= least).select(F.col("doc_id").alias("u"), F.col("leader").alias("v")), "minhash-star")
-    links = written(confirm(docs, star, width, percent), "minhash-links")
+    star = written(star.select("doc_id", "leader", "n_shingles", estimate("sig", "sig2").alias("near")), "minhash-star")
+    pairs = written(star.filter(F.col("near") >= least).select(F.col("doc_id").alias("u"), F.col("leader").alias("v")), "minhash-pairs")
+    links = written(confirm(docs, pairs, width, percent), "minhash-links")
     roots = components(links)
 
     def named(df, col, out):
         return df.join(roots.select(F.col("node").alias(col), F.col("root").alias("_r")), col, "left").withColumn(out, F.coalesce("_r", col)).drop("_r")
 
-    members = written(named(named(keyed, "doc_id", "root"), "leader", "leader_root").withColumn("rest", F.col("root") != F.col("leader_root")), "minhash-roots")
-    hard = members.filter("rest").select("key").distinct()
-    members = members.join(hard, "key", "left_semi").select("key", "doc_id", "root", "rest", "n")
-    more = written(_rest_pairs(members, sigs, least).join(star, ["u", "v"], "left_anti"), "minhash-rest")
+    members = named(named(star, "doc_id", "root"), "leader", "leader_root").withColumn("rest", F.col("root") != F.col("leader_root"))
+    # by the triangle inequality of the Jaccard distance, with the estimate's margin
+    far = 2 * percent / 100 - 1 - (percent / 100 - least)
+    members = members.withColumn("far", F.col("rest") & (F.col("near") < far))
+    more = written(_rest_links(docs, members, width, percent), "minhash-rest")
     if more.head(1):
-        links = written(links.unionByName(confirm(docs, more, width, percent)), "minhash-links")
-        roots = components(links)
+        roots = components(links.unionByName(more))
     roots = small(written(roots, "minhash-components"))
     return assigned.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
 
