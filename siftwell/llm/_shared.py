@@ -4,6 +4,7 @@ folder, size-checked broadcasts and small expression helpers."""
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
 
@@ -54,6 +55,30 @@ def _clean() -> None:
             return
 
 
+_over: list[tuple[SparkSession, str]] = []
+
+
+def staged(function):
+    """A pipeline stage whose intermediates go when the next stage begins: its
+    result has been written by then. What the next stage's input itself reads
+    stays."""
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _over:
+            files = "\n".join(docs.inputFiles())
+            for pair in [x for x in _over if x[1].rpartition("/")[2] not in files]:
+                forget(*pair)
+                _over.remove(pair)
+                _made.remove(pair)
+        before = len(_made)
+        out = function(spark, docs, sf_dir)
+        _over.extend(_made[before:])
+        return out
+
+    return run
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage
     ends there and a lost executor costs nothing that was done before."""

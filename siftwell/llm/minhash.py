@@ -1,7 +1,7 @@
 """Near-duplicate classes with b-bit MinHash.
 
-1. One pass over the texts hashes every word (64 bits), combines three
-   neighbours to a shingle, and takes the minima of ``BANDS * ROWS``
+1. One pass over the texts hashes every word (64 bits), combines ``width``
+   neighbours to a shingle, and takes the minima of ``PERMUTATIONS``
    permutations over the distinct shingles. The low ``BITS`` bits of the minima
    are packed as bit planes; the full minima of each band give its key.
 2. Documents with equal shingle sets (128-bit fingerprint) form classes; only
@@ -21,8 +21,9 @@
    has members, and no pair that shares a key and could join two components is
    left out.
 
-A pair at the threshold shares no key with probability ``(1 - 0.85^5)^25`` =
-4e-7; a pair under the estimate's margin is lost with less.
+A pair at a threshold of 85 percent shares no key with probability
+``(1 - 0.85^5)^25`` = 4e-7, one at 80 percent with ``(1 - 0.8^4)^31`` = 8e-8; a
+pair under the estimate's margin is lost with less.
 
 Defined results: a null or blank text has no shingles, is linked with nothing
 and stays; fewer than ``width`` words are one shingle; repeated rows are copies
@@ -43,10 +44,9 @@ from pyspark.sql import functions as F
 from ._shared import small, table, written
 from .graph import components
 
-WIDTH = 3
-THRESHOLD = 85
-BANDS, ROWS, BITS = 25, 5, 4
-PERMUTATIONS = BANDS * ROWS
+#: Words of a shingle and least similarity in percent; op9's contract has its own.
+WIDTH, PERCENT = 5, 80
+PERMUTATIONS, BITS = 125, 4
 WORDS = (PERMUTATIONS + 63) // 64
 #: Shingles of the members that are held against each other at once.
 BLOCK_SHINGLES = 65_536
@@ -149,12 +149,18 @@ def packed(minima: np.ndarray) -> np.ndarray:
     return np.hstack(planes)
 
 
-def band_keys(minima: np.ndarray) -> np.ndarray:
-    keys = np.empty((len(minima), BANDS), dtype=U)
-    for b in range(BANDS):
+def rows_of_band(percent: int) -> int:
+    """Minima per band: few enough that no pair at the threshold is lost."""
+    return 5 if percent >= 85 else 4
+
+
+def band_keys(minima: np.ndarray, rows: int) -> np.ndarray:
+    bands = PERMUTATIONS // rows
+    keys = np.empty((len(minima), bands), dtype=U)
+    for b in range(bands):
         h = np.full(len(minima), b + 1, dtype=U)
-        for r in range(ROWS):
-            h = _mix(h * U(0x9FB21C651E98DF25) + minima[:, b * ROWS + r])
+        for r in range(rows):
+            h = _mix(h * U(0x9FB21C651E98DF25) + minima[:, b * rows + r])
         keys[:, b] = h
     return keys.view(np.int64)
 
@@ -173,7 +179,7 @@ def _groups(texts: list[str | None]):
         yield at, group
 
 
-def sketch(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def sketch(docs: DataFrame, width: int = WIDTH, rows: int = rows_of_band(PERCENT)) -> DataFrame:
     """doc_id, n_shingles, fp (of the set; null without one), sig, bands."""
 
     def run(batches):
@@ -186,7 +192,7 @@ def sketch(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     fp, sig, bands = [None] * len(sets), [None] * len(sets), [None] * len(sets)
                     if full:
                         minima = signatures([sets[k] for k in full])
-                        for k, p, q in zip(full, packed(minima).tolist(), band_keys(minima).tolist(), strict=True):
+                        for k, p, q in zip(full, packed(minima).tolist(), band_keys(minima, rows).tolist(), strict=True):
                             fp[k], sig[k], bands[k] = hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest(), p, q
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0).slice(i, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "fp", "sig", "bands"]
@@ -324,13 +330,13 @@ def _rest_links(docs: DataFrame, members: DataFrame, width: int, percent: int) -
     return tiles.mapInArrow(run, "u bigint, v bigint")
 
 
-def classes(docs: DataFrame, width: int = WIDTH, percent: int = THRESHOLD) -> DataFrame:
+def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id,
     text). ``percent`` is the least similarity, from 80 on."""
     if percent < 80:
         raise ValueError("the bands are laid out for similarities of 80 percent or more")
     least = least_estimate(percent / 100)
-    base = written(sketch(docs, width), "minhash-sketch")
+    base = written(sketch(docs, width, rows_of_band(percent)), "minhash-sketch")
     ids = base.filter("fp is not null and doc_id is not null").select("fp", "doc_id")
     first = ids.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     assigned = written(base.select("doc_id", "n_shingles", "fp").join(first, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "minhash-classes")
@@ -360,7 +366,7 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = THRESHOLD) -> Da
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = classes(table(spark, sf_dir, "documents"))
+    found = classes(table(spark, sf_dir, "documents"), width=3, percent=85)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
