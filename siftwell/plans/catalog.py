@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import records, retrieval
+
+QUERIES = {**retrieval.QUERIES, **records.QUERIES}
+ORACLE = {**retrieval.ORACLE, **records.ORACLE}
