@@ -16,8 +16,8 @@
    with that leader: members are dealt into blocks of ``BLOCK_SHINGLES`` and
    pairs of blocks are compared in place; a pair of blocks gives no more links
    than it joins components. Members so far from the leader that the triangle
-   inequality of the Jaccard distance rules out a link with those near it meet
-   the other rest alone. So a bucket of copies costs as many comparisons as it
+   inequality of the Jaccard distance rules out a link with those linked to it
+   meet the others alone. So a bucket of copies costs as many comparisons as it
    has members, and no pair that shares a key and could join two components is
    left out.
 
@@ -53,7 +53,7 @@ BLOCK_SHINGLES = 65_536
 #: Members that a copy of a bucket's smallest set serves in confirmation.
 SALT_ROWS = 500
 #: Bytes of text that are hashed at once.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 
 U = np.uint64
 
@@ -115,7 +115,8 @@ def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     whole = [words]
     for k in range(1, width):
         nxt = np.zeros(n, dtype=U)
-        nxt[: n - k] = words[k:] if k < n else nxt[:0]
+        if k < n:
+            nxt[: n - k] = words[k:]
         runs = _mix(runs * U(0xD6E8FEB86659FD93) + nxt)
         whole.append(runs)
     out, at = [], 0
@@ -262,8 +263,8 @@ def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
 
 def _tile_links(rest, others, percent: int):
     """Links between ``rest`` (id, root, far, set) and ``others`` (id, root,
-    rest, set) that join different components, one for each join at most. A far
-    member is held against the rest alone."""
+    direct, set) that join different components, one for each join at most. A
+    far member cannot be linked to one that is linked to the leader itself."""
     flat = np.concatenate([x[3] for x in others])
     owner = np.repeat(np.arange(len(others)), [len(x[3]) for x in others])
     order = np.argsort(flat, kind="stable")
@@ -282,8 +283,8 @@ def _tile_links(rest, others, percent: int):
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         same = np.bincount(owner[at], minlength=len(others))
         for k in np.flatnonzero((same > 0) & (100 * same >= percent * (len(own) + sizes - same))):
-            v, other, is_rest, _ = others[k]
-            if v == u or (far and not is_rest):
+            v, other, direct, _ = others[k]
+            if v == u or (far and direct):
                 continue
             x, y = top(root), top(other)
             if x != y:
@@ -293,13 +294,14 @@ def _tile_links(rest, others, percent: int):
 
 def _rest_links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """Links of members outside their leader's component with others that share
-    the leader: ``members`` has leader, doc_id, root, rest, far, n_shingles."""
-    whole = members.groupBy("leader").agg(F.sum("n_shingles").alias("weight"), F.count_if("rest").alias("n_rest"), F.count_if(F.col("rest") & ~F.col("far")).alias("n_near"))
-    hard = whole.filter("n_near > 0 or n_rest > 1").select("leader", F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int").alias("n_blocks"))
+    the leader: ``members`` has leader, doc_id, root, rest, far, direct,
+    n_shingles."""
+    whole = members.groupBy("leader").agg(F.sum("n_shingles").alias("weight"), F.count_if("rest").alias("n_rest"), F.count_if(F.col("rest") & ~F.col("far")).alias("n_near"), F.count_if(~F.col("direct")).alias("n_loose"))
+    hard = whole.filter("n_near > 0 or (n_rest > 0 and n_loose > 1)").select("leader", F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int").alias("n_blocks"))
     members = members.join(hard, "leader").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
-    members = small(written(members.select("leader", "block", "n_blocks", "doc_id", "root", "rest", "far"), "minhash-members"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(members, "doc_id").select("leader", "block", "n_blocks", "doc_id", "root", "rest", "far", "text")
-    names = ["leader", "block", "n_blocks", "doc_id", "root", "rest", "far", "set"]
+    members = small(written(members.select("leader", "block", "n_blocks", "doc_id", "root", "rest", "far", "direct"), "minhash-members"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(members, "doc_id").select("leader", "block", "n_blocks", "doc_id", "root", "rest", "far", "direct", "text")
+    names = ["leader", "block", "n_blocks", "doc_id", "root", "rest", "far", "direct", "set"]
 
     def to_sets(batches):
         last, held = None, b""
@@ -307,14 +309,14 @@ def _rest_links(docs: DataFrame, members: DataFrame, width: int, percent: int) -
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
                 out = []
-                for text in piece.column(7).to_pylist():
+                for text in piece.column(8).to_pylist():
                     if text != last:
                         last, held = text, shingle_sets([(text or "").encode("utf-8", "surrogatepass")], width)[0].tobytes()
                     out.append(held)
-                yield pa.RecordBatch.from_arrays([*piece.columns[:7], pa.array(out, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*piece.columns[:8], pa.array(out, pa.binary())], names=names)
 
-    sets = rows.mapInArrow(to_sets, "leader bigint, block int, n_blocks int, doc_id bigint, root bigint, rest boolean, far boolean, set binary")
-    blocks = sets.groupBy("leader", "block", "n_blocks").agg(F.collect_list(F.struct("doc_id", "root", "rest", "far", "set")).alias("items"))
+    sets = rows.mapInArrow(to_sets, "leader bigint, block int, n_blocks int, doc_id bigint, root bigint, rest boolean, far boolean, direct boolean, set binary")
+    blocks = sets.groupBy("leader", "block", "n_blocks").agg(F.collect_list(F.struct("doc_id", "root", "rest", "far", "direct", "set")).alias("items"))
     blocks = written(blocks, "minhash-blocks")
     left = blocks.select("leader", F.expr("filter(items, x -> x.rest)").alias("a"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")).filter("size(a) > 0")
     tiles = left.join(blocks.select("leader", F.col("block").alias("other"), F.col("items").alias("b")), ["leader", "other"]).select("a", "b")
@@ -324,7 +326,7 @@ def _rest_links(docs: DataFrame, members: DataFrame, width: int, percent: int) -
             for i in range(batch.num_rows):
                 a, b = (batch.column(k)[i].as_py() for k in (0, 1))
                 rest = [(x["doc_id"], x["root"], x["far"], np.frombuffer(x["set"], dtype=U)) for x in a]
-                found = list(_tile_links(rest, [(x["doc_id"], x["root"], x["rest"], np.frombuffer(x["set"], dtype=U)) for x in b], percent))
+                found = list(_tile_links(rest, [(x["doc_id"], x["root"], x["direct"], np.frombuffer(x["set"], dtype=U)) for x in b], percent))
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], names=["u", "v"])
 
     return tiles.mapInArrow(run, "u bigint, v bigint")
@@ -356,8 +358,9 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
 
     members = named(named(star, "doc_id", "root"), "leader", "leader_root").withColumn("rest", F.col("root") != F.col("leader_root"))
     # by the triangle inequality of the Jaccard distance, with the estimate's margin
-    far = 2 * percent / 100 - 1 - (percent / 100 - least)
-    members = members.withColumn("far", F.col("rest") & (F.col("near") < far))
+    far = least_estimate(2 * percent / 100 - 1)
+    direct = links.select(F.col("u").alias("doc_id"), F.col("v").alias("leader"), F.lit(True).alias("_d"))
+    members = members.withColumn("far", F.col("rest") & (F.col("near") < far)).join(direct, ["doc_id", "leader"], "left").withColumn("direct", F.coalesce("_d", F.lit(False))).drop("_d")
     more = written(_rest_links(docs, members, width, percent), "minhash-rest")
     if more.head(1):
         roots = components(links.unionByName(more))

@@ -9,7 +9,7 @@ import numpy as np
 from .minhash import _BASE, _INVERSE, _byte_values, _mix, _powers
 
 U = np.uint64
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 PREFIXES = (4, 5, 6)
 
 #: Classes of bytes: letters are ASCII letters and all beyond ASCII.
