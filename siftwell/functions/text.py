@@ -27,7 +27,7 @@ def tokens(text: Column, analyzer: str = "simple") -> Column:
     if analyzer != "english":
         raise ValueError(f"no analyzer {analyzer!r}")
     kept = F.filter(out, lambda t: ~t.isin(*ENGLISH_STOP))
-    return F.transform(kept, lambda t: F.when(F.length(t) > 4, F.regexp_replace(t, "(ies|es|s|ing|ed)$", "")).otherwise(t))
+    return F.transform(kept, lambda t: F.when(F.length(t) > 3, F.regexp_replace(t, "(ies|es|s|ing|ed)$", "")).otherwise(t))
 
 
 def parse_vector_text(text: Column) -> Column:
