@@ -48,6 +48,8 @@ def bm25(terms: DataFrame, index: DataFrame, stats: DataFrame, config: Hybrid =
     older snapshot; terms it has too few documents for lower the score."""
     if mode not in ("and", "or"):
         raise ValueError(f"mode is and or or, not {mode!r}")
+    # both uses of the index see the questions' terms alone
+    index = index.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
     freq = doc_freq(index) if freq is None else freq
     known = terms.join(freq, "term")
     hits = index.join(F.broadcast(known), "term").crossJoin(F.broadcast(stats))
