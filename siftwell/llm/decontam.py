@@ -31,11 +31,11 @@ def words_of(text: Column) -> Column:
 
 
 def windows_of(items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """win (hash of the words), len, win_words, item_ids."""
+    """len, win_words, item_ids of each distinct window."""
     w = items.select("item_id", words_of(F.col("text")).alias("w")).filter("size(w) > 0")
     w = w.select("item_id", F.expr(f"explode(if(size(w) < {width}, array(w), transform(sequence(1, size(w) - {width - 1}), i -> slice(w, i, {width}))))").alias("win_words"))
     w = w.groupBy("win_words").agg(F.collect_set("item_id").alias("item_ids"))
-    return w.select(F.sha2(F.array_join("win_words", " "), 256).alias("win"), F.size("win_words").alias("len"), "win_words", "item_ids")
+    return w.select(F.size("win_words").alias("len"), "win_words", "item_ids")
 
 
 class Index:
@@ -43,7 +43,7 @@ class Index:
 
     def __init__(self, docs: DataFrame, items: DataFrame, width: int = WIDTH):
         self.forward = written(docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", words_of(F.col("text")).alias("words")).select("row_id", "doc_id", F.size("words").cast("bigint").alias("n_words"), "words"), "index-forward")
-        self.windows = written(windows_of(items, width), "index-windows")
+        self.windows = written(windows_of(items, width).withColumn("win", F.monotonically_increasing_id()), "index-windows")
         terms = self.windows.select("win", F.posexplode("win_words").alias("offset", "term"))
         vocabulary = small(written(terms.select("term").distinct(), "index-vocabulary"))
         tokens = self.forward.select(F.explode("words").alias("term"))
@@ -74,7 +74,7 @@ class Index:
     def phrases(self) -> DataFrame:
         """row_id, start, len, item_ids of each occurrence of a window."""
         single = self.windows.filter("len = 1").select("win")
-        both = self.starts(0).join(self.starts(1), ["win", "row_id", "start"])
+        both = self.starts(0).join(self.starts(1), ["win", "row_id", "start"], "left_semi")
         cand = written(both.unionByName(self.starts(0).join(small(single), "win", "left_semi").select("win", "row_id", "start")), "index-candidates")
         win = small(self.windows)
         rows = written(cand.select("row_id").distinct(), "index-rows")
