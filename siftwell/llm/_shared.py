@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-#: Rows up to which a written side may be broadcast; beyond it joins shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows, and bytes as stored, up to which a written side may be broadcast; beyond
+#: either, joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 48 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -89,9 +90,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if ``df``, a written table, has at most ``most`` rows;
-    else leave it to a shuffled join."""
-    return F.broadcast(df) if df.count() <= most else df
+    """Hint a broadcast if ``df``, read from a written table, has at most
+    ``most`` rows and BROADCAST_BYTES; else leave it to a shuffled join."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= BROADCAST_BYTES and df.count() <= most else df
 
 
 def ascii_lower(col):
