@@ -339,10 +339,13 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
         raise ValueError("the bands are laid out for similarities of 80 percent or more")
     least = least_estimate(percent / 100)
     base = written(sketch(docs, width, rows_of_band(percent)), "minhash-sketch")
-    ids = base.filter("fp is not null and doc_id is not null").select("fp", "doc_id")
-    first = ids.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    assigned = written(base.select("doc_id", "n_shingles", "fp").join(first, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "minhash-classes")
-    reps = written(base.filter("fp is not null").join(first.select(F.col("rep").alias("doc_id"), F.col("fp").alias("fp2")), "doc_id").filter("fp = fp2").select("doc_id", "n_shingles", "sig", "bands"), "minhash-reps")
+    # only sets that occur twice need a representative that is not the row itself
+    again = base.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    again = small(written(again.filter("n > 1").select("fp", "rep"), "minhash-copies"))
+    assigned = base.select("doc_id", "n_shingles", "fp").join(again, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
+    assigned = written(assigned, "minhash-classes")
+    reps = base.filter("fp is not null and doc_id is not null").join(again, "fp", "left").filter("rep is null or rep = doc_id")
+    reps = written(reps.select("doc_id", "n_shingles", "sig", "bands"), "minhash-reps")
     keyed = reps.select("doc_id", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
     star = keyed.join(buckets, "key").filter("doc_id <> leader").select("doc_id", "leader").distinct()
