@@ -39,7 +39,7 @@ SEED_ID = "^[0-9a-fA-F]{32,}$"
 ID_CHARS = (6, 128)
 CONTEXT_CHARS = 48
 ROUNDS = 3
-SUPPORT, CONFIDENT = 3, 0.6
+SUPPORT, CONFIDENT = 3, 0.5
 #: Names that no input has.
 ROW, CUTS = "__pii_row", "__pii_cuts"
 
