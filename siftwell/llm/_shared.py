@@ -96,6 +96,42 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES and df.count() <= most else df
 
 
+#: Bytes of an Arrow batch, where the session has Spark's default, which is
+#: more than a small executor's two workers should hold.
+ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")
+
+
+def tidy(function):
+    """A function for mapInArrow that gives its memory back when it is done:
+    workers are used again, and what one stage held counts for the next."""
+    spark = SparkSession.getActiveSession()
+    key, usual, ours = ARROW_BYTES
+    if spark is not None and spark.conf.get(key, usual) == usual:
+        spark.conf.set(key, ours)
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
+def _give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # another C library
+
+
 def ascii_lower(col):
     """Lower-case A-Z alone."""
     return F.translate(col, UPPER, LOWER)

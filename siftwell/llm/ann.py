@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table, written
+from ._shared import table, tidy, written
 
 TILE = 2048
 #: Float32 products of int8 are exact up to this many dimensions.
@@ -84,7 +84,7 @@ def _pack(df: DataFrame, vec: str, tile: int) -> DataFrame:
         for dim, (ids, rows) in held.items():
             yield block(dim, ids, rows)
 
-    return df.select(F.col("_id").cast("bigint"), F.col(vec)).mapInArrow(run, "dim int, ids binary, vecs binary")
+    return df.select(F.col("_id").cast("bigint"), F.col(vec)).mapInArrow(tidy(run), "dim int, ids binary, vecs binary")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec: str = "embedding", tile: int = TILE) -> DataFrame:
@@ -117,7 +117,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
-    found = tiles.mapInArrow(score, "query_id bigint, vec_id bigint, score double")
+    found = tiles.mapInArrow(tidy(score), "query_id bigint, vec_id bigint, score double")
 
     def merge(batches):
         for b in batches:
@@ -125,7 +125,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.float64()))], names=["query_id", "rank", "vec_id", "score"])
 
     lists = found.groupBy("query_id").agg(F.collect_set(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v"))).alias("own"))
-    return lists.mapInArrow(merge, "query_id bigint, rank int, vec_id bigint, score double")
+    return lists.mapInArrow(tidy(merge), "query_id bigint, rank int, vec_id bigint, score double")
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

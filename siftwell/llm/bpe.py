@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import table, tidy
 
 LEAF_CHARS = 32_768
 #: Characters a cut may change before it: contractions have three, look-ahead one.
@@ -192,7 +192,7 @@ def encode(df: DataFrame, tokenizer: str | None = None, leaf_chars: int = LEAF_C
                     cols.append(pa.array([hashlib.sha256(decode_ids(tok, x).encode()).hexdigest() for x in found], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, "n_tokens", *["ids"] * ids, *["ids_sha256", "decoded_sha256"] * digests])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def decode_ids(tok, ids) -> str:
@@ -211,7 +211,7 @@ def decode(df: DataFrame, tokenizer: str | None = None, ids: str = "ids", keep:
             found = [tok.decode(x or [], skip_special_tokens=False) for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(found, pa.string())], names=[*keep, "text"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import small, table, written
+from ._shared import small, table, tidy, written
 from .graph import components
 
 #: Words of a shingle and least similarity in percent; op9's contract has its own.
@@ -199,7 +199,7 @@ def sketch(docs: DataFrame, width: int = WIDTH, rows: int = rows_of_band(PERCENT
                         [part.column(0).slice(i, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "fp", "sig", "bands"]
                     )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, fp binary, sig array<bigint>, bands array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id bigint, n_shingles bigint, fp binary, sig array<bigint>, bands array<bigint>")
 
 
 def estimate(a: str, b: str):
@@ -257,8 +257,8 @@ def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
                         vs.append(h)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    sets = rows.mapInArrow(to_sets, "hub bigint, salt int, part int, doc_id bigint, set binary")
-    return sets.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "part").mapInArrow(compare, "u bigint, v bigint").distinct()
+    sets = rows.mapInArrow(tidy(to_sets), "hub bigint, salt int, part int, doc_id bigint, set binary")
+    return sets.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "part").mapInArrow(tidy(compare), "u bigint, v bigint").distinct()
 
 
 def _tile_links(rest, others, percent: int):
@@ -315,7 +315,7 @@ def _rest_links(docs: DataFrame, members: DataFrame, width: int, percent: int) -
                     out.append(held)
                 yield pa.RecordBatch.from_arrays([*piece.columns[:8], pa.array(out, pa.binary())], names=names)
 
-    sets = rows.mapInArrow(to_sets, "leader bigint, block int, n_blocks int, doc_id bigint, root bigint, rest boolean, far boolean, direct boolean, set binary")
+    sets = rows.mapInArrow(tidy(to_sets), "leader bigint, block int, n_blocks int, doc_id bigint, root bigint, rest boolean, far boolean, direct boolean, set binary")
     blocks = sets.groupBy("leader", "block", "n_blocks").agg(F.collect_list(F.struct("doc_id", "root", "rest", "far", "direct", "set")).alias("items"))
     blocks = written(blocks, "minhash-blocks")
     left = blocks.select("leader", F.expr("filter(items, x -> x.rest)").alias("a"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")).filter("size(a) > 0")
@@ -329,7 +329,7 @@ def _rest_links(docs: DataFrame, members: DataFrame, width: int, percent: int) -
                 found = list(_tile_links(rest, [(x["doc_id"], x["root"], x["direct"], np.frombuffer(x["set"], dtype=U)) for x in b], percent))
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], names=["u", "v"])
 
-    return tiles.mapInArrow(run, "u bigint, v bigint")
+    return tiles.mapInArrow(tidy(run), "u bigint, v bigint")
 
 
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -355,9 +355,10 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     pairs = written(star.filter(F.col("near") >= least).select(F.col("doc_id").alias("u"), F.col("leader").alias("v")), "minhash-pairs")
     links = written(confirm(docs, pairs, width, percent), "minhash-links")
     roots = components(links)
+    near_roots = small(roots)
 
     def named(df, col, out):
-        return df.join(roots.select(F.col("node").alias(col), F.col("root").alias("_r")), col, "left").withColumn(out, F.coalesce("_r", col)).drop("_r")
+        return df.join(near_roots.select(F.col("node").alias(col), F.col("root").alias("_r")), col, "left").withColumn(out, F.coalesce("_r", col)).drop("_r")
 
     members = named(named(star, "doc_id", "root"), "leader", "leader_root").withColumn("rest", F.col("root") != F.col("leader_root"))
     # by the triangle inequality of the Jaccard distance, with the estimate's margin

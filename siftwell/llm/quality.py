@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textstats
-from ._shared import fold, table, written
+from ._shared import fold, table, tidy, written
 from .textstats import Batch
 
 FEATURES = 512
@@ -112,7 +112,7 @@ def measure(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column(0).slice(i, len(group)), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), STATISTICS).cast(pa.list_(pa.float32()))], names=["doc_id", "stats"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, stats array<float>")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(tidy(run), f"doc_id {kind}, stats array<float>")
 
 
 def _matrix(col) -> np.ndarray:
@@ -171,7 +171,7 @@ def _summed(parts: DataFrame, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
 
     groups = max(1, min(16, int(parts.rdd.getNumPartitions() ** 0.5)))
-    rows = parts.repartition(groups).mapInArrow(add, "s binary").collect()
+    rows = parts.repartition(groups).mapInArrow(tidy(add), "s binary").collect()
     return np.sum([np.frombuffer(r.s, np.float64) for r in rows], axis=0) if rows else np.zeros(n)
 
 
@@ -188,7 +188,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
             total += np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
 
-    t = _summed(rows.select("stats").mapInArrow(moments, "s binary"), 1 + 2 * STATISTICS)
+    t = _summed(rows.select("stats").mapInArrow(tidy(moments), "s binary"), 1 + 2 * STATISTICS)
     if t[0] == 0:
         return Model(np.zeros(STATISTICS), np.ones(STATISTICS), None, np.zeros(1), np.zeros(1))
     mean = t[1 : 1 + STATISTICS] / t[0]
@@ -209,7 +209,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary())], names=["s"])
 
     parts = rows.coalesce(max(1, min(64, rows.rdd.getNumPartitions())))
-    sums = _summed(parts.mapInArrow(equations, "s binary"), FOLDS * m * (m + 1)).reshape(FOLDS, m, m + 1)
+    sums = _summed(parts.mapInArrow(tidy(equations), "s binary"), FOLDS * m * (m + 1)).reshape(FOLDS, m, m + 1)
 
     def solve(s):
         count = s[m - 1, m - 1]
@@ -229,7 +229,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
             s += np.bincount(at, weights=y, minlength=BINS)
         yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([n, s]).tobytes()], pa.binary())], names=["s"])
 
-    t = _summed(rows.mapInArrow(binned, "s binary"), 2 * BINS)
+    t = _summed(rows.mapInArrow(tidy(binned), "s binary"), 2 * BINS)
     n, s = t[:BINS], t[BINS:]
     x = (np.arange(BINS) + 0.5) / BINS * 2 - 0.5
     knots, values = isotonic(x[n > 0], s[n > 0] / n[n > 0], n[n > 0])
@@ -244,7 +244,7 @@ def apply(stats: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(_matrix(b.column(1))))], names=["doc_id", "score"])
 
     kind = stats.schema["doc_id"].dataType.simpleString()
-    return stats.select("doc_id", "stats").mapInArrow(run, f"doc_id {kind}, score double")
+    return stats.select("doc_id", "stats").mapInArrow(tidy(run), f"doc_id {kind}, score double")
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textstats
-from ._shared import fold, small, table, written
+from ._shared import fold, small, table, tidy, written
 from .textstats import PREFIXES, Batch
 
 SAMPLE_ROWS = 12_000
@@ -120,7 +120,7 @@ def _emitted(docs: DataFrame, schema: str, names, rows):
                 for i, group in textstats.batches(part.column(part.num_columns - 1).to_pylist()):
                     yield pa.RecordBatch.from_arrays(rows([c.slice(i, len(group)) for c in part.columns[:-1]], group), names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _near_copy_keys(b: Batch) -> np.ndarray:
@@ -249,7 +249,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             x = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))), b.column(1)], names=["doc_id", "score", "votes"])
 
-    return base.mapInArrow(apply, f"doc_id {kind}, score double, votes int")
+    return base.mapInArrow(tidy(apply), f"doc_id {kind}, score double, votes int")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import new_path, small, table, written
+from ._shared import new_path, small, table, tidy, written
 
 SEGMENT_BYTES = 65_536
 CHUNK_BYTES = 16_384
@@ -135,7 +135,7 @@ def write_archive(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTE
                         out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    src.mapInArrow(run, "value string").write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    src.mapInArrow(tidy(run), "value string").write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def parse(data: bytes):
@@ -186,7 +186,7 @@ def read_records(spark: SparkSession, path: str, segmented: bool) -> DataFrame:
                     yield batch(out)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, RECORD)
+    return files.mapInArrow(tidy(run), RECORD)
 
 
 def reassemble(segments: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
             ok = [k == "revisit" or (x is not None and hashlib.sha1(x).hexdigest() == d) for k, x, d in zip(kinds, found, digests, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array([x if y else None for x, y in zip(found, ok, strict=True)], pa.binary()), pa.array(ok, pa.bool_())], names=[x.split()[0] for x in PAGE.split(", ")])
 
-    return both.mapInArrow(run, PAGE)
+    return both.mapInArrow(tidy(run), PAGE)
 
 
 def digest_rows(read: DataFrame) -> DataFrame:
