@@ -19,10 +19,14 @@ from .sources import files, pages
 
 TABLES = {
     "chunks": schema.CHUNKS, "documents": schema.DOCUMENTS, "messages": schema.MESSAGES, "feedback": schema.FEEDBACK, "batches": schema.BATCHES, "success": schema.SUCCESSES,
-    "failure": schema.FAILURES, "repositories": schema.REPOSITORIES, "commits": schema.COMMITS, "sprints": schema.SPRINTS,
+    "postings": schema.POSTINGS, "corpus_stats": schema.CORPUS_STATS, "failure": schema.FAILURES, "repositories": schema.REPOSITORIES, "commits": schema.COMMITS, "sprints": schema.SPRINTS,
 }
 
 
+#: Tables that are laid out by columns which queries filter on.
+PARTITIONS = {"chunks": ("category",), "commits": ("repository_id",)}
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, config: Config | None = None, embedder: Embedder = hashed, generator: answers.Generator = answers.extractive):
         self.spark, self.root, self.config = spark, root.rstrip("/"), config or Config()
@@ -43,10 +47,19 @@ class Engine:
     def _append(self, name: str, df: DataFrame) -> None:
         want = self.spark.createDataFrame([], TABLES[name]).schema
         have = set(df.columns)
-        df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in want]).write.mode("append").parquet(self._path(name))
+        df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in want]).write.mode("append").partitionBy(*PARTITIONS.get(name, ())).parquet(self._path(name))
 
     def _replace(self, name: str, df: DataFrame) -> None:
-        ingest.swap_snapshot(self.spark, df, self._path(name))
+        ingest.swap_snapshot(self.spark, df, self._path(name), PARTITIONS.get(name, ()))
+
+    # keyword index
+
+    def build_index(self) -> None:
+        """Store the postings in the order of their terms, so that a question
+        reads the row groups of its own, and a snapshot of the statistics."""
+        chunks = self.table("chunks")
+        self._replace("postings", keyword.postings(chunks).repartitionByRange("term").sortWithinPartitions("term"))
+        self._replace("corpus_stats", keyword.corpus_stats(chunks))
 
     # ingestion
 
@@ -128,9 +141,10 @@ class Engine:
         return out.withColumn("interaction_id", F.sha2(F.concat_ws(":", "session_id", F.col("qid").cast("string")), 256))
 
     def hybrid_search(self, questions: DataFrame, k: int | None = None) -> DataFrame:
-        chunks = self.table("chunks")
-        q = self._asked(questions)
-        return fusion.hybrid_search(q, chunks, k or self.config.retrieval.max_results, keyword.postings(chunks), keyword.corpus_stats(chunks), self.config.hybrid)
+        """Both legs over the stored index; without one, the vector leg alone."""
+        stats = self.table("corpus_stats")
+        index = self.table("postings") if stats.head(1) else None
+        return fusion.hybrid_search(self._asked(questions), self.table("chunks"), k or self.config.retrieval.max_results, index, stats if index is not None else None, self.config.hybrid)
 
     def save_messages(self, messages: DataFrame) -> None:
         self._append("messages", messages)

@@ -69,12 +69,12 @@ def without(table: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     return table.join(gone.select(key), key, "left_anti")
 
 
-def swap_snapshot(spark: SparkSession, df: DataFrame, path: str) -> None:
+def swap_snapshot(spark: SparkSession, df: DataFrame, path: str, partition: tuple[str, ...] = ()) -> None:
     """Replace a stored table: write beside it, then exchange the folders."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     new, old, at = hadoop(path + ".new"), hadoop(path + ".old"), hadoop(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    df.write.mode("overwrite").parquet(path + ".new")
+    df.write.mode("overwrite").partitionBy(*partition).parquet(path + ".new")
     fs.delete(old, True)
     if fs.exists(at):
         fs.rename(at, old)

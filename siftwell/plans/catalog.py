@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import records, retrieval
+from . import details, records, retrieval
 
-QUERIES = {**retrieval.QUERIES, **records.QUERIES}
-ORACLE = {**retrieval.ORACLE, **records.ORACLE}
+QUERIES = {**retrieval.QUERIES, **records.QUERIES, **details.QUERIES}
+ORACLE = {**retrieval.ORACLE, **records.ORACLE, **details.ORACLE}

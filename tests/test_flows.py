@@ -69,6 +69,10 @@ def test_folder_to_answer(spark, folder, tmp_path):
     q = spark.createDataFrame([(1, "refund policy", "s1"), (2, "show SVC_007", "s2")], "qid int, question string, session_id string")
     got = {r.qid: r for r in e.answer(q).collect()}
     assert got[1].cacheable and any("note.txt" in s for s in got[1].sources)
+    asked = q.selectExpr("qid", "'plain words' as question")
+    assert e.hybrid_search(asked, 3).filter("match_type <> 'VECTOR'").count() == 0
+    e.build_index()
+    assert e.hybrid_search(asked, 3).filter("match_type <> 'VECTOR'").count() > 0
     assert e.hybrid_search(q.selectExpr("qid", "'plain words' as question"), 3).count() > 0
     e.save_messages(spark.createDataFrame([("s1", "ASSISTANT", "a", "i1", ["x"], dt.datetime(2024, 1, 1))], "session_id string, role string, content string, interaction_id string, sources array<string>, created_at timestamp_ntz"))
     lost = e.submit_feedback(spark.createDataFrame([("i1", "UP", dt.datetime(2024, 1, 2)), ("i2", "UP", dt.datetime(2024, 1, 2))], "interaction_id string, rating string, created_at timestamp_ntz"))
