@@ -118,28 +118,12 @@ def tidy(function):
     return run
 
 
-#: Cached functions of workers, emptied after each task.
-caches: list = []
-
-
-def worker_cache(size: int):
-    """lru_cache for what a task uses again and again, and a later one rarely."""
-
-    def put(function):
-        caches.append(functools.lru_cache(size)(function))
-        return caches[-1]
-
-    return put
-
-
 def _give_back() -> None:
     import ctypes
     import gc
 
     import pyarrow
 
-    for cached in caches:
-        cached.cache_clear()
     gc.collect()
     pyarrow.default_memory_pool().release_unused()
     try:

@@ -25,13 +25,14 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table, tidy, worker_cache
+from ._shared import table, tidy
 
 LEAF_CHARS = 32_768
 #: Characters a cut may change before it: contractions have three, look-ahead one.
@@ -47,7 +48,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@worker_cache(2)
+@lru_cache(2)
 def load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import small, table, tidy, worker_cache, written
+from ._shared import small, table, tidy, written
 from .graph import components
 
 #: Words of a shingle and least similarity in percent; op9's contract has its own.
@@ -80,7 +80,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-@worker_cache(4)
+@lru_cache(4)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=U)
     out[0] = 1
