@@ -32,6 +32,8 @@ from .textstats import Batch
 FEATURES = 512
 FOLDS = 3
 RIDGE = 1e-3
+#: Rows whose features are held at once, 4 kB each.
+ROWS = 512
 SEED = 20_240
 BINS = 400
 ACCEPT = 0.7
@@ -138,7 +140,8 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.full(len(x), 0.5)
-        return np.clip(np.interp(self.features(x) @ self.weights, self.knots, self.values), 0, 1)
+        raw = [self.features(x[at : at + ROWS]) @ self.weights for at in range(0, len(x), ROWS)]
+        return np.clip(np.interp(np.concatenate(raw) if raw else np.zeros(0), self.knots, self.values), 0, 1)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,10 +204,10 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
             f = b.column(0).to_numpy(zero_copy_only=False)
             y = b.column(1).to_numpy(zero_copy_only=False)
             x = _matrix(b.column(2))
-            for at in range(0, len(y), 4096):
-                z = np.hstack([model.features(x[at : at + 4096]), y[at : at + 4096, None]])
+            for at in range(0, len(y), ROWS):
+                z = np.hstack([model.features(x[at : at + ROWS]), y[at : at + ROWS, None]])
                 for k in range(FOLDS):
-                    own = z[f[at : at + 4096] == k]
+                    own = z[f[at : at + ROWS] == k]
                     a[k] += own[:, :m].T @ own
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary())], names=["s"])
 
@@ -223,7 +226,9 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
         for b in batches:
             f = b.column(0).to_numpy(zero_copy_only=False)
             y = b.column(1).to_numpy(zero_copy_only=False)
-            raw = (model.features(_matrix(b.column(2))) * outside[f]).sum(axis=1)
+            x = _matrix(b.column(2))
+            parts = [(model.features(x[at : at + ROWS]) * outside[f[at : at + ROWS]]).sum(axis=1) for at in range(0, len(y), ROWS)]
+            raw = np.concatenate(parts) if parts else np.zeros(0)
             at = np.clip((raw + 0.5) / 2 * BINS, 0, BINS - 1).astype(int)
             n += np.bincount(at, minlength=BINS)
             s += np.bincount(at, weights=y, minlength=BINS)
