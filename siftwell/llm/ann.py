@@ -14,7 +14,8 @@ block and query blocks once per chunk, so no task holds more than a tile.
 Defined results: vectors that are null, empty, zero or hold a null or
 non-finite component take no part, nor do null ids; vectors of different
 lengths are not compared; rows that share a vec_id are one entity, so equal
-rows count once and a row under the query's own id is no candidate;
+rows count once, wherever they lie, and a row under the query's own id is no
+candidate;
 ties go to the smaller id; with fewer than k candidates all come back.
 """
 
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from ._shared import table, tidy, written
 
 TILE = 2048
+#: Pairs that are recomputed at once.
+PAIRS = 1 << 16
 #: Float32 products of int8 are exact up to this many dimensions.
 EXACT_DIMS = 1040
 
@@ -48,13 +51,26 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(dot / np.sqrt(aa * bb), -1.0, 1.0)
 
 
-def tile_survivors(q8, qs, qe, d8, ds, de, same, k):
+def distinct(ids: np.ndarray, vectors: np.ndarray):
+    """Rows in the order of their ids, equal ones once."""
+    order = np.lexsort((*vectors.T[::-1], ids))
+    ids, vectors = ids[order], vectors[order]
+    new = np.ones(len(ids), dtype=bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (vectors[1:] != vectors[:-1]).any(axis=1)
+    return ids[new], vectors[new]
+
+
+def tile_survivors(q8, qs, qe, d8, ds, de, same, k, ids):
     """Pairs of a tile that can be among a query's k nearest. ``same`` marks
-    pairs of equal id, which never are."""
+    pairs of equal id, which never are; ``ids`` of the data are in order, and
+    the k-th lower bound is that of the k-th id."""
     kind = np.float32 if q8.shape[1] <= EXACT_DIMS else np.float64
     near = (q8.astype(kind) @ d8.astype(kind).T).astype(np.float64) * qs[:, None] * ds[None, :]
     bound = qe[:, None] + (1 + qe[:, None]) * de[None, :]
     low = np.where(same, -np.inf, near - bound)
+    first = np.nonzero(np.r_[True, ids[1:] != ids[:-1]])[0]
+    if len(first) < len(ids):
+        low = np.maximum.reduceat(low, first, axis=1)
     kth = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
     return np.nonzero((near + bound >= kth[:, None]) & ~same)
 
@@ -107,11 +123,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
             for dim, qi, qv, di, dv in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 qi, di = np.frombuffer(qi, np.int64), np.frombuffer(di, np.int64)
                 qv, dv = np.frombuffer(qv, np.float64).reshape(-1, dim), np.frombuffer(dv, np.float64).reshape(-1, dim)
-                i, j = tile_survivors(*quantise(qv), *quantise(dv), qi[:, None] == di[None, :], k)
-                s = cosines(qv[i], dv[j])
+                di, dv = distinct(di, dv)
+                i, j = tile_survivors(*quantise(qv), *quantise(dv), qi[:, None] == di[None, :], k, di)
+                s = np.concatenate([np.zeros(0), *(cosines(qv[i[at : at + PAIRS]], dv[j[at : at + PAIRS]]) for at in range(0, len(i), PAIRS))])
                 heaps: dict[int, list] = {}
                 for a, v, x in zip(i.tolist(), di[j].tolist(), s.tolist(), strict=True):
                     heap = heaps.setdefault(a, [])
+                    if (x, -v) in heap:
+                        continue
                     (heapq.heappush if len(heap) < k else heapq.heappushpop)(heap, (x, -v))
                 rows = [(int(qi[a]), -v, x) for a, heap in heaps.items() for x, v in heap]
                 if rows:

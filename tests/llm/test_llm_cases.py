@@ -118,6 +118,22 @@ def test_neighbours_against_brute_force(spark):
     assert ann.nearest(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rng = np.random.default_rng(8)
+    vecs = rng.normal(size=(30, 8)).astype(np.float32)
+    schema = "vec_id bigint, embedding array<float>"
+    once = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], schema)
+    found = lambda df, q: sorted(map(tuple, ann.nearest(df.coalesce(1), q, 5).collect()))
+    want = found(once, once.filter("vec_id < 6"))
+    assert len(want) == 30
+    for times in (2, 5, 9):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs) for _ in range(times)], schema)
+        assert found(df, df.filter("vec_id < 6")) == want
+    # equal scores of one id under vectors that are not equal
+    scaled = spark.createDataFrame([(i, (v * 2.0**n).tolist()) for i, v in enumerate(vecs) for n in range(6)], schema)
+    assert [r[:3] for r in found(scaled, once.filter("vec_id < 6"))] == [r[:3] for r in want]
+
+
 # near-duplicates
 
 
