@@ -4,11 +4,13 @@ Base kinds are found by patterns and checked (parts of an address, digits and
 checksum of a card, digits of a phone number). The base matches, and long
 hexadecimal strings, are seeds. Every seed and every other identifier-like
 token with a digit is an instance; the words before it, and the words around
-it, are its patterns. Spark scores the graph of patterns and instances in
-``ROUNDS`` rounds: a pattern by the share of its instances that are sensitive,
-an instance by the patterns it occurs in. Instances of confident patterns with
-enough different supporting values become spans of kind ``id``. Base spans
-always stay; an ``id`` span never overlaps one.
+it, are its patterns. They are cut from the whole text, in which every word with
+a digit stands as one mark: items of a list share patterns, and a short number
+nearby hides none. Spark scores the graph of patterns and instances in rounds, a
+pattern by the share of its instances that are sensitive, an instance by the
+patterns it occurs in, until a round makes no further instance confident.
+Instances of confident patterns with enough different supporting values become
+spans of kind ``id``. Base spans always stay; an ``id`` span never overlaps one.
 
 Everything is DataFrame code. Positions come from the lengths of matches and of
 the text between them, summed by a window over each document's own matches.
@@ -20,6 +22,8 @@ one instance of the graph, wherever they occur; extra columns are not read.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +42,18 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 SEED_ID = "^[0-9a-fA-F]{32,}$"
 ID_CHARS = (6, 128)
 CONTEXT_CHARS = 48
+#: A word with a digit as contexts have it, and what becomes one: no text is
+#: likely to hold the mark itself.
+MARK = "\ue000"
+MARKED = rf"(?<![A-Za-z0-9_{MARK}-])[A-Za-z_-]*+[0-9{MARK}][A-Za-z0-9_{MARK}-]*+"
+#: Marks that only spaces and the signs of phone numbers part, one mark in all.
+MARKS = rf"[+(]*+{MARK}(?:[\x20().+-]++{MARK})*+"
+#: Characters of a gap that a context is cut from before words are marked;
+#: between id tokens there is nothing to mark.
+GAP_CHARS = 512
+#: Matches beside an instance that a context can reach over: one of any kind and
+#: the gap to the next are two characters at least.
+NEAR = CONTEXT_CHARS // 2
 ROUNDS = 3
 SUPPORT, CONFIDENT = 3, 0.5
 #: Names that no input has.
@@ -54,13 +70,29 @@ def _luhn(digits: str) -> str:
     return f"aggregate(sequence(0, length({digits}) - 1), 0, (s, i) -> s + if(i % 2 = 0, {d}, {d} * 2 - if({d} > 4, 9, 0))) % 10 = 0"
 
 
+def _contexts() -> tuple[str, str]:
+    """Text before and after match i, other matches and words with digits marked,
+    in SQL over kind, gaps and hits. A side is added to, match by match, until it is long
+    enough."""
+    width = f"if(kind = 'id', {CONTEXT_CHARS}, {GAP_CHARS})"
+    marked = lambda c: f"regexp_replace(regexp_replace({c}, {_q(MARKED)}, '{MARK}'), {_q(MARKS)}, '{MARK}')"
+    back = f"if(i = 0, array(), sequence(i - 1, greatest(0, i - {NEAR}), -1))"
+    ahead = f"if(i + 1 = size(hits), array(), sequence(i + 1, least(size(hits) - 1, i + {NEAR})))"
+    before = f"aggregate({back}, right(gaps[i], {width}), (s, j) -> if(char_length(s) >= {width}, s, concat(right(gaps[j], {width}), '{MARK}', s)))"
+    after = f"aggregate({ahead}, left(gaps[i + 1], {width}), (s, j) -> if(char_length(s) >= {width}, s, concat(s, '{MARK}', left(gaps[j + 1], {width}))))"
+    # matches that are too short or long to stay need none
+    kept = f"case kind when 'id' then char_length(h) between {ID_CHARS[0]} and {ID_CHARS[1]} when 'card' then char_length(h) >= 13 when 'phone' then char_length(h) >= 10 else true end"
+    return f"if({kept}, right({marked(before)}, {CONTEXT_CHARS}), '')", f"if({kept}, left({marked(after)}, {CONTEXT_CHARS}), '')"
+
+
 def matches(docs: DataFrame) -> DataFrame:
     """row_id, kind, start, end, value, before, after of every base match that
     holds and of every identifier-like token."""
     t = docs.filter("t rlike '[0-9@]'")
     found = [F.expr(f"named_struct('kind', '{k}', 'gaps', if({guard}, split(t, {_q(p)}, -1), null), 'hits', if({guard}, regexp_extract_all(t, {_q(p)}, 0), null))") for k, p, guard in KINDS]
     rows = t.select("row_id", F.explode(F.array(*found)).alias("m")).select("row_id", "m.kind", "m.gaps", "m.hits").filter("size(hits) > 0")
-    one = f"transform(hits, (h, i) -> named_struct('n', i, 'gap', char_length(gaps[i]), 'value', h, 'before', right(gaps[i], {CONTEXT_CHARS}), 'after', left(gaps[i + 1], {CONTEXT_CHARS})))"
+    before, after = _contexts()
+    one = f"transform(hits, (h, i) -> named_struct('n', i, 'gap', char_length(gaps[i]), 'value', h, 'before', {before}, 'after', {after}))"
     rows = rows.select("row_id", "kind", F.explode(F.expr(one)).alias("m")).select("row_id", "kind", "m.*").withColumn("size", F.char_length("value"))
     w = Window.partitionBy("row_id", "kind").orderBy("n")
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(w).cast("bigint")).withColumn("start", F.col("end") - F.col("size"))
@@ -99,17 +131,25 @@ def context_patterns(found: DataFrame) -> DataFrame:
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """value, score of the instances, by rounds over the graph."""
+    """value, score of the instances: ``rounds`` rounds over the graph with
+    scores as shares, then rounds in which confident instances count whole and
+    the others nothing, until one makes no further instance confident. Scores
+    never fall, so that comes; shares alone would go on to raise each other."""
     edges = written(context_patterns(found), "pii-edges")
     score = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    for n in range(rounds):
+    known = -1
+    for n in itertools.count():
+        sure = F.col("score") >= CONFIDENT
         joined = edges.join(score, "value")
-        patterns = joined.groupBy("pattern").agg(F.sum("score").alias("s"), F.count("*").alias("n"), F.count_if(F.col("score") >= CONFIDENT).alias("support"))
+        share = F.col("score") if n < rounds else sure.cast("double")
+        patterns = joined.groupBy("pattern").agg(F.sum(share).alias("s"), F.count("*").alias("n"), F.count_if(sure).alias("support"))
         patterns = patterns.filter(F.col("support") >= SUPPORT).select("pattern", (F.col("s") / (F.col("n") + 1)).alias("confidence"))
         patterns = written(patterns, f"pii-patterns-{n}")
-        told = edges.join(patterns, "pattern", "left").groupBy("value").agg(F.max("seed").alias("seed"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("best"))
+        told = joined.join(patterns, "pattern", "left").groupBy("value").agg(F.max("seed").alias("seed"), F.max(F.greatest("score", F.coalesce("confidence", F.lit(0.0)))).alias("best"))
         score = written(told.select("value", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.col("best")).alias("score")), f"pii-instances-{n}")
-    return score
+        last, known = known, score.filter(sure).count()
+        if n >= rounds and known == last:
+            return score
 
 
 def detect(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -321,6 +321,24 @@ def test_pii_bootstrap_finds_what_stands_like_seeds(spark):
     assert clean[0] == "call me at number [PHONE] or so" and clean[6] == "call me at number [ID] or so" and clean[7] == hidden[1]
 
 
+def test_pii_contexts_reach_over_other_tokens(spark):
+    known = [f"in room 4 badge +1 (523) 555-{1000 + i} was found" for i in range(6)]
+    lists = [f"account number is +1 (523) 555-{2000 + i}, +1 (523) 555-{3000 + i} and +1 (523) 555-{4000 + i} today" for i in range(6)]
+    hidden = ["in room 4 badge QX-88213 was found", "in room 17 badge QX-88214 was found", f"account number is AB12345, AB12346 and {'AB12347' * 9} today", "a plain 2024-05-17 date, 2024-05-18 and 2024-05-19 too"]
+    df = spark.createDataFrame(list(enumerate(known + lists + hidden)), "doc_id bigint, text string")
+    rows, spans = pii.detect(df)
+    assert {r.value for r in spans.filter("kind = 'id'").collect()} == {"QX-88213", "QX-88214", "AB12345", "AB12346", "AB12347" * 9}
+    texts = rows.select(F.col(pii.ROW).alias("row_id"), F.col("text").alias("t"))
+    assert pii.matches(texts).filter("trim(before) = '' or trim(after) = ''").count() == 0
+
+
+def test_pii_rounds_go_on_while_they_find(spark):
+    # a chain: the contexts of each four values are told by the four before
+    rows = [(p, k, n) for k in range(8) for n in range(4) for p in (f"p{k}{'aabb'[n]}", f"p{k + 1}a", f"p{k + 1}b")]
+    found = spark.createDataFrame([(f"{p} b c", "id" if k else "ip", f"v{k}-{n}", "") for p, k, n in rows], "before string, kind string, value string, after string")
+    assert pii.bootstrap(found).filter("score >= 0.5").count() == 32
+
+
 def test_redaction_keeps_all_else(spark):
     df = awkward(spark, ["x a@b.c y 1.2.3.4", "1.2.3.4a@b.cc"])
     out = pii.redact(df)
