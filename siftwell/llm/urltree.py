@@ -4,9 +4,12 @@ A path becomes a template level by level: segments that are numbers, hex or
 mixed identifiers, or very long, become wildcards at once; a position below
 one parent that takes many values, each of few pages, becomes ``*``. Sibling
 branches whose labelled rates do not differ more than chance explains are
-merged and pool their labels. A template is rejected if enough labels support
-it and its smoothed share of bad ones, the purity, is high; without labels of
-its own a template is left alone.
+merged and pool their labels, however few they have. A template is rejected if
+its smoothed share of bad labels, the purity, is high. With ``SUPPORT`` labels it
+is smoothed towards the share of all; with fewer, towards the purity of the rest
+of its parent, that towards the rest of the parent's parent, and so on from the
+host, so that no label counts twice. Without labels of its own a template is
+left alone.
 
 Labels come from a column, by default: the verdicts of the explicit rules, and
 hosts that carry a word of a seed list.
@@ -78,8 +81,8 @@ def _levels(path: Column) -> Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, raw (typed segments), template, n, bad, good: from pages with
-    host, path and label (1 bad, 0 good, null)."""
+    """host, raw (typed segments), key (of the template), template, n, bad,
+    good: from pages with host, path and label (1 bad, 0 good, null)."""
     base = pages.groupBy("host", _levels(F.col("path")).alias("raw")).agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") == 0).alias("good"))
     tree = written(base.withColumn("key", F.col("raw")), "url-level-0")
     for level in range(1, LEVELS + 1):
@@ -88,26 +91,35 @@ def templates(pages: DataFrame) -> DataFrame:
         kids = written(here.filter("seg is not null").groupBy("host", "up", "seg").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good")), f"url-kids-{level}")
         whole = kids.groupBy("host", "up").agg(F.count("*").alias("kinds"), F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"), F.sum(F.col("bad") + F.col("good")).alias("all_known"))
         kids = kids.join(whole, ["host", "up"])
-        known, rate = F.col("bad") + F.col("good"), (F.col("all_bad") + 1) / (F.col("all_known") + 2)
+        known, rate = F.nullif(F.col("bad") + F.col("good"), F.lit(0)), (F.col("all_bad") + 1) / (F.col("all_known") + 2)
         sd = F.sqrt(rate * (1 - rate) / known)
         many = (F.col("kinds") >= MANY_VALUES) & (F.col("all_n") <= FEW_PAGES * F.col("kinds"))
-        alike = (F.col("kinds") > 1) & (known >= SUPPORT) & (F.abs(F.col("bad") / known - rate) <= SAME_RATE * sd) & (known < F.col("all_known"))
+        alike = (F.col("kinds") > 1) & (F.abs(F.col("bad") / known - rate) <= SAME_RATE * sd) & (known < F.col("all_known"))
         turned = kids.filter(many | alike).select("host", "up", "seg", F.when(many, F.lit("*")).otherwise(F.lit("~")).alias("new"))
         turned = small(written(turned, f"url-turned-{level}"))
         rest = F.slice("key", level + 1, LEVELS + 1)
         here = here.join(turned, ["host", "up", "seg"], "left")
         key = F.when(F.col("new").isNotNull(), F.concat(parent, F.array("new"), rest)).otherwise(F.col("key"))
         tree = written(here.select("host", "raw", "n", "bad", "good", key.alias("key")), f"url-level-{level}")
-    return tree.select("host", "raw", F.concat(F.lit("/"), F.array_join("key", "/")).alias("template"), "n", "bad", "good")
+    return tree.select("host", "raw", "key", F.concat(F.lit("/"), F.array_join("key", "/")).alias("template"), "n", "bad", "good")
 
 
 def rejected(tree: DataFrame) -> DataFrame:
     """host, template, purity of the templates that are rejected."""
     total = tree.agg(((F.sum("bad") + 1) / (F.sum(F.col("bad") + F.col("good")) + 2)).alias("prior"))
-    own = tree.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    own = own.filter(F.col("bad") + F.col("good") >= SUPPORT).crossJoin(F.broadcast(total))
-    purity = (F.col("bad") + SMOOTH * F.least("prior", F.lit(0.5))) / (F.col("bad") + F.col("good") + SMOOTH)
-    return own.withColumn("purity", purity).filter(F.col("purity") >= PURITY).select("host", "template", "purity")
+    own = tree.groupBy("host", "key", "template").agg(F.sum("bad").alias("bad"), F.sum(F.col("bad") + F.col("good")).alias("known"))
+    own = written(own.filter("known > 0").crossJoin(F.broadcast(total)).withColumn("prior", F.least("prior", F.lit(0.5))), "url-own")
+    enough = own.filter(F.col("known") >= SUPPORT).select("host", "template", ((F.col("bad") + SMOOTH * F.col("prior")) / (F.col("known") + SMOOTH)).alias("purity"))
+    # the labels of every branch, the host being the branch of level 0
+    on = own.select("host", "key", "bad", "known", F.explode(F.sequence(F.lit(0), F.size("key"))).alias("level")).withColumn("up", F.to_json(F.slice("key", F.lit(1), F.col("level"))))
+    branches = small(written(on.groupBy("host", "up").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known")), "url-branches"))
+    few = own.filter(F.col("known") < SUPPORT)
+    few = few.select("host", "template", "prior", F.struct("bad", "known").alias("own"), F.explode(F.sequence(F.lit(0), F.size("key"))).alias("level"), F.to_json(F.slice("key", F.lit(1), F.col("level"))).alias("up"))
+    few = few.join(branches, ["host", "up"]).groupBy("host", "template", "prior", "own").agg(F.sort_array(F.collect_list(F.struct("level", "bad", "known"))).alias("path"))
+    # what each has beyond the next one down the path, and the template itself
+    steps = "concat(transform(path, (x, i) -> named_struct('bad', x.bad - if(i + 1 < size(path), path[i + 1].bad, own.bad), 'known', x.known - if(i + 1 < size(path), path[i + 1].known, own.known))), array(own))"
+    few = few.select("host", "template", F.expr(f"aggregate({steps}, cast(prior as double), (p, x) -> (x.bad + {SMOOTH}D * p) / (x.known + {SMOOTH}D))").alias("purity"))
+    return enough.unionByName(few).filter(F.col("purity") >= PURITY)
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", label: Column | None = None) -> DataFrame:

@@ -478,6 +478,19 @@ def test_url_templates_are_rejected_by_purity(spark):
     assert out["http://g.xyz/user/1/spam-a"] == "allow"
 
 
+def test_url_small_branches_of_a_host_are_judged_together(spark):
+    words = ["ant", "bee", "cat", "dog", "eel", "fox", "gnu", "hen"]
+    rows = [(f"http://bad.xyz/{w}/{v}", 1) for w in words for v in words[:2]] + [(f"http://good.xyz/{w}/{v}", 0) for w in words for v in words[:2]]
+    rows += [(f"http://odd.xyz/{w}/x", int(w == "ant")) for w in words] + [("http://one.xyz/ant/x", 1), ("http://bad.xyz/new/x", None)]
+    # small branches that are too unlike to merge: the host's other labels decide
+    rows += [(f"http://rest.xyz/big/{w}", 0) for w in words for _ in range(3)] + [("http://rest.xyz/ant/x", 1)] * 3 + [("http://foul.xyz/p/x", 1)] * 4 + [("http://foul.xyz/q/r/x", 1)] * 4
+    df = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(rows)], "page_id bigint, url string, y int")
+    got = {}
+    for r in urltree.judge(df, label=F.col("y")).collect():
+        got.setdefault(r.host + ("/new" if "/new/" in r.url else ""), set()).add(r.verdict)
+    assert got == {"bad.xyz": {"block"}, "bad.xyz/new": {"allow"}, "foul.xyz": {"block"}, **{f"{h}.xyz": {"allow"} for h in ("good", "odd", "one", "rest")}}
+
+
 # preferences
 
 
