@@ -119,7 +119,7 @@ class Engine:
     # questions
 
     def _asked(self, questions: DataFrame) -> DataFrame:
-        return vector.checked(questions if "embedding" in questions.columns else questions.withColumn("embedding", embed_udf(self.embedder)("question")))
+        return questions if "embedding" in questions.columns else questions.withColumn("embedding", embed_udf(self.embedder)("question"))
 
     def retrieve(self, questions: DataFrame) -> DataFrame:
         """``questions`` (qid, question) -> ranked matches with all steps of

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Retrieval
 from ..functions.classify import CATALOG, EXPLANATION_CATEGORIES, LOOKUP, intent
 
-#: Questions up to which a batch is sent to every executor.
+#: Questions up to which a block is sent to every executor.
 BROADCAST_QUESTIONS = 10_000
 
 
@@ -25,7 +28,7 @@ def prepared(df: DataFrame, vec: str = "embedding") -> DataFrame:
 
 def similarities(questions: DataFrame, chunks: DataFrame, score_mode: str = "relevance") -> DataFrame:
     """Every question of a batch against every chunk: qid, chunk columns, score.
-    The questions are a stated query set; a batch is bounded and broadcast."""
+    The questions are one block and are broadcast."""
     q = prepared(questions).select("qid", *[c for c in questions.columns if c not in ("qid", "embedding")], F.col("_v").alias("_q"), F.col("_norm").alias("_qn"), F.size("_v").alias("_dim"))
     c = prepared(chunks).withColumn("_dim", F.size("_v"))
     pairs = c.join(F.broadcast(q), "_dim")
@@ -34,12 +37,16 @@ def similarities(questions: DataFrame, chunks: DataFrame, score_mode: str = "rel
     return pairs.withColumn("score", score).drop("_q", "_qn", "_v", "_norm", "_dim", "embedding")
 
 
-def checked(questions: DataFrame) -> DataFrame:
-    """A batch of questions that may be broadcast; longer ones have to be asked
-    in several batches."""
-    if questions.limit(BROADCAST_QUESTIONS + 1).count() > BROADCAST_QUESTIONS:
-        raise ValueError(f"ask at most {BROADCAST_QUESTIONS} questions at once")
-    return questions
+def in_blocks(questions: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``ask`` finds for all questions. More than may be broadcast are dealt
+    by the hash of their qid into blocks of half as many on average, so that
+    none is too long; each block scans the chunks once."""
+    n = questions.count()
+    if n <= BROADCAST_QUESTIONS:
+        return ask(questions)
+    blocks = -(-2 * n // BROADCAST_QUESTIONS)
+    block = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [ask(questions.filter(block == i)) for i in range(blocks)])
 
 
 def ranked(df: DataFrame, k: int, score: str = "score", rank: str = "rank") -> DataFrame:
@@ -52,16 +59,24 @@ def top_k(questions: DataFrame, chunks: DataFrame, k: int, min_score: float | No
     """Filtered exact top-k; the filter reaches the scan of the chunks."""
     if categories is not None:
         chunks = chunks.filter(F.col("category").isin(*categories))
-    found = similarities(questions, chunks, score_mode)
-    if min_score is not None:
-        found = found.filter(F.col("score") >= min_score)
-    return ranked(found, k)
+
+    def ask(block: DataFrame) -> DataFrame:
+        found = similarities(block, chunks, score_mode)
+        if min_score is not None:
+            found = found.filter(F.col("score") >= min_score)
+        return ranked(found, k)
+
+    return in_blocks(questions, ask)
 
 
 def routed(questions: DataFrame, chunks: DataFrame, k: int, config: Retrieval = Retrieval()) -> DataFrame:
     """Retrieval by intent: lookups among the catalog, explanations among the
     narrative categories. A question whose categories give nothing above the
     floor is answered from all chunks, in the same job."""
+    return in_blocks(questions, lambda block: _routed(block, chunks, k, config))
+
+
+def _routed(questions: DataFrame, chunks: DataFrame, k: int, config: Retrieval) -> DataFrame:
     q = questions.withColumn("intent", intent(F.col("question")))
     found = similarities(q, chunks, config.score_mode).filter(F.col("score") >= config.min_score)
     if not config.routing:

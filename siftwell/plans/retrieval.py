@@ -30,21 +30,17 @@ s AS (SELECT qid, intent, chunk_id, category, source, type, text, (1 + list_cosi
 _RANK = "row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id)"
 
 
-def _questions(spark, sf_dir):
-    return vector.checked(S.questions(spark, sf_dir))
-
-
 @query(f"WITH {_PAIRS} SELECT qid, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, CAST({_RANK} AS INTEGER) AS rank FROM s WHERE score >= 0.5) WHERE rank <= 5")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact top 5 above the score floor."""
-    found = vector.top_k(_questions(spark, sf_dir), S.vectors(spark, sf_dir).select("chunk_id", "embedding"), 5, 0.5)
+    found = vector.top_k(S.questions(spark, sf_dir), S.vectors(spark, sf_dir).select("chunk_id", "embedding"), 5, 0.5)
     return found.select("qid", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_PAIRS} SELECT qid, chunk_id, category, rank, round(score, 6) AS score FROM (SELECT *, CAST({_RANK} AS INTEGER) AS rank FROM s WHERE category IN ('fds', 'rules')) WHERE rank <= 5")
 def vector_topk_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 5 among two categories."""
-    found = vector.top_k(_questions(spark, sf_dir), S.vectors(spark, sf_dir).select("chunk_id", "category", "embedding"), 5, categories=("fds", "rules"))
+    found = vector.top_k(S.questions(spark, sf_dir), S.vectors(spark, sf_dir).select("chunk_id", "category", "embedding"), 5, categories=("fds", "rules"))
     return found.select("qid", "chunk_id", "category", "rank", F.round("score", 6).alias("score"))
 
 
@@ -58,7 +54,7 @@ FROM (SELECT *, CAST({_RANK} AS INTEGER) AS rank FROM a WHERE inside OR NOT hit)
 @query(_ROUTED)
 def routed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval by intent with fallback."""
-    found = vector.routed(_questions(spark, sf_dir), S.vectors(spark, sf_dir).select("chunk_id", "category", "embedding"), 5, Retrieval(min_score=_FLOOR))
+    found = vector.routed(S.questions(spark, sf_dir), S.vectors(spark, sf_dir).select("chunk_id", "category", "embedding"), 5, Retrieval(min_score=_FLOOR))
     return found.select("qid", "intent", "chunk_id", "category", "fallback", "rank", F.round("score", 6).alias("score"))
 
 
@@ -180,7 +176,7 @@ SELECT qid, chunk_id, CAST(rank AS INTEGER) AS rank, CAST(final_rank AS INTEGER)
 )
 def feedback_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pool of 10, nudged by votes, cut to 5."""
-    pool = vector.top_k(_questions(spark, sf_dir).select("qid", "embedding"), S.vectors(spark, sf_dir).select("chunk_id", "source", "embedding"), 10)
+    pool = vector.top_k(S.questions(spark, sf_dir).select("qid", "embedding"), S.vectors(spark, sf_dir).select("chunk_id", "source", "embedding"), 10)
     out = rerank.feedback_order(pool, feedback.boosts(feedback.source_votes(S.votes(spark, sf_dir))), k=5)
     return out.select("qid", "chunk_id", "rank", "final_rank", F.round("adjusted", 6).alias("adjusted"))
 
@@ -191,7 +187,7 @@ SELECT qid, chunk_id, CAST(rank AS INTEGER) AS rank, CAST(row_number() OVER (PAR
 )
 def rerank_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reranker's partial answer merged back; the rest follows in order."""
-    pool = vector.top_k(_questions(spark, sf_dir).select("qid", "embedding"), S.vectors(spark, sf_dir).select("chunk_id", "embedding"), 10)
+    pool = vector.top_k(S.questions(spark, sf_dir).select("qid", "embedding"), S.vectors(spark, sf_dir).select("chunk_id", "embedding"), 10)
     said = pool.filter("chunk_id % 3 <> 0").select("qid", "chunk_id", (F.col("chunk_id") % 7).cast("double").alias("rerank_score"))
     return rerank.merge(pool, said).select("qid", "chunk_id", "rank", "new_rank")
 
@@ -239,7 +235,7 @@ SELECT q.qid, n_sources, '{conversation._TASK.replace("'", "''")}' || 'Context:'
 )
 def prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context and prompt of every question."""
-    q = _questions(spark, sf_dir)
+    q = S.questions(spark, sf_dir)
     found = vector.top_k(q.select("qid", "embedding"), S.vectors(spark, sf_dir).select("chunk_id", "text", "source", "embedding"), 5, 0.5)
     return answers.prompts(q.select("qid", "question"), found).select("qid", F.size("sources").cast("bigint").alias("n_sources"), "prompt")
 
@@ -247,7 +243,7 @@ def prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_PAIRS}, top AS (SELECT *, {_RANK} AS rank FROM s WHERE score >= 0.5 QUALIFY rank <= 5) SELECT qid, string_agg(source || ' ' || type || ' ' || substr(text, 1, 200) || '...', '|' ORDER BY rank) AS refs FROM top GROUP BY qid")
 def source_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source references of each answer, in rank order."""
-    found = vector.top_k(_questions(spark, sf_dir).select("qid", "embedding"), S.vectors(spark, sf_dir).select("chunk_id", "text", "source", "type", "embedding"), 5, 0.5)
+    found = vector.top_k(S.questions(spark, sf_dir).select("qid", "embedding"), S.vectors(spark, sf_dir).select("chunk_id", "text", "source", "type", "embedding"), 5, 0.5)
     refs = answers.source_list(found)
     return refs.select("qid", F.array_join(F.transform("references", lambda r: F.concat_ws(" ", r["source"], r["type"], r["excerpt"])), "|").alias("refs"))
 
@@ -272,7 +268,7 @@ def cache_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routed retrieval, reranking, prompt and a deterministic generator."""
-    q = _questions(spark, sf_dir)
+    q = S.questions(spark, sf_dir)
     found = vector.routed(q, S.vectors(spark, sf_dir).select("chunk_id", "text", "source", "category", "embedding"), 10)
     ranked = rerank.rerank(found, Rerank()).filter("new_rank <= 5").drop("rank").withColumnRenamed("new_rank", "rank")
     return answers.answer(answers.prompts(q.select("qid", "question"), ranked)).select("qid", "question", "answer", "sources", "cacheable")

@@ -32,3 +32,11 @@ def test_category_filter_reaches_the_scan(spark, tmp_path):
     q = chunks.limit(1).selectExpr("1 as qid", "embedding")
     plan = vector.top_k(q, chunks, 2, categories=("rules",))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(category" in plan or "PartitionFilters: [(category" in plan or "category#" in plan.split("PartitionFilters:")[1][:80]
+
+
+@pytest.mark.parametrize("name", ["vector_topk", "routed_topk"])
+def test_more_questions_than_a_block_are_all_answered(spark, agrees, monkeypatch, name):
+    from siftwell.operators import vector
+
+    monkeypatch.setattr(vector, "BROADCAST_QUESTIONS", 6)
+    agrees(name)
