@@ -44,6 +44,25 @@ def excerpt(text: Column, chars: int = 200) -> Column:
     return F.concat(F.substring(text, 1, chars), F.lit("..."))
 
 
+#: Characters of the blocks that long texts are cut into once, so that a piece
+#: is not looked for from the start of the text.
+BLOCK = 4096
+
+
+def pieces(text: Column, spans: Column) -> Column:
+    """The substrings of ``text`` at an array of (a, b), from 0, end exclusive.
+    The text is cut into blocks in one pass; a piece is put together from the
+    blocks it touches."""
+    from .headers import let
+
+    def cut(blocks, s):
+        first, last = F.floor(s["a"] / BLOCK).cast("int"), F.floor((s["b"] - 1) / BLOCK).cast("int")
+        near = F.when(first == last, blocks[first]).otherwise(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""))
+        return F.when(s["b"] > s["a"], F.substring(near, (s["a"] - first * BLOCK + 1).cast("int"), (s["b"] - s["a"]).cast("int"))).otherwise(F.lit(""))
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), lambda blocks: F.transform(spans, lambda s: cut(blocks, s)))
+
+
 def windows(text: Column, size: int = 500, overlap: int = 10) -> Column:
     """Array of (n, text): fixed windows of characters, each ``overlap`` into
     the one before. Empty texts have none."""
@@ -51,7 +70,8 @@ def windows(text: Column, size: int = 500, overlap: int = 10) -> Column:
         raise ValueError("overlap has to be under the size")
     step = size - overlap
     n = F.greatest(F.ceil((F.char_length(text) - overlap) / F.lit(step)), F.lit(1)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("n"), F.substring(text, i * step + 1, F.lit(size)).alias("text")))
+    spans = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((i * step).alias("a"), F.least(i * step + size, F.char_length(text)).alias("b")))
+    cut = F.transform(pieces(text, spans), lambda t, i: F.struct(i.alias("n"), t.alias("text")))
     return F.when(F.char_length(text) > 0, cut)
 
 

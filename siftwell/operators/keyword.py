@@ -7,19 +7,23 @@ from pyspark.sql import functions as F
 
 from ..config import Hybrid
 from ..functions.text import tokens
+from .layout import small, spread
 
 
 def postings(docs: DataFrame, analyzer: str = "simple", id_col: str = "chunk_id", text: str = "text") -> DataFrame:
     """term, chunk_id, tf, dl: the materialised index. dl counts distinct terms."""
-    base = docs.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text), analyzer).alias("_t"))
-    each = base.select("chunk_id", F.size(F.array_distinct("_t")).alias("dl"), F.explode("_t").alias("term"))
+    base = spread(docs.select(F.col(id_col).alias("chunk_id"), F.col(text).alias("_x"))).select("chunk_id", tokens(F.col("_x"), analyzer).alias("_t"))
+    # bound below the explode: once a text, not once a word. The outer one does
+    # not cut the words a second time to drop texts without any
+    base = base.withColumn("dl", F.size(F.array_distinct("_t")))
+    each = base.select("chunk_id", "dl", F.explode_outer("_t").alias("term")).filter("term is not null")
     return each.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(docs: DataFrame, analyzer: str = "simple", text: str = "text") -> DataFrame:
     """One row: n_docs (1 at least) and avg_dl (1 if there is none)."""
     n = F.size(F.array_distinct(tokens(F.col(text), analyzer)))
-    found = docs.select(n.alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("a"))
+    found = spread(docs.select(text)).select(n.alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("a"))
     return found.select(F.greatest("n", F.lit(1)).alias("n_docs"), F.when(F.col("a") > 0, F.col("a")).otherwise(F.lit(1.0)).alias("avg_dl"))
 
 
@@ -49,10 +53,12 @@ def bm25(terms: DataFrame, index: DataFrame, stats: DataFrame, config: Hybrid =
     if mode not in ("and", "or"):
         raise ValueError(f"mode is and or or, not {mode!r}")
     # both uses of the index see the questions' terms alone
-    index = index.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    asked = small(terms)
+    index = index.join(small(terms.select("term").distinct()), "term", "left_semi")
     freq = doc_freq(index) if freq is None else freq
+    # a row per question and term, so no more than asked
     known = terms.join(freq, "term")
-    hits = index.join(F.broadcast(known), "term").crossJoin(F.broadcast(stats))
+    hits = index.join(known if asked is terms else F.broadcast(known), "term").crossJoin(F.broadcast(stats))
     part = bm25_term(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avg_dl"), config.k1, config.b)
     found = hits.groupBy("qid", "chunk_id", "n_terms").agg(F.sum(part).alias("bm25"), F.count("*").alias("_n"))
     if mode == "and":
