@@ -1,7 +1,7 @@
 """The engine's API over tables below one root folder.
 
-Writes append, or write a new snapshot beside the old one and swap them; reads
-are lazy DataFrames. Model calls (embedder, reranker, generator) are plug-ins.
+Writes append to a table's newest version, or write the next one; reads are lazy
+DataFrames. Model calls (embedder, reranker, generator) are plug-ins.
 """
 
 from __future__ import annotations
@@ -39,15 +39,23 @@ class Engine:
 
     def table(self, name: str) -> DataFrame:
         """A stored table; empty if nothing was written yet."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(name))
-        if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(self._path(name))
+        at = ingest.current_snapshot(self.spark, self._path(name))
+        return self.spark.createDataFrame([], TABLES[name]) if at is None else self.spark.read.schema(TABLES[name]).parquet(at)
+
+    def tables(self) -> DataFrame:
+        """What the engine stores: table, column, type, whether it is there,
+        and whether the column lays it out."""
+        rows = []
+        for name, ddl in TABLES.items():
+            there = ingest.current_snapshot(self.spark, self._path(name)) is not None
+            rows += [(name, f.name, f.dataType.simpleString(), there, f.name in PARTITIONS.get(name, ())) for f in self.spark.createDataFrame([], ddl).schema]
+        return self.spark.createDataFrame(rows, "table string, column string, type string, stored boolean, partition boolean")
 
     def _append(self, name: str, df: DataFrame) -> None:
         want = self.spark.createDataFrame([], TABLES[name]).schema
         have = set(df.columns)
-        df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in want]).write.mode("append").partitionBy(*PARTITIONS.get(name, ())).parquet(self._path(name))
+        at = ingest.current_snapshot(self.spark, self._path(name)) or f"{self._path(name)}/v00000000"
+        df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in want]).write.mode("append").partitionBy(*PARTITIONS.get(name, ())).parquet(at)
 
     def _replace(self, name: str, df: DataFrame) -> None:
         ingest.swap_snapshot(self.spark, df, self._path(name), PARTITIONS.get(name, ()))
@@ -85,23 +93,26 @@ class Engine:
         """Every supported file below a folder; outcomes go to their queues.
         Returns the report of the batch."""
         found = files.scan(self.spark, folder)
-        parsed = files.parse(found.filter(~F.lower("name").endswith(".xlsx"))).persist()
+        book = F.lower("name").endswith(".xlsx")
+        parsed, cells = files.parse(found.filter(~book)).persist(), files.cells(found).persist()
         try:
             ok = parsed.filter("status = 'OK'").select(F.col("path").alias("source"), "name", "type", "text")
             chunks = ingest.chunk_documents(ok, self.config.retrieval, "recursive")
-            books = found.filter(F.lower("name").endswith(".xlsx"))
-            if books.select("path").head(1):
-                rows = sheets.chunk_rows(files.cells(books), self.config.sheets).join(books.select(F.col("name").alias("workbook"), F.col("path").alias("source")), "workbook")
-                rows = rows.withColumn("chunk_id", F.sha2(F.concat_ws("\n", "source", "sheet", F.col("row_start").cast("string")), 256))
-                chunks = chunks.unionByName(rows.select(*chunks.columns))
-                parsed = parsed.unionByName(books.select("path", "name", "type", F.lit("OK").alias("status"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("error")))
+            rows = sheets.chunk_rows(cells.filter("error is null").drop("error"), self.config.sheets)
+            rows = rows.withColumn("chunk_id", F.sha2(F.concat_ws("\n", "source", "sheet", F.col("row_start").cast("string")), 256))
+            chunks = chunks.unionByName(rows.select(*chunks.columns))
+            # a workbook that cannot be read fails alone
+            errors = cells.filter("error is not null").select(F.col("workbook").alias("path"), "error")
+            books = found.filter(book).select("path", "name", "type").join(errors, "path", "left")
+            outcomes = parsed.unionByName(books.select("path", "name", "type", F.when(F.col("error").isNull(), "OK").otherwise("FAILED").alias("status"), F.lit(None).cast("string").alias("text"), "error"))
             self.ingest_chunks(chunks)
-            good, bad = ingest.outcomes(parsed, self.table("documents").select("source", "chunk_count"), batch_id)
+            good, bad = ingest.outcomes(outcomes, self.table("documents").select("source", "chunk_count"), batch_id)
             self._append("success", good.withColumn("completed_at", F.current_timestamp()))
             self._append("failure", bad.withColumn("failed_at", F.current_timestamp()))
             self._append("batches", found.agg(F.count("*").alias("total_files")).withColumns({"id": F.lit(batch_id), "folder_path": F.lit(folder), "started_at": F.current_timestamp()}))
         finally:
             parsed.unpersist()
+            cells.unpersist()
         return self.batch_report(batch_id)
 
     def batch_report(self, batch_id: str) -> DataFrame:
@@ -203,8 +214,11 @@ class Engine:
     # commits
 
     def sync_commits(self, walked: DataFrame, position: str = "position") -> DataFrame:
-        """Store the commits before the first known one; returns them."""
-        new = history.new_commits(walked, self.table("commits"), self.config.commits.max_per_sync, position).persist()
+        """Store the commits before the first known one; returns them, as
+        written: they are kept as the table ``last_sync`` until the next sync."""
+        at = self._path("last_sync")
+        ingest.swap_snapshot(self.spark, history.new_commits(walked, self.table("commits"), self.config.commits.max_per_sync, position), at)
+        new = self.spark.read.parquet(ingest.current_snapshot(self.spark, at))
         self._append("commits", new)
         return new
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import STRUCTURAL_KEYS
@@ -34,11 +34,6 @@ def normalize(header: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(header, F.lit(""))), "[^a-z0-9]", "")
 
 
-def synonym_table(spark: SparkSession) -> DataFrame:
-    rows = [(k, "".join(c for c in s.lower() if c.isalnum())) for k, names in SYNONYMS.items() for s in names]
-    return spark.createDataFrame(sorted(set(rows)), "key string, norm string")
-
-
 def is_identifier(header: Column) -> Column:
     """Normalised header ends like an identifier; repeated ones (#) do not count."""
     return F.coalesce(~header.contains("#") & normalize(header).rlike("(id|name|key|code)$"), F.lit(False))
@@ -54,26 +49,45 @@ def is_reserved(key: Column) -> Column:
     return key.isin(*fixed) | key.endswith(START) | key.endswith(END) | key.endswith(WARNING)
 
 
-def match_headers(headers: DataFrame, business_fields: dict[str, str] | None = None) -> DataFrame:
-    """``headers`` (workbook, sheet, col, header) -> workbook, sheet, key, col:
+def match_keys(headers: Column, business_fields: dict[str, str] | None = None) -> Column:
+    """Array of (col, header) in the order of columns -> array of (key, col):
     canonical keys first, configured fields next, dynamic identifiers last; a
     column is claimed once and the first column of a key wins."""
-    spark, sheet = headers.sparkSession, ["workbook", "sheet"]
-    h = headers.withColumn("norm", normalize(F.col("header")))
-
-    def first(df: DataFrame) -> DataFrame:
-        return df.groupBy(*sheet, "key").agg(F.min("col").alias("col"))
-
-    known = first(h.join(F.broadcast(synonym_table(spark)), "norm"))
-    left = h.join(known.select(*sheet, "col"), [*sheet, "col"], "left_anti")
-    fields = {"".join(c for c in k.lower() if c.isalnum()): v for k, v in (business_fields or {}).items() if v and v.strip() and v not in STRUCTURAL_KEYS and v != TAB_HEADER}
-    configured = first(left.join(F.broadcast(spark.createDataFrame(list(fields.items()) or [("", "")], "norm string, key string")).filter("norm <> ''"), "norm"))
-    configured = configured.join(known.select(*sheet, "key"), [*sheet, "key"], "left_anti")
-    left = left.join(configured.select(*sheet, "col"), [*sheet, "col"], "left_anti")
-    key = dynamic_key(F.col("header"))
-    dynamic = first(left.filter(is_identifier(F.col("header"))).withColumn("key", key).filter((F.col("key") != "") & ~is_reserved(F.col("key"))))
-    dynamic = dynamic.join(configured.select(*sheet, "key"), [*sheet, "key"], "left_anti")
-    return known.unionByName(configured).unionByName(dynamic)
+    plain = lambda text: "".join(c for c in text.lower() if c.isalnum())
+    fixed = {plain(name): key for key, names in SYNONYMS.items() for name in names}
+    fields = {plain(k): v for k, v in (business_fields or {}).items() if plain(k) and v and v.strip() and v not in STRUCTURAL_KEYS and v != TAB_HEADER}
+
+    def looked_up(words: dict[str, str], norm: Column) -> Column:
+        return F.element_at(F.create_map(*(F.lit(x) for pair in words.items() for x in pair)), norm) if words else F.lit(None).cast("string")
+
+    def candidate(h):
+        key = dynamic_key(h["header"])
+        own = let(key, lambda k: F.when(is_identifier(h["header"]) & (k != "") & ~is_reserved(k), k))
+        return let(normalize(h["header"]), lambda n: F.struct(h["col"].alias("col"), looked_up(fixed, n).alias("fixed"), looked_up(fields, n).alias("field"), own.alias("own")))
+
+    def claim(left: Column, kind: str, gone: Column, body) -> Column:
+        """body(the first of each key of a kind, the columns that are left)."""
+        keys = F.transform(left, lambda x: x[kind])
+
+        def first(ks, x, i):
+            return F.coalesce((F.array_position(ks, x[kind]) == i + 1) & ~F.array_contains(gone, x[kind]), F.lit(False))
+
+        taken = lambda ks: F.transform(F.filter(left, lambda x, i: first(ks, x, i)), lambda x: F.struct(x[kind].alias("key"), x["col"].alias("col")))
+        rest = lambda ks: F.filter(left, lambda x, i: ~first(ks, x, i))
+        return let(keys, lambda ks: let(taken(ks), lambda t: let(rest(ks), lambda r: body(t, r))))
+
+    none = F.array().cast("array<string>")
+    names = lambda taken: F.transform(taken, lambda t: t["key"])
+    last = lambda a, b: lambda c, _: F.concat(a, b, c)
+    second = lambda a: lambda b, r: claim(r, "own", names(b), last(a, b))
+    return let(F.transform(headers, candidate), lambda c: claim(c, "fixed", none, lambda a, r: claim(r, "field", names(a), second(a))))
+
+
+def match_headers(headers: DataFrame, business_fields: dict[str, str] | None = None) -> DataFrame:
+    """match_keys() of ``headers`` (workbook, sheet, col, header), one row per
+    key: workbook, sheet, key, col."""
+    whole = headers.groupBy("workbook", "sheet").agg(F.sort_array(F.collect_list(F.struct("col", "header"))).alias("h"))
+    return whole.select("workbook", "sheet", F.inline(match_keys(F.col("h"), business_fields)))
 
 
 def range_hints(headers: Column) -> Column:

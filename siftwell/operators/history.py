@@ -15,11 +15,14 @@ BROADCAST_SPRINTS = 10_000
 
 def new_commits(walked: DataFrame, known: DataFrame, cap: int = Commits.max_per_sync, position: str = "position") -> DataFrame:
     """The newest commits before the first one that is stored already, at most
-    ``cap`` per repository. ``walked`` is ordered by ``position``, newest first."""
+    ``cap`` per repository. ``walked`` is ordered by ``position``, newest first.
+    The first known position is an aggregate; the window sees what is before it,
+    and ``cap`` rows of a repository from each partition."""
+    keys = ["repository_id", "commit_hash"]
+    first = walked.join(known.select(*keys), keys, "left_semi").groupBy("repository_id").agg(F.min(position).alias("_first"))
+    new = walked.join(first, "repository_id", "left").filter(F.col("_first").isNull() | (F.col(position) < F.col("_first")))
     w = Window.partitionBy("repository_id").orderBy(position)
-    flags = walked.join(known.select("repository_id", "commit_hash", F.lit(1).alias("_known")), ["repository_id", "commit_hash"], "left")
-    flags = flags.withColumn("_seen", F.max(F.coalesce("_known", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w))
-    return flags.filter((F.col("_seen") == 0) & (F.col("_n") <= cap)).drop("_known", "_seen", "_n")
+    return new.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap).select(*walked.columns)
 
 
 def diff_stats(edits: DataFrame) -> DataFrame:

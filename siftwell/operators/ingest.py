@@ -69,14 +69,29 @@ def without(table: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     return table.join(gone.select(key), key, "left_anti")
 
 
-def swap_snapshot(spark: SparkSession, df: DataFrame, path: str, partition: tuple[str, ...] = ()) -> None:
-    """Replace a stored table: write beside it, then exchange the folders."""
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished versions below a table's folder, oldest first:
+    Spark's mark of success is what finishes one."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    new, old, at = hadoop(path + ".new"), hadoop(path + ".old"), hadoop(path)
+    at = hadoop(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    df.write.mode("overwrite").partitionBy(*partition).parquet(path + ".new")
-    fs.delete(old, True)
-    if fs.exists(at):
-        fs.rename(at, old)
-    fs.rename(new, at)
-    fs.delete(old, True)
+    if not fs.exists(at):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(at)]
+    return sorted(n for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(hadoop(f"{path}/{n}/_SUCCESS")))
+
+
+def current_snapshot(spark: SparkSession, path: str) -> str | None:
+    """Folder of a stored table's newest finished version, if there is one."""
+    found = _versions(spark, path)
+    return f"{path}/{found[-1]}" if found else None
+
+
+def swap_snapshot(spark: SparkSession, df: DataFrame, path: str, partition: tuple[str, ...] = ()) -> None:
+    """Replace a stored table by a new version of it. Readers see the one or the
+    other, at no time none; the version before stays for those that read it."""
+    old = _versions(spark, path)
+    df.write.mode("overwrite").partitionBy(*partition).parquet(f"{path}/v{int(old[-1][1:]) + 1 if old else 0:08d}")
+    for name in old[:-1]:
+        gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)

@@ -50,41 +50,44 @@ def flat_text(cells: DataFrame) -> DataFrame:
 
 
 def chunk_rows(cells: DataFrame, config: Sheets = Sheets()) -> DataFrame:
-    """One chunk per group of data rows: text and metadata of each."""
+    """One chunk per group of data rows: text and metadata of each. What a
+    sheet's header means is worked out once a sheet; a group of one row needs
+    neither a window nor a second grouping. A workbook given by its path is told
+    apart by it, as ``source``, and named by its last part."""
     rows = rows_of(cells)
-    heads = header_rows(rows)
+    names = F.transform("headers", lambda h: h["header"])
+    heads = header_rows(rows).withColumns({"keys": H.match_keys(F.col("headers"), config.business_fields), "hints": H.range_hints(names), "note": H.range_note(names), "header": F.array_join(names, ", "), "names": F.map_from_entries("headers"), "sheet_type": sheet_type(F.col("sheet"))})
+    heads = heads.select(*SHEET, "header_row", F.struct("keys", "hints", "note", "header", "names", "sheet_type").alias("head"))
     data = rows.join(heads, SHEET).filter(F.col("row") > F.col("header_row"))
     if config.skip_blank_rows:
         data = data.filter(~F.col("blank"))
-    order = Window.partitionBy(*SHEET).orderBy("row")
-    data = data.withColumn("grp", F.floor((F.row_number().over(order) - 1) / config.rows_per_chunk).cast("int"))
     many = config.rows_per_chunk > 1
+    if many:
+        order = Window.partitionBy(*SHEET).orderBy("row")
+        data = data.withColumn("grp", F.floor((F.row_number().over(order) - 1) / config.rows_per_chunk).cast("int"))
+        groups = data.groupBy(*SHEET, "grp").agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("rows"), F.first("head").alias("head"))
+    else:
+        groups = data.select(*SHEET, F.array(F.struct("row", "cells")).alias("rows"), "head")
+    groups = groups.select(*SHEET, "rows", "head.*")
 
     def lines(row):
         return F.array_join(F.transform(F.filter(row["cells"], lambda c: c["text"] != ""), lambda c: F.concat(F.lit("  "), F.coalesce(F.element_at(F.col("names"), c["col"]), H.column_letter(c["col"])), F.lit(": "), clipped(c["text"], config.max_cell_length), F.lit("\n"))), "")
 
-    groups = data.groupBy(*SHEET, "grp").agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("rows"), F.first("headers").alias("headers"))
-    groups = groups.withColumn("names", F.map_from_entries("headers"))
     first, last = F.col("rows")[0]["row"] + 1, F.element_at("rows", -1)["row"] + 1
     label = F.when(first == last, F.concat(F.lit("Row: "), first)).otherwise(F.concat(F.lit("Rows: "), first, F.lit("-"), last))
     one = F.size("rows") == 1
     body = F.array_join(F.transform("rows", lambda r: F.concat(F.when(one | F.lit(not many), F.lit("")).otherwise(F.concat(F.lit("Row "), r["row"] + 1, F.lit(":\n"))), lines(r))), "")
-    groups = groups.withColumn("text", F.concat(F.lit("Workbook: "), "workbook", F.lit("\nSheet: "), "sheet", F.lit("\n"), label, F.lit("\n"), body)).withColumn("row_start", first).withColumn("row_end", last)
-    keys = H.match_headers(heads.select(*SHEET, F.inline("headers")), config.business_fields)
-    keys = keys.groupBy(*SHEET).agg(F.collect_list(F.struct("key", "col")).alias("keys"))
-    names = F.transform("headers", lambda h: h["header"])
-    notes = heads.select(*SHEET, H.range_hints(names).alias("hints"), H.range_note(names).alias("note"))
-    out = groups.join(keys, SHEET, "left").join(notes, SHEET)
+    out = groups.withColumn("text", F.concat(F.lit("Workbook: "), base_name(F.col("workbook")), F.lit("\nSheet: "), "sheet", F.lit("\n"), label, F.lit("\n"), body)).withColumn("row_start", first).withColumn("row_end", last)
 
     def value(key):
         cells_of = F.flatten(F.transform("rows", lambda r: F.filter(r["cells"], lambda c: (c["col"] == key["col"]) & (c["text"] != ""))))
-        return F.struct(key["key"], F.get(F.transform(cells_of, lambda c: c["text"]), F.lit(0)))
+        return F.struct(key["key"].alias("key"), F.get(F.transform(cells_of, lambda c: c["text"]), F.lit(0)).alias("value"))
 
-    fields = F.map_from_entries(F.filter(F.transform(F.coalesce("keys", F.array().cast("array<struct<key:string,col:int>>")), value), lambda e: e["col2"].isNotNull()))
+    fields = F.map_from_entries(F.filter(F.transform("keys", value), lambda e: e["value"].isNotNull()))
     noted = F.when(F.col("note") != "", F.create_map(F.lit(H.RANGE_NOTE), "note")).otherwise(F.expr("cast(map() as map<string,string>)"))
     fields = H.reconcile_legacy(F.map_concat(fields, "hints", noted))
     out = out.withColumn("fields", H.with_warnings(fields) if config.range_validation else fields)
-    return out.select("workbook", "sheet", sheet_type(F.col("sheet")).alias("sheet_type"), "row_start", "row_end", "text", "fields", F.array_join(names, ", ").alias("header"), F.lit("EXCEL").alias("type"), F.lit("catalog").alias("category"))
+    return out.select(F.col("workbook").alias("source"), base_name(F.col("workbook")).alias("workbook"), "sheet", "sheet_type", "row_start", "row_end", "text", "fields", "header", F.lit("EXCEL").alias("type"), F.lit("catalog").alias("category"))
 
 
 def backfill(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:

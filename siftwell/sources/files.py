@@ -42,17 +42,23 @@ def parse(files: DataFrame) -> DataFrame:
 
 
 def cells(files: DataFrame) -> DataFrame:
-    """Cells of the .xlsx files among ``files``."""
+    """Cells of the .xlsx files among ``files``, or one row with the error of a
+    file that cannot be read. The workbook is the file's path: names repeat."""
+    names = ("workbook", "sheet", "row", "col", "kind", "raw", "error")
+    schema = pa.schema(list(zip(names, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)))
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                name, content = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                rows = [{"workbook": name, "sheet": s, "row": r, "col": c, "kind": k, "raw": v} for s, r, c, k, v in office.xlsx_cells(content)]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("workbook", pa.string()), ("sheet", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("kind", pa.string()), ("raw", pa.string())]))
+                path, content = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                try:
+                    rows = [(path, *cell, None) for cell in office.xlsx_cells(content)]
+                except Exception as x:  # noqa: BLE001  a file's error is its outcome
+                    rows = [(path, *[None] * 5, (str(x) or type(x).__name__)[:4000])]
+                for at in range(0, len(rows), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 50_000], strict=True), schema, strict=True)], schema=schema)
 
-    return files.filter(F.lower("name").endswith(".xlsx")).select("name", "content").mapInArrow(run, CELLS)
+    return files.filter(F.lower("name").endswith(".xlsx")).select("path", "content").mapInArrow(run, f"{CELLS}, error string")
 
 
 def commit_log(spark: SparkSession, path: str) -> DataFrame:

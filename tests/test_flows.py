@@ -95,6 +95,63 @@ def test_folder_to_answer(spark, folder, tmp_path):
         e.table("a b")
 
 
+def test_workbooks_fail_alone_and_may_share_a_name(spark, tmp_path):
+    for sub in ("a", "b"):
+        (tmp_path / "in" / sub).mkdir(parents=True)
+        (tmp_path / "in" / sub / "book.xlsx").write_bytes(xlsx())
+    (tmp_path / "in" / "bad.xlsx").write_bytes(b"no zip")
+    (tmp_path / "in" / "note.txt").write_text("plain")
+    e = Engine(spark, str(tmp_path / "store"))
+    report = e.ingest_folder(str(tmp_path / "in"), "b1").head()
+    assert (report.success_count, report.failure_count, report.status) == (3, 1, "COMPLETED_WITH_ERRORS")
+    assert [r.file_name for r in e.table("failure").collect()] == ["bad.xlsx"]
+    rows = e.table("chunks").filter("type = 'EXCEL'").collect()
+    assert len({r.source for r in rows}) == 2 and {r.workbook for r in rows} == {"book.xlsx"} and len({r.chunk_id for r in rows}) == 2
+
+
+def test_a_sync_returns_what_it_stored(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    walk = lambda lo, hi: spark.createDataFrame([("r", f"h{i}", hi - i) for i in range(lo, hi)], "repository_id string, commit_hash string, position int")
+    assert e.sync_commits(walk(0, 500)).count() == 500
+    assert {r.commit_hash for r in e.sync_commits(walk(0, 800)).collect()} == {f"h{i}" for i in range(500, 800)}
+    assert e.sync_commits(walk(0, 800)).count() == 0
+    assert e.table("commits").count() == 800 and e.table("commits").select("commit_hash").distinct().count() == 800
+
+
+def test_a_replaced_table_is_there_at_all_times(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    one = spark.createDataFrame([("d", "s")], "id string, source string")
+    e._append("documents", one)
+    before = e.table("documents")
+    e.delete_document("d")
+    assert before.count() == 1 and e.table("documents").count() == 0
+    e._append("documents", one)
+    e._replace("documents", e.table("documents").union(e.table("documents")))
+    assert e.table("documents").count() == 2
+    assert e.tables().filter("stored").select("table").distinct().count() == 1
+
+
+def test_postings_cut_a_text_into_words_once(spark):
+    from siftwell.operators import keyword
+
+    words = [f"w{i % 5000}" for i in range(100_000)]
+    index = keyword.postings(spark.createDataFrame([(1, " ".join(words)), (2, None), (3, "a a b")], "chunk_id bigint, text string"))
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "array_distinct" not in plan[: plan.index("Generate")]
+    assert index.filter("chunk_id = 1 and dl = 5000 and tf = 20").count() == 5000
+    assert {(r.term, r.tf, r.dl) for r in index.filter("chunk_id = 3").collect()} == {("a", 2, 2), ("b", 1, 2)}
+
+
+def test_windows_of_a_long_text(spark):
+    from siftwell.functions import text
+
+    long = "".join(chr(97 + i % 26) + "é🙂"[i % 2] for i in range(9000))
+    got = spark.createDataFrame([(long,), ("x" * 4096,), ("",), (None,)], "t string").select(text.windows(F.col("t"), 700, 30).alias("w")).collect()
+    for row, t in zip(got, [long, "x" * 4096], strict=False):
+        assert [w.text for w in row.w] == [t[i : i + 700] for i in range(0, len(t) - 30, 670)]
+    assert got[2].w is None and got[3].w is None
+
+
 def test_empty_folder(spark, tmp_path):
     (tmp_path / "x.exe").write_bytes(b"")
     with pytest.raises(ValueError):
