@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, headers, text
 from ..operators import answers, bot, conversation, feedback, fusion, history, ingest, rerank, sheets
+from ..operators.layout import spread
 from ..sources import pages
 from ..streaming import streams
 from . import standins as S
@@ -146,13 +147,13 @@ for _e, _c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), (
 @query(f"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS title, trim(regexp_replace({_HTML}, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS text FROM pages")
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text and title of every page."""
-    return pages.page_documents(S.load(spark, sf_dir, "pages")).select("page_id", "title", "text")
+    return pages.page_documents(spread(S.load(spark, sf_dir, "pages"))).select("page_id", "title", "text")
 
 
 @query("WITH d AS (SELECT doc_id, text, greatest(CAST(ceil((length(text) - 10) / 490.0) AS BIGINT), 1) AS k FROM documents WHERE length(text) > 0) SELECT doc_id, CAST(n AS INTEGER) AS n, substr(text, n * 490 + 1, 500) AS chunk FROM (SELECT *, unnest(range(0, k)) AS n FROM d)")
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed windows of 500 characters, overlapping by 10."""
-    d = S.load(spark, sf_dir, "documents")
+    d = spread(S.load(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", F.explode(text.windows(F.col("text"), 500, 10)).alias("w")).select("doc_id", "w.n", F.col("w.text").alias("chunk"))
 
 
@@ -229,10 +230,11 @@ def locator(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AZ = "chr(65 + CAST({0} AS INTEGER))"
 
 
-@query(f"WITH p AS (SELECT p_partkey AS n FROM part WHERE p_partkey < 18278) SELECT n, CASE WHEN n < 26 THEN {_AZ.format('n')} WHEN n < 702 THEN {_AZ.format('n // 26 - 1')} || {_AZ.format('n % 26')} ELSE {_AZ.format('(n - 702) // 676')} || {_AZ.format('(n - 702) // 26 % 26')} || {_AZ.format('n % 26')} END AS letter FROM p")
+@query(f"WITH p AS (SELECT p_partkey % 18278 AS n, p_partkey FROM part) SELECT p_partkey, n, CASE WHEN n < 26 THEN {_AZ.format('n')} WHEN n < 702 THEN {_AZ.format('n // 26 - 1')} || {_AZ.format('n % 26')} ELSE {_AZ.format('(n - 702) // 676')} || {_AZ.format('(n - 702) // 26 % 26')} || {_AZ.format('n % 26')} END AS letter FROM p")
 def column_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("p_partkey").alias("n")
-    return S.load(spark, sf_dir, "part").filter("p_partkey < 18278").select(n, headers.column_letter(F.col("p_partkey")).alias("letter"))
+    """Names of up to three letters, over and over."""
+    n = F.col("p_partkey") % 18278
+    return S.load(spark, sf_dir, "part").select("p_partkey", n.alias("n"), headers.column_letter(n).alias("letter"))
 
 
 @query("SELECT n_name AS name, CASE WHEN n_nationkey % 4 = 0 THEN 'create' WHEN n_nationkey % 4 = 1 THEN 'keep' ELSE 'update' END AS action, CASE WHEN n_nationkey % 4 > 0 THEN 'w' || n_nationkey || 'a' END AS id FROM nation UNION ALL SELECT n_name, 'delete', 'w' || n_nationkey || 'b' FROM nation WHERE n_nationkey % 4 = 3")

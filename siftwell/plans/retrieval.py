@@ -86,7 +86,7 @@ def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bm25(spark, sf_dir, mode):
     docs = S.chunks(spark, sf_dir)
-    terms = keyword.question_terms(S.term_questions(spark))
+    terms = keyword.question_terms(S.term_questions(spark, sf_dir))
     found = keyword.bm25_top_k(terms, keyword.postings(docs), keyword.corpus_stats(docs), 20, mode=mode)
     return found.select("qid", "chunk_id", "rank", F.round("bm25", 6).alias("bm25"))
 
@@ -106,14 +106,14 @@ def bm25_topk_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _BM25.format("m = nt")
     + """, v AS (SELECT c.chunk_id, CAST(e.embedding AS DOUBLE[]) AS e FROM c JOIN embeddings e ON e.vec_id = c.chunk_id),
-ve AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY s DESC, chunk_id) AS rank FROM (SELECT q.vec_id AS qid, chunk_id, (1 + list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), e)) / 2 AS s FROM embeddings q, v WHERE q.vec_id < 8) WHERE s >= 0.5),
+ve AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY s DESC, chunk_id) AS rank FROM (SELECT qid, chunk_id, (1 + list_cosine_similarity(CAST(t.embedding AS DOUBLE[]), e)) / 2 AS s FROM t, v) WHERE s >= 0.5),
 fu AS (SELECT qid, chunk_id, a.rank AS vr, b.rank AS kr FROM (SELECT * FROM ve WHERE rank <= 20) a FULL JOIN (SELECT * FROM kw WHERE rank <= 20) b USING (qid, chunk_id)),
 sc AS (SELECT *, coalesce(CAST(1 AS DOUBLE) / (60 + vr), 0) + coalesce(CAST(1 AS DOUBLE) / (60 + kr), 0) AS s, CASE WHEN vr IS NULL THEN 'KEYWORD' WHEN kr IS NULL THEN 'VECTOR' ELSE 'HYBRID' END AS match_type FROM fu)
 SELECT qid, chunk_id, match_type, CAST(rank AS INTEGER) AS rank, round(s, 9) AS combined_score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, vr ASC NULLS LAST, kr ASC NULLS LAST, chunk_id) AS rank FROM sc) WHERE rank <= 5"""
 )
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both legs, fused by reciprocal ranks."""
-    q = S.term_questions(spark).join(S.load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), "embedding"), "qid")
+    q = S.term_questions(spark, sf_dir)
     docs = S.chunks(spark, sf_dir)
     found = fusion.hybrid_search(q, S.vectors(spark, sf_dir), 5, keyword.postings(docs), keyword.corpus_stats(docs), Hybrid(min_vector_score=0.5))
     return found.select("qid", "chunk_id", "match_type", "rank", F.round("combined_score", 9).alias("combined_score"))

@@ -38,21 +38,25 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VECTORS_SQL = FILES_SQL + ", v AS (SELECT c.*, CAST(e.embedding AS DOUBLE[]) AS e FROM c JOIN embeddings e ON e.vec_id = c.chunk_id)"
 
-QUESTION = "CASE vec_id % 4 WHEN 0 THEN 'What is the Offering Id for CR-1029?' WHEN 1 THEN 'explain refunds' WHEN 2 THEN 'show SVC_007' ELSE 'refund policy' END"
-QUESTIONS_SQL = f"q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS qe, {QUESTION} AS question, CASE WHEN vec_id % 2 = 0 THEN 'LOOKUP' ELSE 'EXPLANATION' END AS intent FROM embeddings WHERE vec_id < 20)"
+#: Every hundredth vector asks, so the questions grow with the table.
+ASKS = "vec_id % 100 = 0"
+QUESTION = "CASE CAST(floor(vec_id / 100) AS BIGINT) % 4 WHEN 0 THEN 'What is the Offering Id for CR-1029?' WHEN 1 THEN 'explain refunds' WHEN 2 THEN 'show SVC_007' ELSE 'refund policy' END"
+QUESTIONS_SQL = f"q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS qe, {QUESTION} AS question, CASE WHEN CAST(floor(vec_id / 100) AS BIGINT) % 2 = 0 THEN 'LOOKUP' ELSE 'EXPLANATION' END AS intent FROM embeddings WHERE {ASKS})"
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vectors with ids under 20 ask questions: a stated query set."""
-    return load(spark, sf_dir, "embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("qid"), "embedding", F.expr(QUESTION).alias("question"))
+    """The vectors with ids divisible by 100 ask questions: a stated query set."""
+    return load(spark, sf_dir, "embeddings").filter(ASKS).select(F.col("vec_id").alias("qid"), "embedding", F.expr(QUESTION).alias("question"))
 
 
-TERMS = ((0, "the of and"), (1, "que de la"), (2, "der die und"), (3, "les du est"), (4, "trash idiot"), (5, "the the"), (6, "nosuchterm the"), (7, "?!"))
-TERMS_SQL = "t AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, '{t}')" for n, t in TERMS) + ") AS x(qid, question))"
+TERMS = ("the of and", "que de la", "der die und", "les du est", "trash idiot", "the the", "nosuchterm the", "?!")
+TERM_QUESTION = f"CASE CAST(floor(vec_id / 100) AS BIGINT) % {len(TERMS)} " + " ".join(f"WHEN {n} THEN '{t}'" for n, t in enumerate(TERMS)) + " END"
+TERMS_SQL = f"t AS (SELECT vec_id AS qid, embedding, {TERM_QUESTION} AS question FROM embeddings WHERE {ASKS})"
 
 
-def term_questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TERMS, "qid bigint, question string")
+def term_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same query set asks for words."""
+    return load(spark, sf_dir, "embeddings").filter(ASKS).select(F.col("vec_id").alias("qid"), "embedding", F.expr(TERM_QUESTION).alias("question"))
 
 
 ASKED = "concat(CASE WHEN turn % 6 = 0 THEN 'What is Flat Offering? ' WHEN turn % 6 = 1 THEN 'show SVC_007 ' WHEN turn % 6 = 2 THEN 'explain CR-1029 ' WHEN turn % 6 = 3 THEN 'ID for this? ' WHEN turn % 6 = 4 THEN 'How do refunds work? ' ELSE '' END, text)"
