@@ -16,20 +16,42 @@ LOWER = UPPER.lower()
 
 #: Rows, and bytes as stored, up to which a written side may be broadcast; beyond
 #: either, joins shuffle.
-BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 48 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
 
+#: Bytes up to which a table in fewer files than there are cores is dealt anew.
+SPREAD_BYTES = 256 << 20
+#: Rows of one key that go to one task in a join, at least, and keys with more
+#: rows than that, at most.
+KEY_ROWS, HOT_KEYS = 128, 100_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small table to all cores if it lies in fewer files,
+    before costly work on each row; larger tables have files enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if stored_bytes(df) <= SPREAD_BYTES and 0 < len(df.inputFiles()) < cores else df
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of what ``df`` reads, as Spark estimates them."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a local one is made only
-    where the setting is absent, as in tests on one machine."""
+    where the setting is absent on one machine. On a cluster that is an error:
+    executors share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file:" + tempfile.mkdtemp(prefix="siftwell-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -92,8 +114,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if ``df``, read from a written table, has at most
     ``most`` rows and BROADCAST_BYTES; else leave it to a shuffled join."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= BROADCAST_BYTES and df.count() <= most else df
+    return F.broadcast(df) if stored_bytes(df) <= BROADCAST_BYTES and df.count() <= most else df
+
+
+def spread_join(rows: DataFrame, hubs: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """Join ``rows``, many of which may share a ``key``, with the one row of it
+    in ``hubs``; both are written tables, ``how`` is inner or left. Few hubs are
+    broadcast. Rows without a key are dealt to all tasks. Beyond, a key with more rows than go to one task is dealt to
+    several by the hash of ``by``, its hub sent to each. So many rows are let go
+    to one task that at most HOT_KEYS keys have more, which are broadcast."""
+    hint = small(hubs)
+    if hint is not hubs:
+        return rows.join(hint, key, how)
+    most = max(KEY_ROWS, rows.count() // HOT_KEYS + 1)
+    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).filter((F.col("_n") > most) & F.col(key).isNotNull())
+    hot = F.broadcast(hot.select(key, F.ceil(F.col("_n") / most).cast("int").alias("_salts")))
+    one = F.coalesce("_salts", F.lit(1))
+    own = F.when(F.col(key).isNull(), F.lit(HOT_KEYS)).otherwise(one)
+    dealt = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), own).cast("int")).drop("_salts")
+    sent = hubs.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_salts")
+    return dealt.join(sent, [key, "_salt"], how).drop("_salt")
 
 
 #: Bytes of an Arrow batch, where the session has Spark's default, which is

@@ -3,7 +3,8 @@
 Each round hooks every node to its smallest neighbour, shortens the chains by
 pointer jumping, and contracts the edges to the roots that are left. Every
 round is written to the shared folder; nothing is collected. A component ends
-under its smallest node.
+under its smallest node. Most nodes of a star share a parent, and a hub most
+edges: joins on either go through ``spread_join``.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import spread_join, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
         hook = written(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")), "cc-hooks")
         while True:
             up = hook.select(F.col("u").alias("p"), F.col("p").alias("q"))
-            hook = written(hook.join(up, "p").select("u", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")), "cc-jumps")
+            hook = written(spread_join(hook, up, "p", "u").select("u", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")), "cc-jumps")
             if not hook.filter("moved").head(1):
                 hook = hook.select("u", "p")
                 break
@@ -33,9 +34,9 @@ def components(edges: DataFrame) -> DataFrame:
             labels = hook.select(F.col("u").alias("node"), F.col("p").alias("root"))
         else:
             step = hook.select(F.col("u").alias("root"), "p")
-            labels = written(labels.join(step, "root", "left").select("node", F.coalesce("p", "root").alias("root")), "cc-labels")
-        a = edges.join(hook, "u").select(F.col("p").alias("u"), "v")
-        b = a.join(hook.select(F.col("u").alias("v"), "p"), "v").select("u", F.col("p").alias("v"))
+            labels = written(spread_join(labels, step, "root", "node", "left").select("node", F.coalesce("p", "root").alias("root")), "cc-labels")
+        a = written(spread_join(edges, hook, "u", "v").select(F.col("p").alias("u"), "v"), "cc-half")
+        b = spread_join(a, hook.select(F.col("u").alias("v"), "p"), "v", "u").select("u", F.col("p").alias("v"))
         edges = written(b.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cc-edges")
     if labels is None:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

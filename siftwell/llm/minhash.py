@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import small, table, tidy, written
+from ._shared import KEY_ROWS, small, spread, spread_join, table, tidy, written
 from .graph import components
 
 #: Words of a shingle and least similarity in percent; op9's contract has its own.
@@ -50,10 +50,8 @@ PERMUTATIONS, BITS = 125, 4
 WORDS = (PERMUTATIONS + 63) // 64
 #: Shingles of the members that are held against each other at once.
 BLOCK_SHINGLES = 65_536
-#: Members that a copy of a bucket's smallest set serves in confirmation.
-SALT_ROWS = 500
-#: Bytes of text that are hashed at once.
-BATCH_BYTES = 1 << 19
+#: Bytes of text that are taken at once, and half of those that are hashed at once.
+BATCH_BYTES = PIECE = 1 << 19
 
 U = np.uint64
 
@@ -80,7 +78,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-@lru_cache(4)
+@lru_cache(2)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=U)
     out[0] = 1
@@ -91,20 +89,38 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def run_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of bytes ``begin`` to ``end``, which follow one another,
+    in pieces of bounded size; a run that is longer is summed up piece by piece."""
+    out = np.empty(len(begin), dtype=U)
+    power, inverse, value = _powers(_BASE, 2 * PIECE), _powers(_INVERSE, 2 * PIECE), _byte_values()
+    i = 0
+    while i < len(begin):
+        lo = int(begin[i])
+        j = int(np.searchsorted(end, lo + 2 * PIECE, side="right"))
+        if j <= i:
+            parts = [(a, data[a : min(a + PIECE, int(end[i]))]) for a in range(lo, int(end[i]), PIECE)]
+            out[i] = sum(int((value[p] * power[: len(p)]).sum(dtype=U)) * pow(_BASE, a - lo, 1 << 64) for a, p in parts) % (1 << 64)
+            i += 1
+            continue
+        own = data[lo : int(end[j - 1])]
+        total = np.zeros(len(own) + 1, dtype=U)
+        np.cumsum(value[own] * power[: len(own)], out=total[1:])
+        b, e = begin[i:j] - lo, end[i:j] - lo
+        out[i:j] = (total[e] - total[b]) * inverse[b]
+        i = j
+    return _mix(out + (end - begin).astype(U))
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and each text's number of words."""
     data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     upper = (data >= 65) & (data <= 90)
     data = np.where(upper, data + 32, data)
-    size = 1 << max(12, int(len(data)).bit_length())
-    space = _SPACE[data]
-    edge = np.diff(np.concatenate([[True], space]).view(np.int8))
+    edge = np.diff(np.concatenate([[True], _SPACE[data]]).view(np.int8))
     begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    total = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum(_byte_values()[data] * _powers(_BASE, size)[: len(data)], out=total[1:])
-    words = _mix((total[end] - total[begin]) * _powers(_INVERSE, size)[begin] + (end - begin).astype(U))
     ends = np.cumsum([len(t) + 1 for t in texts])
-    return words, np.diff(np.searchsorted(begin, ends, side="left"), prepend=0)
+    return run_hashes(data, begin, end), np.diff(np.searchsorted(begin, ends, side="left"), prepend=0)
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
@@ -220,8 +236,8 @@ def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
     """Those (u, v) of the written ``pairs`` whose full sets are as similar as
     asked. Each u is sent once per pair to where v's set is; a v with many
     partners is sent to several places."""
-    salts = pairs.groupBy("v").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("n_salts"))
-    member = pairs.join(salts, "v").select(F.col("u").alias("doc_id"), F.col("v").alias("hub"), F.pmod(F.xxhash64("u"), F.col("n_salts")).cast("int").alias("salt"), F.lit(1).alias("part"))
+    salts = written(pairs.groupBy("v").agg(F.ceil(F.count("*") / KEY_ROWS).cast("int").alias("n_salts")), "minhash-salts")
+    member = spread_join(pairs, salts, "v", "u").select(F.col("u").alias("doc_id"), F.col("v").alias("hub"), F.pmod(F.xxhash64("u"), F.col("n_salts")).cast("int").alias("salt"), F.lit(1).alias("part"))
     hub = salts.select(F.col("v").alias("doc_id"), F.col("v").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)).alias("salt"), F.lit(0).alias("part"))
     roles = small(written(member.unionByName(hub), "minhash-roles"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(roles, "doc_id").select("hub", "salt", "part", "doc_id", "text")
@@ -298,7 +314,7 @@ def _rest_links(docs: DataFrame, members: DataFrame, width: int, percent: int) -
     n_shingles."""
     whole = members.groupBy("leader").agg(F.sum("n_shingles").alias("weight"), F.count_if("rest").alias("n_rest"), F.count_if(F.col("rest") & ~F.col("far")).alias("n_near"), F.count_if(~F.col("direct")).alias("n_loose"))
     hard = whole.filter("n_near > 0 or (n_rest > 0 and n_loose > 1)").select("leader", F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int").alias("n_blocks"))
-    members = members.join(hard, "leader").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
+    members = spread_join(members, written(hard, "minhash-hard"), "leader", "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
     members = small(written(members.select("leader", "block", "n_blocks", "doc_id", "root", "rest", "far", "direct"), "minhash-members"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(members, "doc_id").select("leader", "block", "n_blocks", "doc_id", "root", "rest", "far", "direct", "text")
     names = ["leader", "block", "n_blocks", "doc_id", "root", "rest", "far", "direct", "set"]
@@ -341,35 +357,39 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     base = written(sketch(docs, width, rows_of_band(percent)), "minhash-sketch")
     # only sets that occur twice need a representative that is not the row itself
     again = base.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    again = small(written(again.filter("n > 1").select("fp", "rep"), "minhash-copies"))
-    assigned = base.select("doc_id", "n_shingles", "fp").join(again, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
+    again = written(again.filter("n > 1").select("fp", "rep"), "minhash-copies")
+    assigned = spread_join(base.select("doc_id", "n_shingles", "fp"), again, "fp", "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
     assigned = written(assigned, "minhash-classes")
-    reps = base.filter("fp is not null and doc_id is not null").join(again, "fp", "left").filter("rep is null or rep = doc_id")
+    reps = spread_join(base.filter("fp is not null and doc_id is not null"), again, "fp", "doc_id", "left").filter("rep is null or rep = doc_id")
     reps = written(reps.select("doc_id", "n_shingles", "sig", "bands"), "minhash-reps")
     keyed = reps.select("doc_id", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    star = keyed.join(buckets, "key").filter("doc_id <> leader").select("doc_id", "leader").distinct()
+    buckets = written(buckets.select("key", "leader"), "minhash-buckets")
+    # a bucket may hold a third of all rows, and so may the members of a leader
+    star = spread_join(keyed, buckets, "key", "doc_id").filter("doc_id <> leader").select("doc_id", "leader").distinct()
     sigs = reps.select("doc_id", "n_shingles", "sig")
-    star = star.join(sigs, "doc_id").join(sigs.select(F.col("doc_id").alias("leader"), F.col("sig").alias("sig2")), "leader")
+    star = written(star.join(sigs, "doc_id"), "minhash-members-of")
+    leaders = written(sigs.join(buckets.select(F.col("leader").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("leader"), F.col("sig").alias("sig2")), "minhash-leaders")
+    star = spread_join(star, leaders, "leader", "doc_id")
     star = written(star.select("doc_id", "leader", "n_shingles", estimate("sig", "sig2").alias("near")), "minhash-star")
     pairs = written(star.filter(F.col("near") >= least).select(F.col("doc_id").alias("u"), F.col("leader").alias("v")), "minhash-pairs")
     links = written(confirm(docs, pairs, width, percent), "minhash-links")
     roots = components(links)
-    near_roots = small(roots)
 
     def named(df, col, out):
-        return df.join(near_roots.select(F.col("node").alias(col), F.col("root").alias("_r")), col, "left").withColumn(out, F.coalesce("_r", col)).drop("_r")
+        return spread_join(df, roots.select(F.col("node").alias(col), F.col("root").alias("_r")), col, "doc_id", "left").withColumn(out, F.coalesce("_r", col)).drop("_r")
 
-    members = named(named(star, "doc_id", "root"), "leader", "leader_root").withColumn("rest", F.col("root") != F.col("leader_root"))
+    members = named(named(star, "leader", "leader_root"), "doc_id", "root").withColumn("rest", F.col("root") != F.col("leader_root"))
     # by the triangle inequality of the Jaccard distance, with the estimate's margin
     far = least_estimate(2 * percent / 100 - 1)
     direct = links.select(F.col("u").alias("doc_id"), F.col("v").alias("leader"), F.lit(True).alias("_d"))
     members = members.withColumn("far", F.col("rest") & (F.col("near") < far)).join(direct, ["doc_id", "leader"], "left").withColumn("direct", F.coalesce("_d", F.lit(False))).drop("_d")
+    members = written(members, "minhash-judged")
     more = written(_rest_links(docs, members, width, percent), "minhash-rest")
     if more.head(1):
         roots = components(links.unionByName(more))
-    roots = small(written(roots, "minhash-components"))
-    return assigned.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
+    roots = written(roots.select(F.col("node").alias("rep"), "root"), "minhash-components")
+    return spread_join(assigned, roots, "rep", "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

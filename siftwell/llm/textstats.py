@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from .minhash import _BASE, _INVERSE, _byte_values, _mix, _powers
+from .minhash import _BASE, _byte_values, _mix, _powers, run_hashes
 
 U = np.uint64
 BATCH_BYTES = 1 << 19
@@ -50,22 +50,18 @@ class Batch:
         edge = np.diff(np.concatenate([[False], word]).view(np.int8))
         self.begin = np.flatnonzero(edge == 1)
         self.end = np.flatnonzero(edge == -1)
-        size = 1 << max(12, int(len(low)).bit_length())
-        self._total = np.zeros(len(low) + 1, dtype=U)
-        np.cumsum(_byte_values()[low] * _powers(_BASE, size)[: len(low)], out=self._total[1:])
-        self._inverse = _powers(_INVERSE, size)
-        self.words = self._hash(self.end)
+        self.low = low
+        self.words = run_hashes(low, self.begin, self.end)
         self.n_words = np.diff(np.searchsorted(self.begin, self.ends), prepend=0)
         self.owner = np.repeat(np.arange(self.n), self.n_words)
         self.lengths = self.end - self.begin
 
-    def _hash(self, end):
-        return _mix((self._total[end] - self._total[self.begin]) * self._inverse[self.begin] + (end - self.begin).astype(U))
-
     def prefixes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the first k bytes of words longer than that, and owners."""
         long = self.lengths > k
-        return _mix(self._hash(np.minimum(self.begin + k, self.end))[long] ^ U(k * 0x51ED270B)), self.owner[long]
+        at, power = self.begin[long], _powers(_BASE, 1 << 20)
+        found = sum((_byte_values()[self.low[at + i]] * power[i] for i in range(k)), np.zeros(len(at), dtype=U))
+        return _mix(_mix(found + U(k)) ^ U(k * 0x51ED270B)), self.owner[long]
 
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         """Sum of per-byte values over each text."""

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.llm import ann, bpe, decontam, graph, minhash, pii, preference, quality, toxicity, urltree, warc
+from siftwell.llm import _shared, ann, bpe, decontam, graph, minhash, pii, preference, quality, textstats, toxicity, urltree, warc
 
 from ..conftest import SF
 
@@ -201,6 +201,58 @@ def test_block_tiles_join_every_component(spark, monkeypatch):
     assert got == brute_classes(dict(enumerate(texts)), 3, 85)
 
 
+def test_hot_keys_are_dealt_to_several_tasks(spark, monkeypatch, tmp_path):
+    rows = [(i, 7 if i % 3 else i % 11) for i in range(300)] + [(i, None) for i in range(300, 340)]
+    rows = _shared.written(spark.createDataFrame(rows, "i int, k int"), "t-rows")
+    hubs = _shared.written(spark.createDataFrame([(k, f"h{k}") for k in range(9)] + [(None, "none")], "k int, h string"), "t-hubs")
+    want = {how: sorted(map(tuple, rows.join(hubs, "k", how).select("i", "k", "h").collect()), key=repr) for how in ("inner", "left")}
+    for broadcast, most in ((500_000, 500), (0, 500), (0, 5)):
+        monkeypatch.setattr(_shared, "BROADCAST_ROWS", broadcast)
+        monkeypatch.setattr(_shared.small, "__defaults__", (broadcast,))
+        monkeypatch.setattr(_shared, "KEY_ROWS", most)
+        for how in want:
+            out = _shared.spread_join(rows, hubs, "k", "i", how)
+            assert sorted(map(tuple, out.select("i", "k", "h").collect()), key=repr) == want[how]
+    edges = [(0, i) for i in range(1, 80)] + [(i, i + 1000) for i in range(40)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert set(got.values()) == {0} and len(got) == 120
+
+
+def test_near_duplicates_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(_shared.small, "__defaults__", (0,))
+    monkeypatch.setattr(_shared, "KEY_ROWS", 3)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base)] * 12
+    for _ in range(25):
+        own = list(base)
+        for _ in range(rng.choice([1, 2, 4])):
+            own[rng.randrange(60)] = f"v{rng.randrange(9)}"
+        texts.append(" ".join(own))
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.classes(df, 3, 85).collect() if r.doc_id is not None}
+    assert got == brute_classes(dict(enumerate(texts)), 3, 85)
+
+
+def test_hashes_do_not_depend_on_the_pieces(monkeypatch):
+    texts = [b"ab cd  EF", b"", b"x" * 500, b"q " * 300, "é日本 ".encode() * 40]
+    want = minhash.word_hashes(texts)
+    batch = textstats.Batch([t.decode() for t in texts])
+    monkeypatch.setattr(minhash, "PIECE", 16)
+    got = minhash.word_hashes(texts)
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+    assert (textstats.Batch([t.decode() for t in texts]).words == batch.words).all()
+
+
+def test_work_folder_has_to_be_shared(spark, monkeypatch):
+    class Far:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "spark://h:1"})
+
+    with pytest.raises(ValueError):
+        _shared.work_dir(Far)
+
+
 def test_estimate_is_close(spark):
     a = ["%d" % i for i in range(1000)]
     pairs = [(k, minhash.shingle_sets([" ".join(a).encode(), " ".join(a[k:] + ["x%d" % i for i in range(k)]).encode()], 1)) for k in (0, 50, 150)]
