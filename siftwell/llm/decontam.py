@@ -5,8 +5,8 @@ Test items give windows of ``width`` words. Corpus frequencies of the test
 vocabulary, over all documents, say which two words of each window are rarest;
 the postings (term, row, position) of these terms are stored. A window's two
 lists, shifted by the words' offsets to the window's start, are intersected;
-what is left is compared word by word with the stored words of its row. All of
-it is DataFrame code.
+what is left is compared word by word with the stored words of its row. For
+proximity the lists may be a few positions apart. All of it is DataFrame code.
 
 Defined results: null, empty and wordless texts have no words and no hits; an
 item without words gives no window, one of fewer than ``width`` words gives
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import BROADCAST_ROWS, ascii_lower, small, table, written
+from ._shared import BROADCAST_ROWS, ascii_lower, small, spread, table, written
 
 WIDTH = 10
 #: After lower-casing, everything but words: ASCII letters and digits, and all beyond ASCII.
@@ -84,12 +84,23 @@ class Index:
         return same.select("row_id", "start", "len", "item_ids")
 
     def near(self, slop: int) -> DataFrame:
-        """doc_id, item_ids, start, shift: windows whose two rarest words stand
-        within ``slop`` positions of their places relative to each other."""
+        """doc_id, item_ids, start of the windows whose words all occur in
+        their order with at most ``slop`` other words between them. The lists of
+        the two rarest words meet if their shift is that small; what is left is
+        checked on the stored words, from ``slop`` words before to after."""
+        single = self.windows.filter("len = 1").select("win")
         a = self.starts(0)
-        b = self.starts(1).withColumnRenamed("start", "start2").withColumn("shift", F.explode(F.sequence(F.lit(-slop), F.lit(slop)))).withColumn("start", F.col("start2") - F.col("shift"))
-        found = a.join(b, ["win", "row_id", "start"]).join(self.windows.select("win", "item_ids"), "win")
-        return found.join(self.forward.select("row_id", "doc_id"), "row_id").select("doc_id", "item_ids", "start", "shift")
+        b = self.starts(1).select("win", "row_id", F.explode(F.sequence(F.col("start") - slop, F.col("start") + slop)).alias("start"))
+        cand = a.join(b, ["win", "row_id", "start"], "left_semi").unionByName(a.join(small(single), "win", "left_semi"))
+        cand = cand.join(small(self.windows), "win").select("row_id", "start", "len", "win_words", "item_ids")
+        rows = self.forward.select("row_id", "doc_id", "words").join(cand, "row_id")
+        rows = rows.withColumn("lo", F.greatest(F.col("start") - slop, F.lit(0))).withColumn("own", F.expr(f"slice(words, lo + 1, len + start - lo + {slop})"))
+        # from each place on: the nearest next word, and the next, as far as a window reaches
+        step = "if(s < 0 or array_position(slice(own, s + 1, size(own)), x) = 0, -1, s + array_position(slice(own, s + 1, size(own)), x))"
+        ends = f"transform(sequence(0, least({2 * slop}, size(own) - 1)), i -> aggregate(win_words, cast(i as bigint), (s, x) -> {step}) - i)"
+        at = F.array_position(F.expr(f"transform({ends}, n -> n > 0 and n <= len + {slop})"), True)
+        found = rows.filter("size(own) > 0").withColumn("at", at).filter("at > 0")
+        return found.select("row_id", "doc_id", "item_ids", (F.col("lo") + F.col("at") - 1).alias("start")).distinct().drop("row_id")
 
     def report(self) -> DataFrame:
         """A row per document row: n_words, n_hit, n_items, items, contaminated."""
@@ -102,7 +113,7 @@ class Index:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = Index(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).report()
+    found = Index(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark")).report()
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 

@@ -393,7 +393,7 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = classes(table(spark, sf_dir, "documents"), width=3, percent=85)
+    found = classes(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), width=3, percent=85)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

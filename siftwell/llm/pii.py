@@ -2,11 +2,12 @@
 
 Base kinds are found by patterns and checked (parts of an address, digits and
 checksum of a card, digits of a phone number). The base matches, and long
-hexadecimal strings, are seeds. Every seed and every other identifier-like
-token with a digit is an instance; the words before it, and the words around
-it, are its patterns. They are cut from the whole text, in which every word with
-a digit stands as one mark: items of a list share patterns, and a short number
-nearby hides none. Spark scores the graph of patterns and instances in rounds, a
+hexadecimal strings, are seeds. Every seed and every other token with a digit,
+of ``ID_CHARS`` characters or more, is an instance; the words before it, and the
+words around it, as far as they lie in the ``CONTEXT_CHARS`` characters before
+and after, are its patterns. They are cut from the whole text, in which every
+word with a digit stands as one mark: items of a list share patterns, and a
+short number nearby hides none. Spark scores the graph of patterns and instances in rounds, a
 pattern by the share of its instances that are sensitive, an instance by the
 patterns it occurs in, until a round makes no further instance confident.
 Instances of confident patterns with enough different supporting values become
@@ -15,6 +16,9 @@ spans of kind ``id``. Base spans always stay; an ``id`` span never overlaps one.
 Everything is DataFrame code. Positions come from the lengths of matches and of
 the text between them, summed by a window over each document's own matches.
 
+A value, or a pattern, may occur in a third of all rows: joins on either go
+through ``spread_join``.
+
 Defined results: null and empty texts have no spans; positions count code
 points, the end is exclusive; repeated rows are searched each; equal values are
 one instance of the graph, wherever they occur; extra columns are not read.
@@ -27,7 +31,8 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import table, written
+from ..functions.text import pieces
+from ._shared import spread, spread_join, table, written
 
 #: Patterns with guards that only save time: a match starts at the first
 #: character of a run, or where the match before ended, and no run is split.
@@ -40,7 +45,8 @@ KINDS = (("email", EMAIL, "instr(t, '@') > 0"), ("ip", IP, "t rlike '[0-9][.][0-
 ORDER = "array_position(array('email', 'ip', 'card', 'phone', 'id'), kind)"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 SEED_ID = "^[0-9a-fA-F]{32,}$"
-ID_CHARS = (6, 128)
+#: Characters of the shortest identifier.
+ID_CHARS = 6
 CONTEXT_CHARS = 48
 #: A word with a digit as contexts have it, and what becomes one: no text is
 #: likely to hold the mark itself.
@@ -80,8 +86,8 @@ def _contexts() -> tuple[str, str]:
     ahead = f"if(i + 1 = size(hits), array(), sequence(i + 1, least(size(hits) - 1, i + {NEAR})))"
     before = f"aggregate({back}, right(gaps[i], {width}), (s, j) -> if(char_length(s) >= {width}, s, concat(right(gaps[j], {width}), '{MARK}', s)))"
     after = f"aggregate({ahead}, left(gaps[i + 1], {width}), (s, j) -> if(char_length(s) >= {width}, s, concat(s, '{MARK}', left(gaps[j + 1], {width}))))"
-    # matches that are too short or long to stay need none
-    kept = f"case kind when 'id' then char_length(h) between {ID_CHARS[0]} and {ID_CHARS[1]} when 'card' then char_length(h) >= 13 when 'phone' then char_length(h) >= 10 else true end"
+    # matches that are too short to stay need none
+    kept = f"case kind when 'id' then char_length(h) >= {ID_CHARS} when 'card' then char_length(h) >= 13 when 'phone' then char_length(h) >= 10 else true end"
     return f"if({kept}, right({marked(before)}, {CONTEXT_CHARS}), '')", f"if({kept}, left({marked(after)}, {CONTEXT_CHARS}), '')"
 
 
@@ -103,7 +109,7 @@ def matches(docs: DataFrame) -> DataFrame:
         | F.expr(f"kind = 'ip' and value rlike {_q('^' + (OCTET + '[.]') * 3 + OCTET + '$')}")
         | F.expr(f"kind = 'card' and length(digits) between 13 and 19 and {_luhn('digits')}")
         | F.expr("kind = 'phone' and length(digits) between 9 and 15")
-        | F.expr(f"kind = 'id' and size between {ID_CHARS[0]} and {ID_CHARS[1]}")
+        | F.expr(f"kind = 'id' and size >= {ID_CHARS}")
     )
     return rows.filter(good).select("row_id", "kind", "start", "end", "value", "before", "after")
 
@@ -136,16 +142,16 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     the others nothing, until one makes no further instance confident. Scores
     never fall, so that comes; shares alone would go on to raise each other."""
     edges = written(context_patterns(found), "pii-edges")
-    score = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    score = written(edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score")), "pii-seeds")
     known = -1
     for n in itertools.count():
         sure = F.col("score") >= CONFIDENT
-        joined = edges.join(score, "value")
+        joined = spread_join(edges, score, "value", "pattern")
         share = F.col("score") if n < rounds else sure.cast("double")
         patterns = joined.groupBy("pattern").agg(F.sum(share).alias("s"), F.count("*").alias("n"), F.count_if(sure).alias("support"))
         patterns = patterns.filter(F.col("support") >= SUPPORT).select("pattern", (F.col("s") / (F.col("n") + 1)).alias("confidence"))
         patterns = written(patterns, f"pii-patterns-{n}")
-        told = joined.join(patterns, "pattern", "left").groupBy("value").agg(F.max("seed").alias("seed"), F.max(F.greatest("score", F.coalesce("confidence", F.lit(0.0)))).alias("best"))
+        told = spread_join(joined, patterns, "pattern", "value", "left").groupBy("value").agg(F.max("seed").alias("seed"), F.max(F.greatest("score", F.coalesce("confidence", F.lit(0.0)))).alias("best"))
         score = written(told.select("value", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.col("best")).alias("score")), f"pii-instances-{n}")
         last, known = known, score.filter(sure).count()
         if n >= rounds and known == last:
@@ -159,8 +165,8 @@ def detect(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     texts = rows.select(F.col(ROW).alias("row_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     found = written(apart(matches(texts)), "pii-matches")
     score = bootstrap(found)
-    sure = score.filter((F.col("score") >= CONFIDENT) & F.col("value").startswith("id:")).select(F.substring("value", 4, 1 << 20).alias("low"))
-    ids = found.filter("kind = 'id'").withColumn("low", F.lower("value")).join(sure, "low", "left_semi").drop("low")
+    sure = score.filter((F.col("score") >= CONFIDENT) & F.col("value").startswith("id:")).select(F.expr("substring(value, 4)").alias("low"))
+    ids = spread_join(found.filter("kind = 'id'").withColumn("low", F.lower("value")), written(sure, "pii-sure"), "low", "row_id").drop("low")
     return rows, found.filter("kind <> 'id'").unionByName(ids).select("row_id", "kind", "start", "end", "value")
 
 
@@ -181,15 +187,17 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     marked = spans.withColumn("reach", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("first", F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)))
     runs = marked.withColumn("run", F.sum(F.col("first").cast("int")).over(w)).groupBy("row_id", "run").agg(F.min("start").alias("a"), F.max("end").alias("b"), F.min_by("kind", F.struct("start", (-F.col("end")).alias("e"))).alias("kind"))
     lists = runs.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("a", "b", "kind"))).alias("cuts"))
-    t, cut = f"`{text}`", f"{CUTS}[size({CUTS}) - 1].b"
-    piece = f"concat(substring({t}, cast(if(i = 0, 0, {CUTS}[i - 1].b) as int) + 1, cast(c.a - if(i = 0, 0, {CUTS}[i - 1].b) as int)), '[', upper(c.kind), ']')"
-    clean = F.expr(f"concat(array_join(transform({CUTS}, (c, i) -> {piece}), ''), substring({t}, cast({cut} as int) + 1, char_length({t})))")
+    begin = F.transform(CUTS, lambda c: c["b"].cast("int"))
+    end = F.concat(F.transform(CUTS, lambda c: c["a"].cast("int")), F.array(F.char_length(text)))
+    kept = pieces(F.col(text), F.zip_with(F.concat(F.array(F.lit(0)), begin), end, lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    said = F.concat(F.transform(CUTS, lambda c: F.concat(F.lit("["), F.upper(c["kind"]), F.lit("]"))), F.array(F.lit("")))
+    clean = F.array_join(F.zip_with(kept, said, lambda a, b: F.concat(a, b)), "")
     out = rows.join(lists.select(F.col("row_id").alias(ROW), F.col("cuts").alias(CUTS)), ROW, "left")
     return out.withColumn(text, F.when(F.col(CUTS).isNull(), F.col(text)).otherwise(clean)).select(*docs.columns)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, spans = detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows, spans = detect(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     none = F.lit(0).cast("bigint")
     out = rows.select(F.col(ROW).alias("row_id"), "doc_id").join(listed(spans), "row_id", "left")
     counts = [F.coalesce(f"n_{k}", none).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]

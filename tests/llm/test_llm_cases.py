@@ -315,7 +315,32 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha q beta z gamma"), (3, "gamma q q q q q q q alpha"), (4, "alpha alpha")], "doc_id bigint, text string")
     near = decontam.Index(docs, spark.createDataFrame([(1, "alpha beta gamma")], "item_id bigint, text string"))
     assert {r.doc_id for r in near.near(0).collect()} == {1}
-    assert {r.doc_id for r in near.near(1).collect()} == {1, 2}
+    assert {r.doc_id for r in near.near(1).collect()} == {1}
+    assert {r.doc_id for r in near.near(2).collect()} == {1, 2}
+
+
+def test_proximity_against_brute_force(spark):
+    rng = random.Random(6)
+    words = ["a", "b", "c", "d", "e"]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 14)))) for i in range(80)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate([1, 2, 3, 4, 4, 5])]
+
+    def holds(text, item, slop):
+        t, w = text.split(), item.split()
+        for i in range(len(t)):
+            at = i - 1
+            for x in w:
+                at = next((j for j in range(at + 1, len(t)) if t[j] == x), None)
+                if at is None:
+                    break
+            if at is not None and at - i + 1 <= len(w) + slop:
+                return True
+        return False
+
+    index = decontam.Index(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    for slop in (0, 1, 3):
+        got = {(r.doc_id, i) for r in index.near(slop).collect() for i in r.item_ids}
+        assert got == {(d, i) for d, t in docs for i, x in items if holds(t, x, slop)}
 
 
 # personal data
@@ -391,6 +416,23 @@ def test_pii_rounds_go_on_while_they_find(spark):
     assert pii.bootstrap(found).filter("score >= 0.5").count() == 32
 
 
+def test_pii_of_long_values_and_without_broadcasts(spark, monkeypatch):
+    known = [f"call me at number +1 (523) 555-{1000 + i} or so" for i in range(6)] * 3
+    hidden = ["call me at number " + "Q7" * 900 + " or so", "version 1234567 here"]
+    df = spark.createDataFrame(list(enumerate(known + hidden)), "doc_id bigint, text string")
+    want = sorted(map(tuple, pii.detect(df)[1].collect()))
+    assert any(r[-1] == "Q7" * 900 for r in want)
+    monkeypatch.setattr(_shared.small, "__defaults__", (0,))
+    monkeypatch.setattr(_shared, "KEY_ROWS", 2)
+    assert sorted(map(tuple, pii.detect(df)[1].collect())) == want
+
+
+def test_redaction_of_a_long_text(spark):
+    text = "é🙂 " * 3000 + " ".join(f"u{i}@a.bc x🙂{'y' * (i % 90)}" for i in range(900))
+    out = pii.redact(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).head().text
+    assert out == re.sub(r"u\d+@a\.bc", "[EMAIL]", text)
+
+
 def test_redaction_keeps_all_else(spark):
     df = awkward(spark, ["x a@b.c y 1.2.3.4", "1.2.3.4a@b.cc"])
     out = pii.redact(df)
