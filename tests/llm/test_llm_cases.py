@@ -593,6 +593,8 @@ def test_preference_pairs(spark):
     rows += [(2, 0, "user", "x"), (3, 0, "user", "x"), (4, 0, None, None), (5, 0, "user", "z"), (6, 0, "user", "alone"), (None, 0, "user", "n")]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("r", F.lit("clash"))
     pairs = spark.createDataFrame([(0, 0, 1), (1, 2, 3), (2, 4, 5), (3, 6, 7)], "pair_id bigint, chosen_id bigint, rejected_id bigint")
+    for name in ("a", "b", "differs", "n_prefix", "turns", "conv_id"):
+        pairs = pairs.withColumn(name, F.lit("clash"))
     got = {r.pair_id: r for r in preference.format_pairs(turns, pairs).collect()}
     assert set(got) == {0, 1, 2}
     assert got[0].n_prefix == 3 and got[0].prompt.count("<|user|>") == 2
@@ -605,6 +607,32 @@ def test_preference_pairs(spark):
     assert preference.format_pairs(turns.limit(0), pairs).count() == 0
 
 
+def test_preference_with_swapped_answers(spark):
+    long = "日本🙂 " * 30_000
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, "user", "r"), (0, 3, "assistant", "good"), (0, 4, "user", "thanks"), (1, 0, "user", "x"), (1, 1, "assistant", long), (1, 1, "assistant", long), (2, 0, "user", "no answer"), (3, 0, "assistant", "first"), (4, 0, None, None), (5, 0, "assistant", "same"), (6, 0, "assistant", "same"), (None, 0, "user", "n"), (None, 1, "assistant", "m")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    for name in ("a", "b", "last", "answer", "donor", "turns"):
+        turns = turns.withColumn(name, F.lit("clash"))
+    got = {r.pair_id: r for r in preference.format_swapped(turns).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 5, 6, None}
+    shown = lambda role, text: f"<|{role}|>\n{text}{preference.END}"
+    assert (got[0].n_prefix, got[0].rejected_id, got[0].prompt) == (3, 1, shown("user", "q") + shown("assistant", "a") + shown("user", "r"))
+    assert got[0].chosen == shown("assistant", "good") + shown("user", "thanks") and got[0].rejected == shown("assistant", long)
+    a, z = map(int, got[0].rejected_spans.split(":"))
+    assert got[0].rejected[a:z] == long + preference.END
+    assert (got[1].n_prefix, got[1].rejected, got[1].rejected_id) == (1, "", None)
+    assert (got[2].n_prefix, got[2].chosen, got[2].rejected) == (1, "", "")
+    assert (got[3].n_prefix, got[3].prompt, got[3].rejected) == (0, "", "")
+    assert (got[5].n_prefix, got[5].chosen, got[5].rejected) == (1, "", "")
+    assert preference.format_swapped(turns.limit(0)).count() == 0
+
+
+def test_preference_query_has_prompts(spark):
+    out = preference.op2_preference(spark, SF)
+    n = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count()
+    assert out.count() == n and out.filter("n_prefix > 0 and prompt <> ''").count() > 0.8 * n
+
+
 @pytest.mark.parametrize("op", ["preference", "decontam", "pii"])
 def test_native_operators_run_no_python(spark, op):
     from siftwell.llm import registry
