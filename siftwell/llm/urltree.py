@@ -11,15 +11,21 @@ of its parent, that towards the rest of the parent's parent, and so on from the
 host, so that no label counts twice. Without labels of its own a template is
 left alone.
 
-Labels come from a column, by default: the verdicts of the explicit rules, and
-hosts that carry a word of a seed list.
+Labels come from a column and not from the rules. ``weak_label`` makes one of a
+page's host and content: hosts with a word of a seed list are bad, and so are
+pages whose visible text is mostly signs, as in lists of keywords; pages of
+running text are good.
 
 Pages are counted per (host, template) before anything else, so a hot host is
-as many rows as it has templates; levels are fixed in number.
+as many rows as it has templates. There are as many rounds as the deepest
+position at which templates of a host part. A parent may have most of all
+branches, and a template most of all pages: joins on them go through
+``spread_join``.
 
 Defined results: a null url, or one without ``://``, has empty host and path
 and is allowed unless a rule says else; repeated urls are judged alike; ties in
-the rules' length go to the one that is first in the list; extra columns stay.
+the rules' length go to the one that is first in the list; extra columns stay,
+but those named like a result (``RESULT``), which it takes the place of.
 """
 
 from __future__ import annotations
@@ -29,13 +35,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import ascii_lower, small, table, written
+from ..functions.text import html_text
+from ._shared import ascii_lower, spread, spread_join, table, written
 
 #: (host, path, verdict) of the contract's rules.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-#: Parts of host names that mark unwanted sites; a seed for labels.
-BAD_HOST_WORDS = ("spam", "pills", "casino", "viagra", "porn", "xxx", "malware", "phish", "free-money")
-LEVELS = 4
+#: Words of host names, between dots and hyphens, that mark unwanted sites; a
+#: seed for labels.
+BAD_HOST_WORDS = ("ads", "adult", "betting", "bets", "casino", "casinos", "malware", "phish", "phishing", "pills", "porn", "spam", "tracker", "viagra", "warez", "xxx")
+#: Share of words without a letter or digit from which a page is no prose, and
+#: words from which one is told.
+SIGNS, WORDS = 0.15, 20
+RESULT = ("host", "path", "rule", "template", "purity", "verdict")
 #: A position with at least so many values, of at most so many pages each, is a wildcard.
 MANY_VALUES, FEW_PAGES = 20, 5.0
 SMOOTH, SUPPORT, PURITY = 2.0, 5, 0.8
@@ -74,70 +85,93 @@ def typed(segment: Column) -> Column:
     return F.concat(kind, ext)
 
 
-def _levels(path: Column) -> Column:
-    """The first LEVELS segments typed, the rest as one mark."""
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    return F.concat(F.transform(F.slice(parts, 1, LEVELS), typed), F.when(F.size(parts) > LEVELS, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>")))
+def weak_label(host: Column, html: Column) -> Column:
+    """1 bad, 0 good, null for what neither host nor content tells."""
+    words = F.filter(F.split(html_text(html), " "), lambda w: w != "")
+    signs = F.size(F.filter(words, lambda w: ~w.rlike(r"[\p{L}\p{N}]"))) / F.size(words)
+    told = F.when(F.size(words) >= WORDS, (signs >= SIGNS).cast("int"))
+    return F.when(host.rlike(f"(^|[.-])({'|'.join(BAD_HOST_WORDS)})([.-]|$)"), 1).otherwise(told)
+
+
+def _raw(host: Column, path: Column) -> Column:
+    """The host, then the typed segments of the path."""
+    return F.concat(F.array(host), F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), typed))
+
+
+def _branch(key, level) -> Column:
+    """The branch of a key at a level, the host being level 0, as text."""
+    return F.to_json(F.slice(key, F.lit(1), level + 1))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, raw (typed segments), key (of the template), template, n, bad,
+    """raw (host and typed segments, as text), key (of the template), n, bad,
     good: from pages with host, path and label (1 bad, 0 good, null)."""
-    base = pages.groupBy("host", _levels(F.col("path")).alias("raw")).agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") == 0).alias("good"))
-    tree = written(base.withColumn("key", F.col("raw")), "url-level-0")
-    for level in range(1, LEVELS + 1):
-        parent = F.slice("key", 1, level - 1)
-        here = tree.withColumn("up", F.to_json(parent)).withColumn("seg", F.get(F.col("key"), F.lit(level - 1)))
-        kids = written(here.filter("seg is not null").groupBy("host", "up", "seg").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good")), f"url-kids-{level}")
-        whole = kids.groupBy("host", "up").agg(F.count("*").alias("kinds"), F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"), F.sum(F.col("bad") + F.col("good")).alias("all_known"))
-        kids = kids.join(whole, ["host", "up"])
-        known, rate = F.nullif(F.col("bad") + F.col("good"), F.lit(0)), (F.col("all_bad") + 1) / (F.col("all_known") + 2)
+    base = pages.groupBy(_raw(F.col("host"), F.col("path")).alias("key")).agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") == 0).alias("good"))
+    tree = written(base.select(F.to_json("key").alias("raw"), "key", "n", "bad", "good"), "url-level-0")
+    done, level = tree.filter("size(key) = 1"), 0
+    tree = tree.filter("size(key) > 1")
+    while tree.head(1):
+        here = tree.withColumn("kid", _branch("key", F.lit(level + 1)))
+        kids = here.groupBy("kid", _branch("key", F.lit(level)).alias("parent")).agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum(F.col("bad") + F.col("good")).alias("known"))
+        kids = written(kids, f"url-kids-{level}")
+        whole = kids.groupBy("parent").agg(F.count("*").alias("kinds"), F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"), F.sum("known").alias("all_known"))
+        whole = written(whole.filter("kinds > 1"), f"url-parents-{level}")
+        judged = spread_join(kids, whole, "parent", "kid", "left")
+        known, rate = F.nullif(F.col("known"), F.lit(0)), (F.col("all_bad") + 1) / (F.col("all_known") + 2)
         sd = F.sqrt(rate * (1 - rate) / known)
         many = (F.col("kinds") >= MANY_VALUES) & (F.col("all_n") <= FEW_PAGES * F.col("kinds"))
-        alike = (F.col("kinds") > 1) & (F.abs(F.col("bad") / known - rate) <= SAME_RATE * sd) & (known < F.col("all_known"))
-        turned = kids.filter(many | alike).select("host", "up", "seg", F.when(many, F.lit("*")).otherwise(F.lit("~")).alias("new"))
-        turned = small(written(turned, f"url-turned-{level}"))
-        rest = F.slice("key", level + 1, LEVELS + 1)
-        here = here.join(turned, ["host", "up", "seg"], "left")
-        key = F.when(F.col("new").isNotNull(), F.concat(parent, F.array("new"), rest)).otherwise(F.col("key"))
-        tree = written(here.select("host", "raw", "n", "bad", "good", key.alias("key")), f"url-level-{level}")
-    return tree.select("host", "raw", "key", F.concat(F.lit("/"), F.array_join("key", "/")).alias("template"), "n", "bad", "good")
+        alike = (F.abs(F.col("bad") / known - rate) <= SAME_RATE * sd) & (known < F.col("all_known"))
+        turned = written(judged.select("kid", "rows", F.when(many, F.lit("*")).when(alike, F.lit("~")).alias("new")), f"url-turned-{level}")
+        here = spread_join(here, turned, "kid", "raw")
+        key = F.when(F.col("new").isNotNull(), F.concat(F.slice("key", 1, level + 1), F.array("new"), F.slice("key", F.lit(level + 3), F.size("key")))).otherwise(F.col("key"))
+        # what is alone in its branch has nothing to be merged with further down
+        over = (F.size("key") <= level + 2) | (F.col("new").isNull() & (F.col("rows") == 1))
+        step = written(here.select("raw", key.alias("key"), "n", "bad", "good", over.alias("over")), f"url-level-{level + 1}")
+        done = done.unionByName(step.filter("over").drop("over"))
+        tree, level = step.filter("not over").drop("over"), level + 1
+    return done
 
 
 def rejected(tree: DataFrame) -> DataFrame:
-    """host, template, purity of the templates that are rejected."""
+    """key, purity of the templates that are rejected."""
     total = tree.agg(((F.sum("bad") + 1) / (F.sum(F.col("bad") + F.col("good")) + 2)).alias("prior"))
-    own = tree.groupBy("host", "key", "template").agg(F.sum("bad").alias("bad"), F.sum(F.col("bad") + F.col("good")).alias("known"))
+    own = tree.groupBy("key").agg(F.sum("bad").alias("bad"), F.sum(F.col("bad") + F.col("good")).alias("known"))
     own = written(own.filter("known > 0").crossJoin(F.broadcast(total)).withColumn("prior", F.least("prior", F.lit(0.5))), "url-own")
-    enough = own.filter(F.col("known") >= SUPPORT).select("host", "template", ((F.col("bad") + SMOOTH * F.col("prior")) / (F.col("known") + SMOOTH)).alias("purity"))
+    enough = own.filter(F.col("known") >= SUPPORT).select("key", ((F.col("bad") + SMOOTH * F.col("prior")) / (F.col("known") + SMOOTH)).alias("purity"))
     # the labels of every branch, the host being the branch of level 0
-    on = own.select("host", "key", "bad", "known", F.explode(F.sequence(F.lit(0), F.size("key"))).alias("level")).withColumn("up", F.to_json(F.slice("key", F.lit(1), F.col("level"))))
-    branches = small(written(on.groupBy("host", "up").agg(F.sum("bad").alias("bad"), F.sum("known").alias("known")), "url-branches"))
-    few = own.filter(F.col("known") < SUPPORT)
-    few = few.select("host", "template", "prior", F.struct("bad", "known").alias("own"), F.explode(F.sequence(F.lit(0), F.size("key"))).alias("level"), F.to_json(F.slice("key", F.lit(1), F.col("level"))).alias("up"))
-    few = few.join(branches, ["host", "up"]).groupBy("host", "template", "prior", "own").agg(F.sort_array(F.collect_list(F.struct("level", "bad", "known"))).alias("path"))
+    levels = F.explode(F.sequence(F.lit(0), F.size("key") - 1)).alias("level")
+    on = own.select("key", "bad", "known", levels).withColumn("up", _branch("key", F.col("level")))
+    few = own.filter(F.col("known") < SUPPORT).select("key", "prior", F.struct("bad", "known").alias("own"), levels).withColumn("up", _branch("key", F.col("level")))
+    branches = on.groupBy("up").agg(F.sum("bad").alias("b"), F.sum("known").alias("k"))
+    branches = written(branches.join(few.select("up").distinct(), "up", "left_semi"), "url-branches")
+    few = spread_join(few, branches, "up", "key").groupBy("key", "prior", "own").agg(F.sort_array(F.collect_list(F.struct("level", F.col("b").alias("bad"), F.col("k").alias("known")))).alias("path"))
     # what each has beyond the next one down the path, and the template itself
     steps = "concat(transform(path, (x, i) -> named_struct('bad', x.bad - if(i + 1 < size(path), path[i + 1].bad, own.bad), 'known', x.known - if(i + 1 < size(path), path[i + 1].known, own.known))), array(own))"
-    few = few.select("host", "template", F.expr(f"aggregate({steps}, cast(prior as double), (p, x) -> (x.bad + {SMOOTH}D * p) / (x.known + {SMOOTH}D))").alias("purity"))
+    few = few.select("key", F.expr(f"aggregate({steps}, cast(prior as double), (p, x) -> (x.bad + {SMOOTH}D * p) / (x.known + {SMOOTH}D))").alias("purity"))
     return enough.unionByName(few).filter(F.col("purity") >= PURITY)
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", label: Column | None = None) -> DataFrame:
-    """The rows of ``pages`` with host, path, rule, verdict and purity."""
+    """The rows of ``pages`` with RESULT; template and purity are of rejected
+    templates only. ``label`` is 1 bad, 0 good or null, an expression over
+    ``pages``; without it no template is rejected."""
     host, path = split_url(F.col(url).cast("string"))
-    rows = pages.withColumn("host", host).withColumn("path", path)
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("_said", verdict)
-    if label is None:
-        seed = F.when(F.col("host").rlike("|".join(BAD_HOST_WORDS)), 1)
-        label = F.when(F.col("_said") == "block", 1).when(F.col("_said") == "allow", 0).otherwise(seed)
-    tree = written(templates(rows.select("host", "path", label.cast("int").alias("label"))), "url-tree")
+    names = {c: f"__url_{c}" for c in (*RESULT, "said", "raw", "label")}
+    kept = [c for c in pages.columns if c not in RESULT]
+    rows = pages.select(*kept, host.alias(names["host"]), path.alias(names["path"]), (F.lit(None) if label is None else label).cast("int").alias(names["label"]))
+    at = {c: F.col(n) for c, n in names.items()}
+    rule, verdict = rule_of(at["host"], at["path"], rules)
+    rows = rows.withColumns({names["rule"]: rule, names["said"]: verdict, names["raw"]: F.to_json(_raw(at["host"], at["path"]))})
+    tree = written(templates(rows.select(*(at[c].alias(c) for c in ("host", "path", "label")))), "url-tree")
     bad = rejected(tree)
-    bad = small(written(tree.join(bad, ["host", "template"]).select("host", "raw", "template", "purity"), "url-rejected"))
-    out = rows.withColumn("raw", _levels(F.col("path"))).join(bad, ["host", "raw"], "left")
-    return out.withColumn("verdict", F.coalesce("_said", F.when(F.col("purity").isNotNull(), "block").otherwise("allow"))).drop("_said", "raw")
+    template = F.concat(F.lit("/"), F.array_join(F.slice("key", F.lit(2), F.size("key")), "/"))
+    bad = written(tree.join(bad, "key").select(F.col("raw").alias(names["raw"]), template.alias(names["template"]), F.col("purity").alias(names["purity"])), "url-rejected")
+    out = spread_join(rows, bad, names["raw"], names["path"], "left")
+    told = F.coalesce(at["said"], F.when(at["purity"].isNotNull(), "block").otherwise("allow"))
+    return out.select(*kept, *(at[c].alias(c) for c in RESULT[:-1]), told.alias("verdict"))
 
 
 def op3_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = judge(table(spark, sf_dir, "pages").select("page_id", "url"))
-    return found.select("page_id", "host", "path", "rule", "verdict")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    pages = written(pages.select("page_id", "url", weak_label(split_url(F.col("url"))[0], F.col("html")).alias("label")), "url-labels")
+    return judge(pages, label=F.col("label")).select("page_id", "host", "path", "rule", "verdict", "template", "purity")

@@ -554,8 +554,12 @@ def test_url_rules_against_brute_force(spark):
         return host, path, max(fits)[1] if fits else None
 
     verdicts = {h + p: v for h, p, v in urltree.RULES}
-    out = urltree.judge(df.select("page_id", "url")).collect()
-    assert len(out) == len(urls) + 1
+    for name in (*urltree.RESULT, "label", "kid", "key", "n"):
+        df = df.withColumn(name, F.lit("clash"))
+    judged = urltree.judge(df)
+    assert judged.columns == ["page_id", "url", "raw", "label", "kid", "key", "n", *urltree.RESULT]
+    out = judged.collect()
+    assert len(out) == len(urls) + 1 and {r.raw for r in out} == {r.label for r in out} == {"clash"}
     for r in out:
         want = brute(r.url)
         assert (r.host, r.path, r.rule) == want and r.verdict == (verdicts[want[2]] if want[2] else "allow")
@@ -585,6 +589,104 @@ def test_url_small_branches_of_a_host_are_judged_together(spark):
     assert got == {"bad.xyz": {"block"}, "bad.xyz/new": {"allow"}, "foul.xyz": {"block"}, **{f"{h}.xyz": {"allow"} for h in ("good", "odd", "one", "rest")}}
 
 
+def plain_tree(rows):
+    """What the tree makes of (host, segments, label): purity of each rejected
+    (host, segments), worked out in plain loops."""
+    from collections import defaultdict
+
+    def typed(x):
+        stem, ext = re.fullmatch(r"(.*?)(\.[A-Za-z]{2,5})?", x).groups()
+        kind = "{n}" if re.fullmatch("[0-9]+", stem) else "{hex}" if re.fullmatch("[0-9a-fA-F-]{8,}", stem) and re.search("[0-9]", stem) else "{id}" if re.search("[0-9]", stem) else "{long}" if len(stem) > 40 else stem
+        return kind + (ext or "")
+
+    raws = defaultdict(lambda: [0, 0, 0])
+    for host, segments, label in rows:
+        r = raws[(host, *map(typed, segments))]
+        r[0] += 1
+        r[1] += label == 1
+        r[2] += label == 0
+    key = {raw: raw for raw in raws}
+    for level in range(max(map(len, raws)) - 1):
+        kids = defaultdict(lambda: defaultdict(lambda: [0, 0, 0]))
+        for raw, k in key.items():
+            if len(k) > level + 1:
+                got = kids[k[: level + 1]][k[level + 1]]
+                got[0], got[1], got[2] = got[0] + raws[raw][0], got[1] + raws[raw][1], got[2] + raws[raw][1] + raws[raw][2]
+        new = {}
+        for parent, own in kids.items():
+            total = [sum(x[i] for x in own.values()) for i in range(3)]
+            rate = (total[1] + 1) / (total[2] + 2)
+            for seg, (_, bad, known) in own.items():
+                if len(own) >= urltree.MANY_VALUES and total[0] <= urltree.FEW_PAGES * len(own):
+                    new[(*parent, seg)] = "*"
+                elif len(own) > 1 and 0 < known < total[2] and abs(bad / known - rate) <= urltree.SAME_RATE * (rate * (1 - rate) / known) ** 0.5:
+                    new[(*parent, seg)] = "~"
+        for raw, k in key.items():
+            if k[: level + 2] in new and len(k) > level + 1:
+                key[raw] = (*k[: level + 1], new[k[: level + 2]], *k[level + 2 :])
+    own, branch = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for raw, k in key.items():
+        if raws[raw][1] + raws[raw][2]:
+            own[k][0] += raws[raw][1]
+            own[k][1] += raws[raw][1] + raws[raw][2]
+    for k, (bad, known) in own.items():
+        for level in range(len(k)):
+            branch[k[: level + 1]][0] += bad
+            branch[k[: level + 1]][1] += known
+    everything = [sum(x[i] for x in own.values()) for i in range(2)]
+    prior = min(0.5, (everything[0] + 1) / (everything[1] + 2))
+    purity = {}
+    for k, (bad, known) in own.items():
+        p = prior
+        if known < urltree.SUPPORT:
+            path = [branch[k[: i + 1]] for i in range(len(k))] + [[bad, known]]
+            for up, down in zip(path, path[1:], strict=False):
+                p = (up[0] - down[0] + urltree.SMOOTH * p) / (up[1] - down[1] + urltree.SMOOTH)
+        purity[k] = (bad + urltree.SMOOTH * p) / (known + urltree.SMOOTH)
+    return {(host, *segments): purity[key[(host, *map(typed, segments))]] for host, segments, _ in rows if purity.get(key[(host, *map(typed, segments))], 0) >= urltree.PURITY}
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_url_tree_against_brute_force(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(_shared.small, "__defaults__", (0,))
+        monkeypatch.setattr(_shared, "KEY_ROWS", 3)
+    rng = random.Random(12)
+    rows = []
+    for h in range(6):
+        for _ in range(120):
+            segments = [rng.choice(["a", "b", "news", "p7", "12", "x" * 50, f"t{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}"]) for _ in range(rng.randrange(7))]
+            bad = rng.random() < (0.95 if segments[4:5] == ["b"] or segments[:1] == ["b"] or h == 5 else 0.1)
+            rows.append((f"h{h}.xyz", segments, None if rng.random() < 0.3 else int(bad)))
+    # parted from the fifth segment on
+    rows += [("deep.xyz", ["a", "b", "c", "d", kind, f"u{chr(97 + i)}"], int(kind == "bad")) for kind in ("bad", "good") for i in range(8)]
+    df = spark.createDataFrame([(i, "http://" + "/".join([h, *p]), y) for i, (h, p, y) in enumerate(rows)], "page_id bigint, url string, y int")
+    want = plain_tree(rows)
+    got = {(rows[r.page_id][0], *rows[r.page_id][1]): r.purity for r in urltree.judge(df, label=F.col("y")).filter("verdict = 'block'").collect()}
+    assert set(got) == set(want) and 20 < len(want) < 700
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert {k[5] for k in got if k[0] == "deep.xyz"} == {"bad"}
+
+
+def test_url_awkward(spark):
+    none = spark.createDataFrame([], "page_id bigint, url string")
+    assert urltree.judge(none, label=F.lit(1)).count() == 0
+    long = spark.createDataFrame([(1, "http://h.xyz/" + "a/" * 3000 + "b"), (2, "http://h.xyz/" + "z" * 200_000), (3, None), (4, "http://g.xyz")], "page_id bigint, url string")
+    assert {r.page_id: r.verdict for r in urltree.judge(long, label=F.lit(0)).collect()} == dict.fromkeys(range(1, 5), "allow")
+
+
+def test_url_query_rejects_templates(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    labels = {r.page_id: r.y for r in pages.select("page_id", urltree.weak_label(urltree.split_url(F.col("url"))[0], F.col("html")).alias("y")).collect()}
+    out = urltree.op3_url(spark, "/root/testdata/sf0.1").collect()
+    want = plain_tree([(r.host, [x for x in r.path.split("/") if x], labels[r.page_id]) for r in out])
+    verdicts = {h + p: v for h, p, v in urltree.RULES}
+    for r in out:
+        own = (r.host, *[x for x in r.path.split("/") if x])
+        assert r.verdict == (verdicts[r.rule] if r.rule else "block" if own in want else "allow")
+    assert any(r.rule is None and r.verdict == "block" for r in out)
+
+
 # preferences
 
 
