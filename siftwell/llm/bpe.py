@@ -1,9 +1,12 @@
 """Byte-level BPE encoding and decoding with tree concatenation.
 
 A text of at most ``leaf_chars`` characters is encoded whole. A longer one is
-halved until its parts are that short; the parts are encoded independently and
-joined pairwise up the tree. At each join a window around the cut is encoded
-again and grown until both sides agree exactly:
+cut into parts that short; the parts are encoded independently and joined
+pairwise up the tree. Texts of more than ``part_chars`` are rows of parts: these
+are dealt to all tasks and encoded in parallel, and each level of the tree is a
+round that joins neighbours, in tasks of their own, and writes what they gave. At
+each join a window around the cut is encoded again and grown until both sides
+agree exactly:
 
 * on the left the window starts where a pre-token of the left part starts that
   ends far enough before the cut to be the same in the joined text;
@@ -32,9 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table, tidy
+from ._shared import spread, table, tidy, written
 
 LEAF_CHARS = 32_768
+#: Characters of a part of a text that several tasks encode.
+PART_CHARS = 65_536
 #: Characters a cut may change before it: contractions have three, look-ahead one.
 MARGIN = 8
 FIRST_WINDOW = 64
@@ -139,13 +144,18 @@ def encode_tree(tok, text: str, lo: int, hi: int, leaf_chars: int) -> Part:
     return concat(encode_tree(tok, text, lo, mid, leaf_chars), encode_tree(tok, text, mid, hi, leaf_chars), tok, text, mid, hi)
 
 
-def encode_long(tok, text: str, leaf_chars: int = LEAF_CHARS) -> np.ndarray:
-    """Ids of a text of any length; special tokens split it first."""
+def _pieces(tok, text: str) -> list[tuple[str, int | None]]:
+    """The text between special tokens, and these with their ids."""
     import re
 
     special = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
-    pieces = re.split("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")", text) if special else [text]
-    out = [np.array([special[p]], dtype=np.uint32) if p in special else encode_tree(tok, p, 0, len(p), leaf_chars).ids for p in pieces if p]
+    found = re.split("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")", text) if special else [text]
+    return [(p, special.get(p)) for p in found if p]
+
+
+def encode_long(tok, text: str, leaf_chars: int = LEAF_CHARS) -> np.ndarray:
+    """Ids of a text of any length; special tokens split it first."""
+    out = [encode_tree(tok, p, 0, len(p), leaf_chars).ids if i is None else np.array([i], dtype=np.uint32) for p, i in _pieces(tok, text)]
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
@@ -170,29 +180,138 @@ def encode_many(tok, texts: list[str], leaf_chars: int = LEAF_CHARS) -> Iterator
     yield from flush()
 
 
-def encode(df: DataFrame, tokenizer: str | None = None, leaf_chars: int = LEAF_CHARS, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True, digests: bool = False) -> DataFrame:
+#: A node of the trees: which text, which piece between special tokens, its
+#: place among the piece's ``n``, its text, and the arrays of its encoding.
+NODE = "row bigint, piece int, at int, n int, text string, ids binary, starts binary, ends binary, words binary"
+_NAMES = [x.split()[0] for x in NODE.split(", ")]
+_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), *[pa.binary()] * 4]
+_KINDS = (np.uint32, np.int64, np.int64, np.bool_)
+
+
+def _node(row, piece, at, n, text, part: Part):
+    cells = [row, piece, at, n, text, *(x.astype(k).tobytes() for x, k in zip((part.ids, part.start, part.end, part.word), _KINDS, strict=True))]
+    return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, _TYPES, strict=True)], names=_NAMES)
+
+
+def _part(cells) -> Part:
+    return Part(*(np.frombuffer(x, dtype=k) for x, k in zip(cells, _KINDS, strict=True)))
+
+
+def _parts_of(texts: DataFrame, path: str, part_chars: int) -> DataFrame:
+    """Nodes without an encoding: parts of the ``_text`` of each ``row``, dealt
+    to as many tasks as there is work for."""
+
+    def cut(batches):
+        tok = load(path)
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for piece, (p, special) in enumerate(_pieces(tok, text)):
+                    n = -(-len(p) // part_chars) if special is None else 1
+                    given = None if special is None else np.array([special], np.uint32).tobytes()
+                    for at in range(n):
+                        cells = [row, piece, at, n, p[at * part_chars : (at + 1) * part_chars] if special is None else p, given, None, None, None]
+                        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, _TYPES, strict=True)], names=_NAMES)
+
+    parts = written(texts.select("row", "_text").mapInArrow(tidy(cut), NODE), "bpe-parts")
+    tasks = max(texts.sparkSession.sparkContext.defaultParallelism, 1 + parts.count() // 64)
+    return parts.repartition(tasks, "row", "piece", "at")
+
+
+def _tree_ids(texts: DataFrame, path: str, part_chars: int, leaf_chars: int) -> DataFrame:
+    """row, piece, ids of each piece, from the tree of its parts: a round per
+    level, neighbours meeting in one task."""
+
+    def leaf(batches):
+        tok = load(path)
+        for batch in batches:
+            for row, piece, at, n, text, ids in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                none = np.zeros(0)
+                part = encode_tree(tok, text, 0, len(text), leaf_chars) if ids is None else Part(np.frombuffer(ids, np.uint32), none, none, none)
+                yield _node(row, piece, at, n, text, part)
+
+    def pair(batches):
+        tok = load(path)
+        held = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row, piece, at, n, text, *cells = (c[i].as_py() for c in batch.columns)
+                up = (at >> 1, (n + 1) >> 1)
+                if at % 2 == 0 and at + 1 < n:
+                    held = (text, _part(cells))
+                elif at % 2 == 0:
+                    yield _node(row, piece, *up, text, _part(cells))
+                else:
+                    (before, left), right, mid = held, _part(cells), len(held[0])
+                    right = Part(right.ids, right.start + mid, right.end + mid, right.word)
+                    yield _node(row, piece, *up, before + text, concat(left, right, tok, before + text, mid, mid + len(text)))
+                    held = None
+
+    nodes = written(_parts_of(texts, path, part_chars).mapInArrow(tidy(leaf), NODE), "bpe-level-0")
+    done, level = nodes.filter("n = 1").select("row", "piece", "ids"), 0
+    nodes = nodes.filter("n > 1")
+    while nodes.head(1):
+        level += 1
+        dealt = nodes.withColumn("up", F.shiftright("at", 1)).repartition("row", "piece", "up").sortWithinPartitions("row", "piece", "at").drop("up")
+        step = written(dealt.mapInArrow(tidy(pair), NODE), f"bpe-level-{level}")
+        done = done.unionByName(step.filter("n = 1").select("row", "piece", "ids"))
+        nodes = step.filter("n > 1")
+    return done
+
+
+def encode(df: DataFrame, tokenizer: str | None = None, leaf_chars: int = LEAF_CHARS, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True, digests: bool = False, part_chars: int = PART_CHARS) -> DataFrame:
     """``keep`` columns and, for each text, ``ids`` (array of int) or the
     digests of ids and of the text decoded from them. ``tokenizer`` is the file
     of a byte-level BPE tokenizer, which each worker reads once."""
     path = tokenizer or default_tokenizer()
-    src = df.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    schema = ", ".join(f"`{k}` {src.schema[k].dataType.simpleString()}" for k in keep) + ", n_tokens bigint" + ", ids array<int>" * ids + ", ids_sha256 string, decoded_sha256 string" * digests
-
-    def run(batches):
+    names = [f"_keep{n}" for n in range(len(keep))]
+    src = df.select(*[F.col(k).alias(n) for k, n in zip(keep, names, strict=True)], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    kinds = ", ".join(f"{n} {src.schema[n].dataType.simpleString()}" for n in names)
+    schema = ", ".join(filter(None, [kinds, "n_tokens bigint", "ids array<int>" * ids, "ids_sha256 string, decoded_sha256 string" * digests]))
+    outs = [x.split()[0] for x in schema.split(", ")] if not names else [*names, "n_tokens", *["ids"] * ids, *["ids_sha256", "decoded_sha256"] * digests]
+
+    def result(tok, kept, found):
+        cols = [*kept, pa.array([len(x) for x in found], pa.int64())]
+        if ids:
+            cols.append(pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32())))
+        if digests:
+            cols.append(pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in found], pa.string()))
+            cols.append(pa.array([hashlib.sha256(decode_ids(tok, x).encode()).hexdigest() for x in found], pa.string()))
+        return pa.RecordBatch.from_arrays(cols, names=outs)
+
+    def short(batches):
         tok = load(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = list(encode_many(tok, part.column(len(keep)).to_pylist(), leaf_chars))
-                cols = [part.column(i) for i in range(len(keep))] + [pa.array([len(x) for x in found], pa.int64())]
-                if ids:
-                    cols.append(pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32())))
-                if digests:
-                    cols.append(pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in found], pa.string()))
-                    cols.append(pa.array([hashlib.sha256(decode_ids(tok, x).encode()).hexdigest() for x in found], pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, names=[*keep, "n_tokens", *["ids"] * ids, *["ids_sha256", "decoded_sha256"] * digests])
+                yield result(tok, part.columns[:-1], list(encode_many(tok, part.column(len(keep)).to_pylist(), leaf_chars)))
 
-    return src.mapInArrow(tidy(run), schema)
+    def whole(batches):
+        tok = load(path)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = batch.slice(i, 1)
+                yield result(tok, own.columns[:-1], [np.frombuffer(own.column(len(keep))[0].as_py(), np.uint32)])
+
+    def joined(batches):
+        row, held = None, []
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([b"".join(held)], pa.binary())], names=["row", "_ids"])
+        for batch in batches:
+            for r, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if r != row:
+                    if held:
+                        yield out()
+                    row, held = r, []
+                held.append(x)
+        if held:
+            yield out()
+
+    few = src.filter(F.char_length("_text") <= part_chars).mapInArrow(tidy(short), schema)
+    long = written(src.filter(F.char_length("_text") > part_chars).withColumn("row", F.monotonically_increasing_id()), "bpe-long")
+    if long.head(1):
+        pieces = _tree_ids(long, path, part_chars, leaf_chars)
+        lists = pieces.repartition("row").sortWithinPartitions("row", "piece").mapInArrow(tidy(joined), "row bigint, _ids binary")
+        few = few.unionByName(long.drop("_text").join(lists, "row").select(*names, "_ids").mapInArrow(tidy(whole), schema))
+    return few.toDF(*keep, *outs[len(keep) :])
 
 
 def decode_ids(tok, ids) -> str:
@@ -215,4 +334,4 @@ def decode(df: DataFrame, tokenizer: str | None = None, ids: str = "ids", keep:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"), ids=False, digests=True)
+    return encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ids=False, digests=True)

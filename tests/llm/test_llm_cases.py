@@ -65,6 +65,23 @@ def test_bpe_round_trip(spark):
     assert bpe.encode(empty(spark)).count() == 0
 
 
+def test_long_texts_are_encoded_by_several_tasks(spark):
+    tok = bpe.load(bpe.default_tokenizer())
+    rng = random.Random(8)
+    parts = [lambda n: "a" * n, lambda n: "".join(rng.choice("abcdeth ") for _ in range(n)), lambda n: " " * n, lambda n: "<|endoftext|>" * (n // 50) + " x", lambda n: "".join(rng.choice(["'re", " ", "\n", "x", "9", "🙂"]) for _ in range(n))]
+    texts = ["".join(rng.choice(parts)(rng.randrange(1, 4000)) for _ in range(rng.randrange(1, 30))) for _ in range(25)]
+    texts += ["some plain words, said again and again " * 20_000, "q" * 100_000, "short", "", None, "<|endoftext|>" * 400]
+    df = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (None, texts[4])], "doc_id bigint, text string").withColumn("row", F.lit("clash")).withColumn("n_tokens", F.lit("clash"))
+    for size in (700, 30_000):
+        got = bpe.encode(df, part_chars=size, leaf_chars=300).collect()
+        assert len(got) == len(texts) + 2
+        for r in got:
+            assert r.ids == tok.encode(texts[4 if r.doc_id is None else r.doc_id] or "", add_special_tokens=False).ids
+    long = df.filter("doc_id = 25").select(F.lit(0).cast("bigint").alias("row"), F.col("text").alias("_text"))
+    tasks = bpe._parts_of(long, bpe.default_tokenizer(), 30_000).withColumn("task", F.spark_partition_id())
+    assert tasks.count() == 26 and tasks.select("task").distinct().count() > 1
+
+
 # warc
 
 
