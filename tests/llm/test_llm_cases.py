@@ -151,6 +151,26 @@ def test_neighbours_of_repeated_rows(spark):
     assert [r[:3] for r in found(scaled, once.filter("vec_id < 6"))] == [r[:3] for r in want]
 
 
+def test_neighbours_in_large_groups_of_copies(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=8)
+    vecs = [base] * 60 + [base + rng.normal(size=8) * 1e-5 for _ in range(60)] + list(rng.normal(size=(20, 8)))
+    rows = [(i * 3 % 140, [float(x) for x in np.float32(v)]) for i, v in enumerate(vecs)]
+    df = spark.createDataFrame(rows + rows[:5] * 30, "vec_id bigint, embedding array<float>").repartition(5)
+    x, ids = np.array([v for _, v in rows], dtype=np.float64), [i for i, _ in rows]
+    want = {}
+    for i, v in zip(ids, x, strict=True):
+        s = ann.cosines(np.tile(v, (len(x), 1)), x)
+        want[i] = sorted(((-a, j) for a, j in zip(s.tolist(), ids, strict=True) if j != i))[:5]
+    for broadcast in (200_000, 0):
+        monkeypatch.setattr(_shared.small, "__defaults__", (broadcast,))
+        monkeypatch.setattr(_shared, "KEY_ROWS", 1 if broadcast == 0 else 128)
+        got = {}
+        for r in ann.nearest(df, df, 5, tile=16).collect():
+            got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+        assert {q: sorted(found) for q, found in got.items()} == want
+
+
 # near-duplicates
 
 
