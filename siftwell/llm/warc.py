@@ -10,9 +10,10 @@ writer, whose line end is the two CRLF that close a WARC record, so they go
 wherever Spark can write, survive task retries and hold at most
 ``records_per_file`` records of at most a segment each.
 
-``read_archive`` parses the files, groups segments by origin, orders them by
-number, verifies the total length, decodes the chunked framing and resolves
-revisits. Records that are whole skip the grouping.
+``read_archive`` parses each file once, into a written table, deals segments by
+origin, orders them by number, verifies the total length, decodes the chunked
+framing and resolves revisits. Segments are put together as they stream by, one
+record at a time. Records that are whole skip the grouping.
 
 Defined results: a null html is an empty payload, a null url an empty target
 URI; rows that repeat the largest page id of a payload are all responses; a
@@ -25,14 +26,17 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import new_path, small, table, tidy, written
+from ._shared import new_path, spread, spread_join, table, tidy, written
 
 SEGMENT_BYTES = 65_536
+#: Segments of op5's archives: short, so that many pages are reassembled.
+OP5_SEGMENT_BYTES = 4096
 CHUNK_BYTES = 16_384
 REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 2000
@@ -118,8 +122,9 @@ def write_archive(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTE
     src = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     long = src.filter(F.octet_length("html") >= revisit_bytes)
     top = long.groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).filter("n > 1 and top is not null").select("digest", "top")
-    top = small(written(top, "warc-copies"))
-    src = src.join(top, "digest", "left").select("page_id", "url", "html", "digest", F.expr("if(page_id <=> top, null, top)").alias("refers_to"))
+    # a third of all pages may be copies of one
+    top = written(top, "warc-copies")
+    src = spread_join(src, top, "digest", "page_id", "left").select("page_id", "url", "html", "digest", F.expr("if(page_id <=> top, null, top)").alias("refers_to"))
 
     def run(batches):
         serial = TaskContext.get().partitionId() << 40
@@ -153,19 +158,16 @@ def parse(data: bytes):
         at += 4
 
 
-def read_records(spark: SparkSession, path: str, segmented: bool) -> DataFrame:
-    """Records of the archives: the segmented ones, or all others."""
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the archives; those that are whole have no segment."""
 
     def number(x):
         return int(x) if x else None
 
     def rows(data):
         for head, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-            n = number(head.get("warc-segment-number"))
-            if (n is not None) != segmented:
-                continue
             ident = head["warc-record-id"].strip("<>")
-            yield ident, head["warc-type"], number(head.get("x-page-id")), head.get("warc-target-uri"), number(head.get("x-refers-to-page-id")), head.get("warc-payload-digest", "").removeprefix("sha1:"), head.get("warc-segment-origin-id", ident).strip("<>"), n, number(head.get("warc-segment-total-length")), block
+            yield ident, head["warc-type"], number(head.get("x-page-id")), head.get("warc-target-uri"), number(head.get("x-refers-to-page-id")), head.get("warc-payload-digest", "").removeprefix("sha1:"), head.get("warc-segment-origin-id", ident).strip("<>"), number(head.get("warc-segment-number")), number(head.get("warc-segment-total-length")), block
 
     kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
 
@@ -191,22 +193,35 @@ def read_records(spark: SparkSession, path: str, segmented: bool) -> DataFrame:
 
 def reassemble(segments: DataFrame) -> DataFrame:
     """Whole blocks of segmented records: origin_id, block; the block is null
-    unless numbers run from 1 without a gap and the total length is right."""
-    whole = segments.groupBy("origin_id").agg(
-        F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total_length").alias("total"), F.max("segment").alias("last"), F.countDistinct("segment").alias("n"), F.count("*").alias("rows")
-    )
-    joined = F.expr("aggregate(parts, cast('' as binary), (a, p) -> a || p.block)")
-    good = (F.col("n") == F.col("last")) & (F.col("rows") == F.col("n"))
-    whole = whole.select("origin_id", "total", F.when(good, joined).alias("block"))
-    return whole.select("origin_id", F.when(F.octet_length("block") == F.col("total"), F.col("block")).alias("block"))
+    unless numbers run from 1 without a gap or repeat and the total is right."""
+
+    def whole(origin, parts):
+        blocks, total, good = [], None, True
+        for n, (_, segment, length, block) in enumerate(parts, 1):
+            good = good and segment == n
+            total = length if length is not None else total
+            # what is broken is not held
+            blocks = [] if not good else blocks
+            blocks.append(block)
+        held = b"".join(blocks) if good else None
+        found = held if held is not None and len(held) == total else None
+        return pa.RecordBatch.from_arrays([pa.array([origin], pa.string()), pa.array([found], pa.binary())], names=["origin_id", "block"])
+
+    def run(batches):
+        rows = (tuple(c[i].as_py() for c in b.columns) for b in batches for i in range(b.num_rows))
+        for origin, parts in groupby(rows, key=lambda r: r[0]):
+            yield whole(origin, parts)
+
+    dealt = segments.select("origin_id", "segment", "total_length", "block").repartition("origin_id").sortWithinPartitions("origin_id", "segment")
+    return dealt.mapInArrow(tidy(run), "origin_id string, block binary")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """One row per page record, payloads decoded and revisits resolved."""
-    alone = read_records(spark, path, False)
-    parts = read_records(spark, path, True)
+    records = written(read_records(spark, path), "warc-records")
+    alone, parts = records.filter("segment is null"), records.filter("segment is not null")
     first = parts.filter("record_type <> 'continuation'").drop("block", "segment", "total_length", "origin_id")
-    long = first.join(reassemble(parts.select("origin_id", "segment", "total_length", "block")), first.record_id == F.col("origin_id")).select("record_id", "page_id", "url", "record_type", "refers_to", "payload_digest", "block")
+    long = first.join(reassemble(parts), first.record_id == F.col("origin_id")).select("record_id", "page_id", "url", "record_type", "refers_to", "payload_digest", "block")
     both = alone.select("record_id", "page_id", "url", "record_type", "refers_to", "payload_digest", "block").unionByName(long)
 
     def run(batches):
@@ -223,8 +238,11 @@ def digest_rows(read: DataFrame) -> DataFrame:
     """Digests of each page's full payload; a revisit takes the one it names."""
     rows = read.select("page_id", "record_type", "refers_to", F.octet_length("payload").cast("bigint").alias("n"), F.sha1("payload").alias("d"), F.col("payload_digest").alias("named"))
     rows = written(rows, "warc-rows")
-    first = rows.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), F.col("d").alias("named")).agg(F.max("n").alias("n2"))
-    again = rows.filter("record_type = 'revisit'").drop("n", "d").join(small(written(first.join(rows.filter("record_type = 'revisit'").select("refers_to", "named").distinct(), ["refers_to", "named"], "left_semi"), "warc-named")), ["refers_to", "named"], "left")
+    revisits = rows.filter("record_type = 'revisit'").drop("n", "d").withColumn("key", F.concat_ws(":", F.col("refers_to").cast("string"), "named"))
+    first = rows.filter("record_type = 'response' and page_id is not null").groupBy(F.concat_ws(":", F.col("page_id").cast("string"), "d").alias("key")).agg(F.max("n").alias("n2"))
+    # many revisits may name one response
+    first = written(first.join(revisits.select("key").distinct(), "key", "left_semi"), "warc-named")
+    again = spread_join(revisits, first, "key", "page_id", "left")
     return rows.filter("record_type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", "refers_to").unionByName(
         again.select("page_id", F.col("n2").alias("payload_bytes"), F.when(F.col("n2").isNotNull(), F.col("named")).alias("payload_digest"), "record_type", "refers_to")
     )
@@ -232,7 +250,7 @@ def digest_rows(read: DataFrame) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
-    write_archive(table(spark, sf_dir, "pages"), path)
+    write_archive(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")), path, OP5_SEGMENT_BYTES)
     return digest_rows(read_archive(spark, path))
 
 

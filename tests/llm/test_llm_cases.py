@@ -98,9 +98,12 @@ def test_warc_segments_and_chunks(spark, tmp_path):
     assert bytes(read.filter("page_id = 4").head().payload) == long.encode()
     d = {r.page_id: r for r in warc.digest_rows(read).collect()}
     assert d[3].payload_bytes == len(long.encode()) and d[3].payload_digest == hashlib.sha1(long.encode()).hexdigest()
-    assert warc.read_records(spark, path, True).filter("segment > 1").count() > 50
-    parts = warc.read_records(spark, path, True).filter("page_id = 4 or segment <> 3").select("origin_id", "segment", "total_length", "block")
-    assert warc.reassemble(parts).filter("block is not null").count() == 0
+    parts = warc.read_records(spark, path).filter("segment is not null").cache()
+    assert parts.filter("segment > 1").count() > 50
+    assert warc.reassemble(parts).filter("block is not null").count() == 2
+    assert warc.reassemble(parts.filter("segment <> 3")).filter("block is not null").count() == 0
+    assert warc.reassemble(parts.unionByName(parts.filter("segment = 2"))).filter("block is not null").count() == 0
+    assert warc.reassemble(parts.filter("total_length is null")).filter("block is not null").count() == 0
     assert warc.dechunked(b"5\r\nab") is None and warc.dechunked(b"zz\r\n") is None and warc.dechunked(b"2;x\r\nab\r\n0\r\n\r\n") == b"ab"
 
 
