@@ -1,16 +1,22 @@
 """Toxicity by weak supervision.
 
-Voters look at the words of a text: a seed lexicon, lexicons and word-stem
-patterns mined from labelled rows, and how many and how dense their hits are.
-A generative label model with two classes estimates each voter's rates and the
-voters' correlations within a class by EM over the vote patterns of all
-documents; correlated voters share their weight. A linear classifier is trained
-on the posterior labels of a bounded sample and scores every document.
+Voters look at the words of a text. Two are seed lexicons, of insults and of
+contempt; two are patterns, pairs of hostile words and an address shortly before
+a hit; lexicons of words and of word stems are mined from labelled rows; others
+say how many and how dense their hits are, and how loud a text is. A generative
+label model with two classes is fitted by EM to the vote patterns of all
+documents. It estimates each voter's rates and the voters' correlations within a
+class; voters that go together form a clique, whose votes have one joint
+distribution in either class, so that what they say together counts once. A
+linear classifier is trained on the posterior labels of a bounded sample and
+scores every document.
 
 Bounds: ``VOTERS`` yes/no voters make at most ``2 ** VOTERS`` patterns, so the
 label model sees all documents through that many counts. Mining and the
-classifier's fit take at most about ``SAMPLE_ROWS`` rows each, chosen by hash.
-A mined entry has to come from documents that are no near copies of each other.
+classifier's fit take at most about ``SAMPLE_ROWS`` rows each, chosen by hash. A
+mined entry has to occur in a share ``SUPPORT`` of the toxic rows that are no
+near copies of each other, so there are at most ``1 / SUPPORT`` times as many
+entries as such a row has different words and stems; all of them count.
 
 Defined results: null and empty texts have no votes and are scored; labels
 other than 0 and 1, and labels of unknown documents, are left out; without any
@@ -26,18 +32,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textstats
-from ._shared import fold, small, table, tidy, written
+from ._shared import fold, small, spread, table, tidy, written
 from .textstats import PREFIXES, Batch
 
 SAMPLE_ROWS = 12_000
 VOTERS = 12
 FEATURES = 22
-#: Least share of toxic rows that carry a mined entry, and least odds ratio.
-SUPPORT, LIFT = 0.01, 15.0
-ENTRIES = 4000
-DENSE = 0.005
-#: Words of abuse; a seed only, the mined lexicons go beyond it.
-SEED_LEXICON = ("idiot", "idiots", "moron", "morons", "stupid", "dumb", "loser", "losers", "trash", "garbage", "scum", "pathetic", "worthless", "disgusting", "clown", "filth", "vermin", "imbecile", "fool", "hate", "despise", "shut", "ugly", "freak")
+#: Least share of toxic rows that carry a mined entry, least odds ratio, and
+#: least evidence, twice the logarithm of the likelihood ratio of its rows' labels:
+#: about one in ten thousand entries without a bearing has as much.
+SUPPORT, LIFT, EVIDENCE = 0.01, 8.0, 16.0
+DENSE, LOUD, SHOUTED = 0.005, 0.05, 0.3
+#: Words of abuse; seeds only, the mined lexicons go beyond them.
+INSULTS = ("idiot", "idiots", "moron", "morons", "loser", "losers", "clown", "imbecile", "fool", "freak")
+CONTEMPT = ("stupid", "dumb", "trash", "garbage", "scum", "pathetic", "worthless", "disgusting", "filth", "vermin", "ugly", "hate", "despise")
+HOSTILE_PAIRS = (("shut", "up"), ("get", "lost"), ("drop", "dead"), ("you", "suck"), ("hate", "you"))
+ADDRESS = ("you", "your", "youre", "tu", "toi", "vous", "du", "dich", "ihr", "usted", "eres")
+#: Words between an address and a hit, at most.
+NEAR = 4
+#: Correlation within a class from which voters are one clique, and voters of
+#: one, at most.
+TOGETHER, CLIQUE = 0.2, 8
+#: Rows that a clique's independent distribution counts for.
+SMOOTH = 1.0
 
 U = np.uint64
 
@@ -50,13 +67,24 @@ class Lexicon:
         for kind in (0, *PREFIXES):
             own = sorted((np.int64(h).astype(U), w) for k, h, w in rows if k == kind)
             self.of[kind] = (np.array([h for h, _ in own], dtype=U), np.array([w for _, w in own]))
-        self.seed = np.sort(Batch([" ".join(SEED_LEXICON)]).words)
+        self.insults, self.contempt, self.address = (np.sort(Batch([" ".join(x)]).words) for x in (INSULTS, CONTEMPT, ADDRESS))
+        pairs = Batch([" ".join(x) for x in HOSTILE_PAIRS]).words
+        self.pairs = np.sort(_paired(pairs)[::2])
 
     def hits(self, kind, hashes):
         own, weight = self.of[kind]
         return _lookup(own, weight, hashes)
 
 
+def _paired(words):
+    """A hash for each word and the next."""
+    return words[:-1] * U(0x9E3779B97F4A7C15) + words[1:]
+
+
+def _among(own, hashes):
+    return _lookup(own, np.ones(len(own)), hashes) > 0
+
+
 def _lookup(own, weight, hashes):
     if not len(own) or not len(hashes):
         return np.zeros(len(hashes))
@@ -70,31 +98,42 @@ def votes_and_features(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray,
     n, words = b.n, np.maximum(b.n_words, 1)
     weight = lexicon.hits(0, b.words)
     hit = weight > 0
-    group = (b.words >> U(7)) % U(4)
+    insult, contempt = _among(lexicon.insults, b.words), _among(lexicon.contempt, b.words)
+    said = insult | contempt
+    seed = b.per_word(said)
     v = np.zeros((n, VOTERS), dtype=bool)
-    for g in range(4):
-        v[:, g] = b.per_word(hit & (group == U(g))) > 0
+    v[:, 0] = b.per_word(insult) > 0
+    v[:, 1] = b.per_word(contempt) > 0
+    pair, address = np.zeros(len(b.words), dtype=bool), np.zeros(len(b.words), dtype=bool)
+    if len(b.words) > 1:
+        pair[1:] = _among(lexicon.pairs, _paired(b.words)) & (b.owner[1:] == b.owner[:-1])
+        called = _among(lexicon.address, b.words)
+        for gap in range(1, min(NEAR, len(b.words) - 1) + 1):
+            address[gap:] |= called[:-gap] & (b.owner[gap:] == b.owner[:-gap])
+    v[:, 2] = b.per_word(pair) > 0
+    v[:, 3] = b.per_word(address & (hit | said)) > 0
+    # the mined words without the seeds, which have voters of their own
+    v[:, 4] = b.per_word(hit & ~said) > 0
     stems = np.zeros(n)
     stem_weight = np.zeros(n)
     for i, k in enumerate(PREFIXES):
         hashes, owner = b.prefixes(k)
         w = lexicon.hits(k, hashes)
         count = np.bincount(owner, weights=w > 0, minlength=n)
-        v[:, 4 + i] = count > 0
+        v[:, 5 + i] = count > 0
         stems += count
         stem_weight += np.bincount(owner, weights=w, minlength=n)
-    seed = b.per_word(_lookup(lexicon.seed, np.ones(len(lexicon.seed)), b.words))
     hits = b.per_word(hit)
     kinds = np.zeros(n)
     if hit.any():
         pairs = np.unique(np.stack([b.owner[hit].astype(U), b.words[hit]]), axis=1)
         kinds = np.bincount(pairs[0].astype(np.int64), minlength=n).astype(float)
     loud = b.per_text(b.kind == textstats.LOUD) / words
-    v[:, 7] = seed > 0
+    letters = np.maximum(b.per_text(b.kind == textstats.LETTER) + b.per_text(b.kind == textstats.UPPER), 1)
     v[:, 8] = kinds >= 2
     v[:, 9] = (hits + stems / len(PREFIXES)) / words >= DENSE
-    v[:, 10] = stems >= 2 * len(PREFIXES)
-    v[:, 11] = loud >= 0.05
+    v[:, 10] = loud >= LOUD
+    v[:, 11] = b.per_text(b.caps) / letters >= SHOUTED
     x = np.zeros((n, FEATURES), dtype=np.float32)
     x[:, :VOTERS] = v
     x[:, 12] = np.log1p(hits)
@@ -162,14 +201,31 @@ def mine(sample: DataFrame) -> list[tuple[int, int, float]]:
     pos = small(written(pos, "toxic-positive"))
     neg = flat.filter("label = 0").join(pos, ["kind", "hash"], "left_semi").groupBy("kind", "hash").agg(F.count("*").alias("b"))
     odds = F.log(((F.col("a") + 0.5) / (n1 + 1)) / ((F.coalesce("b", F.lit(0)) + 0.5) / (n0 + 1)))
-    best = pos.join(neg, ["kind", "hash"], "left").withColumn("odds", odds).filter(F.col("odds") >= float(np.log(LIFT)))
-    return [(r.kind, r.hash, r.odds) for r in best.orderBy(F.desc("odds"), F.desc("a"), "hash").limit(ENTRIES).collect()]
+    b = F.coalesce("b", F.lit(0))
+    plus = lambda n, own: n * F.log(F.greatest(n, F.lit(1)) / (F.col("a") + b) / (own / (n1 + n0)))
+    best = pos.join(neg, ["kind", "hash"], "left").withColumn("odds", odds).withColumn("evidence", 2 * (plus(F.col("a"), n1) + plus(b, n0)))
+    best = best.filter((F.col("odds") >= float(np.log(LIFT))) & (F.col("evidence") >= EVIDENCE))
+    return [(r.kind, r.hash, r.odds) for r in best.select("kind", "hash", "odds").collect()]
+
+
+def cliques_of(rho: np.ndarray, least: float = TOGETHER, most: int = CLIQUE) -> list[list[int]]:
+    """Voters joined along their strongest correlations, ``most`` at most."""
+    own = {j: [j] for j in range(len(rho))}
+    pairs = sorted(((-rho[i, j], i, j) for i in range(len(rho)) for j in range(i) if rho[i, j] >= least))
+    for _, i, j in pairs:
+        if own[i] is not own[j] and len(own[i]) + len(own[j]) <= most:
+            both = sorted(own[i] + own[j])
+            for x in both:
+                own[x] = both
+    return sorted({tuple(x) for x in own.values()})
 
 
 def label_model(patterns: np.ndarray, counts: np.ndarray, known: np.ndarray, steps: int = 40):
-    """Posterior of class 1 for each vote pattern. ``patterns`` (P, VOTERS) of
-    0/1, ``counts`` over all documents, ``known`` (P, 2) counts of learning
-    labels, which hold the classes in place."""
+    """(posterior of class 1 for each vote pattern, rates, correlations within
+    the classes, cliques). ``patterns`` (P, VOTERS) of 0/1, ``counts`` over all
+    documents, ``known`` (P, 2) counts of learning labels, which hold the classes
+    in place. EM with independent voters tells the correlations, and EM with a
+    joint distribution of each clique's votes goes on from there."""
     v = patterns.astype(float)
     if known.sum():
         rate = (known.T @ v + 0.5) / (known.sum(axis=0)[:, None] + 1.0)
@@ -177,25 +233,34 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, known: np.ndarray, ste
     else:
         rate = np.tile([[0.02], [0.4]], (1, v.shape[1]))
         prior = 0.05
-    share = np.ones(v.shape[1])
+    cliques = [(j,) for j in range(v.shape[1])]
+    codes = lambda: [patterns[:, c].astype(np.int64) @ (1 << np.arange(len(c))) for c in cliques]
+    alone = lambda c, r: np.prod([np.where((np.arange(1 << len(c)) >> i) & 1, r[j], 1 - r[j]) for i, j in enumerate(c)], axis=0)
+    at = codes()
+    tables = [np.stack([alone(c, rate[y]) for y in (0, 1)]) for c in cliques]
+    rho = np.zeros((v.shape[1], v.shape[1]))
     post = np.zeros(len(v))
-    for _ in range(steps):
-        llr = v * np.log(rate[1] / rate[0]) + (1 - v) * np.log((1 - rate[1]) / (1 - rate[0]))
-        post = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + llr @ share, -30, 30)))
+    for step in range(steps):
+        llr = sum(np.log(t[1][k] / t[0][k]) for t, k in zip(tables, at, strict=True))
+        post = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + llr, -30, 30)))
         weights = np.stack([counts * (1 - post), counts * post], axis=1) + known
-        total = weights.sum(axis=0)[:, None] + 1.0
-        rate = np.clip((weights.T @ v + 0.5) / total, 1e-4, 1 - 1e-4)
-        prior = float(np.clip(weights[:, 1].sum() / weights.sum(), 1e-4, 0.5))
-        # correlations within the classes
-        rho = np.zeros((v.shape[1], v.shape[1]))
-        for c in (0, 1):
-            d = v - rate[c]
-            cov = (d * weights[:, c : c + 1]).T @ d / total[c]
-            sd = np.sqrt(rate[c] * (1 - rate[c]))
-            rho = np.maximum(rho, np.clip(cov / np.outer(sd, sd), 0, 1))
-        np.fill_diagonal(rho, 0)
-        share = 1 / (1 + rho.sum(axis=1))
-    return post, rate, rho
+        total = weights.sum(axis=0)
+        rate = np.clip((weights.T @ v + 0.5) / (total[:, None] + 1.0), 1e-4, 1 - 1e-4)
+        prior = float(np.clip(total[1] / total.sum(), 1e-4, 0.5))
+        if step == steps // 4:
+            for y in (0, 1):
+                d = v - rate[y]
+                cov = (d * weights[:, y : y + 1]).T @ d / (total[y] + 1.0)
+                sd = np.sqrt(rate[y] * (1 - rate[y]))
+                rho = np.maximum(rho, np.clip(cov / np.outer(sd, sd), 0, 1))
+            np.fill_diagonal(rho, 0)
+            cliques = cliques_of(rho)
+            at = codes()
+        tables = []
+        for c, k in zip(cliques, at, strict=True):
+            seen = np.stack([np.bincount(k, weights=weights[:, y], minlength=1 << len(c)) for y in (0, 1)])
+            tables.append(np.stack([(seen[y] + SMOOTH * alone(c, rate[y])) / (total[y] + SMOOTH) for y in (0, 1)]))
+    return post, rate, rho, cliques
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 30) -> np.ndarray:
@@ -239,7 +304,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         held[at[r.votes], r.label] = r.n
     weights = np.append(np.zeros(FEATURES), -2.0)
     if len(seen):
-        post, _, _ = label_model(bits, np.array([total[int(p)] for p in seen], dtype=float), held)
+        post, *_ = label_model(bits, np.array([total[int(p)] for p in seen], dtype=float), held)
         fit = _sample(base, sum(total.values()), SAMPLE_ROWS).select("votes", "x").toPandas()
         if len(fit):
             weights = logistic(np.array(fit.x.tolist(), dtype=float), post[[at[int(p)] for p in fit.votes]])
@@ -254,5 +319,5 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), 5) != 0).select("doc_id", F.col("toxic").alias("label"))
-    found = scores(table(spark, sf_dir, "documents"), labels)
+    found = scores(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), labels)
     return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

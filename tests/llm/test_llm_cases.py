@@ -562,10 +562,52 @@ def test_label_model_tells_voters_apart():
         v[:, j] = rng.random(4000) < np.where(y, 0.7 if j < 6 else 0.1, 0.02 if j < 6 else 0.1)
     v[:, 1] = v[:, 0]
     seen, counts = np.unique(v, axis=0, return_counts=True)
-    post, rate, rho = toxicity.label_model(seen, counts.astype(float), np.zeros((len(seen), 2)))
+    post, rate, rho, cliques = toxicity.label_model(seen, counts.astype(float), np.zeros((len(seen), 2)))
     at = {tuple(p): x for p, x in zip(seen.tolist(), post, strict=True)}
     assert np.mean([(at[tuple(r)] > 0.5) == t for r, t in zip(v.tolist(), y, strict=True)]) > 0.97
     assert rate[1, 0] > 0.5 > rate[0, 0] and rho[0, 1] > 0.9 > rho[0, 2]
+    assert any({0, 1} <= set(c) for c in cliques)
+
+
+def test_label_model_against_plain_em():
+    """The model on counted patterns equals EM in loops over single rows."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(300):
+        y = rng.random() < 0.3
+        v = [int(rng.random() < (0.7 if y else 0.1)) for _ in range(4)]
+        rows.append((*v[:2], v[1], *v[2:]))
+    gold = [(rows[i], i % 2) for i in range(10)]
+    seen = sorted(set(rows))
+    counts = np.array([rows.count(p) for p in seen], dtype=float)
+    known = np.array([[sum(g == (p, y) for g in gold) for y in (0, 1)] for p in seen], dtype=float)
+    steps = 12
+    post, rate, rho, cliques = toxicity.label_model(np.array(seen), counts, known, steps)
+    assert any({1, 2} <= set(c) for c in cliques)
+    n = [sum(y == c for _, y in gold) for c in (0, 1)]
+    r = [[(sum(v[j] for v, y in gold if y == c) + 0.5) / (n[c] + 1) for j in range(5)] for c in (0, 1)]
+    prior, groups = (n[1] + 1) / (len(gold) + 2), [(j,) for j in range(5)]
+
+    def alone(c, votes, rates):
+        return np.prod([rates[j] if votes[j] else 1 - rates[j] for j in c])
+
+    table = {(c, tuple(v[j] for j in c), y): alone(c, v, r[y]) for c in groups for v in rows for y in (0, 1)}
+    for step in range(steps):
+        told = []
+        for v in rows:
+            odds = np.log(prior / (1 - prior)) + sum(np.log(table[c, tuple(v[j] for j in c), 1] / table[c, tuple(v[j] for j in c), 0]) for c in groups)
+            told.append(1 / (1 + np.exp(-odds)))
+        whole = [(v, p) for v, p in zip(rows, told, strict=True)] + [(v, float(y)) for v, y in gold]
+        weight = [sum(1 - p for _, p in whole), sum(p for _, p in whole)]
+        share = lambda test, y: sum((p if y else 1 - p) for v, p in whole if test(v))
+        r = [[min(max((share(lambda v, j=j: v[j], y) + 0.5) / (weight[y] + 1), 1e-4), 1 - 1e-4) for j in range(5)] for y in (0, 1)]
+        prior = min(max(weight[1] / sum(weight), 1e-4), 0.5)
+        if step == steps // 4:
+            groups = cliques
+        table = {(c, tuple(v[j] for j in c), y): (share(lambda u, c=c, v=v: all(u[j] == v[j] for j in c), y) + toxicity.SMOOTH * alone(c, v, r[y])) / (weight[y] + toxicity.SMOOTH) for c in groups for v in seen for y in (0, 1)}
+    want = dict(zip(rows, told, strict=True))
+    assert all(abs(want[p] - x) < 1e-9 for p, x in zip(seen, post, strict=True))
+    assert np.allclose(rate, r)
 
 
 def test_toxicity_awkward(spark):
