@@ -3,8 +3,8 @@
 A pass over the whole texts gives each document a vector of statistics, which
 is written. Random Fourier features approximate a Gaussian kernel over the
 standardised vectors. Every partition sums its part of the normal equations;
-the sums are added in two steps and solved on the driver (``FEATURES + 1``
-squared, whatever the corpus). The equations are kept apart for ``FOLDS`` folds:
+the sums are added up a tree, ``FAN_IN`` at a time, and solved on the driver
+(``FEATURES + 1`` squared, whatever the corpus). The equations are kept apart for ``FOLDS`` folds:
 a label's own score comes from the solution without its fold, and isotonic
 regression over bins of these scores calibrates the model. All labelled rows of
 the learning folds are used.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textstats
-from ._shared import fold, table, tidy, written
+from ._shared import fold, spread, table, tidy, written
 from .textstats import Batch
 
 FEATURES = 512
@@ -34,6 +35,10 @@ FOLDS = 3
 RIDGE = 1e-3
 #: Rows whose features are held at once, 4 kB each.
 ROWS = 512
+#: Sums that one task adds.
+FAN_IN = 16
+#: Words of the run that is looked at for the worst.
+RUN = 64
 SEED = 20_240
 BINS = 400
 ACCEPT = 0.7
@@ -91,14 +96,11 @@ def statistics(texts: list[str]) -> np.ndarray:
         out[i, 22] = np.log1p(max(map(len, lines), default=0))
         raw = text.encode("utf-8", "surrogatepass")
         out[i, 23] = len(zlib.compress(raw, 1)) / (len(raw) + 20)
-        # the worst run of 64 words: marks, and words said again
-        if n >= 64:
-            m = n // 64 * 64
-            out[i, 24] = (marked | whole_caps)[ends[i] - n : ends[i] - n + m].reshape(-1, 64).mean(axis=1).max()
-            out[i, 25] = same[ends[i] - n : ends[i] - n + m].reshape(-1, 64).mean(axis=1).max()
-        else:
-            out[i, 24] = (marked | whole_caps)[ends[i] - n : ends[i]].mean()
-            out[i, 25] = same[ends[i] - n : ends[i]].mean()
+        # the worst run of words: marks, and words said again
+        for at, flags in ((24, marked | whole_caps), (25, same)):
+            total = np.concatenate([[0], np.cumsum(flags[ends[i] - n : ends[i]])])
+            run = min(RUN, n)
+            out[i, at] = (total[run:] - total[:-run]).max() / run
     return out
 
 
@@ -122,6 +124,13 @@ def _matrix(col) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, STATISTICS)
 
 
+@lru_cache(1)
+def projection() -> tuple[np.ndarray, np.ndarray]:
+    """The random directions and phases."""
+    rng = np.random.default_rng(SEED)
+    return rng.normal(size=(STATISTICS, FEATURES)) / np.sqrt(STATISTICS), rng.uniform(0, 2 * np.pi, FEATURES)
+
+
 @dataclass
 class Model:
     mean: np.ndarray
@@ -131,9 +140,7 @@ class Model:
     values: np.ndarray
 
     def features(self, x: np.ndarray) -> np.ndarray:
-        rng = np.random.default_rng(SEED)
-        w = rng.normal(size=(STATISTICS, FEATURES)) / np.sqrt(STATISTICS)
-        phase = rng.uniform(0, 2 * np.pi, FEATURES)
+        w, phase = projection()
         z = np.clip((x - self.mean) / self.std, -6, 6) @ w + phase
         return np.hstack([np.sqrt(2 / FEATURES) * np.cos(z), np.ones((len(x), 1))])
 
@@ -164,7 +171,8 @@ def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _summed(parts: DataFrame, n: int) -> np.ndarray:
-    """Add packed sums of partitions, first in groups, then on the driver."""
+    """Add the packed sums of partitions, FAN_IN at a time, the last few on the
+    driver."""
 
     def add(batches):
         total = np.zeros(n)
@@ -173,8 +181,11 @@ def _summed(parts: DataFrame, n: int) -> np.ndarray:
                 total += np.frombuffer(x.as_py(), np.float64)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
 
-    groups = max(1, min(16, int(parts.rdd.getNumPartitions() ** 0.5)))
-    rows = parts.repartition(groups).mapInArrow(tidy(add), "s binary").collect()
+    left = parts.rdd.getNumPartitions()
+    while left > 2:
+        left = -(-left // FAN_IN)
+        parts = parts.repartition(left).mapInArrow(tidy(add), "s binary")
+    rows = parts.collect()
     return np.sum([np.frombuffer(r.s, np.float64) for r in rows], axis=0) if rows else np.zeros(n)
 
 
@@ -211,8 +222,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
                     a[k] += own[:, :m].T @ own
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary())], names=["s"])
 
-    parts = rows.coalesce(max(1, min(64, rows.rdd.getNumPartitions())))
-    sums = _summed(parts.mapInArrow(tidy(equations), "s binary"), FOLDS * m * (m + 1)).reshape(FOLDS, m, m + 1)
+    sums = _summed(rows.mapInArrow(tidy(equations), "s binary"), FOLDS * m * (m + 1)).reshape(FOLDS, m, m + 1)
 
     def solve(s):
         count = s[m - 1, m - 1]
@@ -264,5 +274,5 @@ def learning_labels(labels: DataFrame) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scores(table(spark, sf_dir, "documents"), learning_labels(table(spark, sf_dir, "labels")))
+    found = scores(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), learning_labels(table(spark, sf_dir, "labels")))
     return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))

@@ -531,6 +531,21 @@ def test_kernel_ridge_equals_direct_solution(spark):
     assert np.allclose(z @ direct, z @ model.weights, atol=1e-6)
 
 
+def test_worst_run_sees_the_end_of_a_text():
+    plain = " ".join(f"w{i}" for i in range(100))
+    clean, junk = quality.statistics([plain + " " + " ".join(f"v{i}" for i in range(40)), plain + " same" * 40])
+    assert clean[25] == 0 and junk[25] == 39 / quality.RUN
+    assert quality.statistics(["a a", "", "x"])[:, 25].tolist() == [0.5, 0, 0]
+
+
+def test_sums_up_a_tree(spark):
+    import pyarrow as pa
+
+    one = np.arange(5.0).tobytes()
+    parts = spark.range(70).repartition(40).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([one] * b.num_rows, pa.binary())], names=["s"]) for b in bs), "s binary")
+    assert quality._summed(parts, 5).tolist() == (np.arange(5.0) * 70).tolist()
+
+
 def test_toxicity_holds_out(spark):
     got, want = held_out(spark, toxicity.op1_toxicity, "toxic", 5, 0)
     assert all(x.predicted == (x.score >= 0.5) for x in got.values())
