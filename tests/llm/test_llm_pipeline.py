@@ -27,7 +27,21 @@ def test_stages_in_order_and_columns(spark):
 def test_one_row_of_an_id_stays(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "A B c d e f"), (3, "x"), (3, "x"), (None, "x")], "doc_id bigint, text string")
     got = sorted((r.doc_id or -1) for r in P.dedup_stage(spark, df, SF).collect())
-    assert got == [-1, 1, 3]
+    assert got == [1, 3]
+
+
+def test_rows_without_an_id_are_judged(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").head().text
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clean = [r.text for r in docs.join(P.decontamination_stage(spark, docs, SF).select("doc_id"), "doc_id").orderBy("doc_id").limit(3).collect()]
+    rows = [(None, item), (5, item), (None, clean[0]), (7, clean[1]), (None, clean[2]), (None, clean[2]), (9, clean[2]), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    key = lambda d: sorted(((r.doc_id, r.text) for r in d.collect()), key=repr)
+    assert key(P.decontamination_stage(spark, df, SF)) == sorted(rows[2:], key=repr)
+    # copies without an id are copies; one with an id is the one that stays
+    assert key(P.dedup_stage(spark, df, SF)) == sorted([(5, item), *rows[2:4], (9, clean[2]), (None, None), (None, "")], key=repr)
+    told = lambda ids: sorted((r.text or "") for r in P.quality_stage(spark, df.withColumn("doc_id", ids), SF).collect())
+    assert told(F.lit(None).cast("bigint")) == told(F.monotonically_increasing_id() + 10_000_000)
 
 
 def test_pipeline_against_plain_version(spark):
