@@ -2,7 +2,8 @@
 personal data, encoding. Each stage works on all that the one before it kept.
 
 Rows are told apart by doc_id: a decision on an id holds for all its rows, and
-near-dedup keeps one row of an id. Rows without an id pass the filters.
+near-dedup keeps one row of an id. Within a stage rows without an id have ids of
+their own, above all others, and are judged like any row.
 """
 
 from __future__ import annotations
@@ -11,7 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import bpe, decontam, minhash, pii, quality
-from siftwell.llm._shared import small, staged, table, written
+from siftwell.llm._shared import small, spread, staged, table, written
+
+
+#: The first id of rows that have none.
+NO_ID = 1 << 62
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """``docs``, rows without an id under one of their own, written so that it
+    stays the same; files without such rows are not read for it."""
+    lost = docs.filter("doc_id is null").withColumn("doc_id", F.lit(NO_ID) + F.monotonically_increasing_id())
+    lost = written(lost, "stage-unnamed")
+    return docs.filter("doc_id is not null").unionByName(lost) if lost.head(1) else docs
+
+
+def _unnamed(docs: DataFrame, like: DataFrame) -> DataFrame:
+    ids = F.when(F.col("doc_id") < NO_ID, F.col("doc_id")).cast(like.schema["doc_id"].dataType)
+    return docs.withColumn("doc_id", ids).select(*like.columns)
 
 
 def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
@@ -22,28 +40,31 @@ def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
 @staged
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
-    found = quality.scores(docs, quality.learning_labels(table(spark, sf_dir, "labels")))
-    return _without(docs, found.filter(F.col("score") < quality.ACCEPT), "stage-rejected")
+    rows = _named(docs)
+    found = quality.scores(rows, quality.learning_labels(table(spark, sf_dir, "labels")))
+    return _unnamed(_without(rows, found.filter(F.col("score") < quality.ACCEPT), "stage-rejected"), docs)
 
 
 @staged
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest id."""
-    found = written(minhash.classes(docs), "stage-classes")
-    kept = _without(docs, found.filter("doc_id <> component_id"), "stage-copies")
-    again = written(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1"), "stage-repeated")
-    if not again.head(1):
-        return kept
-    again = small(again.select("doc_id"))
-    once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    rows = _named(docs)
+    found = written(minhash.classes(rows), "stage-classes")
+    kept = _without(rows, found.filter("doc_id <> component_id"), "stage-copies")
+    again = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1"), "stage-repeated")
+    if again.head(1):
+        again = small(again.select("doc_id"))
+        once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+        kept = kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    return _unnamed(kept, docs)
 
 
 @staged
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = decontam.Index(docs, table(spark, sf_dir, "benchmark")).report()
-    return _without(docs, found.filter("contaminated"), "stage-contaminated")
+    rows = _named(docs)
+    found = decontam.Index(rows, table(spark, sf_dir, "benchmark")).report()
+    return _unnamed(_without(rows, found.filter("contaminated"), "stage-contaminated"), docs)
 
 
 @staged
@@ -73,7 +94,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for n, (_, stage) in enumerate(STAGES):
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{n}")
     return docs
