@@ -10,10 +10,12 @@ writer, whose line end is the two CRLF that close a WARC record, so they go
 wherever Spark can write, survive task retries and hold at most
 ``records_per_file`` records of at most a segment each.
 
-``read_archive`` parses each file once, into a written table, deals segments by
+``read_archive`` parses each file once, into a written table, groups segments by
 origin, orders them by number, verifies the total length, decodes the chunked
-framing and resolves revisits. Segments are put together as they stream by, one
-record at a time. Records that are whole skip the grouping.
+framing and resolves revisits. Segments that follow one another in a file are
+joined where they are read; what is torn between files is dealt by origin and
+put together as it streams by, one record at a time. Records that are whole skip
+the grouping.
 
 Defined results: a null html is an empty payload, a null url an empty target
 URI; rows that repeat the largest page id of a payload are all responses; a
@@ -35,6 +37,8 @@ from pyspark.sql import functions as F
 from ._shared import new_path, spread, spread_join, table, tidy, written
 
 SEGMENT_BYTES = 65_536
+#: Bytes of neighbouring segments that reading joins at once.
+RUN_BYTES = 8_000_000
 #: Segments of op5's archives: short, so that many pages are reassembled.
 OP5_SEGMENT_BYTES = 4096
 CHUNK_BYTES = 16_384
@@ -43,7 +47,7 @@ RECORDS_PER_FILE = 2000
 CRLF = "\r\n"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
-RECORD = "record_id string, record_type string, page_id bigint, url string, refers_to bigint, payload_digest string, origin_id string, segment int, total_length bigint, block binary"
+RECORD = "record_id string, record_type string, page_id bigint, url string, refers_to bigint, payload_digest string, origin_id string, segment int, last int, total_length bigint, block binary"
 PAGE = "record_id string, page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload binary, ok boolean"
 
 
@@ -159,17 +163,36 @@ def parse(data: bytes):
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the archives; those that are whole have no segment."""
+    """Records of the archives; those that are whole have no segment, the others
+    come as runs of segments of one origin, ``segment`` to ``last``."""
 
     def number(x):
         return int(x) if x else None
 
     def rows(data):
+        run, blocks = None, []
+
+        def done():
+            nonlocal run, blocks
+            if run:
+                yield (*run, b"".join(blocks))
+            run, blocks = None, []
+
         for head, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
             ident = head["warc-record-id"].strip("<>")
-            yield ident, head["warc-type"], number(head.get("x-page-id")), head.get("warc-target-uri"), number(head.get("x-refers-to-page-id")), head.get("warc-payload-digest", "").removeprefix("sha1:"), head.get("warc-segment-origin-id", ident).strip("<>"), number(head.get("warc-segment-number")), number(head.get("warc-segment-total-length")), block
-
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
+            origin, n, total = head.get("warc-segment-origin-id", ident).strip("<>"), number(head.get("warc-segment-number")), number(head.get("warc-segment-total-length"))
+            if run and origin == run[6] and n == run[8] + 1 and run[9] is None and sum(map(len, blocks)) < RUN_BYTES:
+                run[8], run[9] = n, total
+                blocks.append(block)
+                continue
+            yield from done()
+            run = [ident, head["warc-type"], number(head.get("x-page-id")), head.get("warc-target-uri"), number(head.get("x-refers-to-page-id")), head.get("warc-payload-digest", "").removeprefix("sha1:"), origin, n, n, total]
+            blocks = [block]
+            if n is None:
+                yield from done()
+        yield from done()
+
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
 
     def batch(out):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RECORD.split(", ")])
@@ -191,18 +214,17 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(tidy(run), RECORD)
 
 
-def reassemble(segments: DataFrame) -> DataFrame:
+def reassemble(runs: DataFrame) -> DataFrame:
     """Whole blocks of segmented records: origin_id, block; the block is null
     unless numbers run from 1 without a gap or repeat and the total is right."""
 
     def whole(origin, parts):
-        blocks, total, good = [], None, True
-        for n, (_, segment, length, block) in enumerate(parts, 1):
-            good = good and segment == n
+        blocks, total, good, upto = [], None, True, 0
+        for _, segment, last, length, block in parts:
+            good, upto = good and segment == upto + 1, last
             total = length if length is not None else total
-            # what is broken is not held
-            blocks = [] if not good else blocks
-            blocks.append(block)
+            if good:  # what is broken is not held
+                blocks.append(block)
         held = b"".join(blocks) if good else None
         found = held if held is not None and len(held) == total else None
         return pa.RecordBatch.from_arrays([pa.array([origin], pa.string()), pa.array([found], pa.binary())], names=["origin_id", "block"])
@@ -212,17 +234,23 @@ def reassemble(segments: DataFrame) -> DataFrame:
         for origin, parts in groupby(rows, key=lambda r: r[0]):
             yield whole(origin, parts)
 
-    dealt = segments.select("origin_id", "segment", "total_length", "block").repartition("origin_id").sortWithinPartitions("origin_id", "segment")
+    dealt = runs.select("origin_id", "segment", "last", "total_length", "block").repartition("origin_id").sortWithinPartitions("origin_id", "segment")
     return dealt.mapInArrow(tidy(run), "origin_id string, block binary")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """One row per page record, payloads decoded and revisits resolved."""
     records = written(read_records(spark, path), "warc-records")
-    alone, parts = records.filter("segment is null"), records.filter("segment is not null")
-    first = parts.filter("record_type <> 'continuation'").drop("block", "segment", "total_length", "origin_id")
-    long = first.join(reassemble(parts), first.record_id == F.col("origin_id")).select("record_id", "page_id", "url", "record_type", "refers_to", "payload_digest", "block")
-    both = alone.select("record_id", "page_id", "url", "record_type", "refers_to", "payload_digest", "block").unionByName(long)
+    cols = ["record_id", "page_id", "url", "record_type", "refers_to", "payload_digest"]
+    alone, runs = records.filter("segment is null"), records.filter("segment is not null")
+    torn = written(runs.groupBy("origin_id").agg(F.count("*").alias("n")).filter("n > 1").select("origin_id", F.lit(True).alias("torn")), "warc-torn")
+    runs = spread_join(runs, torn, "origin_id", "segment", "left")
+    near = runs.filter("torn is null and record_type <> 'continuation'")
+    near = near.select(*cols, F.when((F.col("segment") == 1) & (F.octet_length("block") == F.col("total_length")), F.col("block")).alias("block"))
+    far = runs.filter("torn")
+    first = far.filter("record_type <> 'continuation'").select(*cols)
+    far = first.join(reassemble(far), first.record_id == F.col("origin_id")).select(*cols, "block")
+    both = alone.select(*cols, "block").unionByName(near).unionByName(far)
 
     def run(batches):
         for b in batches:
