@@ -64,6 +64,38 @@ def load(path: str):
     return tok
 
 
+@lru_cache(2)
+def token_bytes(path: str) -> dict[int, bytes] | None:
+    """What each id stands for, if the tokenizer decodes by bytes: characters of
+    a token stand for one byte each, by the rule of byte-level vocabularies:
+    printable Latin-1 for itself, the others in order from 256 on. Tokens with
+    other characters stand for themselves."""
+    tok = load(path)
+    if type(tok.decoder).__name__ != "ByteLevel":
+        return None
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
+    return {i: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t, i in tok.get_vocab(with_added_tokens=True).items()}
+
+
+def decode_ids(path: str, ids: list[int]) -> bytes:
+    """The text of the ids in UTF-8, as the library decodes them, special tokens
+    included; unknown ids stand for nothing."""
+    table = token_bytes(path)
+    if table is None:
+        return load(path).decode(ids, skip_special_tokens=False).encode()
+    try:
+        raw = b"".join(map(table.__getitem__, ids))
+    except KeyError:
+        raw = b"".join(table.get(i, b"") for i in ids)
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode("utf-8", "replace").encode()
+    return raw
+
+
 class Part:
     """Token ids of a span with absolute character borders; ``word`` marks
     tokens that start a pre-token."""
@@ -159,21 +191,21 @@ def encode_long(tok, text: str, leaf_chars: int = LEAF_CHARS) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def encode_many(tok, texts: list[str], leaf_chars: int = LEAF_CHARS) -> Iterator[np.ndarray]:
+def encode_many(tok, texts: list[str], leaf_chars: int = LEAF_CHARS) -> Iterator[list[int]]:
     """Ids of each text, in order, with bounded memory."""
     batch: list[str] = []
     size = 0
 
     def flush():
         for enc in tok.encode_batch_fast(batch, add_special_tokens=False):
-            yield np.array(enc.ids, dtype=np.uint32)
+            yield enc.ids
 
     for text in texts:
         if len(text) > leaf_chars or size + len(text) > BATCH_CHARS:
             yield from flush()
             batch, size = [], 0
         if len(text) > leaf_chars:
-            yield encode_long(tok, text, leaf_chars)
+            yield encode_long(tok, text, leaf_chars).tolist()
         else:
             batch.append(text)
             size += len(text)
@@ -269,13 +301,14 @@ def encode(df: DataFrame, tokenizer: str | None = None, leaf_chars: int = LEAF_C
     schema = ", ".join(filter(None, [kinds, "n_tokens bigint", "ids array<int>" * ids, "ids_sha256 string, decoded_sha256 string" * digests]))
     outs = [x.split()[0] for x in schema.split(", ")] if not names else [*names, "n_tokens", *["ids"] * ids, *["ids_sha256", "decoded_sha256"] * digests]
 
-    def result(tok, kept, found):
+    def result(kept, found):
         cols = [*kept, pa.array([len(x) for x in found], pa.int64())]
+        raw = [np.array(x, dtype="<u4") for x in found]
         if ids:
-            cols.append(pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32())))
+            cols.append(pa.array([x.astype(np.int32) for x in raw], pa.list_(pa.int32())))
         if digests:
-            cols.append(pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in found], pa.string()))
-            cols.append(pa.array([hashlib.sha256(decode_ids(tok, x).encode()).hexdigest() for x in found], pa.string()))
+            cols.append(pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in raw], pa.string()))
+            cols.append(pa.array([hashlib.sha256(decode_ids(path, x)).hexdigest() for x in found], pa.string()))
         return pa.RecordBatch.from_arrays(cols, names=outs)
 
     def short(batches):
@@ -283,14 +316,13 @@ def encode(df: DataFrame, tokenizer: str | None = None, leaf_chars: int = LEAF_C
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                yield result(tok, part.columns[:-1], list(encode_many(tok, part.column(len(keep)).to_pylist(), leaf_chars)))
+                yield result(part.columns[:-1], list(encode_many(tok, part.column(len(keep)).to_pylist(), leaf_chars)))
 
     def whole(batches):
-        tok = load(path)
         for batch in batches:
             for i in range(batch.num_rows):
                 own = batch.slice(i, 1)
-                yield result(tok, own.columns[:-1], [np.frombuffer(own.column(len(keep))[0].as_py(), np.uint32)])
+                yield result(own.columns[:-1], [np.frombuffer(own.column(len(keep))[0].as_py(), np.uint32).tolist()])
 
     def joined(batches):
         row, held = None, []
@@ -314,10 +346,6 @@ def encode(df: DataFrame, tokenizer: str | None = None, leaf_chars: int = LEAF_C
     return few.toDF(*keep, *outs[len(keep) :])
 
 
-def decode_ids(tok, ids) -> str:
-    return tok.decode(ids.tolist(), skip_special_tokens=False) if len(ids) else ""
-
-
 def decode(df: DataFrame, tokenizer: str | None = None, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``text`` decoded from the ``ids`` column."""
     path = tokenizer or default_tokenizer()
@@ -325,9 +353,8 @@ def decode(df: DataFrame, tokenizer: str | None = None, ids: str = "ids", keep:
     schema = ", ".join(f"`{k}` {src.schema[k].dataType.simpleString()}" for k in keep) + ", text string"
 
     def run(batches):
-        tok = load(path)
         for batch in batches:
-            found = [tok.decode(x or [], skip_special_tokens=False) for x in batch.column(len(keep)).to_pylist()]
+            found = [decode_ids(path, x or []).decode() for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(found, pa.string())], names=[*keep, "text"])
 
     return src.mapInArrow(tidy(run), schema)
