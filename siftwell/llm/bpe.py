@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ._shared import spread, table, tidy, written
 
-LEAF_CHARS = 32_768
+LEAF_CHARS = 65_536
 #: Characters of a part of a text that several tasks encode.
 PART_CHARS = 65_536
 #: Characters a cut may change before it: contractions have three, look-ahead one.
