@@ -89,6 +89,25 @@ def route_events(events: DataFrame, config: Feedback = Feedback()) -> DataFrame:
     return prepared(events).repartition("room_id").sortWithinPartitions("room_id", "ts", "event_id").mapInPandas(fold, OUT)
 
 
+# What the placeholder of an answer says, stage by stage.
+THINKING = "🤔 Thinking about your question..."
+CACHE_HIT = "⚡ I've answered something like this recently — pulling up that answer..."
+SEARCHING = "🔎 Searching the knowledge base for relevant documents..."
+FOUND, SOURCE, DRAFTING = "📚 Found ", " relevant source", " — drafting an answer..."
+
+
+def status_edits(asked: DataFrame) -> DataFrame:
+    """Outbox rows (qid, room_id, n, kind, text) of an answer's placeholder: it
+    is sent, edited with each stage, and deleted when the answer is out.
+    ``asked``: qid, room_id, cached, n_sources (null if no answer was drafted)."""
+    row = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.cast("string").alias("text"))
+    drafting = F.concat(F.lit(FOUND), F.col("n_sources"), F.lit(SOURCE), F.when(F.col("n_sources") == 1, "").otherwise("s"), F.lit(DRAFTING))
+    looked = F.array(row("edit", F.lit(SEARCHING)), row("edit", drafting))
+    edits = F.when(F.col("cached"), F.array(row("edit", F.lit(CACHE_HIT)))).otherwise(F.filter(looked, lambda r: r["text"].isNotNull()))
+    stages = F.concat(F.array(row("send", F.lit(THINKING))), edits, F.array(row("delete", F.lit(None))))
+    return asked.select("qid", "room_id", F.posexplode(stages).alias("n", "r")).select("qid", "room_id", "n", "r.kind", "r.text")
+
+
 def plan_broadcast(emails: DataFrame, rooms: DataFrame, known_rooms: DataFrame | None = None) -> DataFrame:
     """kind, target: distinct addresses and rooms, given and known ones."""
     r = rooms.select("target") if known_rooms is None else rooms.select("target").unionByName(known_rooms.select("target"))

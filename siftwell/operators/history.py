@@ -125,6 +125,14 @@ def wall_clock(instant: Column, zone: Column) -> Column:
     return F.from_utc_timestamp(instant, zone).cast("timestamp_ntz")
 
 
+def sync_states(runs: DataFrame) -> DataFrame:
+    """repository_id, n, status: what each run goes through. A repository that
+    was never synced is CLONING, another SYNCING; then it is READY or FAILED."""
+    begun = F.when(F.col("previous").isNull(), "CLONING").otherwise("SYNCING")
+    ended = F.when(F.col("error").isNotNull(), "FAILED").otherwise("READY")
+    return runs.select("repository_id", F.posexplode(F.array(begun, ended)).alias("n", "status"))
+
+
 def sync_status(runs: DataFrame) -> DataFrame:
     """READY or FAILED with counts and the newest hash, from one row per run:
     repository_id, error, n_new, n_before, newest, previous."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import headers, text
+from ..functions import codec, headers, text
 from ..operators import answers, bot, cache, fusion, history, ingest, keyword, sheets
 from . import standins as S
 
@@ -23,6 +23,53 @@ def query(sql: str | None = None):
     return put
 
 
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN json_extract_string(props, '$.k') END AS k, event_id % 3 = 1 AS failed, CASE WHEN event_id % 3 = 0 THEN '{\"k\":\"' || json_extract_string(props, '$.k') || '\"}' ELSE '{}' END AS again FROM events")
+def metadata_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata read leniently and strictly, and written again: of every three
+    events one has its own, one a text that is no JSON, one a blank."""
+    n = F.col("event_id") % 3
+    raw = F.when(n == 0, F.col("props")).when(n == 1, "{broken").otherwise(" ")
+    m = codec.metadata(F.col("raw"))
+    return S.load(spark, sf_dir, "events").select("event_id", raw.alias("raw")).select("event_id", F.try_element_at(m, F.lit("k")).alias("k"), codec.metadata_error(F.col("raw")).isNotNull().alias("failed"), codec.metadata_json(m).alias("again"))
+
+
+@query("SELECT doc_id, '[\"' || source || '\",\"' || lang || '\"]' AS raw, 2 AS n, lang AS last FROM documents")
+def sources_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of sources as JSON and back."""
+    raw = codec.sources_json(F.array("source", "lang"))
+    back = codec.sources(F.col("raw"))
+    return S.load(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")).select("doc_id", "raw", F.size(back).alias("n"), F.get(back, F.lit(1)).alias("last"))
+
+
+@query("SELECT s_suppkey, 'db' || s_suppkey || '.example.com' AS host, CASE WHEN s_suppkey % 2 = 0 THEN 6000 + s_nationkey ELSE 5432 END AS port, 'n' || s_nationkey AS database FROM supplier")
+def database_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Database addresses with and without a port, taken apart."""
+    port = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit(":"), F.col("s_nationkey") + 6000)).otherwise("")
+    url = F.concat(F.lit("jdbc:postgresql://db"), "s_suppkey", F.lit(".example.com"), port, F.lit("/n"), "s_nationkey")
+    return S.load(spark, sf_dir, "supplier").select("s_suppkey", codec.database_parts(url).alias("p")).select("s_suppkey", "p.*")
+
+
+@query(
+    f"""WITH q AS (SELECT o_orderkey AS qid, o_orderkey % 4 = 0 AS cached, CASE WHEN o_orderkey % 4 = 1 THEN NULL ELSE o_orderkey % 7 END AS k FROM orders)
+SELECT qid, n, CASE n WHEN 0 THEN 'send' WHEN ends THEN 'delete' ELSE 'edit' END AS kind,
+       CASE WHEN n = 0 THEN '{bot.THINKING}' WHEN n = ends THEN NULL WHEN cached THEN '{bot.CACHE_HIT.replace("'", "''")}' WHEN n = 1 THEN '{bot.SEARCHING}'
+            ELSE '{bot.FOUND}' || k || '{bot.SOURCE}' || CASE WHEN k = 1 THEN '' ELSE 's' END || '{bot.DRAFTING}' END AS text
+FROM (SELECT *, unnest(range(0, ends + 1)) AS n FROM (SELECT *, CASE WHEN cached OR k IS NULL THEN 2 ELSE 3 END AS ends FROM q))"""
+)
+def status_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as questions: cached ones, some without a draft, the rest."""
+    k = F.col("o_orderkey")
+    asked = S.load(spark, sf_dir, "orders").select(k.alias("qid"), F.lit("r").alias("room_id"), (k % 4 == 0).alias("cached"), F.when(k % 4 != 1, k % 7).alias("n_sources"))
+    return bot.status_edits(asked).select("qid", "n", "kind", "text")
+
+
+@query("SELECT s_suppkey AS repository_id, unnest([0, 1]) AS n, unnest([CASE WHEN s_suppkey % 3 = 0 THEN 'CLONING' ELSE 'SYNCING' END, CASE WHEN s_suppkey % 4 = 0 THEN 'FAILED' ELSE 'READY' END]) AS status FROM supplier")
+def sync_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each sync goes through: first ones and later ones, some failing."""
+    k = F.col("s_suppkey")
+    return history.sync_states(S.load(spark, sf_dir, "supplier").select(k.alias("repository_id"), F.when(k % 3 != 0, "h").alias("previous"), F.when(k % 4 == 0, "e").alias("error")))
+
+
 @query("SELECT doc_id AS chunk_id, len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x = 'the')) AS tf FROM documents WHERE list_contains(string_split_regex(lower(text), '[^a-z0-9]+'), 'the')")
 def exact_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with one exact term."""

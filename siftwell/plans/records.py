@@ -269,8 +269,22 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+_NAMED = lambda words: ", ".join(f"'{w}'" for w in words)
 
-@query()
+
+@query(
+    f"""WITH RECURSIVE s AS (SELECT event_id, CAST(user_id AS VARCHAR) AS room_id, ts, event_id % 11 = 0 AS act, CASE event_id % 5 WHEN 0 THEN 'what is this?' WHEN 1 THEN '👍' WHEN 2 THEN 'skip' WHEN 3 THEN 'not helpful' ELSE 'thank you' END AS text FROM events),
+e AS (SELECT *, CASE WHEN text IN ({_NAMED(classify.THUMBS_UP)}) THEN 'UP' WHEN text IN ({_NAMED(classify.THUMBS_DOWN)}) THEN 'DOWN' END AS said, row_number() OVER (PARTITION BY room_id ORDER BY ts, event_id) AS i FROM s),
+r AS (SELECT CAST(NULL AS BIGINT) AS event_id, room_id, CAST(NULL AS TIMESTAMP) AS ts, CAST(0 AS BIGINT) AS i, '' AS action, CAST(NULL AS VARCHAR) AS interaction_id, CAST(NULL AS VARCHAR) AS rating, CAST(NULL AS VARCHAR) AS text, CAST(NULL AS VARCHAR) AS latest FROM (SELECT DISTINCT room_id FROM e)
+      UNION ALL
+      SELECT event_id, room_id, ts, i, action, CASE WHEN action IN ('comment', 'skip') THEN asked WHEN act THEN 'i' WHEN action = 'question' THEN own WHEN action = 'vote' THEN latest END,
+             CASE WHEN act THEN 'UP' WHEN action IN ('vote', 'nothing_to_rate') THEN said END, CASE WHEN action IN ('comment', 'question') THEN text END, CASE WHEN action = 'question' THEN own ELSE latest END
+      FROM (SELECT e.*, r.latest, r.interaction_id AS asked, sha256(e.room_id || ':' || e.event_id) AS own,
+                   CASE WHEN e.act THEN 'vote' WHEN r.action = 'vote' AND e.ts < r.ts + INTERVAL 5 MINUTE THEN CASE WHEN e.text IN ({_NAMED(classify.SKIP_COMMENT)}) THEN 'skip' ELSE 'comment' END
+                        WHEN e.said IS NOT NULL THEN CASE WHEN r.latest IS NULL THEN 'nothing_to_rate' ELSE 'vote' END ELSE 'question' END AS action
+            FROM r JOIN e ON e.room_id = r.room_id AND e.i = r.i + 1))
+SELECT event_id, room_id, ts, action, interaction_id, rating, text FROM r WHERE i > 0"""
+)
 def bot_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as chat events of one room per user, by the state machine."""
     e = F.col("event_id") % 5

@@ -189,6 +189,37 @@ def test_cache_and_window_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o")).count() == 6
 
 
+def test_votes_and_progress_of_a_stream(spark, tmp_path):
+    from siftwell.operators import feedback
+
+    at = dt.datetime(2024, 1, 1)
+    rows = [("i1", "s", "UP", "", ["a"], at), ("i1", "s", "DOWN", "", ["a"], at + dt.timedelta(seconds=1)), ("i2", "s", "UP", "", ["b"], at)]
+    df = spark.createDataFrame(rows, "interaction_id string, session_id string, rating string, comment string, sources array<string>, created_at timestamp_ntz")
+    df.repartition(1).write.parquet(str(tmp_path / "v"))
+    query = streams.votes_upsert(spark.readStream.schema(df.schema).parquet(str(tmp_path / "v")), str(tmp_path / "o"), str(tmp_path / "c"))
+    query.awaitTermination()
+    assert {(r.interaction_id, r.rating) for r in feedback.latest(spark.read.parquet(str(tmp_path / "o"))).collect()} == {("i1", "DOWN"), ("i2", "UP")}
+    told = []
+    streams.stage_log(query, lambda stage, facts: told.append((stage, facts["rows"])))
+    assert ("batch 0", 3) in told
+
+
+@pytest.mark.parametrize("size,overlap", [(20, 0), (7, 0), (1, 0), (20, 4), (50, 10)])
+def test_recursive_pieces_of_a_text(size, overlap):
+    from siftwell.functions.text import split_recursive
+
+    for text in ("", "one", "A first line. And more.\nA second line\n\nA new paragraph, with a verylongwordwithoutanybreak in it.\n\n\n\n", "é🙂 " * 30, "\n" * 45):
+        got = split_recursive(text, size, overlap)
+        assert all(0 < len(p) <= size for p in got)
+        if not overlap:
+            assert "".join(got) == text
+        # a piece goes on where the one before ended, or says up to ``overlap`` of its end again
+        ends = {0}
+        for p in got:
+            ends = {e - k + len(p) for e in ends for k in range(min(overlap, e) + 1) if text.startswith(p, e - k)}
+        assert len(text) in ends
+
+
 def test_plans(spark):
     ev = '{"resource":"messages","event":"created","data":{"roomId":"r","text":"t"},"unknown":1}'
     r = spark.range(1).select(bot.parse_events(F.lit(ev)).alias("e")).select("e.resource", "e.data.roomId").head()
