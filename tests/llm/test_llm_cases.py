@@ -41,14 +41,77 @@ def labels(spark, rows=(), name="label"):
 # bpe
 
 
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.default_tokenizer())
+
+
+def stretches(rng):
+    """Makers of text of about a length: unsplit runs of each kind, mixtures of
+    contractions, spaces and marks, special tokens, any characters."""
+    return [
+        lambda n: "a" * n, lambda n: "".join(rng.choice("abcdeth") for _ in range(n)), lambda n: " " * n, lambda n: "".join(rng.choice("!?'s.,") for _ in range(n)),
+        lambda n: "<|endoftext|>" * (n // 50) + " x", lambda n: "".join(rng.choice(["'re", " ", "\n", "x", "9", "　", "🙂"]) for _ in range(n)), lambda n: "日本語" * (n // 3),
+        lambda n: "".join(rng.choice("0123456789") for _ in range(n)), lambda n: "".join(rng.choice(["one ", "two, ", "it's ", "don't", "12", "\n\n", "。", "中文字符"]) for _ in range(n // 3)),
+        lambda n: "éèüñ" * (n // 4), lambda n: "ءآأ" * (n // 3), lambda n: "=-" * (n // 2), lambda n: "\t \n" * (n // 3), lambda n: "".join(chr(rng.choice([rng.randrange(32, 0xD800), rng.randrange(0xE000, 0x1F900)])) for _ in range(n // 8)),
+    ]
+
+
 def test_tree_concatenation_is_exact():
-    tok = bpe.load(bpe.default_tokenizer())
-    rng = random.Random(7)
-    parts = [lambda n: "a" * n, lambda n: "".join(rng.choice("abcdeth") for _ in range(n)), lambda n: " " * n, lambda n: "".join(rng.choice("!?'s.,") for _ in range(n)), lambda n: "<|endoftext|>" * (n // 50) + " x", lambda n: "".join(rng.choice(["'re", " ", "\n", "x", "9", "　", "🙂"]) for _ in range(n)), lambda n: "日本語" * (n // 3)]
-    for _ in range(150):
+    tok, enc, rng = library(), bpe.load(bpe.default_tokenizer()), random.Random(7)
+    parts = stretches(rng)
+    for _ in range(800):
         text = "".join(rng.choice(parts)(rng.randrange(1, 1500)) for _ in range(rng.randrange(1, 4)))
         leaf = rng.choice([5, 17, 64, 700])
-        assert bpe.encode_long(tok, text, leaf).tolist() == tok.encode(text, add_special_tokens=False).ids
+        ids, joins = enc.encode(text, leaf)
+        assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids
+        assert "<|endoftext|>" in text or joins >= len(text) // leaf - 1
+
+
+def test_joins_of_unsplit_text_encode_little_anew(monkeypatch):
+    """In a run without any border a join encodes a window, not the sides."""
+    enc, done = bpe.load(bpe.default_tokenizer()), []
+    again = bpe.Encoder._agreed
+
+    def counted(self, left, right, text, mid, w):
+        done.append(w)
+        return again(self, left, right, text, mid, w)
+
+    monkeypatch.setattr(bpe.Encoder, "_agreed", counted)
+    rng = random.Random(3)
+    for letters in ("etaoinshr", "0123456789", "=-+*/", "日本語中文"):
+        done.clear()
+        text = "".join(rng.choice(letters) for _ in range(60_000))
+        ids, joins = enc.encode(text)
+        assert enc.decode(ids.tolist()).decode() == text and joins == 31
+        assert max(done) <= 512 and len(done) < 3 * joins
+
+
+def test_scan_is_the_library_s_for_every_character():
+    tok, enc = library(), bpe.load(bpe.default_tokenizer())
+    texts = ["".join(f"a{c}a 1{c}1 {c}!{c} {c}{c}  x" for c in map(chr, range(at, min(at + 64, 0x110000))) if not 0xD800 <= ord(c) < 0xE000) for at in range(0, 0x110000, 64)]
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        for e, t in zip(tok.encode_batch_fast(part, add_special_tokens=False), part, strict=True):
+            assert enc.encode(t, 1 << 20)[0].tolist() == e.ids
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(bpe.default_tokenizer(), encoding="utf-8"))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        bpe.load(str(tmp_path / "t.json"))
+
+
+def test_texts_over_4096_characters_are_made_by_the_tree(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = bpe.encode(docs, ids=False).join(docs, "doc_id").withColumn("n", F.char_length("text"))
+    assert got.filter("n > 4096").count() == got.filter("n > 4096 and n_joins > 1").count() == 144
+    assert got.filter("n <= 2048 and n_joins > 0").count() == 0
 
 
 def test_bpe_round_trip(spark):
@@ -56,7 +119,7 @@ def test_bpe_round_trip(spark):
     ids = bpe.encode(df, leaf_chars=1000, keep=("doc_id",))
     back = {(r.doc_id, r.text) for r in bpe.decode(ids).collect()}
     assert back == {(r.doc_id, r.text or "") for r in df.collect()}
-    tok = bpe.load(bpe.default_tokenizer())
+    tok = library()
     texts = {r.doc_id: r.text for r in df.filter("doc_id is not null").collect()}
     for r in bpe.encode(df.filter("doc_id is not null"), ids=False, digests=True).collect():
         want = np.array(tok.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, dtype="<u4")
@@ -65,21 +128,19 @@ def test_bpe_round_trip(spark):
     assert bpe.encode(empty(spark)).count() == 0
 
 
-def test_decoding_is_the_library_s(spark):
-    path = bpe.default_tokenizer()
-    tok, rng = bpe.load(path), random.Random(5)
+def test_decoding_is_the_library_s():
+    tok, enc, rng = library(), bpe.load(bpe.default_tokenizer()), random.Random(5)
     for _ in range(500):
         ids = [rng.randrange(rng.choice([300, 50_257])) for _ in range(rng.randrange(40))]
-        assert bpe.decode_ids(path, ids).decode() == tok.decode(ids, skip_special_tokens=False)
-    assert bpe.decode_ids(path, [50_256, 10**6, 72]).decode() == tok.decode([50_256, 10**6, 72], skip_special_tokens=False)
+        assert enc.decode(ids).decode() == tok.decode(ids, skip_special_tokens=False)
+    assert enc.decode([50_256, 10**6, 72]).decode() == tok.decode([50_256, 10**6, 72], skip_special_tokens=False)
 
 
 def test_long_texts_are_encoded_by_several_tasks(spark):
-    tok = bpe.load(bpe.default_tokenizer())
-    rng = random.Random(8)
-    parts = [lambda n: "a" * n, lambda n: "".join(rng.choice("abcdeth ") for _ in range(n)), lambda n: " " * n, lambda n: "<|endoftext|>" * (n // 50) + " x", lambda n: "".join(rng.choice(["'re", " ", "\n", "x", "9", "🙂"]) for _ in range(n))]
+    tok, rng = library(), random.Random(8)
+    parts = stretches(rng)
     texts = ["".join(rng.choice(parts)(rng.randrange(1, 4000)) for _ in range(rng.randrange(1, 30))) for _ in range(25)]
-    texts += ["some plain words, said again and again " * 20_000, "q" * 100_000, "short", "", None, "<|endoftext|>" * 400]
+    texts += ["some plain words, said again and again " * 5_000, "q" * 100_000, "short", "", None, "<|endoftext|>" * 400]
     df = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (None, texts[4])], "doc_id bigint, text string").withColumn("row", F.lit("clash")).withColumn("n_tokens", F.lit("clash"))
     for size in (700, 30_000):
         got = bpe.encode(df, part_chars=size, leaf_chars=300).collect()
@@ -88,7 +149,7 @@ def test_long_texts_are_encoded_by_several_tasks(spark):
             assert r.ids == tok.encode(texts[4 if r.doc_id is None else r.doc_id] or "", add_special_tokens=False).ids
     long = df.filter("doc_id = 25").select(F.lit(0).cast("bigint").alias("row"), F.col("text").alias("_text"))
     tasks = bpe._parts_of(long, bpe.default_tokenizer(), 30_000).withColumn("task", F.spark_partition_id())
-    assert tasks.count() == 26 and tasks.select("task").distinct().count() > 1
+    assert tasks.count() == 7 and tasks.select("task").distinct().count() > 1
 
 
 # warc
