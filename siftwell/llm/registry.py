@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, decontam, minhash, pii, preference, quality, toxicity, urltree, warc
+from . import ann, bpe, decontam, minhash, packing, pii, preference, quality, toxicity, urltree, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_minhash": minhash.op9_minhash,
     "op10_pii": pii.op10_pii,
+    "op12_packing": packing.op12_packing,
 }
 
 ORACLE = {**warc.SQL, **ann.SQL, **decontam.SQL, **preference.SQL, **minhash.SQL}
