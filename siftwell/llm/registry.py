@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, decontam, minhash, packing, pii, preference, quality, toxicity, urltree, warc
+from . import ann, bpe, decontam, minhash, packing, pii, preference, quality, toxicity, urltree, vectorcode, warc, whitening
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_minhash": minhash.op9_minhash,
     "op10_pii": pii.op10_pii,
+    "op11_vectorcode": vectorcode.op11_vectorcode,
     "op12_packing": packing.op12_packing,
+    "op13_whitening": whitening.op13_whitening,
 }
 
-ORACLE = {**warc.SQL, **ann.SQL, **decontam.SQL, **preference.SQL, **minhash.SQL}
+ORACLE = {**warc.SQL, **ann.SQL, **decontam.SQL, **preference.SQL, **minhash.SQL, **vectorcode.SQL}

@@ -66,4 +66,4 @@ def test_pipeline_against_plain_version(spark):
 def test_registered_and_guarded():
     import __spark_entry__ as entry
 
-    assert "pipeline" in entry.queries() and len([q for q in entry.queries() if q.startswith("op")]) == 10
+    assert "pipeline" in entry.queries() and len([q for q in entry.queries() if q.startswith("op")]) == 13
