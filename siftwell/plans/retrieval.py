@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Hybrid, Rerank, Retrieval
+from ..config import Cache, Hybrid, Rerank, Retrieval
 from ..functions import classify, text
 from ..functions.embed import embed_udf
 from ..operators import answers, cache, conversation, feedback, fusion, keyword, rerank, vector
@@ -265,6 +265,39 @@ def cache_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.simulate(log).select("request_id", "key", "hit")
 
 
+#: A cache of 50 entries that live half a day, asked by users; every 41st request
+#: drops an entry, every 997th all.
+_BOUND = Cache(ttl_minutes=720, max_size=50)
+_LRU = """WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS n, event_id AS request_id, user_id AS key, ts, CASE WHEN event_id % 997 = 0 THEN 'clear' WHEN event_id % 41 = 0 THEN 'evict' ELSE 'get' END AS kind FROM events),
+log AS MATERIALIZED (SELECT list({'key': key, 'ts': ts, 'kind': CASE kind WHEN 'clear' THEN 0 WHEN 'evict' THEN 1 ELSE 2 END} ORDER BY n) AS l FROM e),
+r AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(key BIGINT, since TIMESTAMP)[]) AS held, CAST(NULL AS BOOLEAN) AS hit, CAST(0 AS BIGINT) AS size, CAST(0 AS INTEGER) AS evicted
+      UNION ALL SELECT n, [held[i] FOR i IN generate_series(greatest(len(held) - 49, 1), len(held))], hit, least(len(held), 50), CASE WHEN len(held) > 50 THEN 1 ELSE 0 END
+      FROM (SELECT n, x.kind, CASE WHEN x.kind = 2 THEN len(own) > 0 END AS hit,
+                   CASE x.kind WHEN 0 THEN [] WHEN 1 THEN rest ELSE list_append(rest, {'key': x.key, 'since': coalesce(own[1].since, x.ts)}) END AS held
+            FROM (SELECT n, x, list_filter(live, lambda h: h.key = x.key) AS own, list_filter(live, lambda h: h.key <> x.key) AS rest
+                  FROM (SELECT r.n + 1 AS n, log.l[r.n + 1] AS x, list_filter(r.held, lambda h: log.l[r.n + 1].ts - h.since < INTERVAL 720 MINUTE) AS live FROM r, log WHERE r.n < len(log.l)))))"""
+
+
+@query(_LRU + " SELECT request_id, kind, hit, evicted, CAST(size AS INTEGER) AS size FROM r JOIN e USING (n)")
+def cache_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits, entries pushed out and size of a cache of few entries."""
+    return cache.bounded(_control_log(spark, sf_dir), _BOUND).select("request_id", "kind", "hit", "evicted", "size")
+
+
+@query(
+    _LRU
+    + """ SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, count(DISTINCT CASE WHEN NOT hit THEN key END) AS keys, CAST(sum(evicted) AS BIGINT) AS evictions,
+CAST(arg_max(size, n) AS INTEGER) AS size, round(count(*) FILTER (hit) / (count(*) FILTER (hit IS NOT NULL)), 6) AS hit_rate FROM r JOIN e USING (n)"""
+)
+def cache_bounded_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.stats(cache.bounded(_control_log(spark, sf_dir), _BOUND)).select("hits", "misses", "keys", "evictions", "size", "hit_rate")
+
+
+def _control_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_id") % 997 == 0, "clear").when(F.col("event_id") % 41 == 0, "evict").otherwise("get")
+    return S.load(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.col("user_id").cast("string").alias("key"), "ts", kind.alias("kind"))
+
+
 @query()
 def answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routed retrieval, reranking, prompt and a deterministic generator."""
