@@ -6,7 +6,9 @@ DataFrames. Model calls (embedder, reranker, generator) are plug-ins.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from .sources import files, pages
 
 TABLES = {
     "chunks": schema.CHUNKS, "documents": schema.DOCUMENTS, "messages": schema.MESSAGES, "feedback": schema.FEEDBACK, "batches": schema.BATCHES, "success": schema.SUCCESSES,
-    "postings": schema.POSTINGS, "corpus_stats": schema.CORPUS_STATS, "failure": schema.FAILURES, "repositories": schema.REPOSITORIES, "commits": schema.COMMITS, "sprints": schema.SPRINTS,
+    "postings": schema.POSTINGS, "corpus_stats": schema.CORPUS_STATS, "failure": schema.FAILURES, "repositories": schema.REPOSITORIES, "commits": schema.COMMITS, "sprints": schema.SPRINTS, "vote_counts": schema.VOTE_COUNTS,
 }
 
 
@@ -39,26 +41,44 @@ class Engine:
 
     def table(self, name: str) -> DataFrame:
         """A stored table; empty if nothing was written yet."""
-        at = ingest.current_snapshot(self.spark, self._path(name))
-        return self.spark.createDataFrame([], TABLES[name]) if at is None else self.spark.read.schema(TABLES[name]).parquet(at)
+        return self._read(name, ingest.folders(self.spark, self._path(name)))
+
+    def _read(self, name: str, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], TABLES[name])
+        read = self.spark.read.schema(TABLES[name]).parquet
+        # folders that are laid out by columns are roots of their own
+        return reduce(DataFrame.unionByName, map(read, folders)) if name in PARTITIONS else read(*folders)
 
     def tables(self) -> DataFrame:
         """What the engine stores: table, column, type, whether it is there,
         and whether the column lays it out."""
         rows = []
         for name, ddl in TABLES.items():
-            there = ingest.current_snapshot(self.spark, self._path(name)) is not None
+            there = bool(ingest.folders(self.spark, self._path(name)))
             rows += [(name, f.name, f.dataType.simpleString(), there, f.name in PARTITIONS.get(name, ())) for f in self.spark.createDataFrame([], ddl).schema]
         return self.spark.createDataFrame(rows, "table string, column string, type string, stored boolean, partition boolean")
 
-    def _append(self, name: str, df: DataFrame) -> None:
+    def _append(self, name: str, df: DataFrame, batch: tuple[str, int] | None = None) -> None:
+        """Add rows; those of a stream's ``batch`` (name, epoch) once."""
         want = self.spark.createDataFrame([], TABLES[name]).schema
-        have = set(df.columns)
+        have, laid = set(df.columns), PARTITIONS.get(name, ())
+        df = df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in want])
+        if batch is not None:
+            ingest.put_batch(self.spark, df, self._path(name), *batch, laid)
+            return
         at = ingest.current_snapshot(self.spark, self._path(name)) or f"{self._path(name)}/v00000000"
-        df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in want]).write.mode("append").partitionBy(*PARTITIONS.get(name, ())).parquet(at)
+        df.write.mode("append").partitionBy(*laid).parquet(at)
+
+    def _replace(self, name: str, change: Callable[[DataFrame], DataFrame] | DataFrame) -> None:
+        """Write the next version: a table, or what ``change`` makes of this one."""
+        read = ingest.folders(self.spark, self._path(name))
+        df = change(self._read(name, read)) if callable(change) else change
+        ingest.swap_snapshot(self.spark, df, self._path(name), PARTITIONS.get(name, ()), read)
 
-    def _replace(self, name: str, df: DataFrame) -> None:
-        ingest.swap_snapshot(self.spark, df, self._path(name), PARTITIONS.get(name, ()))
+    def compact(self, name: str) -> None:
+        """Take the batches that streams wrote into one new version."""
+        self._replace(name, lambda t: t)
 
     # keyword index
 
@@ -76,12 +96,12 @@ class Engine:
         docs = docs.join(self.table("documents").select("source"), "source", "left_anti")
         self.ingest_chunks(ingest.chunk_documents(docs, self.config.retrieval, splitter))
 
-    def ingest_chunks(self, chunks: DataFrame) -> None:
+    def ingest_chunks(self, chunks: DataFrame, batch: tuple[str, int] | None = None) -> None:
         """Chunks without vectors; nothing happens for none."""
         done = ingest.with_embeddings(chunks, self.embedder).persist()
         try:
-            self._append("chunks", done)
-            self._append("documents", ingest.registry(done))
+            self._append("chunks", done, batch)
+            self._append("documents", ingest.registry(done), batch)
         finally:
             done.unpersist()
 
@@ -92,7 +112,16 @@ class Engine:
     def ingest_folder(self, folder: str, batch_id: str) -> DataFrame:
         """Every supported file below a folder; outcomes go to their queues.
         Returns the report of the batch."""
-        found = files.scan(self.spark, folder)
+        self._ingest(files.scan(self.spark, folder), batch_id, folder)
+        return self.batch_report(batch_id)
+
+    def ingest_batch(self, found: DataFrame, stream: str, epoch: int) -> None:
+        """The files of a stream's micro-batch, once however often it is tried."""
+        self._ingest(found, f"{stream}-{epoch}", stream, (stream, epoch))
+
+    def _ingest(self, found: DataFrame, batch_id: str, label: str, batch: tuple[str, int] | None = None) -> None:
+        """Files (path, name, type, length, content): texts in pieces, workbooks
+        by their rows, and the outcome of each."""
         book = F.lower("name").endswith(".xlsx")
         parsed, cells = files.parse(found.filter(~book)).persist(), files.cells(found).persist()
         try:
@@ -105,15 +134,14 @@ class Engine:
             errors = cells.filter("error is not null").select(F.col("workbook").alias("path"), "error")
             books = found.filter(book).select("path", "name", "type").join(errors, "path", "left")
             outcomes = parsed.unionByName(books.select("path", "name", "type", F.when(F.col("error").isNull(), "OK").otherwise("FAILED").alias("status"), F.lit(None).cast("string").alias("text"), "error"))
-            self.ingest_chunks(chunks)
+            self.ingest_chunks(chunks, batch)
             good, bad = ingest.outcomes(outcomes, self.table("documents").select("source", "chunk_count"), batch_id)
-            self._append("success", good.withColumn("completed_at", F.current_timestamp()))
-            self._append("failure", bad.withColumn("failed_at", F.current_timestamp()))
-            self._append("batches", found.agg(F.count("*").alias("total_files")).withColumns({"id": F.lit(batch_id), "folder_path": F.lit(folder), "started_at": F.current_timestamp()}))
+            self._append("success", good.withColumn("completed_at", F.current_timestamp()), batch)
+            self._append("failure", bad.withColumn("failed_at", F.current_timestamp()), batch)
+            self._append("batches", found.agg(F.count("*").alias("total_files")).withColumns({"id": F.lit(batch_id), "folder_path": F.lit(label), "started_at": F.current_timestamp()}), batch)
         finally:
             parsed.unpersist()
             cells.unpersist()
-        return self.batch_report(batch_id)
 
     def batch_report(self, batch_id: str) -> DataFrame:
         b = self.table("batches").filter(F.col("id") == batch_id).select(F.col("id").alias("batch_id"), "folder_path", "total_files", "started_at")
@@ -122,10 +150,10 @@ class Engine:
     def delete_document(self, document_id: str) -> None:
         """Forget a registry row; its chunks stay, as the registry is all that
         this removes. ``delete_chunks`` removes the rest."""
-        self._replace("documents", self.table("documents").filter(F.col("id") != document_id))
+        self._replace("documents", lambda t: t.filter(F.col("id") != document_id))
 
     def delete_chunks(self, source: str) -> None:
-        self._replace("chunks", self.table("chunks").filter(F.col("source") != source))
+        self._replace("chunks", lambda t: t.filter(F.col("source") != source))
 
     # questions
 
@@ -164,30 +192,43 @@ class Engine:
         return self.table("messages").filter(F.col("session_id") == session_id).orderBy("created_at")
 
     def clear_session(self, session_id: str) -> None:
-        self._replace("messages", conversation.delete_session(self.table("messages"), session_id))
+        self._replace("messages", lambda t: conversation.delete_session(t, session_id))
 
     def purge_messages(self, cutoff: datetime) -> None:
-        self._replace("messages", conversation.purge(self.table("messages"), cutoff))
+        self._replace("messages", lambda t: conversation.purge(t, cutoff))
 
     # votes
 
-    def submit_feedback(self, votes: DataFrame) -> DataFrame:
+    def submit_feedback(self, votes: DataFrame, batch: tuple[str, int] | None = None) -> DataFrame:
         """``votes`` (interaction_id, rating, comment, created_at); returns
         those whose answer is not known."""
         known = self.table("messages").filter("role = 'ASSISTANT'").select("interaction_id", "session_id", "content", "sources")
         ok, lost = feedback.submit(known, votes.filter(F.col("rating").isin("UP", "DOWN")))
-        self._append("feedback", ok)
+        self._append("feedback", ok, batch)
         return lost
 
+    def count_votes(self, deltas: DataFrame, batch: tuple[str, int] | None = None) -> None:
+        """Add signed votes (source, up, down), as streams.vote_deltas() makes
+        them, to the running counts."""
+        self._append("vote_counts", deltas.groupBy("source").agg(F.sum("up").alias("up"), F.sum("down").alias("down")), batch)
+
+    def rebuild_vote_counts(self) -> None:
+        """The running counts, from the stored votes."""
+        self._replace("vote_counts", feedback.source_votes(feedback.latest(self.table("feedback"))))
+
+    def source_counts(self) -> DataFrame:
+        """source, up, down from the running counts: no stored vote is read."""
+        return feedback.added(self.table("vote_counts"))
+
     def add_comment(self, comments: DataFrame) -> None:
-        self._replace("feedback", feedback.add_comments(feedback.latest(self.table("feedback")), comments))
+        self._replace("feedback", lambda t: feedback.add_comments(feedback.latest(t), comments))
 
     def feedback_stats(self) -> tuple[DataFrame, DataFrame]:
         v = feedback.latest(self.table("feedback"))
         return feedback.totals(v), feedback.boosts(feedback.source_votes(v), self.config.feedback)
 
     def cache_stats(self, requests: DataFrame) -> DataFrame:
-        return cache.stats(cache.simulate(requests, self.config.cache))
+        return cache.stats(cache.bounded(requests, self.config.cache))
 
     def reranker_status(self) -> dict:
         r = self.config.rerank
@@ -233,7 +274,7 @@ class Engine:
         self._append("sprints", history.generate_sprints(self.spark, start, count, length_days or self.config.commits.sprint_length_days, prefix, repository_id))
 
     def delete_sprint(self, sprint_id: str) -> None:
-        self._replace("sprints", self.table("sprints").filter(F.col("id") != sprint_id))
+        self._replace("sprints", lambda t: t.filter(F.col("id") != sprint_id))
 
     def sprint_report(self, sprint_id: str, repository_id: str | None = None) -> DataFrame:
         return history.sprint_report(self.table("sprints").filter(F.col("id") == sprint_id), self.table("commits"), repository_id)

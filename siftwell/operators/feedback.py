@@ -20,6 +20,25 @@ def source_votes(votes: DataFrame) -> DataFrame:
     return each.groupBy("source").agg(F.count_if(F.col("rating") == "UP").alias("up"), F.count_if(F.col("rating") == "DOWN").alias("down"))
 
 
+def vote_deltas(votes: DataFrame, key: str = "interaction_id", at: str = "created_at") -> DataFrame:
+    """source, up, down: what each vote changes, in signed numbers. It applies
+    itself and undoes the vote before it on the same interaction, so the sums per
+    source are source_votes() of latest() at any time."""
+    old = F.lag(F.struct("rating", "sources")).over(Window.partitionBy(key).orderBy(at))
+    both = votes.select(F.col("rating").alias("_r"), F.col("sources").alias("_s"), old.alias("_old"))
+    signed = lambda sources, rating, n: F.transform(F.coalesce(sources, F.array().cast("array<string>")), lambda s: F.struct(s.alias("source"), rating.alias("rating"), F.lit(n).alias("n")))
+    each = both.select(F.explode(F.concat(signed(F.col("_s"), F.col("_r"), 1), signed(F.col("_old.sources"), F.col("_old.rating"), -1))).alias("d"))
+    of = lambda rating: F.when(F.col("d.rating") == rating, F.col("d.n")).otherwise(0).cast("bigint")
+    return each.select("d.source", of("UP").alias("up"), of("DOWN").alias("down"))
+
+
+def added(deltas: DataFrame) -> DataFrame:
+    """source, up, down: signed votes summed; sources whose votes were all
+    undone are as if they had none."""
+    out = deltas.groupBy("source").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return out.filter("up <> 0 or down <> 0")
+
+
 def boosts(counts: DataFrame, config: Feedback = Feedback()) -> DataFrame:
     """source, net, boost: weight per net vote within the cap."""
     net = F.col("up") - F.col("down")

@@ -69,16 +69,35 @@ def without(table: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     return table.join(gone.select(key), key, "left_anti")
 
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    """Names of the finished versions below a table's folder, oldest first:
-    Spark's mark of success is what finishes one."""
+# A stored table is a folder of versions vNNNNNNNN, of which the newest finished one
+# counts, of batches d-NAME-EPOCH that streams wrote since, and, for each version, of
+# empty folders fNNNNNNNN/NAME-EPOCH that say up to which batch of each stream it
+# has taken in. A batch that is tried again replaces itself, or is left out if a
+# version has it.
+
+
+def _names(spark: SparkSession, path: str, finished: bool = True) -> list[str]:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     at = hadoop(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(at):
         return []
     names = [x.getPath().getName() for x in fs.listStatus(at)]
-    return sorted(n for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(hadoop(f"{path}/{n}/_SUCCESS")))
+    return sorted(n for n in names if not finished or fs.exists(hadoop(f"{path}/{n}/_SUCCESS")))
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished versions below a table's folder, oldest first:
+    Spark's mark of success is what finishes one."""
+    return [n for n in _names(spark, path) if n.startswith("v") and n[1:].isdigit()]
+
+
+def _epochs(names: list[str]) -> dict[str, int]:
+    return {n.rpartition("-")[0]: int(n.rpartition("-")[2]) for n in names}
+
+
+def _taken(spark: SparkSession, path: str, version: str | None) -> dict[str, int]:
+    return _epochs(_names(spark, f"{path}/f{version[1:]}", finished=False)) if version else {}
 
 
 def current_snapshot(spark: SparkSession, path: str) -> str | None:
@@ -87,11 +106,40 @@ def current_snapshot(spark: SparkSession, path: str) -> str | None:
     return f"{path}/{found[-1]}" if found else None
 
 
-def swap_snapshot(spark: SparkSession, df: DataFrame, path: str, partition: tuple[str, ...] = ()) -> None:
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """What a stored table is read from: its newest version and later batches."""
+    names = _names(spark, path)
+    version = max((n for n in names if n.startswith("v") and n[1:].isdigit()), default=None)
+    taken = _taken(spark, path, version)
+    later = [n for n in names if n.startswith("d-") and int(n.rpartition("-")[2]) > taken.get(n[2:].rpartition("-")[0], -1)]
+    return [f"{path}/{n}" for n in ([version] if version else []) + later]
+
+
+def put_batch(spark: SparkSession, df: DataFrame, path: str, stream: str, epoch: int, partition: tuple[str, ...] = ()) -> None:
+    """Add a stream's batch to a stored table, once however often it is tried."""
+    version = (_versions(spark, path) or [None])[-1]
+    if epoch > _taken(spark, path, version).get(stream, -1):
+        df.write.mode("overwrite").partitionBy(*partition).parquet(f"{path}/d-{stream}-{epoch:012d}")
+
+
+def swap_snapshot(spark: SparkSession, df: DataFrame, path: str, partition: tuple[str, ...] = (), read: list[str] | None = None) -> None:
     """Replace a stored table by a new version of it. Readers see the one or the
-    other, at no time none; the version before stays for those that read it."""
+    other, at no time none; what the version before was read from stays for those
+    that read it. ``read`` are the folders() that ``df`` was made from: batches
+    among them are in the new version, later ones come on top of it."""
+    read = folders(spark, path) if read is None else read
     old = _versions(spark, path)
-    df.write.mode("overwrite").partitionBy(*partition).parquet(f"{path}/v{int(old[-1][1:]) + 1 if old else 0:08d}")
-    for name in old[:-1]:
-        gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+    number = f"{int(old[-1][1:]) + 1 if old else 0:08d}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = _taken(spark, path, old[-1] if old else None)
+    taken = dict(before)
+    for stream, epoch in ((n[2:].rpartition("-")[0], int(n.rpartition("-")[2])) for n in (f.rpartition("/")[2] for f in read) if n.startswith("d-")):
+        taken[stream] = max(epoch, taken.get(stream, -1))
+    fs.delete(hadoop(f"{path}/f{number}"), True)
+    for stream, epoch in taken.items():
+        fs.mkdirs(hadoop(f"{path}/f{number}/{stream}-{epoch:012d}"))
+    df.write.mode("overwrite").partitionBy(*partition).parquet(f"{path}/v{number}")
+    gone = [n for v in old[:-1] for n in (v, f"f{v[1:]}")] + [n for n in _names(spark, path) if n.startswith("d-") and int(n.rpartition("-")[2]) <= before.get(n[2:].rpartition("-")[0], -1)]
+    for name in gone:
+        fs.delete(hadoop(f"{path}/{name}"), True)

@@ -166,6 +166,19 @@ def feedback_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.latest(e, "key", "at").select("user_id", "event_type", "event_id")
 
 
+@query(
+    """WITH v AS (SELECT user_id * 10 + event_id % 7 AS interaction_id, CASE WHEN value > 5 THEN 'UP' ELSE 'DOWN' END AS rating, event_type AS source, ts, event_id FROM events),
+l AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY interaction_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT source, count(*) FILTER (rating = 'UP') AS up, count(*) FILTER (rating = 'DOWN') AS down FROM l GROUP BY source"""
+)
+def vote_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes given again and again: what each changes, added up per source."""
+    votes = S.load(spark, sf_dir, "events").select(
+        (F.col("user_id") * 10 + F.col("event_id") % 7).alias("interaction_id"), F.when(F.col("value") > 5, "UP").otherwise("DOWN").alias("rating"), F.array("event_type").alias("sources"), F.struct("ts", "event_id").alias("created_at")
+    )
+    return feedback.added(feedback.vote_deltas(votes))
+
+
 _TOP10 = f"top AS (SELECT *, {_RANK} AS rank FROM s QUALIFY rank <= 10)"
 
 

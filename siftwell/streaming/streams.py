@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..config import Cache, Feedback, Retrieval
+from ..config import Cache, Config, Feedback, Retrieval
 from ..functions.classify import file_type, is_supported_file
 from ..functions.embed import Embedder, hashed
 from ..operators import bot, ingest
-from ..sources import files
 
 
 def file_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,22 +25,14 @@ def file_stream(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("name", name).filter(is_supported_file(F.col("name"))).withColumn("type", file_type(F.col("name"))).select("path", "name", "type", "length", "content")
 
 
-def ingest_stream(stream: DataFrame, root: str, checkpoint: str, config: Retrieval = Retrieval(), embedder: Embedder = hashed, **trigger) -> StreamingQuery:
-    """Chunks and outcome queues of every micro-batch below ``root``. Batches
-    write under their number, so that one that is tried again replaces itself."""
+def ingest_stream(stream: DataFrame, root: str, checkpoint: str, config: Retrieval = Retrieval(), embedder: Embedder = hashed, name: str = "files", **trigger) -> StreamingQuery:
+    """Every micro-batch of files into the tables of the engine below ``root``,
+    as ingest_folder() puts them there; a batch that is tried again replaces
+    itself. ``name`` tells streams into one engine apart."""
+    from ..engine import Engine
 
-    def put(df: DataFrame, epoch: int) -> None:
-        parsed = files.parse(df).persist()
-        docs = parsed.filter("status = 'OK'").select(F.col("path").alias("source"), "name", "type", "text")
-        chunks = ingest.with_embeddings(ingest.chunk_documents(docs, config), embedder).persist()
-        counts = ingest.registry(chunks)
-        good, bad = ingest.outcomes(parsed, counts, f"stream-{epoch}")
-        for name, out in (("chunks", chunks), ("documents", counts), ("success", good), ("failure", bad)):
-            out.write.mode("overwrite").parquet(f"{root}/{name}/epoch={epoch}")
-        chunks.unpersist()
-        parsed.unpersist()
-
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    engine = Engine(stream.sparkSession, root, Config(retrieval=config), embedder)
+    return stream.writeStream.foreachBatch(lambda df, epoch: engine.ingest_batch(df, name, epoch)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def route_stream(events: DataFrame, config: Feedback = Feedback()) -> DataFrame:
@@ -87,15 +78,54 @@ def outbox_sink(df: DataFrame, path: str, checkpoint: str, **trigger) -> Streami
     return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
 
 
-def votes_upsert(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append votes; operators.feedback.latest() is the view of the upsert."""
+def votes_upsert(stream: DataFrame, path: str, checkpoint: str, name: str = "votes", **trigger) -> StreamingQuery:
+    """Append votes to the stored table at ``path``; operators.feedback.latest()
+    is the view of the upsert."""
 
     def put(df: DataFrame, epoch: int) -> None:
-        df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        ingest.put_batch(df.sparkSession, df, path, name, epoch)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def vote_deltas(votes: DataFrame) -> DataFrame:
+    """source, up, down of a stream of votes (interaction_id, rating, sources,
+    created_at): each vote undoes the interaction's vote before it and applies
+    itself. The state of an interaction is its latest vote; one that is older than
+    that is late and changes nothing, as in latest(). A stream that begins with the
+    stored votes rebuilds the counts."""
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rating, sources, at = state.get if state.exists else (None, [], None)
+        changes: dict[tuple[str, str], int] = {}
+        for v in pd.concat(list(frames)).sort_values("created_at").itertuples():
+            now = int(v.created_at.value)
+            if at is not None and now < at:
+                continue
+            new = [] if v.sources is None else list(v.sources)
+            for own, how, n in ((sources, rating, -1), (new, v.rating, 1)):
+                for s in own:
+                    changes[s, how] = changes.get((s, how), 0) + n
+            rating, sources, at = v.rating, new, now
+        state.update((rating, sources, at))
+        rows = [(s, n if how == "UP" else 0, n if how == "DOWN" else 0) for (s, how), n in changes.items() if n]
+        yield pd.DataFrame(rows, columns=["source", "up", "down"])
+
+    asked = votes.select("interaction_id", "rating", "sources", "created_at")
+    return asked.groupBy("interaction_id").applyInPandasWithState(fold, "source string, up bigint, down bigint", "rating string, sources array<string>, at bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def votes_stream(votes: DataFrame, root: str, checkpoint: str, config: Config = Config(), name: str = "votes", **trigger) -> tuple[StreamingQuery, StreamingQuery]:
+    """A stream of votes (interaction_id, rating, comment, sources, created_at)
+    into an engine's votes and into its running counts."""
+    from ..engine import Engine
+
+    engine, when = Engine(votes.sparkSession, root, config), trigger or {"availableNow": True}
+    stored = votes.writeStream.foreachBatch(lambda df, epoch: engine._append("feedback", df, (name, epoch))).option("checkpointLocation", f"{checkpoint}/votes").trigger(**when).start()
+    counted = vote_deltas(votes).writeStream.foreachBatch(lambda df, epoch: engine.count_votes(df, (name, epoch))).option("checkpointLocation", f"{checkpoint}/counts").outputMode("append").trigger(**when).start()
+    return stored, counted
+
+
 def event_windows(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes", at: str = "ts") -> DataFrame:
     """Counts and sums per event-time window and type; late rows wait ``late``."""
     w = F.window(at, size, slide) if slide else F.window(at, size)

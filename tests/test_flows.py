@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.engine import Engine
-from siftwell.operators import bot
+from siftwell.operators import bot, ingest
 from siftwell.sources import files, office
 from siftwell.streaming import streams
 
@@ -158,11 +158,32 @@ def test_empty_folder(spark, tmp_path):
         files.scan(spark, str(tmp_path))
 
 
-def test_ingest_stream(spark, folder, tmp_path):
+def test_what_a_stream_ingests_the_engine_finds(spark, folder, tmp_path):
     root = str(tmp_path / "s")
     streams.ingest_stream(streams.file_stream(spark, str(folder)), root, str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(f"{root}/success").count() == 3 and spark.read.parquet(f"{root}/failure").count() == 2
-    assert spark.read.parquet(f"{root}/chunks").select("embedding").head()[0] is not None
+    e = Engine(spark, root)
+    assert e.table("success").count() == 3 and e.table("failure").count() == 2
+    found = e.retrieve(spark.createDataFrame([(1, "refunds and returns"), (2, "show Rule ID 7")], "qid int, question string")).collect()
+    assert any("note.txt" in r.source for r in found if r.qid == 1) and any(r.type == "EXCEL" and r.fields for r in found if r.qid == 2)
+    # the same tables as of a folder
+    other = Engine(spark, str(tmp_path / "o"))
+    other.ingest_folder(str(folder), "b")
+    rows = lambda x: sorted((r.source.rpartition("/")[2], r.text, r.category, r.sheet or "", r.row_start or 0) for r in x.table("chunks").collect())
+    assert rows(e) == rows(other)
+    # another file, and batches that are tried again before and after they are taken in
+    (folder / "more.txt").write_text("more words")
+    streams.ingest_stream(streams.file_stream(spark, str(folder)), root, str(tmp_path / "cp")).awaitTermination()
+    n = e.table("chunks").count()
+    assert n == other.table("chunks").count() + 1
+    batch = files.scan(spark, str(folder)).filter("name = 'more.txt'")
+    e.ingest_batch(batch, "files", 1)
+    assert e.table("chunks").count() == n
+    e.compact("chunks")
+    e.ingest_batch(batch, "files", 1)
+    assert e.table("chunks").count() == n
+    e.delete_chunks(e.table("documents").filter("name = 'more.txt'").head().source)
+    e.ingest_batch(batch, "files", 2)
+    assert e.table("chunks").count() == n and len([f for f in (tmp_path / "s" / "chunks").iterdir() if f.name.startswith("v")]) == 2
 
 
 def test_bot_stream_equals_batch(spark, tmp_path):
@@ -198,7 +219,7 @@ def test_votes_and_progress_of_a_stream(spark, tmp_path):
     df.repartition(1).write.parquet(str(tmp_path / "v"))
     query = streams.votes_upsert(spark.readStream.schema(df.schema).parquet(str(tmp_path / "v")), str(tmp_path / "o"), str(tmp_path / "c"))
     query.awaitTermination()
-    assert {(r.interaction_id, r.rating) for r in feedback.latest(spark.read.parquet(str(tmp_path / "o"))).collect()} == {("i1", "DOWN"), ("i2", "UP")}
+    assert {(r.interaction_id, r.rating) for r in feedback.latest(spark.read.parquet(*ingest.folders(spark, str(tmp_path / "o")))).collect()} == {("i1", "DOWN"), ("i2", "UP")}
     told = []
     streams.stage_log(query, lambda stage, facts: told.append((stage, facts["rows"])))
     assert ("batch 0", 3) in told
@@ -226,3 +247,29 @@ def test_plans(spark):
     assert tuple(r) == ("messages", "r")
     tun = spark.createDataFrame([(0, "http://a"), (1, "https://b"), (2, "https://c")], "position int, public_url string")
     assert bot.first_tunnel(tun).head().public_url == "https://b"
+
+
+@pytest.mark.parametrize("splits", [1, 3, 7])
+def test_running_vote_counts_after_votes_again(spark, tmp_path, splits):
+    import random
+
+    from siftwell.operators import feedback
+
+    rng, at = random.Random(splits), dt.datetime(2024, 1, 1)
+    rows = [(f"i{rng.randrange(12)}", "s", rng.choice(["UP", "DOWN"]), "", rng.choice([["a"], ["a", "b"], ["b", "b"], [], None]), at + dt.timedelta(seconds=n)) for n in range(120)]
+    kind = "interaction_id string, session_id string, rating string, comment string, sources array<string>, created_at timestamp_ntz"
+    rng.shuffle(rows)  # some votes come late
+    e = Engine(spark, str(tmp_path / "s"))
+    want = lambda seen: {tuple(r) for r in feedback.source_votes(feedback.latest(spark.createDataFrame(seen, kind))).collect()}
+    seen = []
+    for n in range(splits):
+        own = rows[n::splits]
+        seen += own
+        spark.createDataFrame(own, kind).repartition(1).write.mode("append").parquet(str(tmp_path / "v"))
+        for q in streams.votes_stream(spark.readStream.schema(kind).parquet(str(tmp_path / "v")), e.root, str(tmp_path / "c")):
+            q.awaitTermination()
+        assert {tuple(r) for r in e.source_counts().collect()} == want(seen)
+    assert {tuple(r) for r in feedback.boosts(e.source_counts()).collect()} == {tuple(r) for r in e.feedback_stats()[1].collect()}
+    assert {tuple(r) for r in feedback.added(feedback.vote_deltas(spark.createDataFrame(rows, kind))).collect()} == want(rows)
+    e.rebuild_vote_counts()
+    assert {tuple(r) for r in e.source_counts().collect()} == want(rows)
