@@ -17,8 +17,9 @@ pages whose visible text is mostly signs, as in lists of keywords; pages of
 running text are good.
 
 Pages are counted per (host, template) before anything else, so a hot host is
-as many rows as it has templates. There are as many rounds as the deepest
-position at which templates of a host part. A parent may have most of all
+as many rows as it has templates. A round takes every branch to where its paths
+part next, however far down, so there are as many rounds as the most partings
+that lie on one path, and what paths share costs none. A parent may have most of all
 branches, and a template most of all pages: joins on them go through
 ``spread_join``.
 
@@ -103,16 +104,30 @@ def _branch(key, level) -> Column:
     return F.to_json(F.slice(key, F.lit(1), level + 1))
 
 
+def _fork() -> Column:
+    """How many segments the keys of a group share, from its first and last."""
+    return F.expr("coalesce(array_min(filter(transform(arrays_zip(lo, hi), (x, i) -> if(x.lo <=> x.hi, null, i)), i -> i is not null)), size(lo))")
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """raw (host and typed segments, as text), key (of the template), n, bad,
     good: from pages with host, path and label (1 bad, 0 good, null)."""
     base = pages.groupBy(_raw(F.col("host"), F.col("path")).alias("key")).agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") == 0).alias("good"))
-    tree = written(base.select(F.to_json("key").alias("raw"), "key", "n", "bad", "good"), "url-level-0")
-    done, level = tree.filter("size(key) = 1"), 0
+    tree = written(base.select(F.to_json("key").alias("raw"), "key", "n", "bad", "good", _branch("key", F.lit(0)).alias("branch")), "url-level-0")
+    done, level = tree.filter("size(key) = 1").drop("branch"), 0
     tree = tree.filter("size(key) > 1")
     while tree.head(1):
-        here = tree.withColumn("kid", _branch("key", F.lit(level + 1)))
-        kids = here.groupBy("kid", _branch("key", F.lit(level)).alias("parent")).agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum(F.col("bad") + F.col("good")).alias("known"))
+        # a branch goes on at once to where its paths part next; what is alone in
+        # its branch has nothing to be merged with, nor has what ends there
+        forks = tree.groupBy("branch").agg(F.count("*").alias("rows"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        forks = written(forks.select("branch", F.when(F.col("rows") > 1, _fork()).alias("fork")), f"url-forks-{level}")
+        tree = spread_join(tree, forks, "branch", "raw").drop("branch")
+        over = F.col("fork").isNull() | (F.size("key") <= F.col("fork"))
+        here = tree.withColumns({"over": over, "kid": F.when(~over, _branch("key", F.col("fork"))), "parent": F.when(~over, _branch("key", F.col("fork") - 1))})
+        here = written(here, f"url-here-{level}")
+        done = done.unionByName(here.filter("over").select(*done.columns))
+        here = here.filter("not over").drop("over")
+        kids = here.groupBy("kid", "parent").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum(F.col("bad") + F.col("good")).alias("known"))
         kids = written(kids, f"url-kids-{level}")
         whole = kids.groupBy("parent").agg(F.count("*").alias("kinds"), F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"), F.sum("known").alias("all_known"))
         whole = written(whole.filter("kinds > 1"), f"url-parents-{level}")
@@ -121,14 +136,12 @@ def templates(pages: DataFrame) -> DataFrame:
         sd = F.sqrt(rate * (1 - rate) / known)
         many = (F.col("kinds") >= MANY_VALUES) & (F.col("all_n") <= FEW_PAGES * F.col("kinds"))
         alike = (F.abs(F.col("bad") / known - rate) <= SAME_RATE * sd) & (known < F.col("all_known"))
-        turned = written(judged.select("kid", "rows", F.when(many, F.lit("*")).when(alike, F.lit("~")).alias("new")), f"url-turned-{level}")
-        here = spread_join(here, turned, "kid", "raw")
-        key = F.when(F.col("new").isNotNull(), F.concat(F.slice("key", 1, level + 1), F.array("new"), F.slice("key", F.lit(level + 3), F.size("key")))).otherwise(F.col("key"))
-        # what is alone in its branch has nothing to be merged with further down
-        over = (F.size("key") <= level + 2) | (F.col("new").isNull() & (F.col("rows") == 1))
-        step = written(here.select("raw", key.alias("key"), "n", "bad", "good", over.alias("over")), f"url-level-{level + 1}")
-        done = done.unionByName(step.filter("over").drop("over"))
-        tree, level = step.filter("not over").drop("over"), level + 1
+        turned = written(judged.select("kid", F.when(many, F.lit("*")).when(alike, F.lit("~")).alias("new")).filter("new is not null"), f"url-turned-{level}")
+        here = spread_join(here, turned, "kid", "raw", "left")
+        key = F.when(F.col("new").isNotNull(), F.concat(F.slice("key", F.lit(1), F.col("fork")), F.array("new"), F.slice("key", F.col("fork") + 2, F.size("key")))).otherwise(F.col("key"))
+        step = here.select("raw", key.alias("key"), "n", "bad", "good", "fork")
+        tree = written(step.select("raw", "key", "n", "bad", "good", _branch("key", F.col("fork")).alias("branch")), f"url-level-{level + 1}")
+        level += 1
     return done
 
 

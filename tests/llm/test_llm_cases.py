@@ -843,6 +843,29 @@ def test_url_awkward(spark):
     assert {r.page_id: r.verdict for r in urltree.judge(long, label=F.lit(0)).collect()} == dict.fromkeys(range(1, 5), "allow")
 
 
+def test_url_rounds_follow_partings_not_depth(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(urltree, "written", lambda df, name: made.append(name) or _shared.written(df, name))
+    deep = "a/b/" * 1500
+    rows = [(f"http://h.xyz/{deep}{kind}/{w}", int(kind == "bad")) for kind in ("bad", "good") for w in ("ant", "bee", "cat", "dog", "eel", "fox")]
+    rows += [("http://trap.xyz/" + "a/" * n, 0) for n in (300, 301, 302)]
+    df = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(rows)], "page_id bigint, url string, y int")
+    got = urltree.judge(df, label=F.col("y")).collect()
+    assert {(r.verdict, "/bad/" in r.url) for r in got} == {("block", True), ("allow", False)}
+    assert len([n for n in made if n.startswith("url-level-")]) <= 5
+
+
+def test_url_verdicts_part_within_a_host_without_seed_words(spark, tmp_path):
+    """Labels of pages' content, on hosts that no word tells anything of."""
+    prose, junk = "<p>" + "plain words of a text that goes on and on to its end. " * 5 + "</p>", "<p>" + "cheap -- >> ## | buy :: !! now .. ** " * 6 + "</p>"
+    rows = [(f"https://www.garden.example/{part}/{w}", junk if part == "lists" else prose) for part in ("lists", "essays") for w in range(7)]
+    rows += [("https://www.garden.example/lists/99", None), ("https://www.garden.example/essays/99", None), ("https://casino-x.example/a", prose)]
+    spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {rows[r.page_id][0].split("://")[1]: r.verdict for r in urltree.op3_url(spark, str(tmp_path)).collect()}
+    assert got["www.garden.example/lists/99"] == "block" and got["www.garden.example/essays/99"] == "allow"
+    assert {v for u, v in got.items() if "/lists/" in u} == {"block"} and {v for u, v in got.items() if "/essays/" in u} == {"allow"}
+
+
 def test_url_query_rejects_templates(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     labels = {r.page_id: r.y for r in pages.select("page_id", urltree.weak_label(urltree.split_url(F.col("url"))[0], F.col("html")).alias("y")).collect()}
