@@ -623,6 +623,15 @@ def test_toxicity_holds_out(spark):
     assert len(got) == 200 and sum(got[i].predicted == want[i] for i in want) >= 0.85 * len(want)
 
 
+def test_toxicity_finds_toxic_rows_and_leaves_clean_ones(spark):
+    """On rows it did not learn from; a constant prediction fails one or the other."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    rows = toxicity.op1_toxicity(spark, sf).filter("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r.toxic, r.predicted): r["count"] for r in rows}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.01 * n[0, 0]
+
+
 def test_toxicity_mines_unseen_words(spark):
     rng = random.Random(9)
     plain = [f"word{i}" for i in range(60)]
