@@ -25,6 +25,10 @@ class Hybrid:
     min_vector_score: float = 0.7
     k1: float = 1.2
     b: float = 0.75
+    #: What a stretch that holds all terms and no other word counts.
+    cover_weight: float = 0.1
+    #: simple, unicode, english or german, of texts and questions alike.
+    analyzer: str = "simple"
 
 
 @dataclass(frozen=True)

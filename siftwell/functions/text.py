@@ -9,25 +9,50 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Common words that the english analyzer drops.
-ENGLISH_STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "or", "that", "the", "this", "to", "was", "were", "will", "with")
+from .stem import english, german
+
+# Words that the english and german analyzers drop.
+ENGLISH_STOP = (
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself",
+    "they", "them", "their", "theirs", "themselves", "what", "which", "who", "whom", "this", "that", "these", "those", "am", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "having",
+    "do", "does", "did", "doing", "a", "an", "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about", "against", "between", "into", "through", "during",
+    "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "any",
+    "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don", "should", "now",
+)
+GERMAN_STOP = (
+    "aber", "als", "am", "an", "auch", "auf", "aus", "bei", "bin", "bis", "bist", "da", "damit", "dann", "das", "dass", "daß", "dein", "dem", "den", "der", "des", "dich", "die", "dir", "du", "ein", "eine", "einem",
+    "einen", "einer", "eines", "er", "es", "für", "hab", "habe", "haben", "hat", "hatte", "hatten", "ich", "ihr", "ihm", "ihn", "im", "in", "ist", "ja", "kann", "mein", "mich", "mir", "mit", "nach", "nicht",
+    "noch", "nun", "nur", "ob", "oder", "ohne", "sein", "sich", "sie", "sind", "so", "über", "um", "und", "uns", "unter", "vom", "von", "vor", "war", "waren", "was", "weil", "wenn", "wie", "wir", "wird", "zu",
+    "zum", "zur",
+)
 SEPARATORS = ("\n\n", "\n", ". ", " ")
+#: Analyzer: what parts words, which words are dropped, and what makes stems.
+ANALYZERS = {"simple": ("[^a-z0-9]+", (), None), "unicode": (r"[^\p{L}\p{N}]+", (), None), "english": ("[^a-z0-9]+", ENGLISH_STOP, english), "german": (r"[^\p{L}\p{N}]+", GERMAN_STOP, german)}
+
+
+def words(text: Column, analyzer: str = "simple") -> Column:
+    """Array of (term, place): the terms of a text with their places among its
+    words, from 1; dropped words keep theirs."""
+    if analyzer not in ANALYZERS:
+        raise ValueError(f"no analyzer {analyzer!r}")
+    parts, stop, stems = ANALYZERS[analyzer]
+    out = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), parts), "")
+    if not stop:
+        return F.transform(out, lambda t, i: F.struct(t.alias("term"), (i + 1).alias("place")))
+    kept = F.filter(F.transform(out, lambda t, i: F.struct(t.alias("term"), (i + 1).alias("place"))), lambda x: ~x["term"].isin(*stop))
+    stemmed = stems(F.transform(kept, lambda x: x["term"]))
+    return F.transform(F.arrays_zip(stemmed.alias("term"), F.transform(kept, lambda x: x["place"]).alias("place")), lambda x: F.struct(x["term"].alias("term"), x["place"].alias("place")))
 
 
 def tokens(text: Column, analyzer: str = "simple") -> Column:
     """Terms of a text. ``simple``: runs of ASCII letters and digits, lower
-    case; ``unicode``: runs of any letters and digits; ``english``: simple,
-    without common words, plural and participle endings cut natively."""
-    text = F.lower(F.coalesce(text, F.lit("")))
-    if analyzer == "unicode":
-        return F.array_remove(F.split(text, r"[^\p{L}\p{N}]+"), "")
-    out = F.array_remove(F.split(text, "[^a-z0-9]+"), "")
-    if analyzer == "simple":
-        return out
-    if analyzer != "english":
+    case; ``unicode``: runs of any letters and digits; ``english`` and
+    ``german``: without common words, the rest cut to their stems."""
+    if analyzer not in ANALYZERS:
         raise ValueError(f"no analyzer {analyzer!r}")
-    kept = F.filter(out, lambda t: ~t.isin(*ENGLISH_STOP))
-    return F.transform(kept, lambda t: F.when(F.length(t) > 3, F.regexp_replace(t, "(ies|es|s|ing|ed)$", "")).otherwise(t))
+    parts, stop, stems = ANALYZERS[analyzer]
+    out = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), parts), "")
+    return stems(F.filter(out, lambda t: ~t.isin(*stop))) if stems else out
 
 
 def parse_vector_text(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Hybrid
-from ..functions.text import tokens
+from ..functions.text import tokens, words
 from .layout import small, spread
 
 
@@ -20,6 +20,65 @@ def postings(docs: DataFrame, analyzer: str = "simple", id_col: str = "chunk_id"
     return each.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
 
 
+def positional_postings(docs: DataFrame, analyzer: str = "simple", id_col: str = "chunk_id", text: str = "text") -> DataFrame:
+    """postings() with ``places``: where the term stands among the text's words,
+    from 1, rising. A row holds the places of one term in one text."""
+    base = spread(docs.select(F.col(id_col).alias("chunk_id"), F.col(text).alias("_x"))).select("chunk_id", words(F.col("_x"), analyzer).alias("_w"))
+    base = base.withColumn("dl", F.size(F.array_distinct(F.transform("_w", lambda w: w["term"]))))
+    each = base.select("chunk_id", "dl", F.explode_outer("_w").alias("w")).filter("w is not null")
+    placed = each.groupBy("w.term", "chunk_id", "dl").agg(F.sort_array(F.collect_list("w.place")).alias("places"))
+    return placed.select("term", "chunk_id", "dl", F.size("places").cast("bigint").alias("tf"), "places")
+
+
+def cover_density(terms: DataFrame, index: DataFrame, config: Hybrid = Hybrid()) -> DataFrame:
+    """qid, chunk_id, density of the chunks that hold all terms of a question, as
+    a database's text search ranks them: each shortest stretch that holds all
+    terms, none within another, gives ``cover_weight`` / (1 + its other words).
+    ``index`` has places.
+
+    Every stretch ends at an occurrence of a term and begins at the least of the
+    terms' last places before it; it is a new one if that beginning moved. So one
+    fold over a chunk's occurrences, in order, with the last of each term in hand,
+    finds them all."""
+    own = small(terms)
+    hits = index.join(small(terms.select("term").distinct()), "term", "left_semi").join(own, "term")
+    # the number of a term within its question
+    held = hits.groupBy("qid", "chunk_id", "n_terms").agg(F.sort_array(F.collect_list(F.struct("term", "places"))).alias("ts")).filter(F.size("ts") == F.col("n_terms"))
+    places = F.array_sort(F.flatten(F.transform("ts", lambda t, k: F.transform(t["places"], lambda p: F.struct(p.alias("place"), k.alias("k"))))))
+    start = F.struct(F.transform("ts", lambda t: F.struct(F.lit(0).alias("place"), F.lit(0).alias("n"))).alias("last"), F.lit(0).alias("begin"), F.lit(0).alias("n"), F.lit(0.0).alias("sum"))
+
+    def step(s: Column, x: Column) -> Column:
+        n = s["n"] + 1
+        last = F.transform(s["last"], lambda e, k: F.when(k == x["k"], F.struct(x["place"].alias("place"), n.alias("n"))).otherwise(e))
+        return F.transform(F.array(last), lambda now: _covered(s, now, x["place"], n))[0]
+
+    def _covered(s: Column, last: Column, place: Column, n: Column) -> Column:
+        first = F.array_min(last)  # no place is shared, so its n is that of the occurrence
+        new = (first["place"] > 0) & (first["place"] > s["begin"])
+        others = (place - first["place"]) - (n - first["n"])
+        return F.struct(last.alias("last"), F.when(new, first["place"]).otherwise(s["begin"]).alias("begin"), n.alias("n"), (s["sum"] + F.when(new, F.lit(config.cover_weight) / (1 + others)).otherwise(0.0)).alias("sum"))
+
+    return held.select("qid", "chunk_id", F.aggregate(places, start, step, lambda s: s["sum"]).alias("density"))
+
+
+def coarse_top_k(terms: DataFrame, index: DataFrame, pool: int, config: Hybrid = Hybrid()) -> DataFrame:
+    """The ``pool`` densest chunks of each question: the shortlist of a keyword
+    search that ranks only these by BM25."""
+    w = Window.partitionBy("qid").orderBy(F.desc(F.round("density", 9)), "chunk_id")
+    return cover_density(terms, index, config).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= pool)
+
+
+def bm25_of_pool(terms: DataFrame, index: DataFrame, stats: DataFrame, pool: int, config: Hybrid = Hybrid()) -> DataFrame:
+    """qid, chunk_id, bm25, rank: the shortlist of coarse_top_k(), by BM25. The
+    frequencies are those of the whole index."""
+    freq = doc_freq(index.join(small(terms.select("term").distinct()), "term", "left_semi"))
+    listed = coarse_top_k(terms, index, pool, config).select("qid", "chunk_id")
+    asked = small(terms.select("term").distinct())
+    found = bm25(terms, index.join(asked, "term", "left_semi"), stats, config, "and", freq).join(listed, ["qid", "chunk_id"], "left_semi")
+    w = Window.partitionBy("qid").orderBy(F.desc(F.round("bm25", 9)), "chunk_id")
+    return found.withColumn("rank", F.row_number().over(w))
+
+
 def corpus_stats(docs: DataFrame, analyzer: str = "simple", text: str = "text") -> DataFrame:
     """One row: n_docs (1 at least) and avg_dl (1 if there is none)."""
     n = F.size(F.array_distinct(tokens(F.col(text), analyzer)))

@@ -62,7 +62,8 @@ _TOKENS = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x:
 _INDEX = f"""{S.FILES_SQL}, w AS (SELECT chunk_id, {_TOKENS} AS t FROM c), tok AS (SELECT chunk_id, len(list_distinct(t)) AS dl, unnest(t) AS term FROM w),
 ix AS (SELECT term, chunk_id, dl, count(*) AS tf FROM tok GROUP BY ALL), st AS (SELECT greatest(count(*), 1) AS n, coalesce(nullif(avg(len(list_distinct(t))), 0), 1) AS a FROM w),
 df AS (SELECT term, count(*) AS df FROM ix GROUP BY term)"""
-_BM25 = f"""WITH {_INDEX}, {S.TERMS_SQL}, qt AS (SELECT qid, len(ts) AS nt, unnest(ts) AS term FROM (SELECT qid, list_distinct(list_filter(string_split_regex(lower(question), '[^a-z0-9]+'), lambda x: x <> '')) AS ts FROM t)),
+_ASKED = "qt AS (SELECT qid, len(ts) AS nt, unnest(ts) AS term FROM (SELECT qid, list_distinct(list_filter(string_split_regex(lower(question), '[^a-z0-9]+'), lambda x: x <> '')) AS ts FROM t))"
+_BM25 = f"""WITH {_INDEX}, {S.TERMS_SQL}, {_ASKED},
 hit AS (SELECT qid, chunk_id, nt, count(*) AS m, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / a))) AS bm25
         FROM qt JOIN ix USING (term) JOIN df USING (term), st GROUP BY ALL),
 kw AS (SELECT qid, chunk_id, bm25, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9) DESC, chunk_id) AS rank FROM hit WHERE bm25 > 0 AND {{0}})"""
@@ -103,6 +104,37 @@ def bm25_topk_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir, "or")
 
 
+_COVERS = f"""po AS (SELECT chunk_id, unnest(t) AS term, generate_subscripts(t, 1) AS place FROM (SELECT chunk_id, {_TOKENS} AS t FROM c)),
+ho AS (SELECT qid, nt, chunk_id, term, place, row_number() OVER w AS n FROM qt JOIN po USING (term) WINDOW w AS (PARTITION BY qid, chunk_id ORDER BY place)),
+al AS (SELECT * FROM ho SEMI JOIN (SELECT qid, chunk_id FROM ho GROUP BY qid, chunk_id, nt HAVING count(DISTINCT term) = nt) g USING (qid, chunk_id)),
+la AS (SELECT a.qid, a.chunk_id, a.n, a.place, max(CASE WHEN a.term = q.term THEN a.place END) OVER w AS lp, max(CASE WHEN a.term = q.term THEN a.n END) OVER w AS ln
+       FROM al a JOIN qt q USING (qid) WINDOW w AS (PARTITION BY a.qid, a.chunk_id, q.term ORDER BY a.n)),
+fi AS (SELECT qid, chunk_id, n, place, CASE WHEN count(lp) = count(*) THEN min(lp) END AS p, min(ln) AS b FROM la GROUP BY ALL),
+co AS (SELECT *, p IS DISTINCT FROM lag(p) OVER (PARTITION BY qid, chunk_id ORDER BY n) AS new FROM fi),
+de AS (SELECT qid, chunk_id, sum(CAST(0.1 AS DOUBLE) / (1 + (place - p) - (n - b))) AS density FROM co WHERE new AND p IS NOT NULL GROUP BY qid, chunk_id),
+cr AS (SELECT qid, chunk_id, density, row_number() OVER (PARTITION BY qid ORDER BY round(density, 9) DESC, chunk_id) AS rank FROM de)"""
+
+
+@query(f"WITH {S.FILES_SQL}, {S.TERMS_SQL}, {_ASKED}, {_COVERS} SELECT qid, chunk_id, CAST(rank AS INTEGER) AS rank, round(density, 6) AS density FROM cr WHERE rank <= 50")
+def cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 chunks of a question in which its words stand closest."""
+    found = keyword.coarse_top_k(keyword.question_terms(S.term_questions(spark, sf_dir)), keyword.positional_postings(S.chunks(spark, sf_dir)), 50)
+    return found.select("qid", "chunk_id", "rank", F.round("density", 6).alias("density"))
+
+
+@query(
+    _BM25.format("m = nt")
+    + f""", {_COVERS} SELECT qid, chunk_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(kw.bm25, 9) DESC, chunk_id) AS INTEGER) AS rank, round(kw.bm25, 6) AS bm25
+FROM kw JOIN (SELECT qid, chunk_id FROM cr WHERE rank <= 50) USING (qid, chunk_id)"""
+)
+def bm25_of_densest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shortlist by density, ranked by BM25."""
+    docs = S.chunks(spark, sf_dir)
+    terms = keyword.question_terms(S.term_questions(spark, sf_dir))
+    found = keyword.bm25_of_pool(terms, keyword.positional_postings(docs), keyword.corpus_stats(docs), 50)
+    return found.select("qid", "chunk_id", "rank", F.round("bm25", 6).alias("bm25"))
+
+
 @query(
     _BM25.format("m = nt")
     + """, v AS (SELECT c.chunk_id, CAST(e.embedding AS DOUBLE[]) AS e FROM c JOIN embeddings e ON e.vec_id = c.chunk_id),
