@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from . import schema
 from .config import Config
 from .functions.embed import Embedder, embed_udf, hashed
-from .operators import answers, bot, cache, conversation, feedback, fusion, history, ingest, keyword, rerank, sheets, vector
+from .operators import answers, bot, cache, conversation, feedback, fusion, history, ingest, rerank, sheets, vector
+from .operators.index import KeywordIndex
 from .sources import files, pages
 
 TABLES = {
     "chunks": schema.CHUNKS, "documents": schema.DOCUMENTS, "messages": schema.MESSAGES, "feedback": schema.FEEDBACK, "batches": schema.BATCHES, "success": schema.SUCCESSES,
-    "postings": schema.POSTINGS, "corpus_stats": schema.CORPUS_STATS, "failure": schema.FAILURES, "repositories": schema.REPOSITORIES, "commits": schema.COMMITS, "sprints": schema.SPRINTS, "vote_counts": schema.VOTE_COUNTS,
+    "failure": schema.FAILURES, "repositories": schema.REPOSITORIES, "commits": schema.COMMITS, "sprints": schema.SPRINTS, "vote_counts": schema.VOTE_COUNTS,
 }
 
 
@@ -82,12 +83,17 @@ class Engine:
 
     # keyword index
 
+    @property
+    def index(self) -> KeywordIndex:
+        """The keyword index, which ingestion and deletion keep up with."""
+        return KeywordIndex(self.spark, self._path("index"), self.config.hybrid.analyzer)
+
     def build_index(self) -> None:
-        """Store the postings in the order of their terms, so that a question
-        reads the row groups of its own, and a snapshot of the statistics."""
-        chunks = self.table("chunks")
-        self._replace("postings", keyword.postings(chunks).repartitionByRange("term").sortWithinPartitions("term"))
-        self._replace("corpus_stats", keyword.corpus_stats(chunks))
+        """Merge the index into one segment, or make it anew if there is none."""
+        if self.index.available():
+            self.index.merge(all_of_them=True)
+        else:
+            self.index.add(self.table("chunks").select("chunk_id", "text"))
 
     # ingestion
 
@@ -101,6 +107,9 @@ class Engine:
         done = ingest.with_embeddings(chunks, self.embedder).persist()
         try:
             self._append("chunks", done, batch)
+            if self.config.hybrid.enabled:
+                self.index.add(done.select("chunk_id", "text"), batch)
+            # last: what is new depends on this table, and is read anew once it changed
             self._append("documents", ingest.registry(done), batch)
         finally:
             done.unpersist()
@@ -153,6 +162,8 @@ class Engine:
         self._replace("documents", lambda t: t.filter(F.col("id") != document_id))
 
     def delete_chunks(self, source: str) -> None:
+        """Remove a source's chunks, from the keyword index too."""
+        self.index.remove(self.table("chunks").filter(F.col("source") == source).select("chunk_id", "text"))
         self._replace("chunks", lambda t: t.filter(F.col("source") != source))
 
     # questions
@@ -181,9 +192,10 @@ class Engine:
 
     def hybrid_search(self, questions: DataFrame, k: int | None = None) -> DataFrame:
         """Both legs over the stored index; without one, the vector leg alone."""
-        stats = self.table("corpus_stats")
-        index = self.table("postings") if stats.head(1) else None
-        return fusion.hybrid_search(self._asked(questions), self.table("chunks"), k or self.config.retrieval.max_results, index, stats if index is not None else None, self.config.hybrid)
+        index = self.index
+        there = index.available()
+        h = self.config.hybrid
+        return fusion.hybrid_search(self._asked(questions), self.table("chunks"), k or self.config.retrieval.max_results, index.postings() if there else None, index.stats() if there else None, h, h.analyzer)
 
     def save_messages(self, messages: DataFrame) -> None:
         self._append("messages", messages)

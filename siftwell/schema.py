@@ -17,8 +17,6 @@ REPOSITORIES = "id string, repo_url string, name string, branch string, local_pa
 COMMITS = "repository_id string, commit_hash string, author_name string, author_email string, commit_date timestamp_ntz, short_message string, full_message string, branch string, files_changed int, insertions int, deletions int, ingested_at timestamp_ntz"
 SPRINTS = "id string, name string, start_date date, end_date date, repository_id string, created_at timestamp_ntz"
 VOTE_COUNTS = "source string, up bigint, down bigint"
-POSTINGS = "term string, chunk_id string, dl int, tf bigint"
-CORPUS_STATS = "n_docs bigint, avg_dl double"
 CELLS = "workbook string, sheet string, row int, col int, kind string, raw string"
 
 # Metadata keys with a column of their own.

@@ -9,6 +9,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from siftwell.config import Config, Hybrid
 from siftwell.engine import Engine
 from siftwell.operators import bot, ingest
 from siftwell.sources import files, office
@@ -70,8 +71,8 @@ def test_folder_to_answer(spark, folder, tmp_path):
     got = {r.qid: r for r in e.answer(q).collect()}
     assert got[1].cacheable and any("note.txt" in s for s in got[1].sources)
     asked = q.selectExpr("qid", "'plain words' as question")
-    assert e.hybrid_search(asked, 3).filter("match_type <> 'VECTOR'").count() == 0
-    e.build_index()
+    off = Engine(spark, str(tmp_path / "store"), Config(hybrid=Hybrid(enabled=False)))
+    assert off.hybrid_search(asked, 3).filter("match_type <> 'VECTOR'").count() == 0
     assert e.hybrid_search(asked, 3).filter("match_type <> 'VECTOR'").count() > 0
     assert e.hybrid_search(q.selectExpr("qid", "'plain words' as question"), 3).count() > 0
     e.save_messages(spark.createDataFrame([("s1", "ASSISTANT", "a", "i1", ["x"], dt.datetime(2024, 1, 1))], "session_id string, role string, content string, interaction_id string, sources array<string>, created_at timestamp_ntz"))
