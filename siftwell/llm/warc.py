@@ -20,14 +20,16 @@ the grouping.
 Defined results: a null html is an empty payload, a null url an empty target
 URI; rows that repeat the largest page id of a payload are all responses; a
 null page id is smaller than any other and comes back null; a record with a
-missing segment, a wrong total or broken framing comes back with ``ok`` false
-and a null payload; extra columns are not read.
+missing segment, a wrong total, broken framing or a wrong length comes back with
+``ok`` false and a null payload, and without a type if its header or first
+segment is lost; files that are cut short or damaged give what is whole in them;
+extra columns are not read.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import zlib
 from itertools import groupby
 
 import pyarrow as pa
@@ -147,53 +149,85 @@ def write_archive(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTE
     src.mapInArrow(tidy(run), "value string").write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
+def unpacked(data: bytes) -> bytes:
+    """What a file holds, as far as it can be unpacked."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data
+    return b"".join(out)
+
+
 def parse(data: bytes):
-    """(header names in lower case -> values, block) of each record."""
+    """(header names in lower case -> values, block) of each record. The block
+    is None if the record is not whole: cut short, without a length, or of
+    another length than it says; without an end of its header, the header is
+    empty. Reading goes on with the next record that begins."""
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split(CRLF)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        end = data.find(b"\r\n\r\n", at)
+        head: dict[str, str] = {}
+        if end >= 0 and data.startswith(b"WARC/", at):
+            lines = data[at:end].decode("utf-8", "replace").split(CRLF)
+            head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        length = head.get("content-length", "")
         begin = end + 4
-        at = begin + int(head["content-length"])
-        yield head, data[begin:at]
-        at += 4
+        stop = begin + int(length) if length.isdecimal() and len(length) < 16 else -1
+        if begin <= stop <= len(data) and b"\r\n\r\n".startswith(data[stop : stop + 4]):
+            yield head, data[begin:stop]
+            at = stop + 4
+        else:
+            yield head, None
+            after = data.find(b"\r\n\r\nWARC/", max(at, end if head else at))
+            at = after + 4 if after >= 0 else len(data)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the archives; those that are whole have no segment, the others
-    come as runs of segments of one origin, ``segment`` to ``last``."""
+def records_of(data: bytes, run_bytes: int = RUN_BYTES):
+    """Rows of RECORD of one file's content; a record that is not whole has no
+    block, and none of it but that is known if its header does not name it."""
+    run, blocks = None, []
 
     def number(x):
-        return int(x) if x else None
+        return int(x) if x and x.lstrip("-").isdecimal() and len(x) < 19 else None
 
-    def rows(data):
+    def done():
+        nonlocal run, blocks
+        if run:
+            yield (*run, None if None in blocks else b"".join(blocks))
         run, blocks = None, []
 
-        def done():
-            nonlocal run, blocks
-            if run:
-                yield (*run, b"".join(blocks))
-            run, blocks = None, []
-
-        for head, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-            ident = head["warc-record-id"].strip("<>")
-            origin, n, total = head.get("warc-segment-origin-id", ident).strip("<>"), number(head.get("warc-segment-number")), number(head.get("warc-segment-total-length"))
-            if run and origin == run[6] and n == run[8] + 1 and run[9] is None and sum(map(len, blocks)) < RUN_BYTES:
-                run[8], run[9] = n, total
-                blocks.append(block)
-                continue
+    for head, block in parse(unpacked(data)):
+        ident, kind = head.get("warc-record-id", "").strip("<>"), head.get("warc-type")
+        if not ident or not kind:
             yield from done()
-            run = [ident, head["warc-type"], number(head.get("x-page-id")), head.get("warc-target-uri"), number(head.get("x-refers-to-page-id")), head.get("warc-payload-digest", "").removeprefix("sha1:"), origin, n, n, total]
-            blocks = [block]
-            if n is None:
-                yield from done()
+            yield (*[None] * 10, None)
+            continue
+        origin, n, total = head.get("warc-segment-origin-id", ident).strip("<>"), number(head.get("warc-segment-number")), number(head.get("warc-segment-total-length"))
+        if run and origin == run[6] and n == run[8] + 1 and run[9] is None and sum(len(x or b"") for x in blocks) < run_bytes:
+            run[8], run[9] = n, total
+            blocks.append(block)
+            continue
         yield from done()
+        run = [ident, kind, number(head.get("x-page-id")), head.get("warc-target-uri"), number(head.get("x-refers-to-page-id")), head.get("warc-payload-digest", "").removeprefix("sha1:"), origin, n, n, total]
+        blocks = [block]
+        if n is None:
+            yield from done()
+    yield from done()
+
 
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of the archives; those that are whole have no segment, the others
+    come as runs of segments of one origin, ``segment`` to ``last``."""
     kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
 
+    most = RUN_BYTES
+
     def batch(out):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RECORD.split(", ")])
 
@@ -201,9 +235,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for data in b.column(0):
                 out, size = [], 0
-                for row in rows(data.as_py()):
+                for row in records_of(data.as_py(), most):
                     out.append(row)
-                    size += len(row[-1])
+                    size += len(row[-1] or b"")
                     if size > 8_000_000:
                         yield batch(out)
                         out, size = [], 0
@@ -221,7 +255,7 @@ def reassemble(runs: DataFrame) -> DataFrame:
     def whole(origin, parts):
         blocks, total, good, upto = [], None, True, 0
         for _, segment, last, length, block in parts:
-            good, upto = good and segment == upto + 1, last
+            good, upto = good and segment == upto + 1 and block is not None, last
             total = length if length is not None else total
             if good:  # what is broken is not held
                 blocks.append(block)
@@ -243,14 +277,17 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     records = written(read_records(spark, path), "warc-records")
     cols = ["record_id", "page_id", "url", "record_type", "refers_to", "payload_digest"]
     alone, runs = records.filter("segment is null"), records.filter("segment is not null")
-    torn = written(runs.groupBy("origin_id").agg(F.count("*").alias("n")).filter("n > 1").select("origin_id", F.lit(True).alias("torn")), "warc-torn")
+    headed = F.max(F.col("record_type") != "continuation").alias("headed")
+    torn = written(runs.groupBy("origin_id").agg(F.count("*").alias("n"), headed).filter("n > 1 or not headed").select("origin_id", F.col("headed").alias("torn")), "warc-torn")
     runs = spread_join(runs, torn, "origin_id", "segment", "left")
     near = runs.filter("torn is null and record_type <> 'continuation'")
     near = near.select(*cols, F.when((F.col("segment") == 1) & (F.octet_length("block") == F.col("total_length")), F.col("block")).alias("block"))
     far = runs.filter("torn")
     first = far.filter("record_type <> 'continuation'").select(*cols)
     far = first.join(reassemble(far), first.record_id == F.col("origin_id")).select(*cols, "block")
-    both = alone.select(*cols, "block").unionByName(near).unionByName(far)
+    # segments whose first record is lost
+    lost = torn.filter("not torn").select(F.col("origin_id").alias("record_id"), *[F.lit(None).cast(alone.schema[c].dataType).alias(c) for c in (*cols[1:], "block")])
+    both = alone.select(*cols, "block").unionByName(near).unionByName(far).unionByName(lost)
 
     def run(batches):
         for b in batches:

@@ -178,6 +178,59 @@ def test_warc_segments_and_chunks(spark, tmp_path, monkeypatch):
     assert warc.dechunked(b"5\r\nab") is None and warc.dechunked(b"zz\r\n") is None and warc.dechunked(b"2;x\r\nab\r\n0\r\n\r\n") == b"ab"
 
 
+def small_archive():
+    """Content of a file, where each record ends, and how many pages are whole by then."""
+    rows = [(1, "http://a/", "x"), (2, "http://b/", "é<p>" * 300), (3, None, ""), (4, "http://d/", "y" * 700)]
+    data, ends, whole = b"", [], []
+    for serial, (i, url, html) in enumerate(rows, 1):
+        records = list(warc.page_records(i, url, html, hashlib.sha1(html.encode()).hexdigest(), None, serial, 300))
+        for n, r in enumerate(records, 1):
+            data += r.encode() + b"\r\n\r\n"
+            ends.append(len(data) - 4)
+            whole.append(serial if n == len(records) else serial - 1)
+    return data, ends, whole
+
+
+def test_warc_cut_at_every_byte():
+    data, ends, whole = small_archive()
+    every = list(warc.parse(data))
+    assert len(every) == len(ends) and all(b is not None for _, b in every)
+    for cut in range(len(data)):
+        got = list(warc.parse(data[:cut]))
+        n = sum(e <= cut for e in ends)
+        assert got[:n] == every[:n] and len(got) <= n + 1 and all(b is None for _, b in got[n:])
+        # a damaged byte costs the record that it lies in, at most
+        hurt = list(warc.parse(data[:cut] + bytes([data[cut] ^ 1]) + data[cut + 1 :]))
+        at = sum(e + 4 <= cut for e in ends)
+        assert hurt[:at] == every[:at] and hurt[len(hurt) - len(every) + at + 2 :] == every[at + 2 :]
+        for x in (data[:cut], hurt):
+            list(warc.records_of(x if isinstance(x, bytes) else data[:cut][::-1]))
+
+
+def test_warc_files_cut_short_do_not_stop_a_read(spark, tmp_path):
+    import gzip
+
+    data, ends, whole = small_archive()
+    packed = gzip.compress(data)
+    for n, cut in enumerate([0, 10, ends[0] - 1, ends[0] + 2, ends[2] + 30, ends[3] + 1, len(data) // 2, len(data) - 200, len(data)]):
+        (tmp_path / f"c{n}").mkdir()
+        (tmp_path / f"c{n}" / "part-0").write_bytes(data[:cut])
+        rows = warc.read_archive(spark, str(tmp_path / f"c{n}")).collect()
+        done = max((w for e, w in zip(ends, whole, strict=True) if e <= cut), default=0)
+        assert sorted(r.page_id for r in rows if r.ok) == list(range(1, done + 1)) and all(r.payload is None for r in rows if not r.ok)
+        assert len(rows) - done in (0, 1, 2)
+    # files of one archive: whole, packed and cut short, without the first segment of a record, no archive
+    d = tmp_path / "many"
+    d.mkdir()
+    other = data.replace(b"urn:x-page:", b"urn:y-page:").replace(b"X-Page-Id: ", b"X-Page-Id: 1")
+    for name, content in (("part-0", data), ("part-1", gzip.compress(other)[: len(packed) // 2]), ("part-2", data.replace(b"urn:x-page:", b"urn:z-page:")[ends[1] + 4 : ends[2] + 4]), ("part-3", b"no archive at all"), ("part-4", b"")):
+        (d / name).write_bytes(content)
+    rows = warc.read_archive(spark, str(d)).collect()
+    assert {r.page_id for r in rows if r.ok} >= {1, 2, 3, 4} and any(r.record_id.startswith("urn:z-page:2") and not r.ok and r.record_type is None for r in rows if r.record_id)
+    assert any(r.record_id is None and not r.ok for r in rows) and len([r for r in rows if r.ok and r.page_id < 5]) == 4
+    assert warc.digest_rows(warc.read_archive(spark, str(d))).filter("payload_digest is not null").count() == len([r for r in rows if r.ok])
+
+
 def test_warc_empty(spark, tmp_path):
     df = spark.createDataFrame([], "page_id bigint, url string, html string")
     warc.write_archive(df, str(tmp_path / "w"))
