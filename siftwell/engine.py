@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import schema
 from .config import Config
 from .functions.embed import Embedder, embed_udf, hashed
-from .operators import answers, bot, cache, conversation, feedback, fusion, history, ingest, rerank, sheets, vector
+from .operators import answers, bot, cache, conversation, diffs, feedback, fusion, history, ingest, rerank, sheets, vector
 from .operators.index import KeywordIndex
 from .sources import files, pages
 
@@ -275,6 +275,10 @@ class Engine:
         self._append("commits", new)
         return new
 
+    def commit_stats(self, versions: DataFrame, commits: DataFrame) -> DataFrame:
+        """files_changed, insertions and deletions from the trees' contents."""
+        return diffs.stats(versions, commits)
+
     def date_report(self, first: date, last: date | None = None, repository_id: str | None = None) -> DataFrame:
         return history.date_report(self.table("commits"), first, last, repository_id)
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, headers, text
-from ..operators import answers, bot, conversation, feedback, fusion, history, ingest, rerank, sheets
+from ..operators import answers, bot, conversation, diffs, feedback, fusion, history, ingest, rerank, sheets
 from ..operators.layout import spread
 from ..sources import pages
 from ..streaming import streams
@@ -83,6 +83,18 @@ def diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.diff_stats(edits).select("repository_id", "commit_hash", "files_changed", "insertions")
 
 
+@query("SELECT CAST(conv_id AS VARCHAR) AS repository_id, CAST(turn AS VARCHAR) AS commit_hash, 1 AS files_changed, CAST(1 + len(coalesce(text, '')) - len(replace(coalesce(text, ''), chr(10), '')) AS INTEGER) AS insertions, 0 AS deletions FROM conversations")
+def commit_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as repositories: a file of all that each role has said, and
+    a commit for each turn; stats from the contents of the trees."""
+    c = S.load(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("repository_id"), "turn", "role", F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("said"))
+    before = F.lag("turn").over(Window.partitionBy("repository_id").orderBy("turn"))
+    commits = c.select("repository_id", F.col("turn").cast("string").alias("commit_hash"), F.array_compact(F.array(before.cast("string"))).alias("parents"))
+    upto = c.join(c.select("repository_id", F.col("turn").alias("at")), "repository_id").filter("turn <= at").groupBy("repository_id", "at", "role").agg(F.array_sort(F.collect_list(F.struct("turn", "said"))).alias("all"))
+    versions = upto.select("repository_id", F.col("at").cast("string").alias("commit_hash"), F.concat(F.col("role"), F.lit(".txt")).alias("path"), F.array_join(F.transform("all", lambda x: x["said"]), "").alias("content"))
+    return diffs.stats(versions, commits)
+
+
 @query(f"WITH {S.COMMITS_SQL} SELECT commit_hash, substr(commit_hash, 1, 8) AS short_hash, 'Repository: ' || repository_id || chr(10) || 'Branch: main' || chr(10) || 'Commit: ' || substr(commit_hash, 1, 8) || chr(10) || 'Author: ' || author_name || ' <' || author_email || '>' || chr(10) || 'Date: ' || strftime(commit_date, '%Y-%m-%dT%H:%M:%S') || chr(10) || 'Message: ' || short_message || chr(10) || 'Files changed: 1 (+' || insertions || ' / -0)' AS text FROM k")
 def commit_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = S.commits(spark, sf_dir).withColumns({"branch": F.lit("main"), "full_message": F.lit(" "), "files_changed": F.lit(1), "deletions": F.lit(0)})
