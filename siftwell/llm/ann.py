@@ -44,6 +44,8 @@ TILE = 2048
 PAIRS = 1 << 16
 #: Float32 products of int8 are exact up to this many dimensions.
 EXACT_DIMS = 1040
+#: Tiles that one cell of the grid holds, about.
+CELL_TILES = 1024
 
 BLOCK = "block bigint, dim int, ids binary, q8 binary, scales binary, errors binary, vecs binary"
 
@@ -144,19 +146,30 @@ def _pack(rows: DataFrame, tile: int) -> DataFrame:
 
 
 def _tiles(q: DataFrame, d: DataFrame) -> DataFrame:
-    """Every query block with every data block of its length, int8 alone."""
+    """Every query block with every data block of its length, int8 alone. Query
+    blocks that are too many to be sent to all tasks are dealt, with the data
+    blocks, to the cells of a grid: a data block goes to each row of it once, a
+    query block to each column, so with so many rows that both move as much,
+    neither moves more often than the root of the cells."""
     cols = ["ids", "q8", "scales", "errors"]
     q = q.select("dim", F.col("block").alias("qb"), *[F.col(c).alias(f"q_{c}") for c in cols])
     d = d.select("dim", "block", *cols)
     hint = small(q)
     if hint is not q:
         return d.join(hint, "dim")
-    # as many chunks as keep a task at a few data blocks
-    chunks = max(1, min(d.count(), 4096))
-    d = d.withColumn("chunk", F.pmod(F.xxhash64("block"), F.lit(chunks)))
-    left = d.join(small(written(q.select("dim", "qb"), "ann-keys")), "dim")
-    right = q.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))))
-    return left.join(right, ["qb", "chunk", "dim"])
+    rows, columns = grid(q.count(), d.count(), d.sparkSession.sparkContext.defaultParallelism)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = d.withColumn("column", F.pmod(F.xxhash64("block"), F.lit(columns)).cast("int")).withColumn("row", every(rows))
+    right = q.withColumn("row", F.pmod(F.xxhash64("qb"), F.lit(rows)).cast("int")).withColumn("column", every(columns))
+    return left.join(right, ["row", "column", "dim"])
+
+
+def grid(n_q: int, n_d: int, cores: int) -> tuple[int, int]:
+    """Rows (of query blocks) and columns (of data blocks) of a grid with a cell
+    for about CELL_TILES tiles, and a few for each core at least."""
+    cells = max(4 * cores, n_q * n_d // CELL_TILES)
+    rows = min(max(1, round((cells * n_q / max(n_d, 1)) ** 0.5)), max(n_q, 1))
+    return rows, min(max(1, cells // rows), max(n_d, 1))
 
 
 def _arrays(cells, kinds):

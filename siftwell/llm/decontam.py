@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import BROADCAST_ROWS, ascii_lower, small, spread, table, written
+from ._shared import HOT_KEYS, KEY_ROWS, ascii_lower, small, spread, spread_join, table, written
 
 WIDTH = 10
 #: After lower-casing, everything but words: ASCII letters and digits, and all beyond ASCII.
@@ -55,21 +55,26 @@ class Index:
         self.postings = written(self._postings(), "index-postings")
 
     def _postings(self) -> DataFrame:
-        """Postings of the anchor terms, in as many passes as keep each
-        broadcast under its bound."""
-        terms = written(self.anchors.select("term").distinct(), "index-terms")
-        passes = 1 + terms.count() // BROADCAST_ROWS
+        """Postings of the anchor terms, in one pass over the stored words. Terms
+        that are too many to be sent to all tasks are met in a shuffled join, in
+        which a term with more postings than go to one task is dealt to several."""
+        terms = written(self.anchors.select("term").distinct().join(self.frequency, "term"), "index-terms")
         tokens = self.forward.select("row_id", F.posexplode("words").alias("pos", "term"))
-        parts = [tokens.join(F.broadcast(terms.filter(F.pmod(F.xxhash64("term"), F.lit(passes)) == n)), "term") for n in range(passes)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out.select("term", "row_id", "pos")
+        hint = small(terms)
+        if hint is not terms:
+            return tokens.join(hint, "term").select("term", "row_id", "pos")
+        most = max(KEY_ROWS, (terms.agg(F.sum("cf")).head()[0] or 0) // HOT_KEYS + 1)
+        salts = F.ceil(F.col("cf") / most).cast("int")
+        hot = F.broadcast(terms.filter(F.col("cf") > most).select("term", salts.alias("salts")))
+        dealt = tokens.join(hot, "term", "left").withColumn("salt", F.pmod(F.xxhash64("row_id"), F.coalesce("salts", F.lit(1))).cast("int"))
+        sent = terms.select("term", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        return dealt.join(sent, ["term", "salt"]).select("term", "row_id", "pos")
 
     def starts(self, nth: int) -> DataFrame:
         """Offset-adjusted list of each window's nth rarest word."""
-        a = small(written(self.anchors.filter(F.col("nth") == nth).select("term", "win", "offset"), f"index-anchors-{nth}"))
-        return self.postings.join(a, "term").select("win", "row_id", (F.col("pos") - F.col("offset")).alias("start")).filter("start >= 0")
+        a = written(self.anchors.filter(F.col("nth") == nth).select("term", "win", "offset"), f"index-anchors-{nth}")
+        met = spread_join(self.postings, a, "term", "row_id")
+        return met.select("win", "row_id", (F.col("pos") - F.col("offset")).alias("start")).filter("start >= 0")
 
     def phrases(self) -> DataFrame:
         """row_id, start, len, item_ids of each occurrence of a window."""

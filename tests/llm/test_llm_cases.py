@@ -262,6 +262,28 @@ def test_neighbours_against_brute_force(spark):
     assert ann.nearest(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_neighbours_on_a_grid(spark, monkeypatch):
+    """Query blocks that are too many for a broadcast: each data block moves once
+    for each row of the grid, not for each query block."""
+    monkeypatch.setattr(ann, "small", lambda df: df)
+    monkeypatch.setattr(ann, "CELL_TILES", 4)
+    x = np.random.default_rng(4).normal(size=(400, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900 + i, [1.0, 2.0]) for i in range(3)], "vec_id bigint, embedding array<float>").repartition(4)
+    got = {}
+    for r in ann.nearest(df, df, 3, tile=32).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    v = x.astype(np.float64)
+    for i in range(400):
+        s = ann.cosines(np.tile(v[i], (400, 1)), v)
+        assert sorted(got[i]) == [(n + 1, j) for n, j in enumerate(sorted((j for j in range(400) if j != i), key=lambda j: (-s[j], j))[:3])]
+    assert sorted(got[900]) == [(1, 901), (2, 902)]
+    monkeypatch.undo()
+    for q, d, cores in ((1, 1, 8), (10, 1000, 8), (1000, 10, 8), (5000, 50_000, 6000)):
+        rows, columns = ann.grid(q, d, cores)
+        assert 1 <= rows <= q and 1 <= columns <= d
+    assert rows * 50_000 < 2 * 10 * columns * 5000 and rows < 5000 // 5
+
+
 def test_neighbours_of_repeated_rows(spark):
     rng = np.random.default_rng(8)
     vecs = rng.normal(size=(30, 8)).astype(np.float32)
@@ -437,7 +459,12 @@ def test_components(spark):
 # decontamination
 
 
-def test_decontamination_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_against_brute_force(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(_shared.small, "__defaults__", (0,))
+        monkeypatch.setattr(_shared, "KEY_ROWS", 3)
+        monkeypatch.setattr(decontam, "KEY_ROWS", 3)
     rng = random.Random(2)
     vocab = ["the", "of", "a", "x", "y", *[f"r{i}" for i in range(30)]]
     items = [(i, " ".join(rng.choice(vocab) for _ in range(n))) for i, n in enumerate([25, 10, 11, 3, 1, 9, 40])] + [(90, None), (91, "!?"), (92, "Rare, RARE; words"), (92, "rare rare words")]
