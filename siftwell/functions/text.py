@@ -88,6 +88,12 @@ def pieces(text: Column, spans: Column) -> Column:
     return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), lambda blocks: F.transform(spans, lambda s: cut(blocks, s)))
 
 
+def window_count(text: Column, size: int = 500, overlap: int = 10) -> Column:
+    """How many windows() a text has, from its length alone."""
+    n = F.greatest(F.ceil((F.char_length(text) - overlap) / F.lit(size - overlap)), F.lit(1)).cast("int")
+    return F.when(F.char_length(text) > 0, n).otherwise(0)
+
+
 def windows(text: Column, size: int = 500, overlap: int = 10) -> Column:
     """Array of (n, text): fixed windows of characters, each ``overlap`` into
     the one before. Empty texts have none."""

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..config import Feedback
 from ..functions.classify import SKIP_COMMENT, feedback_shortcut, rating, trimmed
+from .layout import small
+from .scratch import stored
 
 EVENT = "struct<id:string,name:string,resource:string,event:string,actorId:string,data:struct<id:string,roomId:string,personId:string,personEmail:string,text:string,type:string,inputs:map<string,string>>>"
 OUT = "event_id bigint, room_id string, ts timestamp_ntz, action string, interaction_id string, rating string, text string"
@@ -115,6 +117,50 @@ def plan_broadcast(emails: DataFrame, rooms: DataFrame, known_rooms: DataFrame |
     return both.filter(F.coalesce(F.col("target"), F.lit("")) != "").distinct()
 
 
+def paced(sends: DataFrame, every_ms: int, burst: int = 1, by: str = "sender", at: str = "created_at", order: str = "id") -> DataFrame:
+    """``sends`` with ``send_at``: each as early as its sender's token bucket, one
+    token each ``every_ms``, ``burst`` of them at most, allows, in the order of
+    ``at``, then ``order``.
+
+    Send i of a sender spends its token until T(i) = max(t(i), T(i - 1)) + d, so T(i) is
+    d * (i + 1) plus the largest t(j) - d * j up to i, a running maximum; the send waits
+    for T(i - 1) - (burst - 1) * d. Ranges of sends are worked out at once, and what
+    a range starts with, a count and a maximum, comes from those of the ranges before it,
+    so one sender may have all sends."""
+    d = F.lit(every_ms * 1000).cast("bigint")
+    t = F.unix_micros(F.col(at).cast("timestamp"))
+    dealt = sends.withColumn("_t", t).repartitionByRange(by, "_t", order).withColumn("_part", F.spark_partition_id())
+    dealt = stored(dealt)
+    own = Window.partitionBy(by, "_part").orderBy("_t", order)
+    rows = dealt.withColumn("_n", F.row_number().over(own) - 1).withColumn("_m", F.col("_t") - d * F.col("_n"))
+    ends = rows.groupBy(by, "_part").agg(F.count("*").alias("_c"), F.max("_m").alias("_top"))
+    before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_from", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    ends = ends.withColumn("_carry", F.max(F.col("_top") - d * F.col("_from")).over(before)).select(F.col(by).alias("_by"), F.col("_part").alias("_of"), "_from", "_carry")
+    rows = rows.withColumn("_run", F.max("_m").over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.join(small(ends), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_of")))
+    top = F.greatest(F.col("_carry"), F.col("_run") - d * F.col("_from"))
+    free = top + d * (F.col("_from") + F.col("_n")) - (burst - 1) * d
+    return rows.select(*sends.columns, F.timestamp_micros(F.greatest(F.col("_t"), free)).cast("timestamp_ntz").alias("send_at"))
+
+
+def due_again(results: DataFrame, most: int = 3, first_ms: int = 1000) -> DataFrame:
+    """target, attempt, not_before of the sends to try once more: those whose last
+    of ``results`` (target, attempt, ok, finished_at) failed, ``most`` attempts at most,
+    each after twice the time of the one before, up to a million times the first."""
+    last = results.groupBy("target").agg(F.max_by(F.struct("attempt", "ok", "finished_at"), "attempt").alias("r")).select("target", "r.*")
+    wait = F.lit(first_ms * 1000) * F.pow(F.lit(2), F.least(F.col("attempt") - 1, F.lit(20))).cast("bigint")
+    at = F.timestamp_micros(F.unix_micros(F.col("finished_at").cast("timestamp")) + wait).cast("timestamp_ntz")
+    return last.filter(~F.col("ok") & (F.col("attempt") < most)).select("target", (F.col("attempt") + 1).alias("attempt"), at.alias("not_before"))
+
+
+def broadcast_results(plan: DataFrame, results: DataFrame) -> DataFrame:
+    """kind, target, attempts, ok of a planned broadcast: what its sends came to;
+    ok is null for what was not tried."""
+    last = results.groupBy("target").agg(F.max("attempt").alias("attempts"), F.max_by("ok", "attempt").alias("ok"))
+    return plan.join(last, "target", "left").select("kind", "target", F.coalesce("attempts", F.lit(0)).alias("attempts"), "ok")
+
+
 def broadcast_summary(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("total"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"))
 

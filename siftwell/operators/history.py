@@ -77,6 +77,16 @@ def generate_sprints(spark: SparkSession, start: date, count: int, length_days:
     return n.select((F.col("n") + 1).cast("string").alias("id"), F.concat(F.lit(prefix + " "), F.col("n") + 1).alias("name"), first.alias("start_date"), F.date_add(first, length_days - 1).alias("end_date"), F.lit(repository_id).cast("string").alias("repository_id"))
 
 
+def sprints_over(commits: DataFrame, length_days: int = Commits.sprint_length_days, prefix: str = "Sprint") -> DataFrame:
+    """Consecutive sprints from the day of the first commit to that of the last."""
+    if length_days < 1:
+        raise ValueError("sprints need a length of at least one day")
+    days = commits.agg(F.to_date(F.min("commit_date")).alias("first"), F.to_date(F.max("commit_date")).alias("last")).filter("first is not null")
+    n = days.select("first", F.explode(F.sequence(F.lit(0), F.floor(F.datediff("last", "first") / length_days).cast("int"))).alias("n"))
+    start = F.date_add("first", F.col("n") * length_days)
+    return n.select((F.col("n") + 1).cast("string").alias("id"), F.concat(F.lit(prefix + " "), F.col("n") + 1).alias("name"), start.alias("start_date"), F.date_add(start, length_days - 1).alias("end_date"), F.lit(None).cast("string").alias("repository_id"))
+
+
 def check_sprint(name: str, start: date, end: date) -> None:
     if not name or not name.strip():
         raise ValueError("a sprint needs a name")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Retrieval
 from ..functions.classify import doc_category
 from ..functions.embed import Embedder, embed_udf, hashed
-from ..functions.text import recursive_splitter, windows
+from ..functions.text import recursive_splitter, window_count, windows
 
 EMPTY_FIELDS = "cast(map() as map<string,string>)"
 
@@ -39,7 +39,17 @@ def append_chunks(chunks: DataFrame, path: str) -> None:
 
 def registry(chunks: DataFrame, at: Column | None = None) -> DataFrame:
     """One row per source with its number of chunks."""
-    out = chunks.groupBy("source", "type").agg(F.count("*").cast("int").alias("chunk_count"))
+    return _registered(chunks.groupBy("source", "type").agg(F.count("*").cast("int").alias("chunk_count")), at)
+
+
+def registry_of_texts(docs: DataFrame, config: Retrieval = Retrieval(), at: Column | None = None) -> DataFrame:
+    """registry() of the fixed windows of ``docs`` (source, name, type, text),
+    counted from the lengths of the texts: none is cut."""
+    n = F.sum(window_count(F.col("text"), config.chunk_size, config.chunk_overlap)).cast("int")
+    return _registered(docs.groupBy("source", "type").agg(n.alias("chunk_count")).filter("chunk_count > 0"), at)
+
+
+def _registered(out: DataFrame, at: Column | None) -> DataFrame:
     return out.select(F.sha2("source", 256).alias("id"), F.element_at(F.split("source", "/"), -1).alias("name"), "type", "source", "chunk_count", (at if at is not None else F.current_timestamp().cast("timestamp_ntz")).alias("ingested_at"))
 
 

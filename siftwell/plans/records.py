@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, headers, text
-from ..operators import answers, bot, conversation, diffs, feedback, fusion, history, ingest, rerank, sheets
+from ..operators import answers, bot, catalog, conversation, diffs, feedback, fusion, history, ingest, rerank, sheets
 from ..operators.layout import spread
 from ..sources import pages
 from ..streaming import streams
@@ -31,9 +31,50 @@ def query(sql: str | None = None):
 FIRST = date(2024, 1, 1)
 
 
-@query("SELECT 'Sprint ' || n AS name, DATE '2024-01-01' + CAST((n - 1) * 14 AS INTEGER) AS start_date, DATE '2024-01-01' + CAST((n - 1) * 14 + 13 AS INTEGER) AS end_date FROM (SELECT unnest(range(1, 5)) AS n)")
+@query(
+    f"""WITH {S.COMMITS_SQL}, d AS (SELECT CAST(min(commit_date) AS DATE) AS f, CAST(max(commit_date) AS DATE) AS l FROM k)
+SELECT 'Sprint ' || (n + 1) AS name, f + CAST(n * 14 AS INTEGER) AS start_date, f + CAST(n * 14 + 13 AS INTEGER) AS end_date FROM (SELECT f, unnest(range(0, (l - f) // 14 + 1)) AS n FROM d)"""
+)
 def sprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.generate_sprints(spark, FIRST, 4).select("name", "start_date", "end_date")
+    """Sprints from the first commit to the last."""
+    return history.sprints_over(S.commits(spark, sf_dir)).select("name", "start_date", "end_date")
+
+
+@query(
+    """WITH e AS (SELECT event_id, event_type, ts, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS n FROM events),
+m AS (SELECT *, max(t - n * 1200000000) OVER (PARTITION BY event_type ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM e)
+SELECT event_id, event_type, make_timestamp(CAST(greatest(t, coalesce(top + n * 1200000000 - 2400000000, t)) AS BIGINT)) AS send_at FROM m"""
+)
+def paced_sends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as messages, a sender for each type: one in twenty minutes, three at once."""
+    e = S.load(spark, sf_dir, "events").select("event_id", "event_type", "ts")
+    return bot.paced(e, 1_200_000, 3, "event_type", "ts", "event_id").select("event_id", "event_type", "send_at")
+
+
+@query(
+    """WITH r AS (SELECT user_id AS target, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt, value > 2 AS ok, ts FROM events),
+l AS (SELECT target, max(attempt) AS attempt, arg_max(ok, attempt) AS ok, arg_max(ts, attempt) AS ts FROM r GROUP BY target)
+SELECT target, CAST(attempt + 1 AS INTEGER) AS attempt, ts + to_microseconds(CAST(1000 * 2 ** least(attempt - 1, 20) AS BIGINT)) AS not_before FROM l WHERE NOT ok AND attempt < 500"""
+)
+def sends_due_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as results of sends to users: who is tried once more, and when."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    r = S.load(spark, sf_dir, "events").select(F.col("user_id").alias("target"), n.alias("attempt"), (F.col("value") > 2).alias("ok"), F.col("ts").alias("finished_at"))
+    return bot.due_again(r, 500, 1)
+
+
+def _subsets() -> str:
+    from itertools import combinations
+
+    names = ("conv_id", "turn", "role", "text")
+    full = lambda own: " AND ".join(f"count({c}) = count(*)" for c in own)
+    return " UNION ALL ".join(f"SELECT {list(own)} AS columns, count(DISTINCT ({', '.join(own)})) = count(*) AND {full(own)} AS u FROM conversations" for n in (1, 2, 3) for own in combinations(names, n))
+
+
+@query(f"WITH s AS ({_subsets()}) SELECT columns FROM s WHERE u AND NOT EXISTS (SELECT 1 FROM s o WHERE o.u AND len(o.columns) < len(s.columns) AND list_has_all(s.columns, o.columns))")
+def table_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least sets of columns of conversations that tell its rows apart."""
+    return catalog.minimal_keys(S.load(spark, sf_dir, "conversations"))
 
 
 _IN = "ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-21'"
@@ -173,7 +214,7 @@ def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks per source, as the registry counts them."""
     docs = S.chunks(spark, sf_dir).select(F.col("name").alias("source"), "name", "type", "text")
-    return ingest.registry(ingest.chunk_documents(docs)).select("source", "type", "chunk_count")
+    return ingest.registry_of_texts(docs).select("source", "type", "chunk_count")
 
 
 @query(
