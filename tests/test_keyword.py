@@ -65,3 +65,47 @@ def test_cover_density_against_plain_loops(spark):
     got = {(r.qid, r.chunk_id): r.density for r in keyword.cover_density(terms, index).collect()}
     want = {(q, n): plain_density(t, set(a.split())) for q, a in asked.items() for n, t in texts.items() if set(a.split()) <= set(t)}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want) and not any(q == 4 for q, _ in got)
+
+
+def test_vector_search_against_plain_loops(spark, monkeypatch):
+    """Batches and tiles of few rows; equal vectors, categories, lengths apart, unusable vectors."""
+    import numpy as np
+
+    from siftwell.config import Retrieval
+    from siftwell.operators import vector
+
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(vector, "TILE", 50)
+    monkeypatch.setattr(vector, "PAIRS", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    base = rng.normal(size=(60, 5)).astype(np.float32)
+    rows = [(f"c{i}", ["catalog", "rules", None, "other"][i % 4], v.tolist()) for i, v in enumerate(np.vstack([base, np.tile(base[:1], (30, 1)), base[:20] * 3]))]
+    rows += [("n", "rules", None), ("z", "rules", [0.0] * 5), ("x", "rules", [float("nan")] * 5), ("e", "rules", [None] * 5), ("s", "rules", [1.0, 2.0])]
+    asked = [(i, ["show SVC_007", "explain refunds"][i % 2], v.tolist()) for i, v in enumerate(np.vstack([base[:9], rng.normal(size=(9, 5))]).astype(np.float32))] + [(90, "show SVC_007", None), (91, "explain it", [2.0, 1.0])]
+    chunks = spark.createDataFrame(rows, "chunk_id string, category string, embedding array<float>").repartition(3)
+    q = spark.createDataFrame(asked, "qid int, question string, embedding array<float>")
+
+    def scores(v):
+        v = np.array(v, np.float64)
+        ok = [(c, cat, np.array(e, np.float64)) for c, cat, e in rows if e is not None and len(e) == len(v) and None not in e and np.isfinite(e).all() and any(e)]
+        norm = lambda x: np.sqrt(np.cumsum(x * x)[-1])
+        return sorted(((-(1 + np.cumsum(v * e)[-1] / (norm(v) * norm(e))) / 2, c, cat) for c, cat, e in ok))
+
+    try:
+        got = {}
+        for r in vector.top_k(q, chunks, 4, 0.5).collect():
+            got.setdefault(r.qid, []).append((r.rank, r.chunk_id, r.score))
+        routed = {}
+        for r in vector.routed(q, chunks, 4, Retrieval(min_score=0.9)).collect():
+            routed.setdefault(r.qid, []).append((r.rank, r.chunk_id, r.fallback))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for i, text, v in asked:
+        if v is None:
+            assert i not in got and i not in routed
+            continue
+        best = [(-s, c, cat) for s, c, cat in scores(v)]
+        assert sorted(got.get(i, [])) == [(n + 1, c, s) for n, (s, c, _) in enumerate([x for x in best if x[0] >= 0.5][:4])]
+        above = [x for x in best if x[0] >= 0.9]
+        within = [x for x in above if x[2] in (("catalog",) if "SVC" in text else ("fds", "brd", "rules", "general"))]
+        assert sorted(routed.get(i, [])) == [(n + 1, c, not within) for n, (_, c, _) in enumerate((within or above)[:4])]
