@@ -5,7 +5,8 @@ checksum of a card, digits of a phone number). The base matches, and long
 hexadecimal strings, are seeds. Every seed and every other token with a digit,
 of ``ID_CHARS`` characters or more, is an instance; the words before it, and the
 words around it, as far as they lie in the ``CONTEXT_CHARS`` characters before
-and after, are its patterns. They are cut from the whole text, in which every
+and after, are its patterns; of a gap between matches, the ``GAP_CHARS`` characters next
+to the instance are looked at, which are many times a context. They are cut from the whole text, in which every
 word with a digit stands as one mark: items of a list share patterns, and a
 short number nearby hides none. Spark scores the graph of patterns and instances in rounds, a
 pattern by the share of its instances that are sensitive, an instance by the

@@ -12,7 +12,10 @@ linear classifier is trained on the posterior labels of a bounded sample and
 scores every document.
 
 Bounds: ``VOTERS`` yes/no voters make at most ``2 ** VOTERS`` patterns, so the
-label model sees all documents through that many counts. Mining and the
+label model sees all documents through that many counts. A clique holds ``CLIQUE``
+voters at most, whose joint table has 2 to that power of cells; further ones count as
+independent. A mined entry needs the odds ``LIFT`` and the evidence ``EVIDENCE``, so
+what few labelled rows show is not mined: small tables find less. Mining and the
 classifier's fit take at most about ``SAMPLE_ROWS`` rows each, chosen by hash. A
 mined entry has to occur in a share ``SUPPORT`` of the toxic rows that are no
 near copies of each other, so there are at most ``1 / SUPPORT`` times as many

@@ -14,7 +14,7 @@ left alone.
 Labels come from a column and not from the rules. ``weak_label`` makes one of a
 page's host and content: hosts with a word of a seed list are bad, and so are
 pages whose visible text is mostly signs, as in lists of keywords; pages of
-running text are good.
+running text are good, and those of fewer than ``WORDS`` words have no label.
 
 Pages are counted per (host, template) before anything else, so a hot host is
 as many rows as it has templates. A round takes every branch to where its paths
