@@ -275,6 +275,10 @@ class Engine:
         self._append("commits", new)
         return new
 
+    def repositories(self) -> DataFrame:
+        """The repositories, without what gives access to them."""
+        return schema.shown(self.table("repositories"))
+
     def commit_stats(self, versions: DataFrame, commits: DataFrame) -> DataFrame:
         """files_changed, insertions and deletions from the trees' contents."""
         return diffs.stats(versions, commits)

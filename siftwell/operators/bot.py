@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,7 +186,23 @@ def url_changes(polled: DataFrame) -> DataFrame:
 
 def first_tunnel(tunnels: DataFrame) -> DataFrame:
     """The first public https address of a tunnel list."""
-    return tunnels.filter(F.col("public_url").startswith("https")).orderBy("position").limit(1)
+    first = tunnels.filter(F.col("public_url").startswith("https")).agg(F.min_by(F.struct(*tunnels.columns), "position").alias("r"))
+    return first.filter("r is not null").select("r.*")
+
+
+def poll_tunnel(read: Callable[[], DataFrame], attempts: int = 10, wait_seconds: float = 3.0) -> str | None:
+    """The first public address that ``read``, a tunnel list as of now, has in so
+    many attempts; an error of it counts as one."""
+    for n in range(attempts):
+        if n:
+            time.sleep(wait_seconds)
+        try:
+            found = first_tunnel(read()).head()
+        except PySparkException:
+            found = None
+        if found is not None:
+            return found.public_url
+    return None
 
 
 def signature_udf(secret: str | None):

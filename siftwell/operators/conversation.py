@@ -76,3 +76,11 @@ def contexts(matches: DataFrame, rank: str = "rank") -> DataFrame:
     return lists.select(
         "qid", F.array_join(F.transform("m", lambda x: x["text"]), SEPARATOR).alias("context"), F.array_distinct(F.filter(F.transform("m", lambda x: x["source"]), lambda s: s.isNotNull())).alias("sources")
     )
+
+
+def with_new_ids(asked: DataFrame, session: str = "session_id", interaction: str = "interaction_id") -> DataFrame:
+    """``asked`` with a new session id where there is none or a blank one, and a new
+    interaction id. They are drawn at random whenever the rows are worked out, so the
+    result has to be written before it is used twice."""
+    given = F.col(session) if session in asked.columns else F.lit(None).cast("string")
+    return asked.withColumns({session: F.when(F.trim(given) != "", given).otherwise(F.expr("uuid()")), interaction: F.expr("uuid()")})

@@ -23,6 +23,15 @@ CELLS = "workbook string, sheet string, row int, col int, kind string, raw strin
 STRUCTURAL_KEYS = ("source", "type", "category", "workbook", "sheet", "sheetType", "rowStart", "rowEnd")
 
 
+#: Columns that hold secrets, which no listing shows.
+SECRETS = ("credentials", "password", "secret", "token", "access_token", "api_key")
+
+
+def shown(df: DataFrame) -> DataFrame:
+    """``df`` without columns that hold secrets, by their names in any case."""
+    return df.drop(*[c for c in df.columns if c.lower() in SECRETS])
+
+
 def require(df: DataFrame, *columns: str) -> None:
     """The catalog check of a table: every column has to be there."""
     lacking = [c for c in columns if c not in df.columns]

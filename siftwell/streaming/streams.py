@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import Cache, Config, Feedback, Retrieval
@@ -145,6 +146,37 @@ def drain(df: DataFrame, name: str | None = None, mode: str = "append") -> DataF
 ProgressListener = Callable[[str, dict], None]
 
 
+class StageListener(StreamingQueryListener):
+    """Tells a listener of queries as they go: begun, each batch, idle, over."""
+
+    def __init__(self, tell: ProgressListener):
+        self.tell = tell
+
+    def onQueryStarted(self, event) -> None:
+        self.tell("started", {"name": event.name})
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.tell(f"batch {p.batchId}", {"rows": p.numInputRows})
+
+    def onQueryIdle(self, event) -> None:
+        self.tell("idle", {})
+
+    def onQueryTerminated(self, event) -> None:
+        self.tell("over", {"error": event.exception})
+
+
+@contextmanager
+def told(spark: SparkSession, tell: ProgressListener):
+    """While this holds, queries of the session tell ``tell`` of their progress."""
+    listener = StageListener(tell)
+    spark.streams.addListener(listener)
+    try:
+        yield listener
+    finally:
+        spark.streams.removeListener(listener)
+
+
 def stage_log(query: StreamingQuery, tell: ProgressListener) -> None:
     """Hand the progress of a query's batches to a listener."""
     for p in query.recentProgress:

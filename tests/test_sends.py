@@ -55,3 +55,42 @@ def test_keys_against_brute_force(spark):
         for size in (1, 2, 3):
             keys += [set(own) for own in combinations(names, size) if tells(own) and not any(k <= set(own) for k in keys)]
         assert sorted(map(sorted, keys)) == sorted(sorted(r.columns) for r in catalog.minimal_keys(df).collect())
+
+
+def test_tunnels_are_polled(spark):
+    lists = [[], None, [(0, "http://a")], [(1, "https://b"), (0, "https://c"), (2, "http://d")]]
+
+    def read():
+        now = lists.pop(0)
+        return spark.table("no_such_table") if now is None else spark.createDataFrame(now, "position int, public_url string")
+
+    assert bot.poll_tunnel(read, 10, 0.0) == "https://c" and not lists
+    assert bot.poll_tunnel(lambda: spark.createDataFrame([], "position int, public_url string"), 2, 0.0) is None
+
+
+def test_new_ids_and_secrets(spark):
+    from siftwell import schema
+    from siftwell.operators import conversation
+
+    asked = spark.createDataFrame([(1, "s"), (2, " "), (3, None)], "qid int, session_id string")
+    rows = {r.qid: r for r in conversation.with_new_ids(asked).collect()}
+    assert rows[1].session_id == "s" and len({r.interaction_id for r in rows.values()}) == 3 and len(rows[2].session_id) == len(rows[3].session_id) == 36
+    assert len(conversation.with_new_ids(asked.select("qid")).head().session_id) == 36
+    assert schema.shown(spark.createDataFrame([("u", "x", "y")], "repo_url string, Credentials string, name string")).columns == ["repo_url", "name"]
+
+
+def test_progress_is_told_while_a_query_runs(spark, tmp_path):
+    import time
+
+    from siftwell.streaming import streams
+
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    said = []
+    with streams.told(spark, lambda stage, facts: said.append((stage, facts))):
+        q = spark.readStream.schema("id bigint").parquet(str(tmp_path / "in")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).queryName("told").trigger(availableNow=True).start()
+        q.awaitTermination()
+        for _ in range(100):
+            if any(stage == "over" for stage, _ in said):
+                break
+            time.sleep(0.1)
+    assert said[0] == ("started", {"name": "told"}) and ("batch 0", {"rows": 5}) in said and said[-1][0] == "over"
