@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,37 +104,38 @@ def windows(text: Column, size: int = 500, overlap: int = 10) -> Column:
     return F.when(F.char_length(text) > 0, cut)
 
 
-def split_recursive(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Pieces of at most ``size`` characters, cut at paragraphs, else lines,
-    sentences, words, characters; ``overlap`` characters are said again."""
-    if len(text) <= size:
-        return [text] if text else []
+def recursive_pieces(text: Column, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> Column:
+    """Array of the pieces of a text, of at most ``size`` characters, cut at
+    paragraphs, else lines, sentences, words, characters. Parts, each with the
+    separator that ends it, are put together as long as they fit; a piece begins
+    with the last ``overlap`` characters of the one before, if these and the next part
+    fit. A part that is itself too long is cut at the next separator, without overlap
+    with what is before. Null and empty texts have none."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap has to be under the size")
+    return F.when(F.char_length(text) > 0, _recursive(text, size, overlap, separators)).otherwise(F.array().cast("array<string>"))
+
+
+def _recursive(text: Column, size: int, overlap: int, separators: tuple[str, ...]) -> Column:
+    whole = F.when(F.char_length(text) <= size, F.array(text))
     if not separators:
-        step = max(1, size - overlap)
-        return [text[i : i + size] for i in range(0, max(1, len(text) - overlap), step)]
-    head, *rest = separators
-    parts = re.split(f"(?<={re.escape(head)})", text)
-    out, held = [], ""
-    for part in parts:
-        if held and len(held) + len(part) > size:
-            out.append(held)
-            held = held[-overlap:] if overlap and len(part) + overlap <= size else ""
-        if len(part) > size:
-            out.extend(split_recursive(part, size, overlap, tuple(rest)))
-        else:
-            held += part
-    return [*out, held] if held else out
-
-
-def recursive_splitter(size: int, overlap: int):
-    """Arrow-batched splitter: text -> array of pieces."""
-
-    @F.pandas_udf("array<string>")
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: split_recursive(t or "", size, overlap))
-
-    return split
+        step = size - overlap
+        last = F.ceil(F.greatest(F.char_length(text) - overlap, F.lit(1)) / F.lit(step)).cast("int") - 1
+        return whole.otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * step + 1, F.lit(size))))
+
+    def take(s: Column, part: Column) -> Column:
+        n = F.char_length(part)
+        full = (s["held"] != "") & (F.char_length(s["held"]) + n > size)
+        out = F.when(full, F.concat(s["out"], F.array(s["held"]))).otherwise(s["out"])
+        again = F.right(s["held"], F.lit(overlap)) if overlap else F.lit("")
+        held = F.when(full, F.when(n + overlap <= size, again).otherwise("")).otherwise(s["held"])
+        long = n > size
+        out = F.when(long, F.concat(out, _recursive(part, size, overlap, separators[1:]))).otherwise(out)
+        return F.struct(out.alias("out"), F.when(long, held).otherwise(F.concat(held, part)).alias("held"))
+
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).*?{re.escape(separators[0])}|.+"), F.lit(0))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("held"))
+    return whole.otherwise(F.aggregate(parts, start, take, lambda s: F.when(s["held"] != "", F.concat(s["out"], F.array(s["held"]))).otherwise(s["out"])))
 
 
 def html_text(html: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Retrieval
 from ..functions.classify import doc_category
 from ..functions.embed import Embedder, embed_udf, hashed
-from ..functions.text import recursive_splitter, window_count, windows
+from ..functions.text import recursive_pieces, window_count, windows
 
 EMPTY_FIELDS = "cast(map() as map<string,string>)"
 
@@ -18,7 +18,7 @@ def chunk_documents(docs: DataFrame, config: Retrieval = Retrieval(), splitter:
     if splitter == "fixed":
         pieces = docs.withColumn("_p", F.explode(windows(F.col("text"), config.chunk_size, config.chunk_overlap))).withColumn("n", F.col("_p.n")).withColumn("chunk", F.col("_p.text"))
     else:
-        pieces = docs.select("*", F.posexplode(recursive_splitter(config.chunk_size, config.chunk_overlap)("text")).alias("n", "chunk"))
+        pieces = docs.select("*", F.posexplode(recursive_pieces(F.col("text"), config.chunk_size, config.chunk_overlap)).alias("n", "chunk"))
     ident = F.sha2(F.concat_ws("\n", "source", F.col("n").cast("string")), 256)
     none = lambda kind: F.lit(None).cast(kind)
     return pieces.select(

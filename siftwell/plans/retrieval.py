@@ -9,6 +9,7 @@ from ..config import Cache, Hybrid, Rerank, Retrieval
 from ..functions import classify, text
 from ..functions.embed import embed_udf
 from ..operators import answers, cache, conversation, feedback, fusion, keyword, rerank, vector
+from ..operators.layout import spread
 from . import standins as S
 
 QUERIES: dict = {}
@@ -358,7 +359,25 @@ def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.load(spark, sf_dir, "documents").select("doc_id", embed_udf()("text").alias("embedding"))
 
 
-@query()
+def _recursive_sql(t: str, size: int, overlap: int, separators: tuple[str, ...], n: int = 0) -> str:
+    """The nested fold of text.recursive_pieces() over an SQL expression."""
+    whole = f"CASE WHEN length({t}) <= {size} THEN [{t}] ELSE "
+    if not separators:
+        step = size - overlap
+        return f"{whole} [substr({t}, CAST(i AS BIGINT) * {step} + 1, {size}) FOR i IN range(0, CAST(ceil(greatest(length({t}) - {overlap}, 1) / {step}.0) AS BIGINT))] END"
+    s, p, r = f"s{n}", f"p{n}", f"r{n}"
+    full = f"({s}.held <> '' AND length({s}.held) + length({p}) > {size})"
+    out = f"CASE WHEN {full} THEN list_append({s}.out, {s}.held) ELSE {s}.out END"
+    held = f"CASE WHEN {full} THEN CASE WHEN length({p}) + {overlap} <= {size} THEN right({s}.held, {overlap}) ELSE '' END ELSE {s}.held END"
+    long = f"length({p}) > {size}"
+    inner = _recursive_sql(p, size, overlap, separators[1:], n + 1)
+    sep = separators[0].replace("\n", "\\n").replace(".", "\\.")
+    fold = f"""list_reduce(regexp_extract_all({t}, '(?s).*?{sep}|.+'), lambda {s}, {p}: {{'out': CASE WHEN {long} THEN list_concat({out}, {inner}) ELSE {out} END, 'held': CASE WHEN {long} THEN {held} ELSE ({held}) || {p} END}}, {{'out': CAST([] AS VARCHAR[]), 'held': ''}})"""
+    return f"{whole} list_transform([{fold}], lambda {r}: CASE WHEN {r}.held <> '' THEN list_append({r}.out, {r}.held) ELSE {r}.out END)[1] END"
+
+
+@query(f"SELECT doc_id, CAST(unnest(range(0, len(c))) AS INTEGER) AS n, unnest(c) AS chunk FROM (SELECT doc_id, {_recursive_sql('text', 500, 10, text.SEPARATORS)} AS c FROM documents WHERE length(text) > 0)")
 def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recursive splitting of whole documents."""
-    return S.load(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.recursive_splitter(500, 10)("text")).alias("n", "chunk"))
+    docs = spread(S.load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.posexplode(text.recursive_pieces(F.col("text"), 500, 10)).alias("n", "chunk"))

@@ -137,7 +137,7 @@ def test_text(spark):
     assert each(spark, T.excerpt, ["a" * 300, "b"]) == ["a" * 200 + "...", "b..."]
     r = one(spark, T.parse_vector_text(F.lit("'error':1,7 'code':3 'it''s':2")), T.parse_vector_text(F.lit(" ")))
     assert r[0] == {"error": 2, "code": 1, "it's": 1} and r[1] == {}
-    joined = [T.split_recursive(t, 20, 0) for t in ("a b c " * 20, "x" * 90, "p\n\nq. r s\n" * 9, "", "é日 " * 30)]
+    joined = each(spark, lambda c: T.recursive_pieces(c, 20, 0), ["a b c " * 20, "x" * 90, "p\n\nq. r s\n" * 9, "", "é日 " * 30])
     assert ["".join(x) for x in joined] == ["a b c " * 20, "x" * 90, "p\n\nq. r s\n" * 9, "", "é日 " * 30]
     assert all(len(p) <= 20 for x in joined for p in x)
     w = one(spark, T.windows(F.lit("abcdefghij"), 4, 1))[0]

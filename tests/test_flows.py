@@ -226,20 +226,45 @@ def test_votes_and_progress_of_a_stream(spark, tmp_path):
     assert ("batch 0", 3) in told
 
 
+def plain_pieces(text, size, overlap, separators=("\n\n", "\n", ". ", " ")):
+    import re
+
+    if len(text) <= size:
+        return [text] if text else []
+    if not separators:
+        return [text[i : i + size] for i in range(0, max(1, len(text) - overlap), size - overlap)]
+    out, held = [], ""
+    for part in re.findall(f"(?s).*?{re.escape(separators[0])}|.+", text):
+        if held and len(held) + len(part) > size:
+            out.append(held)
+            held = held[-overlap:] if overlap and len(part) + overlap <= size else ""
+        if len(part) > size:
+            out.extend(plain_pieces(part, size, overlap, separators[1:]))
+        else:
+            held += part
+    return [*out, held] if held else out
+
+
 @pytest.mark.parametrize("size,overlap", [(20, 0), (7, 0), (1, 0), (20, 4), (50, 10)])
-def test_recursive_pieces_of_a_text(size, overlap):
-    from siftwell.functions.text import split_recursive
+def test_recursive_pieces_of_a_text(spark, size, overlap):
+    import random
+
+    from siftwell.functions.text import recursive_pieces
 
-    for text in ("", "one", "A first line. And more.\nA second line\n\nA new paragraph, with a verylongwordwithoutanybreak in it.\n\n\n\n", "é🙂 " * 30, "\n" * 45):
-        got = split_recursive(text, size, overlap)
+    rng = random.Random(size)
+    texts = ["", "one", "A first line. And more.\nA second line\n\nA new paragraph, with a verylongwordwithoutanybreak in it.\n\n\n\n", "é🙂 " * 30, "\n" * 45]
+    texts += ["".join(rng.choice(["a", "bc", "word", " ", " ", ". ", "\n", "\n\n", "é", "🙂"]) for _ in range(rng.randrange(120))) for _ in range(60)]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", recursive_pieces(F.col("t"), size, overlap).alias("p")).collect()
+    for text, got in rows:
+        assert got == plain_pieces(text or "", size, overlap)
         assert all(0 < len(p) <= size for p in got)
         if not overlap:
-            assert "".join(got) == text
+            assert "".join(got) == (text or "")
         # a piece goes on where the one before ended, or says up to ``overlap`` of its end again
         ends = {0}
         for p in got:
             ends = {e - k + len(p) for e in ends for k in range(min(overlap, e) + 1) if text.startswith(p, e - k)}
-        assert len(text) in ends
+        assert len(text or "") in ends
 
 
 def test_plans(spark):
