@@ -138,7 +138,7 @@ def spread_join(rows: DataFrame, hubs: DataFrame, key: str, by: str, how: str =
 
 #: Bytes of an Arrow batch, where the session has Spark's default, which is
 #: more than a small executor's two workers should hold.
-ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")
+ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m")
 
 
 def tidy(function):
