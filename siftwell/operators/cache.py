@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -30,8 +30,8 @@ def cache_key(question: Column, config: Cache = Cache()) -> Column:
 def simulate(requests: DataFrame, config: Cache = Cache(), order: str = "request_id") -> DataFrame:
     """request_id, key, ts, kind (get, evict, clear) -> with ``hit``. Entries
     expire ``ttl`` after they were written; a hit does not extend them. The fold
-    runs per key; ``clear`` is an event of every key. A hot key is one ordered
-    fold, of constant memory. The bound on the number of entries, which is
+    runs per key and stretch between two clears. A hot key is one ordered fold, of
+    constant memory. The bound on the number of entries, which is
     global, is bounded()'s."""
     ttl = pd.Timedelta(minutes=config.ttl_minutes)
     kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
@@ -40,7 +40,7 @@ def simulate(requests: DataFrame, config: Cache = Cache(), order: str = "request
         key, written = None, None
         for frame in frames:
             hits = []
-            for k, ts, kind in zip(frame["key"], frame["ts"], frame["kind"], strict=True):
+            for k, ts, kind in zip(zip(frame.pop("epoch"), frame["key"], strict=True), frame["ts"], frame["kind"], strict=True):
                 if k != key:
                     key, written = k, None
                 if kind in ("evict", "clear"):
@@ -54,14 +54,24 @@ def simulate(requests: DataFrame, config: Cache = Cache(), order: str = "request
             frame["hit"] = pd.array(hits, dtype="boolean")
             yield frame
 
-    src = requests.select(order, "key", "ts", "kind")
-    clears = src.filter("kind = 'clear'").drop("key")
-    keys = src.filter("kind <> 'clear'")
-    whole = keys.unionByName(keys.select("key").distinct().join(F.broadcast(clears), F.lit(True)).select(order, "key", "ts", "kind"))
-    spread = whole.repartition("key").sortWithinPartitions("key", "ts", order)
+    log = _with_epochs(requests.select(order, "key", "ts", "kind"), order)
+    spread = log.repartition("key", "epoch").sortWithinPartitions("key", "epoch", "ts", order)
     return spread.mapInPandas(fold, f"{order} {kinds[order]}, key string, ts {kinds['ts']}, kind string, hit boolean")
 
 
+def _with_epochs(log: DataFrame, order: str) -> DataFrame:
+    """``log`` with the number of clears up to each request. Ranges of time count
+    their own, and begin with what the ranges before them have."""
+    if not log.filter("kind = 'clear'").head(1):
+        return log.withColumn("epoch", F.lit(0).cast("bigint"))
+    dealt = stored(log.repartitionByRange("ts", order).withColumn("_part", F.spark_partition_id()))
+    clear = (F.col("kind") == "clear").cast("bigint")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = dealt.groupBy("_part").agg(F.sum(clear).alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    own = F.sum(clear).over(Window.partitionBy("_part").orderBy("ts", order))
+    return dealt.withColumn("_own", own).join(F.broadcast(carry), "_part").withColumn("epoch", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+
+
 class Store:
     """The cache itself: entries that expire ``ttl`` after they were written, at
     most ``most`` of them, the least recently used one going first."""

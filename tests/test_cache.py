@@ -69,3 +69,12 @@ def test_stats_of_bounded_log(spark):
     hits = [h for h, _, _ in want.values()]
     last = max(log, key=lambda r: (r[2], r[0]))[0]
     assert (r.hits, r.misses, r.evictions, r.size) == (hits.count(True), hits.count(False), sum(e for _, e, _ in want.values()), want[last][2])
+
+
+def test_unbounded_cache_with_clears_against_replay(spark):
+    log = [(i, key or "k", ts, kind) for i, key, ts, kind in requests(random.Random(11), 500, 15, 60)]
+    log += [(1000 + n, "k0", log[n * 50][2], "clear") for n in range(8)]
+    want = replay(log, timedelta(minutes=30), 10**6)
+    for parts in (1, 5):
+        got = cache.simulate(spark.createDataFrame(log, KIND).repartition(parts), Cache(ttl_minutes=30)).collect()
+        assert {r.request_id: r.hit for r in got} == {i: h for i, (h, _, _) in want.items()}
