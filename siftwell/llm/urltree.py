@@ -40,7 +40,7 @@ from ..functions.text import html_text
 from ._shared import ascii_lower, spread, spread_join, table, written
 
 #: (host, path, verdict) of the contract's rules.
-RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
+RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 #: Words of host names, between dots and hyphens, that mark unwanted sites; a
 #: seed for labels.
 BAD_HOST_WORDS = ("ads", "adult", "betting", "bets", "casino", "casinos", "malware", "phish", "phishing", "pills", "porn", "spam", "tracker", "viagra", "warez", "xxx")
