@@ -8,25 +8,33 @@ from pyspark.sql import functions as F
 from ..config import Hybrid
 from ..functions.text import tokens, words
 from .layout import small, spread
+from .scratch import stored
 
 
-def postings(docs: DataFrame, analyzer: str = "simple", id_col: str = "chunk_id", text: str = "text") -> DataFrame:
-    """term, chunk_id, tf, dl: the materialised index. dl counts distinct terms."""
+def postings(docs: DataFrame, analyzer: str = "simple", id_col: str = "chunk_id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """term, chunk_id, tf, dl: the materialised index. dl counts distinct terms.
+    With ``only`` (term), the postings of these terms: no other word leaves the
+    task that reads its text."""
     base = spread(docs.select(F.col(id_col).alias("chunk_id"), F.col(text).alias("_x"))).select("chunk_id", tokens(F.col("_x"), analyzer).alias("_t"))
     # bound below the explode: once a text, not once a word. The outer one does
     # not cut the words a second time to drop texts without any
     base = base.withColumn("dl", F.size(F.array_distinct("_t")))
-    each = base.select("chunk_id", "dl", F.explode_outer("_t").alias("term")).filter("term is not null")
+    each = _only(base.select("chunk_id", "dl", F.explode_outer("_t").alias("term")).filter("term is not null"), only)
     return each.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
 
 
-def positional_postings(docs: DataFrame, analyzer: str = "simple", id_col: str = "chunk_id", text: str = "text") -> DataFrame:
+def _only(each: DataFrame, only: DataFrame | None) -> DataFrame:
+    return each if only is None else each.join(small(only.select("term").distinct()), "term", "left_semi")
+
+
+def positional_postings(docs: DataFrame, analyzer: str = "simple", id_col: str = "chunk_id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
     """postings() with ``places``: where the term stands among the text's words,
     from 1, rising. A row holds the places of one term in one text."""
     base = spread(docs.select(F.col(id_col).alias("chunk_id"), F.col(text).alias("_x"))).select("chunk_id", words(F.col("_x"), analyzer).alias("_w"))
     base = base.withColumn("dl", F.size(F.array_distinct(F.transform("_w", lambda w: w["term"]))))
     each = base.select("chunk_id", "dl", F.explode_outer("_w").alias("w")).filter("w is not null")
-    placed = each.groupBy("w.term", "chunk_id", "dl").agg(F.sort_array(F.collect_list("w.place")).alias("places"))
+    each = _only(each.select("chunk_id", "dl", "w.term", "w.place"), only)
+    placed = each.groupBy("term", "chunk_id", "dl").agg(F.sort_array(F.collect_list("place")).alias("places"))
     return placed.select("term", "chunk_id", "dl", F.size("places").cast("bigint").alias("tf"), "places")
 
 
@@ -64,6 +72,11 @@ def cover_density(terms: DataFrame, index: DataFrame, config: Hybrid = Hybrid())
 def coarse_top_k(terms: DataFrame, index: DataFrame, pool: int, config: Hybrid = Hybrid()) -> DataFrame:
     """The ``pool`` densest chunks of each question: the shortlist of a keyword
     search that ranks only these by BM25."""
+    terms, same = alike(terms)
+    return _for_each(_densest(terms, index, pool, config), same)
+
+
+def _densest(terms: DataFrame, index: DataFrame, pool: int, config: Hybrid) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("density", 9)), "chunk_id")
     return cover_density(terms, index, config).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= pool)
 
@@ -71,12 +84,14 @@ def coarse_top_k(terms: DataFrame, index: DataFrame, pool: int, config: Hybrid =
 def bm25_of_pool(terms: DataFrame, index: DataFrame, stats: DataFrame, pool: int, config: Hybrid = Hybrid()) -> DataFrame:
     """qid, chunk_id, bm25, rank: the shortlist of coarse_top_k(), by BM25. The
     frequencies are those of the whole index."""
+    terms, same = alike(terms)
     freq = doc_freq(index.join(small(terms.select("term").distinct()), "term", "left_semi"))
-    listed = coarse_top_k(terms, index, pool, config).select("qid", "chunk_id")
-    asked = small(terms.select("term").distinct())
-    found = bm25(terms, index.join(asked, "term", "left_semi"), stats, config, "and", freq).join(listed, ["qid", "chunk_id"], "left_semi")
+    # a pool for each set of terms; only the postings of its chunks are scored
+    listed = stored(_densest(terms, index, pool, config).select("qid", "chunk_id"))
+    near = index.join(small(listed.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    found = bm25(terms, near, stats, config, "and", freq).join(small(listed), ["qid", "chunk_id"], "left_semi")
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("bm25", 9)), "chunk_id")
-    return found.withColumn("rank", F.row_number().over(w))
+    return _for_each(found.withColumn("rank", F.row_number().over(w)), same)
 
 
 def corpus_stats(docs: DataFrame, analyzer: str = "simple", text: str = "text") -> DataFrame:
@@ -105,6 +120,21 @@ def question_terms(questions: DataFrame, analyzer: str = "simple") -> DataFrame:
     return t.select("qid", F.size("t").alias("n_terms"), F.explode("t").alias("term"))
 
 
+def alike(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``terms`` of one question of those that ask for the same; qid, _like: the
+    question asked in the place of each). What is asked often is looked up once,
+    so the work grows with the chunks times the different sets of terms."""
+    each = terms.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("n_terms", "term"))).alias("_set"))
+    first = each.groupBy("_set").agg(F.min("qid").alias("_like"))
+    return first.select(F.col("_like").alias("qid"), F.inline("_set")), each.join(first, "_set").select("qid", "_like")
+
+
+def _for_each(found: DataFrame, same: DataFrame) -> DataFrame:
+    """What alike()'s questions found, for each that asked."""
+    found = found.withColumnRenamed("qid", "_like_found")
+    return found.join(small(same), F.col("_like_found").eqNullSafe(F.col("_like"))).select("qid", *[c for c in found.columns if c != "_like_found"])
+
+
 def bm25(terms: DataFrame, index: DataFrame, stats: DataFrame, config: Hybrid = Hybrid(), mode: str = "and", freq: DataFrame | None = None) -> DataFrame:
     """qid, chunk_id, bm25 of the chunks that hold all (``and``) or any
     (``or``) terms of a question, positive scores only. ``stats`` may be an
@@ -126,9 +156,10 @@ def bm25(terms: DataFrame, index: DataFrame, stats: DataFrame, config: Hybrid =
 
 
 def bm25_top_k(terms: DataFrame, index: DataFrame, stats: DataFrame, k: int, config: Hybrid = Hybrid(), mode: str = "and") -> DataFrame:
+    terms, same = alike(terms)
     found = bm25(terms, index, stats, config, mode)
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("bm25", 9)), "chunk_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return _for_each(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), same)
 
 
 def exact_term(index: DataFrame, term: str) -> DataFrame:

@@ -109,3 +109,35 @@ def test_vector_search_against_plain_loops(spark, monkeypatch):
         above = [x for x in best if x[0] >= 0.9]
         within = [x for x in above if x[2] in (("catalog",) if "SVC" in text else ("fds", "brd", "rules", "general"))]
         assert sorted(routed.get(i, [])) == [(n + 1, c, not within) for n, (_, c, _) in enumerate((within or above)[:4])]
+
+
+def test_equal_questions_are_looked_up_once(spark, monkeypatch):
+    """Each gets what it would get alone; the chunks meet a set of terms once, however many ask for it."""
+    rng = random.Random(11)
+    docs = spark.createDataFrame([(n, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 40)))) for n in range(50)], "chunk_id bigint, text string")
+    kinds = ["a b", "b A", "c", "d e f", "a zz", "?!", "h h"]
+    questions = spark.createDataFrame([(n, kinds[n % len(kinds)]) for n in range(70)] + [(None, "c")], "qid int, question string")
+    terms, stats = keyword.question_terms(questions), keyword.corpus_stats(docs)
+    index = keyword.positional_postings(docs, only=terms)
+    seen = []
+    for name in ("bm25", "cover_density"):
+        plain = getattr(keyword, name)
+        monkeypatch.setattr(keyword, name, lambda terms, *rest, plain=plain: seen.append(terms.select("qid").distinct().count()) or plain(terms, *rest))
+    for ask, score in ((lambda t: keyword.bm25_top_k(t, index, stats, 4), "bm25"), (lambda t: keyword.bm25_top_k(t, index, stats, 4, mode="or"), "bm25"), (lambda t: keyword.coarse_top_k(t, index, 4), "density"), (lambda t: keyword.bm25_of_pool(t, index, stats, 4), "bm25")):
+        seen.clear()
+        got = {}
+        for r in ask(terms).collect():
+            got.setdefault(r.qid, set()).add((r.chunk_id, r["rank"], round(r[score], 9)))
+        assert seen and set(seen) == {5}
+        for n, kind in enumerate(kinds):
+            alone = keyword.question_terms(spark.createDataFrame([(n, kind)], "qid int, question string"))
+            want = {(r.chunk_id, r["rank"], round(r[score], 9)) for r in ask(alone).collect()}
+            assert all(got.get(q, set()) == want for q in range(n, 70, len(kinds))) and (kind != "c" or got[None] == want)
+
+
+def test_postings_of_asked_words_alone(spark):
+    docs = spark.createDataFrame([(1, "a b a c"), (2, "c c"), (3, None), (2, "c c")], "chunk_id bigint, text string")
+    only = spark.createDataFrame([("a",), ("c",), ("a",), (None,)], "term string")
+    for made in (keyword.postings, keyword.positional_postings):
+        key = lambda r: tuple(map(str, r))
+        assert sorted(made(docs, only=only).collect(), key=key) == sorted(made(docs).filter("term in ('a', 'c')").collect(), key=key)
