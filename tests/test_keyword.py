@@ -141,3 +141,10 @@ def test_postings_of_asked_words_alone(spark):
     for made in (keyword.postings, keyword.positional_postings):
         key = lambda r: tuple(map(str, r))
         assert sorted(made(docs, only=only).collect(), key=key) == sorted(made(docs).filter("term in ('a', 'c')").collect(), key=key)
+
+
+def test_search_holds_little_of_a_batch_at_once():
+    """A tile of products and the pairs worked out anew, of 64 numbers each, are 8 MB at most."""
+    from siftwell.operators import vector
+
+    assert 8 * vector.TILE <= 1 << 23 and 8 * 64 * vector.PAIRS <= 1 << 23
