@@ -148,3 +148,24 @@ def test_search_holds_little_of_a_batch_at_once():
     from siftwell.operators import vector
 
     assert 8 * vector.TILE <= 1 << 23 and 8 * 64 * vector.PAIRS <= 1 << 23
+
+
+def test_answers_search_without_texts(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from siftwell.operators import vector
+
+    seen, plain = [], vector.nearest
+    monkeypatch.setattr(vector, "nearest", lambda questions, chunks, *rest: seen.append(chunks.columns) or plain(questions, chunks, *rest))
+    assert entry.queries()["answer"](spark, "/root/testdata/sf0.001").filter("size(sources) > 0").count() > 0
+    assert seen and not any({"text", "source"} & set(columns) for columns in seen)
+
+
+def test_columns_that_the_search_did_not_hold(spark):
+    """Rows of one id keep their own; equal rows stay as many as were found."""
+    from siftwell.operators import vector
+
+    docs = spark.createDataFrame([(1, "a", "x"), (1, "b", "x"), (2, None, "y"), (2, None, "y"), (None, "n", None), (3, "unfound", "z")], "chunk_id bigint, text string, source string")
+    light = vector.without(docs, "text", "source")
+    assert light.columns == ["chunk_id", "_row"]
+    got = vector.with_columns(light.filter("chunk_id is null or chunk_id < 3"), docs, "text", "source")
+    assert got.columns == docs.columns and sorted(map(repr, got.collect())) == sorted(map(repr, docs.filter("chunk_id is null or chunk_id < 3").collect()))
