@@ -16,7 +16,7 @@ from ..config import Cache
 from .scratch import stored
 
 #: Requests of a log that one task replays.
-RANGE_ROWS = 200_000
+RANGE_ROWS = 50_000
 
 
 def cache_key(question: Column, config: Cache = Cache()) -> Column:

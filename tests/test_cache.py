@@ -78,3 +78,8 @@ def test_unbounded_cache_with_clears_against_replay(spark):
     for parts in (1, 5):
         got = cache.simulate(spark.createDataFrame(log, KIND).repartition(parts), Cache(ttl_minutes=30)).collect()
         assert {r.request_id: r.hit for r in got} == {i: h for i, (h, _, _) in want.items()}
+
+
+def test_a_task_replays_few_requests():
+    """A range of the log is in a worker's memory while it is replayed."""
+    assert cache.RANGE_ROWS <= 50_000
