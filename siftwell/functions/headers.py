@@ -135,10 +135,10 @@ def trim_number(raw: Column) -> Column:
 
 def check_range(key: Column, value: Column, start: Column, end: Column) -> Column:
     """Message of a value outside its documented range, else null."""
-    v, a, b = first_number(value), first_number(start), first_number(end)
     outside = F.format_string("%s=%s is outside its sheet's documented range (%s-%s)", key, trim_number(value), trim_number(start), trim_number(end))
     below = F.format_string("%s=%s is below its sheet's documented range start (%s)", key, trim_number(value), trim_number(start))
-    return F.when(b.isNotNull(), F.when((v < a) | (v > b), outside)).when(v < a, below)
+    numbers = F.struct(first_number(value).alias("v"), first_number(start).alias("a"), first_number(end).alias("b"))
+    return let(numbers, lambda n: F.when(n["b"].isNotNull(), F.when((n["v"] < n["a"]) | (n["v"] > n["b"]), outside)).when(n["v"] < n["a"], below))
 
 
 def let(value: Column, body) -> Column:

@@ -113,7 +113,9 @@ def unclassified(chunks: DataFrame) -> DataFrame:
 def range_warnings(chunks: DataFrame, limit: int | None = 200) -> DataFrame:
     """The first chunks with warnings by workbook, sheet and row; all, in no
     order, without a limit."""
-    own = chunks.filter(F.element_at("fields", F.lit(H.HAS_WARNING)) == "true")
+    # a filter on the fields would work them out twice, below and above it
+    warned = F.filter(F.array("fields"), lambda f: F.element_at(f, F.lit(H.HAS_WARNING)) == "true")
+    own = chunks.select("chunk_id", "workbook", "sheet", "row_start", "row_end", F.explode_outer(warned).alias("fields")).filter("fields is not null")
     if limit is not None:
         own = own.orderBy("workbook", "sheet", F.col("row_start").cast("int")).limit(max(limit, 1))
     return own.select("chunk_id", "workbook", "sheet", "row_start", "row_end", F.element_at("fields", F.lit(H.RANGE_WARNINGS)).alias("warnings"))

@@ -299,3 +299,14 @@ def test_running_vote_counts_after_votes_again(spark, tmp_path, splits):
     assert {tuple(r) for r in feedback.added(feedback.vote_deltas(spark.createDataFrame(rows, kind))).collect()} == want(rows)
     e.rebuild_vote_counts()
     assert {tuple(r) for r in e.source_counts().collect()} == want(rows)
+
+
+def test_range_warnings_are_worked_out_once(spark):
+    from siftwell.functions import headers
+    from siftwell.operators import sheets
+
+    rows = [("1", {"ruleId": "950", "ruleIdRangeStart": "100", "ruleIdRangeEnd": "900"}), ("2", {"ruleId": "200", "ruleIdRangeStart": "100", "ruleIdRangeEnd": "900"}), ("3", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, fields map<string,string>").selectExpr("*", "'w' AS workbook", "'s' AS sheet", "1 AS row_start", "1 AS row_end")
+    out = sheets.range_warnings(chunks.withColumn("fields", headers.with_warnings(chunks.fields)), None)
+    assert [(r.chunk_id, r.warnings) for r in out.collect()] == [("1", "ruleId=950 is outside its sheet's documented range (100-900)")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("documented range (%s-%s)") == 1
