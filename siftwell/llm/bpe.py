@@ -273,31 +273,27 @@ def encode(df: DataFrame, tokenizer: str | None = None, leaf_chars: int = LEAF_C
                 part = batch.slice(at, 512)
                 yield result(part.columns[:-1], [enc.encode(t.as_py(), leaf_chars) for t in part.column(len(keep))])
 
-    def whole(batches):
+    def strung(batches):
+        row, kept, held, joins = None, [], [], 0
         for batch in batches:
             for i in range(batch.num_rows):
-                own = batch.slice(i, 1)
-                yield result(own.columns[: len(keep)], [(np.frombuffer(own.column(len(keep))[0].as_py(), np.uint32), own.column(len(keep) + 1)[0].as_py())])
-
-    def strung(batches):
-        row, held, joins = None, [], 0
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([b"".join(held)], pa.binary()), pa.array([joins], pa.int64())], names=["row", "_ids", "_joins"])
-        for r, _, x, n in _rows(batches):
-            if r != row:
-                if held:
-                    yield out()
-                row, held, joins = r, [], 0
-            held.append(x)
-            joins += n
+                r, x, n = (c[i].as_py() for c in batch.columns[:3])
+                if r != row:
+                    if held:
+                        yield result(kept, [(np.frombuffer(b"".join(held), np.uint32), joins)])
+                    row, kept, held, joins = r, batch.slice(i, 1).columns[3:], [], 0
+                held.append(x)
+                joins += n
         if held:
-            yield out()
+            yield result(kept, [(np.frombuffer(b"".join(held), np.uint32), joins)])
 
     few = src.filter(F.char_length("_text") <= part_chars).mapInArrow(tidy(short), schema)
     long = written(src.filter(F.char_length("_text") > part_chars).withColumn("row", F.monotonically_increasing_id()), "bpe-long")
     if long.head(1):
-        pieces = _tree_ids(long, path, part_chars, leaf_chars)
-        lists = pieces.repartition("row").sortWithinPartitions("row", "piece").mapInArrow(tidy(strung), "row bigint, _ids binary, _joins bigint")
-        few = few.unionByName(long.drop("_text").join(lists, "row").select(*names, "_ids", "_joins").mapInArrow(tidy(whole), schema))
+        # one Python function in the stage: with two, each core would hold two workers
+        pieces = _tree_ids(long, path, part_chars, leaf_chars).join(long.drop("_text"), "row")
+        lists = pieces.repartition("row").sortWithinPartitions("row", "piece").select("row", "ids", "joins", *names)
+        few = few.unionByName(lists.mapInArrow(tidy(strung), schema))
     return few.toDF(*keep, *outs[len(keep) :])
 
 

@@ -67,3 +67,28 @@ def test_registered_and_guarded():
     import __spark_entry__ as entry
 
     assert "pipeline" in entry.queries() and len([q for q in entry.queries() if q.startswith("op")]) == 13
+
+
+def test_a_task_of_the_encoder_holds_one_python_worker(spark):
+    """Texts in parts, with special tokens and kept columns, as encoded whole; no
+    stage has a Python function that is fed by another."""
+    long = [" ".join(f"word{i * k}" for i in range(400)) for k in range(1, 5)]
+    rows = [(n, t, f"k{n}" if n else None) for n, t in enumerate([*long, long[0] + "<|endoftext|>" + long[1], "", "short", None])] + [(None, long[2], None), (0, long[0], None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, kind string")
+
+    def chained(node, above=False):
+        here = "InArrow" in node.nodeName()
+        below = (node.children().apply(i) for i in range(node.children().size()))
+        return (here and above) + sum(chained(c, (above or here) and "Exchange" not in node.nodeName()) for c in below)
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = bpe.encode(df, keep=("doc_id", "kind"), part_chars=500, leaf_chars=100, digests=True)
+        assert "MapInArrow" in parts._jdf.queryExecution().executedPlan().toString()
+        assert chained(parts._jdf.queryExecution().executedPlan()) == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    whole = bpe.encode(df, keep=("doc_id", "kind"), digests=True)
+    key = lambda d: sorted(map(tuple, d.drop("n_joins").collect()), key=repr)
+    assert key(parts) == key(whole)
